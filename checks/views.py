@@ -111,7 +111,7 @@ VIEWS["audit"] = """
 SELECT event_id, ts, concat('pkg', user_id) AS package, concat('1.', event_id % 7) AS version,
        CASE event_type WHEN 'purchase' THEN 200 WHEN 'view' THEN 200 WHEN 'click' THEN 202
             WHEN 'error' THEN 451 ELSE 404 END AS status,
-       CAST(value * 100 AS BIGINT) AS bytes, props
+       CAST(floor(value * 100) AS BIGINT) AS bytes, props
 FROM events
 """
 
@@ -147,6 +147,45 @@ SELECT o_orderkey AS aid,
 FROM orders
 """
 
+# Package records: manifest, separator, prose plus code-like snippets.
+VIEWS["records"] = r"""
+SELECT doc_id, concat('pkg', doc_id) AS package_name, concat('1.0.', doc_id) AS version, source, lang,
+  concat(
+    CASE WHEN doc_id % 11 = 0 THEN 'not json'
+         WHEN doc_id % 13 = 0 THEN '{"scripts":"none","files":"x.node","bin":"run.exe"}'
+         ELSE concat('{"name":"pkg', doc_id, '","scripts":{"postinstall":"node -e ', left(sha1(CAST(doc_id AS STRING)), 24), '","publish":"p"',
+              CASE WHEN doc_id % 2 = 0 THEN ',"preinstall":"sh a.sh"' ELSE '' END, '},"dependencies":{"a":"1"',
+              CASE WHEN doc_id % 3 = 0 THEN ',"b":"2"' ELSE '' END, '},"devDependencies":["x"],"files":["a.js"',
+              CASE WHEN doc_id % 5 = 0 THEN ',"B.NODE"' ELSE ',7' END, '],"_age_days":', doc_id % 400, '.5}') END,
+    '<sep>', text,
+    CASE WHEN doc_id % 2 = 0 THEN ' eval (x); new  Function("a"); ' ELSE '' END,
+    CASE WHEN doc_id % 3 = 0 THEN ' require("child_process").exec("ls"); require( name ); ' ELSE '' END,
+    CASE WHEN doc_id % 4 = 0 THEN '<sep> fs.writeFileSync("/home/u/.ssh/id"); ' ELSE '' END,
+    CASE WHEN doc_id % 5 = 0 THEN ' fetch("http://x"); import a from "axios"; require("https") ' ELSE '' END,
+    CASE WHEN doc_id % 6 = 0 THEN concat(' ', repeat('QUJD', 16), '== ', repeat('QUJD', 16), ' ', repeat('Zz09', 20), ' ') ELSE '' END,
+    CASE WHEN doc_id % 7 = 0 THEN ' _0x1f2a _0x2b _0x3c _0x4d a$$$b _0x55 ' ELSE '' END) AS text
+FROM documents
+"""
+
+# Report keys per source; every precedence pair occurs.
+VIEWS["truth_sources"] = """
+SELECT CASE WHEN quality = 1 THEN 'benign_list' ELSE 'summary' END AS source,
+       concat('@s##n', CAST(floor(doc_id / 4) AS BIGINT), '/1.', doc_id % 4) AS key FROM labels WHERE doc_id % 2 = 0
+UNION ALL
+SELECT CASE WHEN toxic = 1 THEN 'tool_malicious' ELSE 'tool_benign' END,
+       concat('@s##n', CAST(floor(doc_id / 4) AS BIGINT), '/1.', doc_id % 4) FROM labels WHERE doc_id % 3 <> 0
+UNION ALL
+SELECT CASE WHEN doc_id % 5 = 0 THEN 'tool_fp' ELSE 'tool_fn' END,
+       concat('@s##n', CAST(floor(doc_id / 4) AS BIGINT), '/1.', doc_id % 4) FROM labels WHERE doc_id % 5 < 2
+UNION ALL
+SELECT 'summary', CASE WHEN doc_id % 7 = 0 THEN concat('noslash', doc_id)
+       ELSE concat('@s##n', CAST(floor(doc_id / 4) AS BIGINT), '/1.', doc_id % 4) END FROM labels
+"""
+
+VIEWS["labelled_pkgs"] = """
+SELECT doc_id, concat('@s##n', CAST(floor(doc_id / 4) AS BIGINT)) AS name, concat('1.', doc_id % 4) AS version FROM documents
+"""
+
 VIEWS["chat"] = """
 SELECT conv_id, turn, role, text FROM conversations
 """
@@ -199,3 +238,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+VIEWS["records_plain"] = "SELECT doc_id, text FROM documents"

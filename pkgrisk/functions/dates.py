@@ -9,7 +9,7 @@ def iso_timestamp(value: str) -> str:
 
 
 def age_days(published: str, as_of: str) -> str:
-    return f"((unix_micros({as_of}) - unix_micros({published})) / 86400e6D)"
+    return f"((unix_micros(cast({as_of} AS timestamp)) - unix_micros({published})) / 86400e6D)"
 
 
 def one_decimal(x: str) -> str:

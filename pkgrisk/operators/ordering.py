@@ -22,20 +22,34 @@ HASH_DIGITS = 4
 VALUE_BUCKETS = 64
 
 
-def hash_cuts(df: DataFrame, strata: Sequence[str], order: str, targets: str) -> DataFrame:
+def hash_cuts(
+    df: DataFrame, strata: Sequence[str], order: str, targets: str,
+    with_start: bool = False, carry: dict[str, str] | None = None,
+) -> DataFrame:
     """Per stratum, the order hash at given ranks.
 
     ``order`` is a SQL expression for the hash, ``targets`` one for an array<bigint> of
     ranks over the stratum size ``n`` (0 = before the first row). Returns
     ``_stratum, n, cuts`` with ``cuts[i]`` the hash of the row at rank ``targets[i]``,
     NULL for rank 0. Only rows of buckets that hold a wanted rank are sorted, about
-    ``size(targets) / 65536`` of a stratum.
+    ``size(targets) / 65536`` of a stratum. ``with_start`` lets ``targets`` use ``start``,
+    the rows of all earlier strata; ``carry`` adds aggregates of ``df`` per stratum.
     """
-    base = df.selectExpr(f"{group_key(*strata)} AS _stratum", f"{order} AS _h").selectExpr(
-        "_stratum", "_h", f"substring(_h, 1, {HASH_DIGITS}) AS _b"
+    carry = carry or {}
+    base = df.selectExpr(f"{group_key(*strata)} AS _stratum", f"{order} AS _h", "*").selectExpr(
+        "*", f"substring(_h, 1, {HASH_DIGITS}) AS _b"
+    )
+    counts = base.groupBy("_stratum", "_b").agg(
+        F.expr("count(*) AS c"), *[F.expr(f"{e} AS {name}") for name, e in carry.items()]
+    )
+    base = base.select("_stratum", "_h", "_b")
+    sizes = counts.groupBy("_stratum").agg(
+        F.expr("sum(c) AS n"), *[F.expr(f"max({name}) AS {name}") for name in carry]
     )
-    counts = base.groupBy("_stratum", "_b").agg(F.expr("count(*) AS c"))
-    sizes = counts.groupBy("_stratum").agg(F.expr("sum(c) AS n")).selectExpr("*", f"{targets} AS ks")
+    counts = counts.select("_stratum", "_b", "c")
+    if with_start:
+        sizes = sizes.selectExpr("*", "sum(n) OVER (ORDER BY _stratum) - n AS start")
+    sizes = sizes.selectExpr("_stratum", "n", f"{targets} AS ks")
     edges = (
         counts.selectExpr("*", "sum(c) OVER (PARTITION BY _stratum ORDER BY _b) AS upto")
         .join(sizes, "_stratum")
@@ -58,14 +72,14 @@ def hash_cuts(df: DataFrame, strata: Sequence[str], order: str, targets: str) ->
 
 
 def hash_segments(
-    df: DataFrame, strata: Sequence[str], order: str, targets: str, out: str = "segment"
+    df: DataFrame, strata: Sequence[str], order: str, targets: str, out: str = "segment", **options
 ) -> DataFrame:
     """Number each row by the segment its rank falls in: 0 up to ``targets[0]``, 1 up to ``targets[1]``…
 
     Keys are expected to be unique within a stratum; exact copies share a hash and so a segment.
     The rows themselves are not shuffled: one comparison with the stratum's cut hashes.
     """
-    cuts = broadcast_if_small(hash_cuts(df, strata, order, targets))
+    cuts = broadcast_if_small(hash_cuts(df, strata, order, targets, **options))
     tagged = df.selectExpr("*", f"{group_key(*strata)} AS _stratum", f"{order} AS _h")
     passed = F.expr("size(filter(cuts, c -> c IS NULL OR _h > c))")
     return tagged.join(cuts, "_stratum").withColumn(out, passed).drop("_stratum", "_h", "n", "cuts")
