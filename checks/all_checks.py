@@ -1,4 +1,4 @@
 """Import every check module so that it registers its queries."""
 
-from checks import features, history, labels, metrics, policy, selection, splits, stats  # noqa: F401
+from checks import features, history, labels, metrics, policy, registries, selection, splits, stats, trees  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401

@@ -241,3 +241,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 VIEWS["records_plain"] = "SELECT doc_id, text FROM documents"
+
+# npm packuments: two versions and one entry of the wrong type; repository as text or object.
+VIEWS["npm_docs"] = """
+SELECT o_orderkey AS k, o_custkey, o_orderdate, concat('{"name":"pkg', o_custkey, '","time":{"1.0.', o_orderkey, '":"', substring(CAST(o_orderdate AS STRING), 1, 10), 'T00:00:00Z"},',
+  '"versions":{"1.0.', o_orderkey, '":{"scripts":{"install":"node-gyp rebuild","n":', o_orderkey, '},"dist":{"integrity":"',
+  CASE o_orderkey % 3 WHEN 0 THEN 'sha256-AAA= sha384-BBB=' WHEN 1 THEN 'sha1-x' ELSE 'sha512-CCC' END, '","tarball":"https://r/', o_orderkey, '.tgz"},"gitHead":"abc",',
+  '"repository":', CASE o_orderkey % 3 WHEN 0 THEN '"git+https://github.com/o/r"' WHEN 1 THEN concat('{"type":"git","url":"https://gitlab.com/o/r', o_orderkey, '"}') ELSE '7' END, '},',
+  '"2.0.', o_orderkey, '":{"scripts":"none","dist":[]},"bad":7}}') AS line
+FROM orders
+"""
+
+VIEWS["pypi_docs"] = """
+SELECT o_orderkey AS k, concat('{"info":{"name":"Pkg_', o_custkey, '.x","version":"1.', o_orderkey, '","upload_time":"1990-01-01T00:00:00",',
+  '"description":"', CASE o_orderkey % 5 WHEN 0 THEN 'uses cmdclass = {' WHEN 1 THEN 'install_requires a from https://x and a Post-Install step' ELSE 'plain' END, '",',
+  '"home_page":" https://home/', o_orderkey, ' ","project_urls":', CASE o_orderkey % 3 WHEN 0 THEN 'null' WHEN 1 THEN '{"Code":"https://code","Source":" "}' ELSE '{"Homepage":"https://hp","Source":"https://src"}' END, '},',
+  '"urls":[', CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '{"packagetype":"sdist","url":"https://s","filename":"a.tar.gz","digests":{"sha256":"ABCD"},"upload_time":"2001-01-01T00:00:00"}'
+     WHEN 2 THEN '{"packagetype":"sdist","url":"https://s","filename":"a.tar.gz"},{"packagetype":"bdist_wheel","url":"https://w","filename":"a.whl","digests":{"sha256":"EF01"},"upload_time_iso_8601":"2002-01-01T00:00:00Z"},{"packagetype":"bdist_wheel","url":"https://w2"}'
+     ELSE '3,{"packagetype":"bdist_egg","url":"https://e","filename":"a.zip"}' END, ']}') AS line
+FROM orders
+"""
+
+VIEWS["composer_docs"] = """
+SELECT o_orderkey AS k, concat('{"packages":{"Vendor/Pkg', o_orderkey, '":[{"version":"v1.', o_orderkey, '","version_normalized":"1.', o_orderkey, '.0","time":"2000-01-01T00:00:00+00:00",',
+  '"dist":{"url":"https://d/', o_orderkey, '","shasum":"ABCDEF', CASE WHEN o_orderkey % 2 = 0 THEN '01' ELSE '' END, '"},',
+  CASE o_orderkey % 3 WHEN 0 THEN '"source":{"url":"https://github.com/v/p"},' WHEN 1 THEN '"homepage":"https://hp",' ELSE '"source":"none",' END,
+  '"scripts":{"post-install-cmd":["a","b",3],"post-update-cmd":"c","x":[],"y":{}}},4]}}') AS line
+FROM orders
+"""
