@@ -21,12 +21,21 @@ def string_at(v: str, path: str) -> str:
 
 
 def object_at(v: str, path: str) -> str:
-    """map<string,variant>; NULL when the value is not an object."""
-    return _typed(v, path, "'OBJECT'", "map<string,variant>")
+    """map<string,variant>; NULL when the value is not an object (the cast refuses other kinds)."""
+    return f"try_variant_get({v}, '{path}', 'map<string,variant>')"
 
 
 def array_at(v: str, path: str) -> str:
-    return _typed(v, path, "'ARRAY'", "array<variant>")
+    """array<variant>; NULL when the value is not an array."""
+    return f"try_variant_get({v}, '{path}', 'array<variant>')"
+
+
+def is_object(v: str) -> str:
+    return f"({object_at(v, '$')} IS NOT NULL)"
+
+
+def is_array(v: str) -> str:
+    return f"({array_at(v, '$')} IS NOT NULL)"
 
 
 def number_at(v: str, path: str) -> str:

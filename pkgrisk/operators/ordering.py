@@ -18,8 +18,8 @@ from pkgrisk.session import broadcast_if_small
 
 # Leading hex digits of the order hash used as bucket: 16^4 buckets per stratum.
 HASH_DIGITS = 4
-# Buckets per group for numeric keys; bounds follow the data (approximate percentiles).
-VALUE_BUCKETS = 64
+# Buckets for numeric keys; bounds follow the data (approximate percentiles).
+VALUE_BUCKETS = 128
 
 
 def hash_cuts(
@@ -90,22 +90,20 @@ def value_prefix(
 ) -> DataFrame:
     """Exclusive running sums along a numeric key, equal keys merged.
 
-    ``df`` is first reduced to one row per (group, key). Bucket bounds come from
-    approximate percentiles of those distinct keys, so buckets are even whatever the
-    distribution; totals per bucket give each bucket's offset. Adds ``before_<s>`` and
-    ``total_<s>`` for every summed column.
+    ``df`` is first reduced to one row per (group, key). Bucket bounds are approximate
+    percentiles of those rows over all groups, so whatever the distribution no (group,
+    bucket) holds more than about ``1 / buckets`` of them; a hot group spreads over its
+    share of buckets. Totals per bucket give each bucket's offset. Adds ``before_<s>``
+    and ``total_<s>`` for every summed column.
     """
     group = list(group)
-    by = ", ".join(group)
-    part = f"PARTITION BY {by}" if group else ""
+    part = f"PARTITION BY {', '.join(group)}" if group else ""
     merged = df.groupBy(*group, key).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums])
     fractions = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
-    bounds = merged.groupBy(*group).agg(
-        F.expr(f"percentile_approx({key}, array({fractions}), 10000) AS _bounds")
-    )
-    # Without groups the bounds are exactly one row.
-    tagged = merged.join(broadcast_if_small(bounds), group) if group else merged.join(F.broadcast(bounds))
-    tagged = tagged.withColumn("_bucket", F.expr(f"size(filter(_bounds, b -> b < {key}))")).drop("_bounds")
+    bounds = merged.agg(F.expr(f"percentile_approx({key}, array({fractions}), 10000) AS _bounds"))
+    tagged = merged.join(F.broadcast(bounds)).withColumn(  # exactly one row
+        "_bucket", F.expr(f"size(filter(_bounds, b -> b < {key}))")
+    ).drop("_bounds")
 
     per_bucket = tagged.groupBy(*group, "_bucket").agg(*[F.expr(f"sum({s}) AS _t_{s}") for s in sums])
     offsets = per_bucket.selectExpr(

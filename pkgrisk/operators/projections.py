@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pkgrisk.functions.integrity import base64_of_hex
 from pkgrisk.functions.names import canonical
 from pkgrisk.functions.sql import regex, text, texts
-from pkgrisk.functions.variant import kind, node, object_at, string_at, string_of, strings_in_map
+from pkgrisk.functions.variant import array_at, is_array, is_object, node, object_at, string_at, string_of, strings_in_map
 
 RELEASE_COLUMNS = (
     "package", "version", "ecosystem", "published", "scripts", "integrity_hash", "integrity_algo",
@@ -29,7 +29,7 @@ def project_npm(packuments: DataFrame, doc: str = "doc") -> DataFrame:
     names = packuments.selectExpr(
         f"{string_at(doc, '$.name')} AS package", f"{object_at(doc, '$.time')} AS _time",
         f"explode({object_at(doc, '$.versions')}) AS (version, b)",
-    ).filter(f"{kind('b')} = 'OBJECT'")
+    ).filter(is_object("b"))
     empty = "cast(map() AS map<string,string>)"
     algo = (
         "array_max(filter(transform(split(trim(integrity_hash), '\\\\s+'), w -> lower(substring_index(w, '-', 1))), "
@@ -47,11 +47,10 @@ def project_npm(packuments: DataFrame, doc: str = "doc") -> DataFrame:
 
 def project_pypi(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """PyPI release document (``info, urls``): wheel before sdist before anything else, first of its kind."""
-    urls = f"coalesce(try_variant_get({doc}, '$.urls', 'array<variant>'), cast(array() AS array<variant>))"
     listed = (
-        f"filter(transform(IF({kind(node(doc, '$.urls'))} = 'ARRAY', {urls}, NULL), (u, i) -> named_struct('rank', "
+        f"filter(transform({array_at(doc, '$.urls')}, (u, i) -> named_struct('rank', "
         f"CASE {string_at('u', '$.packagetype')} WHEN 'bdist_wheel' THEN 0 WHEN 'sdist' THEN 1 ELSE 2 END, 'i', i, "
-        f"'is_object', {kind('u')} = 'OBJECT')), x -> x.is_object)"
+        f"'is_object', {is_object('u')})), x -> x.is_object)"
     )
     staged = docs.selectExpr(
         "*", f"array_min({listed}) AS _best", f"{node(doc, '$.info')} AS _info"
@@ -81,14 +80,12 @@ def project_pypi(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 def project_composer(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """Packagist document (``packages: {name: [blocks]}``) → one row per block; ``version_normalized`` kept."""
-    blocks = docs.selectExpr(f"explode({object_at(doc, '$.packages')}) AS (package, list)").filter(
-        f"{kind('list')} = 'ARRAY'"
-    ).selectExpr("package", "explode(try_variant_get(list, '$', 'array<variant>')) AS b").filter(f"{kind('b')} = 'OBJECT'")
+    blocks = docs.selectExpr(f"explode({object_at(doc, '$.packages')}) AS (package, list)").filter(is_array("list")).selectExpr("package", "explode(try_variant_get(list, '$', 'array<variant>')) AS b").filter(is_object("b"))
     scripts = object_at("b", "$.scripts")
     joined = (
         f"array_join(filter(transform(try_variant_get(x, '$', 'array<variant>'), c -> {string_of('c')}), c -> c IS NOT NULL), ' && ')"
     )
-    flat = f"transform_values({scripts}, (k, x) -> CASE {kind('x')} WHEN 'STRING' THEN try_variant_get(x, '$', 'string') WHEN 'ARRAY' THEN nullif({joined}, '') END)"
+    flat = f"transform_values({scripts}, (k, x) -> IF({is_array('x')}, nullif({joined}, ''), {string_of('x')}))"
     return blocks.selectExpr(
         "lower(trim(package)) AS package", f"{string_at('b', '$.version')} AS version",
         f"{string_at('b', '$.version_normalized')} AS version_normalized", "'composer' AS ecosystem",
