@@ -85,11 +85,11 @@ def _(spark, sf):
 
 @query(
     "batch_score_heuristic",
-    FEATURES + "SELECT package_name, round(score, 6) AS score, CASE WHEN round(score, 9) < 0.05 THEN 'allow' WHEN round(score, 9) >= 0.3 THEN 'block' ELSE 'quarantine' END AS decision FROM sc WHERE abs(score - 0.3) > 1e-9",
+    FEATURES + "SELECT package_name, round(score, 6) AS score, CASE WHEN score < 0.05::DOUBLE THEN 'allow' WHEN score >= 0.3::DOUBLE THEN 'block' ELSE 'quarantine' END AS decision FROM sc",
 )
 def _(spark, sf):
     out = model.batch_score(view(spark, sf, "records"))
-    return out.filter("abs(score - 0.3D) > 1e-9").selectExpr("package_name", "round(score, 6) AS score", "decision")
+    return out.selectExpr("package_name", "round(score, 6) AS score", "decision")
 
 
 @query("batch_score_model")
@@ -104,7 +104,7 @@ def _(spark, sf):
 
 @query(
     "heuristic_audit",
-    FEATURES + "SELECT package_name AS package, CASE WHEN round(score, 9) < 0.05 THEN 'clean' WHEN round(score, 9) >= 0.3 THEN 'malicious' ELSE 'suspicious' END AS verdict FROM sc WHERE abs(score - 0.3) > 1e-9",
+    FEATURES + "SELECT package_name AS package, CASE WHEN score < 0.05::DOUBLE THEN 'clean' WHEN score >= 0.3::DOUBLE THEN 'malicious' ELSE 'suspicious' END AS verdict FROM sc",
 )
 def _(spark, sf):
-    return responses.heuristic_audit(view(spark, sf, "records")).filter("abs(confidence - 0.3D) > 1e-9").select("package", "verdict")
+    return responses.heuristic_audit(view(spark, sf, "records")).select("package", "verdict")

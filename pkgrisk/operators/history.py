@@ -90,10 +90,13 @@ def checked_events(events: DataFrame, segment: str = "date_trunc('HOUR', ts)") -
     ``events(key, ts, seq, action, state, rationale)`` with action add or promote. An add
     needs a known state and a rationale of at least 16 characters; a promote needs the key
     to be quarantined at that moment, that is, the add or promote before it was a valid add.
+    Rows flagged in an optional ``trusted`` column (state carried over from an earlier run)
+    skip the rationale check.
     """
+    untrusted = "NOT trusted" if "trusted" in events.columns else "true"
     df = events.withColumn("problem", F.expr(
         "CASE WHEN action = 'add' AND coalesce(state, '') NOT IN ('blocked', 'quarantined', 'allowlist') THEN 'unknown_state' "
-        f"WHEN action = 'add' AND length(trim(coalesce(rationale, ''))) < {MIN_RATIONALE} THEN 'short_rationale' "
+        f"WHEN action = 'add' AND {untrusted} AND length(trim(coalesce(rationale, ''))) < {MIN_RATIONALE} THEN 'short_rationale' "
         "WHEN action NOT IN ('add', 'promote') THEN 'unknown_action' END"
     )).withColumn("reason", F.expr("left(split(trim(rationale), '\\n')[0], 200)"))
     moves = "action = 'promote' OR (state = 'quarantined' AND problem IS NULL)"
@@ -133,3 +136,19 @@ def fold_state(checked: DataFrame) -> DataFrame:
         "IF(q IS NOT NULL AND (p IS NULL OR q._at > p), struct('quarantined' AS state, q.reason AS reason, q._at.ts AS added), NULL), "
         "IF(a IS NOT NULL, struct('allowlist' AS state, a.reason AS reason, a._at.ts AS added), NULL)), x -> x IS NOT NULL))",
     )
+
+
+def state_as_events(state: DataFrame) -> DataFrame:
+    """A folded state as events, so that folding can go on from it."""
+    return state.selectExpr(
+        "key", "added AS ts", "-1L AS seq", "'add' AS action", "state", "reason AS rationale", "true AS trusted"
+    )
+
+
+def advance_state(state: DataFrame, events: DataFrame) -> DataFrame:
+    """Fold new events onto an existing state; only keys with events are recomputed."""
+    touched = events.select("key").distinct()
+    carried = state_as_events(state.join(touched, "key", "left_semi"))
+    fresh = events.selectExpr("key", "cast(ts AS timestamp) AS ts", "seq", "action", "state", "rationale", "false AS trusted")
+    moved = fold_state(checked_events(carried.unionByName(fresh)))
+    return state.join(touched, "key", "left_anti").unionByName(moved)

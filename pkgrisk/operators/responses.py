@@ -12,10 +12,12 @@ from pkgrisk.functions.sql import regex
 from pkgrisk.functions.variant import array_at
 from pkgrisk.operators import features
 
-# Phrases that mark a refusal.
-REFUSAL = (
-    "i cannot|i can't|i'm sorry|i am sorry|as an ai|i am unable|i'm unable|i won't|i will not|cannot assist|can't help with"
+# Phrases that mark a refusal, matched as whole words in any case.
+REFUSALS = (
+    "I cannot", "I can't", "I'm sorry", "I am sorry", "I cannot help", "I am not able",
+    "I won't", "I will not", "against my", "not appropriate", "unable to assist",
 )
+REFUSAL = r"(?i)(?U)\b(?:" + "|".join(REFUSALS) + r")\b"
 
 
 def parse_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -41,15 +43,14 @@ def parse_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
         "problem": F.expr(problem),
         "verdict": F.expr(f"IF({word} IN ('clean', 'suspicious', 'malicious'), {word}, 'suspicious')"),
         "confidence": F.expr(
-            "IF(_v IS NULL, 0D, IF(try_variant_get(_v, '$.confidence', 'variant') IS NULL, 0.5D, "
-            "coalesce(greatest(0D, least(1D, try_variant_get(_v, '$.confidence', 'double'))), 0.5D)))"
+            "IF(_v IS NULL, 0D, greatest(0D, least(1D, coalesce(try_variant_get(_v, '$.confidence', 'double'), 0.5D))))"
         ),
         "reasoning": F.expr("coalesce(trim(try_variant_get(_v, '$.reasoning', 'string')), '')"),
         "findings": F.expr(
             f"coalesce(transform({listed}, x -> try_variant_get(x, '$', 'string')), "
             f"IF(coalesce({single}, '') = '', NULL, array({single})), cast(array() AS array<string>))"
         ),
-        "refusal": F.expr(f"coalesce(lower({raw}) RLIKE {regex(REFUSAL)}, false)"),
+        "refusal": F.expr(f"coalesce({raw} RLIKE {regex(REFUSAL)}, false)"),
     }).drop("_t", "_j", "_v")
 
 

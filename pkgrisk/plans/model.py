@@ -35,9 +35,10 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 def feature_matrix(df: DataFrame, columns: Sequence[str], fill: dict[str, float]) -> DataFrame:
     """Booleans as numbers, missing values as the given fill, one ``features`` vector."""
     clean = df.withColumns({
-        c: F.expr(f"IF({c} IS NULL OR isnan(cast({c} AS double)), {fill[c]!r}D, cast({c} AS double))") for c in columns
+        f"_f_{c}": F.expr(f"IF({c} IS NULL OR isnan(cast({c} AS double)), {fill[c]!r}D, cast({c} AS double))") for c in columns
     })
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(clean)
+    inputs = [f"_f_{c}" for c in columns]
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(clean).drop(*inputs)
 
 
 def train(matrix: DataFrame, label: str = "label", seed: int = 42, rounds: int = 20, depth: int = 5) -> GBTClassificationModel:

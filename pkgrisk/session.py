@@ -1,8 +1,9 @@
-"""Session helpers: local session for tests, reliable checkpoints, size-checked broadcast."""
+"""Session helpers: local session for tests, shared folders, size-checked broadcast."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +31,10 @@ def local_session(cpus: int = 8, app: str = "pkgrisk") -> SparkSession:
     return spark
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder named by the session.
-
-    Only where the session names none (a bare local test) is a folder made.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="pkgrisk-ckpt-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, for intermediate tables and stream output."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pkgrisk-")
+    return f"{root.rstrip('/')}/pkgrisk-{name}-{uuid.uuid4().hex}"
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
