@@ -215,7 +215,9 @@ def event_stream(spark, sf, sql):
     # The pattern form lets the stream take a single file or a folder of files alike.
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/event[s].parquet")
     stream.createOrReplaceTempView("events")
-    return spark.sql(sql)
+    bound = spark.sql(sql)
+    spark.catalog.dropTempView("events")
+    return bound
 
 
 def finish(q):
