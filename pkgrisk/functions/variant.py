@@ -3,6 +3,17 @@
 from __future__ import annotations
 
 
+def parse(text: str) -> str:
+    """JSON text → VARIANT, NULL when malformed, also when anything follows the value.
+
+    The built-in parser stops after the first value; a sentinel behind the text makes
+    left-over characters visible.
+    """
+    wrapped = f"try_parse_json(concat('[', {text}, ',\"\\\\u0003end\"]'))"
+    whole = "try_variant_get(w, '$[1]', 'string') = '\\u0003end'"
+    return f"get(transform(array({wrapped}), w -> IF({whole}, try_variant_get(w, '$[0]', 'variant'), NULL)), 0)"
+
+
 def kind(v: str) -> str:
     """OBJECT, ARRAY, STRING, BIGINT, DOUBLE, DECIMAL, BOOLEAN or VOID; NULL for no value."""
     return f"regexp_extract(schema_of_variant({v}), '^([A-Z]+)', 1)"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.sql import text
+from pkgrisk.functions.variant import array_at, parse, string_at
 from pkgrisk.operators import selection, treediff
 
 AUDITOR = "You review software packages for supply-chain risk and answer with one JSON object."
@@ -124,7 +125,7 @@ def record_shape(v: str) -> str:
 
 def detect_shape(lines: DataFrame, line: str = "line", order: str = "ord", sample: int = 100) -> DataFrame:
     """Majority shape of the first ``sample`` records; ties go to the earlier letter."""
-    head = lines.orderBy(order).limit(sample).selectExpr(f"try_parse_json({line}) AS v").filter("v IS NOT NULL")
+    head = lines.orderBy(order).limit(sample).selectExpr(f"{parse(line)} AS v").filter("v IS NOT NULL")
     votes = head.selectExpr(f"{record_shape('v')} AS shape").groupBy("shape").agg(F.expr("count(*) AS n"))
     at = "array_position(array('A', 'B', 'C', 'unknown'), shape)"
     return votes.agg(F.expr(f"coalesce(min_by(shape, struct(-n, {at})), 'unknown') AS shape"))
@@ -132,8 +133,6 @@ def detect_shape(lines: DataFrame, line: str = "line", order: str = "ord", sampl
 
 def normalize_chat(lines: DataFrame, shape: str, line: str = "line", system: str = AUDITOR) -> DataFrame:
     """Records of one shape → ``messages``; NULL messages mark skipped records."""
-    from pkgrisk.functions.variant import array_at, string_at
-
     if shape not in ("A", "B", "C"):
         raise ValueError(f"cannot normalise records of shape {shape!r}")
     if shape == "A":
@@ -148,7 +147,7 @@ def normalize_chat(lines: DataFrame, shape: str, line: str = "line", system: str
         triple = f"array({_message('system', text(system))}, {_message('user', user)}, {_message('assistant', reply)})"
         out = f"IF({user} IS NOT NULL AND {reply} IS NOT NULL, {triple}, NULL)"
     others = [c for c in lines.columns if c != line]
-    return lines.selectExpr(*others, f"try_parse_json({line}) AS v").filter("v IS NOT NULL").selectExpr(*others, f"{out} AS messages")
+    return lines.selectExpr(*others, f"{parse(line)} AS v").filter("v IS NOT NULL").selectExpr(*others, f"{out} AS messages")
 
 
 def pairs_to_classification(pairs: DataFrame, changes: DataFrame) -> DataFrame:

@@ -39,12 +39,14 @@ def _cwes(affected: str = "affected") -> str:
 def _ranges() -> str:
     """Rendered ranges: the last event of each kind wins; fixed before last_affected."""
     def last(field: str) -> str:
-        return f"try_element_at(filter(transform(r.events, e -> e.{field}), x -> x IS NOT NULL), -1)"
+        return f"try_element_at(filter(r.events.{field}, x -> x IS NOT NULL), -1)"
 
-    upper = f"CASE WHEN {last('fixed')} IS NOT NULL THEN concat('<', {last('fixed')}) WHEN {last('last_affected')} IS NOT NULL THEN concat('<=', {last('last_affected')}) END"
-    parts = f"concat_ws(' ', concat('>=', {last('introduced')}), {upper})"
     ranges = "flatten(transform(affected, a -> coalesce(a.ranges, array())))"
-    chunks = f"filter(transform({ranges}, r -> IF({parts} = '', NULL, concat('[', coalesce(r.type, '?'), '] ', {parts}))), x -> x IS NOT NULL)"
+    ends = (
+        f"transform({ranges}, r -> named_struct('type', coalesce(r.type, '?'), 'bounds', concat_ws(' ', "
+        f"concat('>=', {last('introduced')}), coalesce(concat('<', {last('fixed')}), concat('<=', {last('last_affected')})))))"
+    )
+    chunks = f"transform(filter({ends}, e -> e.bounds <> ''), e -> concat('[', e.type, '] ', e.bounds))"
     return f"nullif(array_join({chunks}, '; '), '')"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.sql import regex
-from pkgrisk.functions.variant import array_at
+from pkgrisk.functions.variant import array_at, parse
 from pkgrisk.operators import features
 
 # Phrases that mark a refusal, matched as whole words in any case.
@@ -31,7 +31,7 @@ def parse_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     staged = (
         df.withColumn("_t", F.expr(f"coalesce({stripped}, '')"))
         .withColumn("_j", F.expr(f"nullif(regexp_extract({unfenced}, {regex(r'(?s)(\{.*\})')}, 1), '')"))
-        .withColumn("_v", F.expr("try_parse_json(_j)"))
+        .withColumn("_v", F.expr(parse("_j")))
     )
     problem = (
         "CASE WHEN _t = '' THEN 'empty response' WHEN _j IS NULL THEN 'no JSON object' WHEN _v IS NULL THEN 'broken JSON' END"

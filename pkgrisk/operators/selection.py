@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pkgrisk.functions.sql import regex, texts
 from pkgrisk.functions.text import newline_count, suffix
-from pkgrisk.functions.variant import object_at, string_of
+from pkgrisk.functions.variant import object_at, parse, string_of
 from pkgrisk.operators.features import INSTALL_HOOKS, SEPARATOR
 from pkgrisk.operators.ordering import salted_prefix_prune
 from pkgrisk.operators.predicates import in_node_modules
@@ -51,7 +51,7 @@ def top_files(files: DataFrame, k: int = 3, head_bytes: int | None = FILE_BYTES)
 def script_references(files: DataFrame, hooks: tuple[str, ...], strip: str, suffixes: tuple[str, ...]) -> DataFrame:
     """Paths named in the manifest's hook commands: ``package, path, ord`` in hook and token order."""
     meta = files.filter("path = 'package.json'").selectExpr(
-        "package", f"{object_at('try_parse_json(content)', '$.scripts')} AS scripts"
+        "package", f"{object_at(parse('content'), '$.scripts')} AS scripts"
     )
     commands = meta.selectExpr("package", f"posexplode(array({texts(hooks)})) AS (hook_no, hook)", "scripts").selectExpr(
         "package", "hook_no", f"{string_of('try_element_at(scripts, hook)')} AS command"
@@ -156,7 +156,7 @@ def prompt_order(files: DataFrame) -> DataFrame:
 
     Adds ``tier`` and ``ord`` to the files of each package except its manifest.
     """
-    meta = files.filter("path = 'package.json'").selectExpr("package", "try_parse_json(content) AS m")
+    meta = files.filter("path = 'package.json'").selectExpr("package", f"{parse('content')} AS m")
     listed = meta.selectExpr(
         "package",
         f"coalesce(map_values({object_at('m', '$.scripts')}), cast(array() AS array<variant>)) AS scripts",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.sql import texts
+from pkgrisk.functions.variant import object_at, parse
 from pkgrisk.operators.ordering import kth_values
 from pkgrisk.session import broadcast_if_small
 
@@ -92,7 +93,7 @@ def build_inventory(files: DataFrame) -> DataFrame:
     kind += " " + " ".join(f"WHEN endswith({name}, '{k}') THEN '{k[1:]}'" for k in KINDS) + " ELSE 'unknown' END"
     keys = (
         f"array_sort(array_intersect(flatten(transform(slice(split(content, '\\n', {SAMPLE_LINES + 1}), 1, {SAMPLE_LINES}), "
-        f"l -> coalesce(json_object_keys(l), cast(array() AS array<string>)))), array({texts(TRAINING_KEYS)})))"
+        f"l -> coalesce(map_keys({object_at(parse('l'), '$')}), cast(array() AS array<string>)))), array({texts(TRAINING_KEYS)})))"
     )
     return files.filter(f"{name} <> 'manifest.json'").selectExpr(
         "path", f"{kind} AS kind", "octet_length(content) AS size_bytes", "sha2(content, 256) AS sha256", "content"

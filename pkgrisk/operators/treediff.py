@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pkgrisk.functions.sql import text_array, texts
 from pkgrisk.functions.text import base_name, quoted, stem
-from pkgrisk.functions.variant import kind, node, object_at, string_at
+from pkgrisk.functions.variant import kind, node, object_at, parse, string_at
 from pkgrisk.operators.ordering import salted_prefix_prune
 from pkgrisk.operators.predicates import MAX_FILE_BYTES, is_build_output, is_comparable
 
@@ -210,7 +210,7 @@ def source_match(packages: DataFrame, package_files: DataFrame, source_files: Da
 
 def manifest_slice(files: DataFrame, keys: list[str]) -> DataFrame:
     """Fields of a manifest that matter for hijacks: five hooks, dependency maps, repository, version."""
-    meta = files.filter("path = 'package.json'").selectExpr(*keys, "try_parse_json(content) AS _m")
+    meta = files.filter("path = 'package.json'").selectExpr(*keys, f"{parse('content')} AS _m")
 
     def deps(name: str) -> str:
         return f"transform_values({object_at('_m', '$.' + name)}, (k, v) -> try_variant_get(v, '$', 'string')) AS {name}"

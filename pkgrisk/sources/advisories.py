@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from pkgrisk.functions.variant import parse
 
 OSV_SCHEMA = """
 id string, summary string, published string, modified string, aliases array<string>,
@@ -20,17 +21,17 @@ database_specific struct<`malicious-packages-origins`: array<struct<source: stri
 def parse_osv(docs: DataFrame, text: str) -> DataFrame:
     """Advisory columns next to the given ones; unreadable documents are skipped."""
     flat = " ".join(OSV_SCHEMA.split())
-    parsed = docs.withColumn("_osv", F.expr(f"from_json({text}, '{flat}')"))
-    readable = parsed.filter(f"try_parse_json({text}) IS NOT NULL")
+    # One-element array and inline: each document is parsed once for all columns. Whether it
+    # is readable is asked of the strict parser, as one field of a wrong type is no reason to skip it.
+    records = f"inline(filter(array(from_json({text}, '{flat}')), r -> {parse(text)} IS NOT NULL))"
     kept = [c for c in docs.columns if c != text]
-    return readable.select(*kept, "_osv.*")
+    return docs.selectExpr(*kept, records)
 
 
 def read_osv(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.json`` below ``path``, one advisory per file, with its ``source_path``."""
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json").text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
         .selectExpr("value", "_metadata.file_path AS source_path")
     )
     return parse_osv(files, "value")

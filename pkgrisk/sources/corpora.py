@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pkgrisk.functions.names import dated_archive
 from pkgrisk.functions.sql import regex
-from pkgrisk.functions.variant import is_object, string_at
+from pkgrisk.functions.variant import is_object, object_at, parse, string_at
 from pkgrisk.sources.lines import WHOLE
 
 STATES = ("blocked", "quarantined", "allowlist")
@@ -22,7 +22,7 @@ def benign_keys(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def report_keys(docs: DataFrame, source: str, text: str = "value") -> DataFrame:
     """Top-level keys of JSON objects; unreadable documents give none."""
-    return docs.selectExpr(f"'{source}' AS source", f"explode(json_object_keys({text})) AS key")
+    return docs.selectExpr(f"'{source}' AS source", f"explode(map_keys({object_at(parse(text), '$')})) AS key")
 
 
 def summary_keys(docs: DataFrame, text: str = "value") -> DataFrame:
@@ -45,13 +45,13 @@ def read_ground_truth(spark: SparkSession, root: str) -> DataFrame:
     for source, name in (
         ("tool_benign", "benign"), ("tool_malicious", "malicious"), ("tool_fp", "false_positives"), ("tool_fn", "false_negatives"),
     ):
-        out = out.unionByName(report_keys(spark.read.options(**WHOLE).text(f"{root}/tool/{name}.json"), source))
-    return out.unionByName(summary_keys(spark.read.options(**WHOLE).text(f"{root}/summary.json")))
+        out = out.unionByName(report_keys(spark.read.text(f"{root}/tool/{name}.json", **WHOLE), source))
+    return out.unionByName(summary_keys(spark.read.text(f"{root}/summary.json", **WHOLE)))
 
 
 def malware_manifest(docs: DataFrame, text: str = "value") -> DataFrame:
     """``{package: null | [versions]}`` → ``package, versions`` (NULL = every version)."""
-    entries = docs.selectExpr(f"explode(try_variant_get(try_parse_json({text}), '$', 'map<string,variant>')) AS (package, v)")
+    entries = docs.selectExpr(f"explode({object_at(parse(text), '$')}) AS (package, v)")
     return entries.selectExpr("package", "try_variant_get(v, '$', 'array<string>') AS versions")
 
 
@@ -64,13 +64,13 @@ def read_malware_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, Data
     intent = "regexp_extract(path, '/(malicious_intent|compromised_lib)/', 1)"
     listing = files.selectExpr("path", "length", f"{intent} AS intent_class", f"{dated_archive('regexp_extract(path, ' + repr('([^/]*)$') + ', 1)')} AS k")
     listing = listing.filter("intent_class <> ''").selectExpr("path", "length", "intent_class", "k.package", "k.version", "k.captured_date")
-    manifest = malware_manifest(spark.read.options(**WHOLE).text(f"{root.rstrip('/')}/manifest.json"))
+    manifest = malware_manifest(spark.read.text(f"{root.rstrip('/')}/manifest.json", **WHOLE))
     return listing, manifest
 
 
 def read_packuments(spark: SparkSession, path: str) -> DataFrame:
     """Saved registry documents, one JSON document per line, as VARIANT ``doc``; broken ones skipped."""
-    return spark.read.text(path).selectExpr("try_parse_json(value) AS doc").filter("doc IS NOT NULL")
+    return spark.read.text(path).selectExpr(f"{parse('value')} AS doc").filter("doc IS NOT NULL")
 
 
 def parse_policy_state(docs: DataFrame, text: str = "value") -> DataFrame:
@@ -78,7 +78,7 @@ def parse_policy_state(docs: DataFrame, text: str = "value") -> DataFrame:
 
     A document or a state that is not an object stops the job, as a half-read policy must not pass.
     """
-    whole = docs.selectExpr(f"try_parse_json({text}) AS v").selectExpr(
+    whole = docs.selectExpr(f"{parse(text)} AS v").selectExpr(
         "coalesce(try_variant_get(v, '$', 'map<string,variant>'), raise_error('policy is not a JSON object')) AS m"
     )
     states = whole.selectExpr("explode(m) AS (state, block)").withColumn(
@@ -96,7 +96,7 @@ def parse_policy_state(docs: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_policy_state(spark: SparkSession, path: str) -> DataFrame:
-    return parse_policy_state(spark.read.options(**WHOLE).text(path))
+    return parse_policy_state(spark.read.text(path, **WHOLE))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -133,4 +133,4 @@ def read_splits(spark: SparkSession, directory: str) -> DataFrame:
     named = split_names(lines)
     if named.select("split").distinct().limit(2).count() < 2:
         raise ValueError(f"{directory} does not hold two split files")
-    return named.selectExpr("split", "try_parse_json(value) AS rec").filter("rec IS NOT NULL")
+    return named.selectExpr("split", f"{parse('value')} AS rec").filter("rec IS NOT NULL")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.names import seed_line
-from pkgrisk.functions.variant import is_object
+from pkgrisk.functions.variant import is_object, parse
 
 WHOLE = {"wholetext": True, "recursiveFileLookup": True}
 
@@ -22,9 +22,9 @@ def parse_jsonl(lines: DataFrame, schema: str | None = None, mode: str = "skip",
     text = lines.selectExpr(*others, f"trim({line}) AS _line").filter("_line <> ''")
     if mode == "strict":
         bad = "raise_error(concat('bad JSON line: ', left(_line, 200)))"
-        rec = text.selectExpr(*others, "_line", f"coalesce(try_parse_json(_line), {bad}) AS rec")
+        rec = text.selectExpr(*others, "_line", f"coalesce({parse('_line')}, {bad}) AS rec")
     else:
-        rec = text.selectExpr(*others, "_line", "try_parse_json(_line) AS rec").filter("rec IS NOT NULL")
+        rec = text.selectExpr(*others, "_line", f"{parse('_line')} AS rec").filter("rec IS NOT NULL")
     if schema is None:
         return rec.drop("_line")
     flat = " ".join(schema.split())
@@ -35,8 +35,8 @@ def line_counts(lines: DataFrame, line: str = "value") -> DataFrame:
     """One row: lines in all, blank, bad and good ones."""
     return lines.agg(
         F.expr("count(*) AS n_lines"), F.expr(f"count_if(trim({line}) = '') AS n_blank"),
-        F.expr(f"count_if(trim({line}) <> '' AND try_parse_json(trim({line})) IS NULL) AS n_bad"),
-        F.expr(f"count_if(try_parse_json(trim({line})) IS NOT NULL) AS n_records"),
+        F.expr(f"count_if(trim({line}) <> '' AND {parse(f'trim({line})')} IS NULL) AS n_bad"),
+        F.expr(f"count_if({parse(f'trim({line})')} IS NOT NULL) AS n_records"),
     )
 
 
@@ -47,13 +47,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, mode:
 def parse_json_documents(docs: DataFrame, text: str = "value") -> DataFrame:
     """Documents holding an array or one object → one VARIANT ``rec`` per object; other values dropped."""
     others = [c for c in docs.columns if c != text]
-    parsed = docs.selectExpr(*others, f"try_parse_json({text}) AS v").filter("v IS NOT NULL")
+    parsed = docs.selectExpr(*others, f"{parse(text)} AS v").filter("v IS NOT NULL")
     items = "coalesce(try_variant_get(v, '$', 'array<variant>'), array(v))"
     return parsed.selectExpr(*others, f"explode({items}) AS rec").filter(is_object("rec"))
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    return parse_json_documents(spark.read.options(**WHOLE).text(path))
+    return parse_json_documents(spark.read.text(path, **WHOLE))
 
 
 def parse_seed_list(lines: DataFrame, line: str = "value") -> DataFrame:
