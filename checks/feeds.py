@@ -245,11 +245,11 @@ def _(spark, sf):
     return spark.read.parquet(out).selectExpr("cast(window_start AS string) AS window_start", "decision", "n")
 
 
-@query("stream_first_seen", with_views("audit") + "SELECT DISTINCT package, version FROM audit")
+@query("stream_first_seen", with_views("audit") + "SELECT package, version, min(event_id) AS event_id FROM audit GROUP BY ALL")
 def _(spark, sf):
     out, ck = shared_folder(spark, "seen"), shared_folder(spark, "seen-ck")
-    finish(jobs.first_seen_stream(event_stream(spark, sf, VIEWS["audit"]), out, ck))
-    return spark.read.parquet(out).select("package", "version")
+    finish(jobs.first_seen_stream(spark, event_stream(spark, sf, VIEWS["audit"]), out, ck, "event_id"))
+    return spark.read.parquet(out).select("package", "version", "event_id")
 
 
 @query(

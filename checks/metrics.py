@@ -43,6 +43,16 @@ def _(spark, sf):
     return metrics.auroc(view(spark, sf, "scored"), group=["stratum"]).select("stratum", "auroc")
 
 
+@query(
+    "auroc_ordered",
+    SC
+    + """SELECT (sum(CASE WHEN label = 1 THEN rn END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS auroc
+      FROM (SELECT label, row_number() OVER (ORDER BY score, id) AS rn FROM scored)""",
+)
+def _(spark, sf):
+    return metrics.auroc_ordered(view(spark, sf, "scored"), "id")
+
+
 CUM = SC + """, g AS (SELECT score, sum(label) AS pos, count(*) - sum(label) AS neg FROM scored GROUP BY score),
 c AS (SELECT score, pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g WINDOW w AS (ORDER BY score DESC))
 """

@@ -23,12 +23,12 @@ def node(v: str, path: str) -> str:
     return f"try_variant_get({v}, '{path}', 'variant')"
 
 
-def _typed(v: str, path: str, kinds: str, dtype: str) -> str:
-    return f"IF({kind(node(v, path))} IN ({kinds}), try_variant_get({v}, '{path}', '{dtype}'), NULL)"
+def is_string(v: str) -> str:
+    return f"(schema_of_variant({v}) = 'STRING')"
 
 
 def string_at(v: str, path: str) -> str:
-    return _typed(v, path, "'STRING'", "string")
+    return f"IF({is_string(node(v, path))}, try_variant_get({v}, '{path}', 'string'), NULL)"
 
 
 def object_at(v: str, path: str) -> str:
@@ -50,17 +50,17 @@ def is_array(v: str) -> str:
 
 
 def number_at(v: str, path: str) -> str:
-    return _typed(v, path, "'BIGINT','DOUBLE','DECIMAL','FLOAT','INT','SMALLINT','TINYINT'", "double")
+    kinds = "'BIGINT', 'DOUBLE', 'DECIMAL', 'FLOAT'"
+    return f"IF({kind(node(v, path))} IN ({kinds}), try_variant_get({v}, '{path}', 'double'), NULL)"
 
 
 def string_of(v: str) -> str:
     """A variant value itself, if it is a JSON string."""
-    return f"IF({kind(v)} = 'STRING', try_variant_get({v}, '$', 'string'), NULL)"
+    return f"IF({is_string(v)}, try_variant_get({v}, '$', 'string'), NULL)"
 
 
 def strings_in_map(m: str) -> str:
     """String-valued entries of map<string,variant>."""
     return (
-        f"transform_values(map_filter({m}, (k, x) -> {kind('x')} = 'STRING'), "
-        f"(k, x) -> try_variant_get(x, '$', 'string'))"
+        f"transform_values(map_filter({m}, (k, x) -> {is_string('x')}), (k, x) -> try_variant_get(x, '$', 'string'))"
     )

@@ -48,7 +48,8 @@ def gate_inventory(scan: DataFrame, decisions: DataFrame) -> DataFrame:
     ``decisions(package, version, verdict, failed_rules)`` has one row per release.
     """
     known = decisions.select("package").distinct().withColumn("_known", F.lit(True))
-    joined = scan.join(decisions.select("package", "version", "verdict", "failed_rules"), ["package", "version"], "left")
+    verdicts = broadcast_if_small(decisions.select("package", "version", "verdict", "failed_rules"))
+    joined = scan.join(verdicts, ["package", "version"], "left")
     joined = joined.join(broadcast_if_small(known), "package", "left")
     return joined.selectExpr(
         *scan.columns,

@@ -43,6 +43,24 @@ def auroc(df: DataFrame, score: str = "score", label: str = "label", group: Sequ
     return agg.selectExpr(*group, "n_pos", "n_neg", "IF(n_pos > 0 AND n_neg > 0, u / (cast(n_pos AS double) * n_neg), NULL) AS auroc")
 
 
+def auroc_ordered(df: DataFrame, order: str, score: str = "score", label: str = "label") -> DataFrame:
+    """AUROC with tied scores ranked by ``order`` instead of averaged; 0.5 when one class is missing.
+
+    Negatives below each positive = negatives of lower scores, plus those of the same score
+    that come earlier. Both parts are summed on their own, so nothing is joined on a score.
+    """
+    lower = _by_score(df, score, label, ()).agg(
+        F.expr("sum(pos * before_neg) AS below"), F.expr("max(total_pos) AS n_pos"), F.expr("max(total_neg) AS n_neg")
+    )
+    tied = df.selectExpr(
+        f"cast({score} AS double) AS s", f"cast({order} AS bigint) AS o", f"cast({label} = 1 AS bigint) AS pos", f"cast({label} = 0 AS bigint) AS neg"
+    )
+    earlier = value_prefix(tied, "o", ["pos", "neg"], ["s"]).agg(F.expr("sum(pos * before_neg) AS earlier"))
+    return lower.join(F.broadcast(earlier)).selectExpr(  # one row each
+        "IF(n_pos > 0 AND n_neg > 0, (below + earlier) / (cast(n_pos AS double) * n_neg), 0.5D) AS auroc"
+    )
+
+
 def average_precision(df: DataFrame, score: str = "score", label: str = "label", group: Sequence[str] = ()) -> DataFrame:
     """Step-wise average precision: precision at each threshold weighted by the recall it adds."""
     p = _by_score(df, score, label, group)

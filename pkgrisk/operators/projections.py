@@ -26,17 +26,21 @@ SETUP_HINTS = {
 
 def project_npm(packuments: DataFrame, doc: str = "doc") -> DataFrame:
     """npm packument (VARIANT with ``name, time, versions``) → one row per version."""
-    names = packuments.selectExpr(
-        f"{string_at(doc, '$.name')} AS package", f"{object_at(doc, '$.time')} AS _time",
-        f"explode({object_at(doc, '$.versions')}) AS (version, b)",
-    ).filter(is_object("b"))
+    # Each version takes its own time along; the document itself is not carried into the rows.
+    entries = (
+        f"map_zip_with({object_at(doc, '$.versions')}, coalesce({object_at(doc, '$.time')}, cast(map() AS map<string,variant>)), "
+        "(k, b, t) -> struct(b, t))"
+    )
+    names = packuments.selectExpr(f"{string_at(doc, '$.name')} AS package", f"{entries} AS _entries").selectExpr(
+        "package", "explode(_entries) AS (version, _e)"
+    ).selectExpr("package", "version", "_e.b AS b", f"{string_of('_e.t')} AS published").filter(is_object("b"))
     empty = "cast(map() AS map<string,string>)"
     algo = (
         "array_max(filter(transform(split(trim(integrity_hash), '\\\\s+'), w -> lower(substring_index(w, '-', 1))), "
         "a -> a IN ('sha256', 'sha384', 'sha512')))"
     )
     return names.selectExpr(
-        "package", "version", "'npm' AS ecosystem", f"{string_of('try_element_at(_time, version)')} AS published",
+        "package", "version", "'npm' AS ecosystem", "published",
         f"coalesce({strings_in_map(object_at('b', '$.scripts'))}, {empty}) AS scripts",
         f"{string_at('b', '$.dist.integrity')} AS integrity_hash",
         f"coalesce({string_at('b', '$.repository.url')}, {string_at('b', '$.repository')}) AS repository",

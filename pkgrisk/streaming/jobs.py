@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pkgrisk.operators import gate, history
@@ -41,16 +42,10 @@ def decision_counters(audit: DataFrame, width: str = "1 hour", lateness: str = "
     typed = audit.selectExpr("cast(ts AS timestamp) AS ts", "decision")
     if typed.isStreaming:
         typed = typed.withWatermark("ts", lateness)
-    counted = typed.groupBy(_window("ts", width), "decision").count()
+    counted = typed.groupBy(F.window("ts", width), "decision").count()
     return counted.selectExpr("window.start AS window_start", "decision", "count AS n")
 
 
-def _window(column: str, width: str):
-    from pyspark.sql import functions as F
-
-    return F.window(column, width)
-
-
 def counters_stream(audit: DataFrame, out: str, checkpoint: str, width: str = "1 hour", lateness: str = "10 minutes") -> StreamingQuery:
     return (
         decision_counters(audit, width, lateness).writeStream.outputMode("append").format("parquet")
@@ -58,16 +53,27 @@ def counters_stream(audit: DataFrame, out: str, checkpoint: str, width: str = "1
     )
 
 
-def first_seen_stream(audit: DataFrame, out: str, checkpoint: str, horizon: str = "36500 days") -> StreamingQuery:
-    """Each package version once: repeats inside the horizon are served from the stored verdict."""
-    once = (
-        audit.selectExpr("* EXCEPT (ts)", "cast(ts AS timestamp) AS ts").withWatermark("ts", horizon)
-        .dropDuplicatesWithinWatermark(["package", "version"])
-    )
-    return (
-        once.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def first_seen_stream(
+    spark: SparkSession, audit: DataFrame, out: str, checkpoint: str, order: str = "ts, event_id"
+) -> StreamingQuery:
+    """Each package version once, its earliest row: later ones are served from the stored verdict.
+
+    A micro-batch is reduced per key map-side before it is compared with what is stored, so a
+    package asked for very often costs one row per task and not a crowded state store.
+    """
+    columns = [c for c in audit.columns if c not in ("package", "version")]
+    schema = audit.selectExpr("package", "version").schema.add("batch", "long")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        first = batch.groupBy("package", "version").agg(
+            F.expr(f"min_by(struct({', '.join(columns)}), struct({order})) AS _r")
+        ).select("package", "version", "_r.*")
+        if epoch > 0:
+            seen = spark.read.schema(schema).parquet(out).filter(F.col("batch") < epoch)
+            first = first.join(seen.select("package", "version"), ["package", "version"], "left_anti")
+        first.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    return audit.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def state_stream(spark: SparkSession, events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -185,3 +185,25 @@ def test_json_parsing_is_strict(spark, text):
         good = False
     got = spark.createDataFrame([(text,)], "t string").selectExpr(f"{parse('t')} IS NOT NULL AS ok").first().ok
     assert got is good
+
+
+def test_thresholds_and_catalog(tmp_path):
+    from pkgrisk.sources import config
+
+    assert config.load_thresholds() == {"allow_below": 0.05, "block_from": 0.3}
+    p = write(tmp_path / "t.yaml", "allow_below: 0.1\n")
+    assert config.load_thresholds(p) == {"allow_below": 0.1, "block_from": 0.3}
+    c = write(tmp_path / "c.yaml", "patterns:\n- {id: a, severity: high, files: {x.js: '// {{TOKEN}}'}}\n- {severity: low}\n")
+    assert config.load_catalog(c) == {"a": {"severity": "high", "files": {"x.js": "// {{TOKEN}}"}}}
+    with pytest.raises(ValueError):
+        config.load_catalog(write(tmp_path / "e.yaml", "patterns: []\n"))
+
+
+def test_first_seen_stream_over_several_files(spark, tmp_path):
+    df = spark.range(60).selectExpr("concat('p', id % 7) AS package", "'1' AS version", "id AS event_id", "timestamp_seconds(id) AS ts")
+    for i in range(3):
+        df.filter(f"event_id DIV 20 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.first_seen_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {(r.package, r.event_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 7 and {p for p, _ in got} == {f"p{i}" for i in range(7)}
