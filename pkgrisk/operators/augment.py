@@ -17,7 +17,7 @@ from pkgrisk.operators.splits import weighted_draws
 # Weight per severity word.
 SEVERITY_WEIGHT = {"low": 2, "medium": 5, "high": 8, "critical": 10}
 
-# Inert sample catalog: pattern → severity, files to add, text to append to the manifest description.
+# Inert sample catalog: pattern → severity and files to add.
 SAMPLE_CATALOG: dict[str, dict] = {
     "marker-install": {"severity": "critical", "files": {"postinstall.js": "// placeholder {{TOKEN}}\nvar _p_note = 1;\n"}},
     "marker-lib": {"severity": "medium", "files": {"lib/extra.js": "// placeholder {{TOKEN}} {{PLACE}}\n"}},

@@ -270,3 +270,64 @@ def test_tree_digest_small_and_large(spark):
     got = {r.package: r for r in stats.tree_digest(df, max_bytes=30).collect()}
     assert got["p"].digest == hashlib.sha256(b"a.js\x001b.js\x002").hexdigest()
     assert got["q"].digest is None and got["q"].fingerprint
+
+
+def test_augmented_variants(spark):
+    from pkgrisk.operators import augment
+
+    files = spark.createDataFrame(
+        [("p", "index.js", "a"), ("p", "postinstall.js", "old"), ("q", "index.js", "b")], "package string, path string, content string"
+    )
+    pk = files.select("package").distinct()
+    out = augment.augment(pk, files, augment.SAMPLE_CATALOG, 3, 7).collect()
+    plan = {r.variant_package: r for r in augment.plan_variants(pk, augment.SAMPLE_CATALOG, 3, 7).collect()}
+    assert len(plan) == 6 and {r.variant_package for r in out} == set(plan)
+    assert len({(r.variant_package, r.path) for r in out}) == len(out) and all(r.label == 1 for r in out)
+    for r in out:
+        assert "{{" not in r.content and "_p_" not in r.content
+        if r.pattern_id == "marker-install" and r.path == "postinstall.js":
+            assert plan[r.variant_package].token in r.content and "_v_" in r.content
+    assert augment.augment(pk, files, augment.SAMPLE_CATALOG, 3, 7).count() == len(out)
+
+
+def test_model_learns_and_fills_missing_values(spark):
+    from pkgrisk.plans import model
+
+    df = spark.range(400).selectExpr("id", "IF(id % 10 = 0, NULL, id % 50) AS x", "id % 2 = 0 AS flag", "IF(id % 50 > 25, 1, 0) AS label")
+    cols = model.feature_columns(df, ["id", "label"])
+    fill = model.medians(df, cols)
+    xs = sorted(i % 50 for i in range(400) if i % 10)
+    assert cols == ["x", "flag"] and fill["x"] == (xs[179] + xs[180]) / 2
+    folds = model.cross_validate(model.feature_matrix(df, cols, fill), "id", k=2, rounds=3, depth=3).collect()
+    assert len(folds) == 2 and all(f.auroc > 0.9 for f in folds) and sum(f.n_val for f in folds) == 400
+
+
+def test_all_missing_column_fills_zero(spark):
+    from pkgrisk.plans import model
+
+    assert model.medians(spark.range(3).selectExpr("cast(NULL AS double) AS x"), ["x"]) == {"x": 0.0}
+
+
+def test_broken_auditor_is_suspicious(spark):
+    from pkgrisk.operators import responses
+
+    def broken(batch):
+        raise RuntimeError("down")
+
+    row = responses.audit(spark.createDataFrame([("p", "x")], "package string, prompt string"), broken, ["package"]).first()
+    assert (row.verdict, row.confidence) == ("suspicious", 0.0) and "RuntimeError: down" in row.problem
+
+
+def test_classification_rows_respect_the_cap(spark):
+    from pkgrisk.operators import builders
+
+    pairs = spark.createDataFrame(
+        [("c", "p", "1", "2", "high", ["G-1"], "{}", "{}")],
+        "case_id string, package string, unpatched_version string, patched_version string, severity string, advisory_ids array<string>, slice_before string, slice_after string",
+    )
+    changes = spark.range(3000).selectExpr(
+        "'c' AS case_id", "concat('lib/', lpad(id, 5, '0'), '.js') AS path", "'modified' AS change_kind", "1L AS added_lines", "1L AS removed_lines", "repeat('x', 200) AS unified_diff"
+    )
+    rows = builders.pairs_to_classification(pairs, changes).collect()
+    assert {r.label for r in rows} == {0, 1} and all(len(r.text) <= 32 * 1024 and r.n_files_changed == 3000 for r in rows)
+    assert all("[text truncated]" in r.text for r in rows)
