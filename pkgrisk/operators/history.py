@@ -97,9 +97,9 @@ def checked_events(events: DataFrame, segment: str = "date_trunc('HOUR', ts)") -
     df = events.withColumn("problem", F.expr(
         "CASE WHEN action = 'add' AND coalesce(state, '') NOT IN ('blocked', 'quarantined', 'allowlist') THEN 'unknown_state' "
         f"WHEN action = 'add' AND {untrusted} AND length(trim(coalesce(rationale, ''))) < {MIN_RATIONALE} THEN 'short_rationale' "
-        "WHEN action NOT IN ('add', 'promote') THEN 'unknown_action' END"
+        "WHEN coalesce(action, '') NOT IN ('add', 'promote') THEN 'unknown_action' END"
     )).withColumn("reason", F.expr("left(split(trim(rationale), '\\n')[0], 200)"))
-    moves = "action = 'promote' OR (state = 'quarantined' AND problem IS NULL)"
+    moves = "coalesce(action = 'promote' OR (state = 'quarantined' AND problem IS NULL), false)"
     chain = segmented_lag(
         df.filter(moves), ["key"], segment, "ts, seq", "struct(action, reason)", "_before"
     )

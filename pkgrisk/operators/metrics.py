@@ -43,6 +43,25 @@ def auroc(df: DataFrame, score: str = "score", label: str = "label", group: Sequ
     return agg.selectExpr(*group, "n_pos", "n_neg", "IF(n_pos > 0 AND n_neg > 0, u / (cast(n_pos AS double) * n_neg), NULL) AS auroc")
 
 
+def score_report(df: DataFrame, threshold: float, score: str = "score", label: str = "label") -> DataFrame:
+    """Threshold metrics, AUROC and average precision from one pass over the rows."""
+    p = _by_score(df, score, label, ())
+    hit, seen = f"s >= {threshold!r}D", "(total_pos - before_pos + total_neg - before_neg)"
+    sums = p.agg(
+        F.expr("coalesce(sum(pos + neg), 0) AS n"),
+        *[F.expr(f"coalesce(sum(IF({cond}, {side}, 0)), 0) AS {name}") for name, side, cond in (
+            ("tp", "pos", hit), ("fp", "neg", hit), ("fn", "pos", f"NOT {hit}"), ("tn", "neg", f"NOT {hit}"))],
+        F.expr("sum(pos * (before_neg + neg / 2D)) AS u"),
+        F.expr(f"sum(pos * ((total_pos - before_pos) / cast({seen} AS double))) AS area"),
+    )
+    both = "tp + fn > 0 AND fp + tn > 0"
+    return sums.selectExpr(
+        "n", "tp", "fp", "fn", "tn", f"{_ratio('(tp + tn)', 'n')} AS accuracy", f"{_ratio('tp', '(tp + fp)')} AS precision",
+        f"{_ratio('tp', '(tp + fn)')} AS recall", f"{_ratio('2 * tp', '(2 * tp + fp + fn)')} AS f1",
+        f"IF({both}, u / (cast(tp + fn AS double) * (fp + tn)), NULL) AS auroc", f"IF({both}, area / (tp + fn), NULL) AS average_precision",
+    )
+
+
 def auroc_ordered(df: DataFrame, order: str, score: str = "score", label: str = "label") -> DataFrame:
     """AUROC with tied scores ranked by ``order`` instead of averaged; 0.5 when one class is missing.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.text import group_key
-from pkgrisk.session import broadcast_if_small
+from pkgrisk.session import broadcast_if_small, keep
 
 # Leading hex digits of the order hash used as bucket: 16^4 buckets per stratum.
 HASH_DIGITS = 4
@@ -39,19 +39,18 @@ def hash_cuts(
     base = df.selectExpr(f"{group_key(*strata)} AS _stratum", f"{order} AS _h", "*").selectExpr(
         "*", f"substring(_h, 1, {HASH_DIGITS}) AS _b"
     )
-    counts = base.groupBy("_stratum", "_b").agg(
+    counts = keep(base.groupBy("_stratum", "_b").agg(
         F.expr("count(*) AS c"), *[F.expr(f"{e} AS {name}") for name, e in carry.items()]
-    )
+    ))
     base = base.select("_stratum", "_h", "_b")
     sizes = counts.groupBy("_stratum").agg(
         F.expr("sum(c) AS n"), *[F.expr(f"max({name}) AS {name}") for name in carry]
     )
-    counts = counts.select("_stratum", "_b", "c")
     if with_start:
         sizes = sizes.selectExpr("*", "sum(n) OVER (ORDER BY _stratum) - n AS start")
     sizes = sizes.selectExpr("_stratum", "n", f"{targets} AS ks")
     edges = (
-        counts.selectExpr("*", "sum(c) OVER (PARTITION BY _stratum ORDER BY _b) AS upto")
+        counts.selectExpr("_stratum", "_b", "c", "sum(c) OVER (PARTITION BY _stratum ORDER BY _b) AS upto")
         .join(sizes, "_stratum")
         .selectExpr(
             "_stratum", "_b", "upto - c AS before", "filter(ks, k -> k > upto - c AND k <= upto) AS wanted"
@@ -98,7 +97,8 @@ def value_prefix(
     """
     group = list(group)
     part = f"PARTITION BY {', '.join(group)}" if group else ""
-    merged = df.groupBy(*group, key).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums])
+    # Read three times below; kept so that the input itself is read once.
+    merged = keep(df.groupBy(*group, key).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums]))
     fractions = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     bounds = merged.agg(F.expr(f"percentile_approx({key}, array({fractions}), 10000) AS _bounds"))
     tagged = merged.join(F.broadcast(bounds)).withColumn(  # exactly one row
@@ -144,13 +144,13 @@ def salted_prefix_prune(
     group: Sequence[str],
     order: str,
     size: str,
-    keep: str,
+    within: str,
     tiebreak: str,
     salts: int = 1024,
 ) -> DataFrame:
-    """Rows of a group, in order, while ``keep`` holds for the running size.
+    """Rows of a group, in order, while ``within`` holds for the running size.
 
-    ``keep`` is a SQL condition over ``sum_before`` and the row; it must turn false once
+    ``within`` is a SQL condition over ``sum_before`` and the row; it must turn false once
     and stay false as the sum grows. Then a row that fails on the sum over its own salt's
     rows alone also fails on the whole group, so each of ``salts`` slices is cut first;
     what survives per group is at most ``salts`` budgets. Exact for groups of any size.
@@ -159,10 +159,10 @@ def salted_prefix_prune(
     salted = df.selectExpr("*", f"pmod(xxhash64({tiebreak}), {salts}) AS _salt")
     local = salted.selectExpr(
         "*", f"sum({size}) OVER (PARTITION BY {by}, _salt ORDER BY {order}) - {size} AS sum_before"
-    ).filter(keep).drop("sum_before", "_salt")
+    ).filter(within).drop("sum_before", "_salt")
     return local.selectExpr(
         "*", f"sum({size}) OVER (PARTITION BY {by} ORDER BY {order}) - {size} AS sum_before"
-    ).filter(keep)
+    ).filter(within)
 
 
 def segmented_lag(

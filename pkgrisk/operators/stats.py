@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pkgrisk.functions.sql import texts
 from pkgrisk.functions.variant import object_at, parse
-from pkgrisk.operators.ordering import kth_values
+from pkgrisk.operators.ordering import value_prefix
 from pkgrisk.session import broadcast_if_small
 
 
@@ -23,14 +23,19 @@ def corpus_stats(df: DataFrame, split: str = "split", label: str = "label", sour
 def length_stats(df: DataFrame, length: str, window: int, group: Sequence[str] = ()) -> DataFrame:
     """Mean, max, the elements at positions ``n // 2`` and ``int(0.95 n)``, and context use.
 
-    Positions are exact; running counts go over distinct lengths, bucket by bucket.
+    Positions are exact: one pass reduces the rows to counts per length, and everything is
+    read off the running counts over those.
     """
-    sized = df.selectExpr(*group, f"cast({length} AS bigint) AS _len")
-    ranks = {"median": "floor(n / 2) + 1", "p95": "floor(n * 0.95D) + 1"}
-    picked = kth_values(sized, "_len", ranks, group)
-    plain = sized.groupBy(*group).agg(F.expr("avg(_len) AS mean"), F.expr("max(_len) AS max"))
-    joined = picked.join(plain, list(group)) if group else picked.join(F.broadcast(plain))  # one row each
-    return joined.withColumn("context_use", F.expr(f"mean / {window}"))
+    sized = df.selectExpr(*group, f"cast({length} AS bigint) AS len", "1L AS c").filter("len IS NOT NULL")
+    runs = value_prefix(sized, "len", ["c"], group)
+
+    def at(position: str) -> str:
+        return f"max(IF({position} >= before_c AND {position} < before_c + c, len, NULL))"
+
+    return runs.groupBy(*group).agg(
+        F.expr("max(total_c) AS n"), F.expr(f"{at('floor(total_c / 2)')} AS median"),
+        F.expr(f"{at('floor(total_c * 0.95D)')} AS p95"), F.expr("sum(len * c) / max(total_c) AS mean"), F.expr("max(len) AS max"),
+    ).withColumn("context_use", F.expr(f"mean / {window}"))
 
 
 def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -249,7 +249,9 @@ def pack_blocks(changes: DataFrame, cap: int) -> DataFrame:
         "*", "cast(length(block) AS bigint) AS _n"
     )
     total = blocks.groupBy("case_id").agg(F.expr("sum(_n) AS _total"))
-    kept = salted_prefix_prune(blocks, ["case_id"], "path", "_n", f"sum_before + _n <= {cap}", "path")
+    # A block above the cap only ends the text, so its body need not be shuffled.
+    slim = blocks.withColumn("block", F.expr(f"IF(_n > {cap}, NULL, block)"))
+    kept = salted_prefix_prune(slim, ["case_id"], "path", "_n", f"sum_before + _n <= {cap}", "path")
     packed = kept.groupBy("case_id").agg(
         F.expr("array_join(transform(array_sort(collect_list(struct(path, block))), x -> x.block), '') AS body")
     )

@@ -91,9 +91,5 @@ def batch_score(
 
 def evaluation_report(scored: DataFrame, order: str, threshold: float = 0.3) -> DataFrame:
     """One row: threshold metrics, AUROC, average precision, conformal threshold."""
-    base = metrics.binary_metrics(scored, threshold)
-    return (
-        base.join(F.broadcast(metrics.auroc(scored).select("auroc")))
-        .join(F.broadcast(metrics.average_precision(scored)))
-        .join(F.broadcast(metrics.conformal_threshold(scored, order).withColumnRenamed("threshold", "conformal_threshold")))
-    )
+    conformal = metrics.conformal_threshold(scored, order).withColumnRenamed("threshold", "conformal_threshold")
+    return metrics.score_report(scored, threshold).join(F.broadcast(conformal))  # one row each

@@ -37,6 +37,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/pkgrisk-{name}-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Keep a reduced table that several parts of one plan read.
+
+    Its lineage stays, so blocks lost with an executor are computed again. Release with
+    ``spark.catalog.clearCache()`` between jobs of a long session.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only when ``df`` is counted to hold at most ``max_rows``.
 
@@ -44,7 +53,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     join does not compute it twice. Above the bound the side is returned without
     a hint and the join shuffles.
     """
-    side = df.persist(StorageLevel.MEMORY_AND_DISK)
+    side = keep(df)
     if side.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(side)
     side.unpersist()
