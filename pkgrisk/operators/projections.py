@@ -26,14 +26,16 @@ SETUP_HINTS = {
 
 def project_npm(packuments: DataFrame, doc: str = "doc") -> DataFrame:
     """npm packument (VARIANT with ``name, time, versions``) → one row per version."""
-    # Each version takes its own time along; the document itself is not carried into the rows.
+    # Each version takes its own time and the name along, so no document is carried into the rows.
+    # The map is built inside the explode: as a column of its own it would be computed again
+    # by the filter Spark infers for exploded columns.
     entries = (
         f"map_zip_with({object_at(doc, '$.versions')}, coalesce({object_at(doc, '$.time')}, cast(map() AS map<string,variant>)), "
-        "(k, b, t) -> struct(b, t))"
+        f"(k, b, t) -> struct(b, t, {string_at(doc, '$.name')} AS name))"
     )
-    names = packuments.selectExpr(f"{string_at(doc, '$.name')} AS package", f"{entries} AS _entries").selectExpr(
-        "package", "explode(_entries) AS (version, _e)"
-    ).selectExpr("package", "version", "_e.b AS b", f"{string_of('_e.t')} AS published").filter(is_object("b"))
+    names = packuments.selectExpr(f"explode({entries}) AS (version, _e)").selectExpr(
+        "_e.name AS package", "version", "_e.b AS b", f"{string_of('_e.t')} AS published"
+    ).filter(is_object("b"))
     empty = "cast(map() AS map<string,string>)"
     algo = (
         "array_max(filter(transform(split(trim(integrity_hash), '\\\\s+'), w -> lower(substring_index(w, '-', 1))), "

@@ -157,16 +157,15 @@ def prompt_order(files: DataFrame) -> DataFrame:
     Adds ``tier`` and ``ord`` to the files of each package except its manifest.
     """
     meta = files.filter("path = 'package.json'").selectExpr("package", f"{parse('content')} AS m")
-    listed = meta.selectExpr(
-        "package",
-        f"coalesce(map_values({object_at('m', '$.scripts')}), cast(array() AS array<variant>)) AS scripts",
+    in_scripts = f"coalesce(map_values({object_at('m', '$.scripts')}), cast(array() AS array<variant>))"
+    in_entries = (
         "concat(array(try_variant_get(m, '$.main', 'variant')), "
-        f"coalesce(map_values({object_at('m', '$.bin')}), array(try_variant_get(m, '$.bin', 'variant')))) AS entries",
+        f"coalesce(map_values({object_at('m', '$.bin')}), array(try_variant_get(m, '$.bin', 'variant'))))"
     )
-    scripts = listed.selectExpr("package", "posexplode(scripts) AS (i, v)").selectExpr(
+    scripts = meta.selectExpr("package", f"posexplode({in_scripts}) AS (i, v)").selectExpr(
         "package", "i", f"posexplode(regexp_extract_all({string_of('v')}, {regex(r'([\w./\\-]+\.(?:js|cjs|mjs))')}, 1)) AS (j, path)"
     ).selectExpr("package", "path", "0 AS tier", "cast(i * 100000 + j AS bigint) AS ord")
-    entries = listed.selectExpr("package", "posexplode(entries) AS (i, v)").selectExpr(
+    entries = meta.selectExpr("package", f"posexplode({in_entries}) AS (i, v)").selectExpr(
         "package", f"{string_of('v')} AS path", "1 AS tier", "cast(i AS bigint) AS ord"
     )
     named = scripts.unionByName(entries).withColumn("path", F.expr("regexp_replace(path, '^([.]/)+', '')"))
