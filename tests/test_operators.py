@@ -331,3 +331,18 @@ def test_classification_rows_respect_the_cap(spark):
     rows = builders.pairs_to_classification(pairs, changes).collect()
     assert {r.label for r in rows} == {0, 1} and all(len(r.text) <= 32 * 1024 and r.n_files_changed == 3000 for r in rows)
     assert all("[text truncated]" in r.text for r in rows)
+
+
+def test_regex_features_brute_force(spark):
+    rng = random.Random(4)
+    parts = ["eval (", "new Function(", "spawn", "execSync ", "fetch(", "require('got')", "require(x)", "_0x1f ", "$AB ", "a$$$b ", "é", " ", "\u0001", "x1 ", "\n", "import a from 'axios'", "9z"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    df = features.regex_features(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    got = {r.i: r for r in df.collect()}
+    for i, t in enumerate(texts):
+        for name, pattern in features.PATTERNS.items():
+            assert got[i][name] == sum(1 for _ in re.finditer(pattern.replace("(?U)", ""), t)), (name, t)
+        ids = re.findall(features.IDENTIFIER, t)
+        assert got[i].mean_identifier_length == pytest.approx(sum(map(len, ids)) / len(ids) if ids else 0.0)
+        calls = len(re.findall(r"require\s*\(", t)) - len(re.findall(features.STRING_REQUIRE.replace("(?U)", ""), t))
+        assert got[i].n_dynamic_require == max(0, calls)
