@@ -105,7 +105,7 @@ def train(
     used = np.unique(features)
     small = np.searchsorted(used, features)  # train on the features that occur only
     weights = np.zeros((len(used), n_states))
-    sums = [np.full_like(weights, 1e-2), np.full_like(model.moves, 1e-2), np.full_like(model.begin, 1e-2)]
+    sums = [np.full_like(x, 1e-6) for x in (weights, model.moves, model.begin)]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(chains.starts)), batches):

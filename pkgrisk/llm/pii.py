@@ -1,0 +1,342 @@
+"""Personal data in texts: fixed formats, and further spans from a conditional random field over word shapes.
+
+The field is trained from a small labelled table: example sentences of this module and pieces of the corpus around
+spans of the fixed formats and around other numbers, a bounded sample of each by hash. Its features are shapes of a
+word and of its neighbours, never the words. Texts are decoded by Viterbi in numpy batches; a decoded span is added
+if it satisfies its kind's check and does not overlap a span of the fixed formats.
+
+Only chains (stretches of a line of up to CHAIN words) with a digit or an at sign are decoded: no other can hold a
+span that satisfies a check.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pkgrisk.llm.crf import Chains, Crf, chains_of, slots, train
+from pkgrisk.llm.flat import NOT_SPACE, Texts, Words, blocks, byte_table, small_batches
+from pkgrisk.llm.shared import stored
+
+KINDS = ("email", "ip", "card", "phone")
+CHAIN = 64
+#: corpus pieces of each kind, and of other numbers, in the labelled table
+SAMPLE = 150
+
+# Formats of personal data.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+#: example sentences; a span is written as {kind|text}
+EXAMPLES = (
+    "write to {email|jane.doe@example.org} or ring {phone|+44 20 7946 0958} before noon",
+    "her number is {phone|(212) 555-0147} and his is {phone|415-555-0132}",
+    "call {phone|030 5550 0199 21} or {phone|1-800-555-0175} for help",
+    "ring me on {phone|555-0142-7788} tonight", "tel. {phone|(030) 5550-14477}, room 12",
+    "phone: {phone|212.555.0189} fax: {phone|212.555.0190}", "mobile {phone|07700 900 123} or {phone|07700-900-456}",
+    "card {card|4111 1111 1111 1111} expires 04/29", "paid with {card|5500-0000-0000-0004} on 3 May",
+    "visa {card|4222222222222} was declined", "from {ip|192.0.2.17} to {ip|198.51.100.4} at 10:15",
+    "mail {email|info@example.com}, not {email|sales-team@shop.example.net}",
+    "the order 4785380592391139 of 2024-05-17 has 12 items", "version 1.2.3 and 10.4.1 came out in 2019", "pages 120-135 and 200-245 of volume 12",
+    "it cost 1,250.00 or 99.90 in 1999", "ISBN 978-3-16-148410-0 was printed in 2001", "build 20240517-1530 took 45.2 seconds",
+    "see 12:30 and 18:45 on 2023-11-02", "row 100200300400 has id 55501", "about 3.5 % of 12 000 people",
+)
+
+
+CONTEXTS = 12
+_FILLER = "the of and Then call it, was by Mr Paris. we soon is: für où (see) at A from no to, un del That".split()
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + k % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def _small(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) < 4 and int(part or "0") <= 255
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    at = text.find("@")
+    while at >= 0:
+        before = text[done:at]
+        start = done + len(before.rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the fixed formats, leftmost and without overlap in each kind."""
+    out = []
+    if "@" in text:
+        out += [(a, 0, b) for a, b in _emails(text)]
+    if "." in text:
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_small(p) for p in m.group().split("."))]
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() >= 14:
+            digits = m.group().replace(" ", "").replace("-", "")
+            if 14 <= len(digits) <= 19 and luhn(digits):
+                out.append((m.start(), 2, m.end()))
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 10 <= sum(c in "0123456789" for c in m.group()) <= 15:
+                out.append((m.start(), 3, m.end()))
+    out.sort()
+    return out
+
+
+_SEPARATED_PHONE = re.compile(r"[(+]?[0-9]{1,4}\)?(?:[\x20.-]?\(?[0-9]{2,4}\)?){1,5}")
+
+
+def confirmed(kind: int, value: str) -> bool:
+    """Checks of spans that the field adds."""
+    digits = "".join(c for c in value if c in "0123456789")
+    if kind == 0:
+        return any(a == 0 and b == len(value) for a, b in _emails(value))
+    if kind == 1:
+        m = _IP.fullmatch(value)
+        return bool(m) and all(_small(p) for p in value.split("."))
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9][0-9 .-]+[0-9]", value) is not None
+    return 10 <= len(digits) <= 15 and _SEPARATED_PHONE.fullmatch(value) is not None and sum(c in " .-()" for c in value) >= 2
+
+
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[48:58] = 57
+_SHAPE[65:91] = 65
+_SHAPE[97:123] = 97
+_SHAPE[128:] = 117
+_TELLING = byte_table(b"0123456789@")
+
+
+class Shapes:
+    """Hashes of the shapes of a block's words; those of runs of one class too."""
+
+    def __init__(self, words: Words):
+        texts = words.texts
+        shape = _SHAPE[texts.raw]
+        whole = Texts(shape, texts.offsets)
+        whole.data = shape  # keep the case
+        self.full = whole.hashes(words.starts, words.ends)
+        change = np.ones(len(shape), bool)
+        change[1:] = shape[1:] != shape[:-1]
+        change[words.starts] = True
+        place = np.concatenate([[0], np.cumsum(change)])
+        short = Texts(shape[change], np.array([0, int(change.sum())]))
+        short.data = shape[change]
+        self.short = short.hashes(place[words.starts], np.maximum(place[words.ends], place[words.starts]))
+        self.length = words.ends - words.starts
+
+
+def _neighbour(values: np.ndarray, step: int) -> np.ndarray:
+    out = np.zeros_like(values)
+    if step > 0:
+        out[step:] = values[:-step]
+    else:
+        out[:step] = values[-step:]
+    return out
+
+
+def shape_features(words: Words) -> np.ndarray:
+    """Shape, its runs, runs of up to two neighbours on either side, and the length: tokens × templates."""
+    s = Shapes(words)
+    parts = [s.full, s.short, _neighbour(s.short, 1), _neighbour(s.short, -1), _neighbour(s.full, 1), _neighbour(s.full, -1), _neighbour(s.short, 2), _neighbour(s.short, -2)]
+    parts.append(np.minimum(s.length, 20).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.stack([slots(p, k + 20) for k, p in enumerate(parts)], 1)
+
+
+def lines_with_numbers(words: Words) -> Chains:
+    """Chains of up to CHAIN words of a line that hold a digit or an at sign."""
+    n = len(words.starts)
+    texts = words.texts
+    if not n:
+        return chains_of(np.zeros(0, np.int64), 0)
+    breaks = np.concatenate([[0], np.cumsum(texts.data == 10)])
+    new = np.zeros(n, bool)
+    new[1:] = breaks[words.starts[1:]] > breaks[words.ends[:-1]]
+    new[words.first[:-1][words.counts > 0]] = True
+    first = np.flatnonzero(new)
+    inside = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    chains = chains_of(np.flatnonzero(inside % CHAIN == 0), n)
+    telling = np.concatenate([[0], np.cumsum(_TELLING[texts.data])])
+    last = chains.starts + chains.lengths - 1
+    keep = telling[words.ends[last]] > telling[words.starts[chains.starts]]
+    return Chains(chains.starts[keep], chains.lengths[keep])
+
+
+def _flat(texts: list[str]) -> Texts:
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    return Texts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+
+
+def train_field(table: list[tuple[str, list[tuple[int, int, int]]]]) -> Crf:
+    """``table``: texts with their (start, kind, end) in code points; states are 0 and kind + 1."""
+    texts = _flat([t for t, _ in table])
+    words = texts.words(NOT_SPACE)
+    state = np.zeros(len(words.starts), np.int64)
+    for k, (t, spans) in enumerate(table):
+        at = texts.offsets[k]
+        for a, kind, b in spans:
+            x, y = at + len(t[:a].encode()), at + len(t[:b].encode())
+            own = slice(words.first[k], words.first[k + 1])
+            state[own][(words.starts[own] < y) & (words.ends[own] > x)] = kind + 1
+    first = words.first[:-1][words.counts > 0]
+    return train(shape_features(words), state, chains_of(first, len(words.starts)), len(KINDS) + 1, epochs=15)
+
+
+def examples() -> list[tuple[str, list[tuple[int, int, int]]]]:
+    out = []
+    for line in EXAMPLES:
+        text, spans = "", []
+        for part in re.split(r"(\{[a-z]+\|[^}]+\})", line):
+            if part.startswith("{"):
+                kind, value = part[1:-1].split("|", 1)
+                spans.append((len(text), KINDS.index(kind), len(text) + len(value)))
+                part = value
+            text += part
+        out.append((text, spans))
+    # the same values and numbers between other words, so that no neighbour is needed
+    rng = np.random.default_rng(5)
+    plain = [(t[a:b], k) for t, spans in out for a, k, b in spans] + [(w, None) for t, spans in out if not spans for w in t.split() if w[0].isdigit()]
+    for value, kind in plain:
+        for _ in range(CONTEXTS):
+            left, right = (" ".join(_FILLER[i] for i in rng.integers(0, len(_FILLER), rng.integers(0, 5))) for _ in range(2))
+            text = f"{left} {value} {right}".strip()
+            a = text.index(value)
+            out.append((text, [] if kind is None else [(a, kind, a + len(value))]))
+    return out
+
+
+def _place(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+_NUMBER = re.compile(r"\S*[0-9]\S*")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of text around spans of each kind and around other numbers, SAMPLE of least hash of each in a task."""
+    kept: list[dict[str, int]] = [{} for _ in range(len(KINDS) + 1)]
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if not text or not any(c in text for c in "0123456789@"):
+                continue
+            spans = base_spans(text)
+            found = [(k, a, b) for a, k, b in spans]
+            found += [(len(KINDS), m.start(), m.end()) for m in _NUMBER.finditer(text) if not any(a < m.end() and b > m.start() for a, _, b in spans)]
+            for k, a, b in found:
+                low, high = text.rfind(" ", 0, max(0, a - 40)) + 1, text.find(" ", b + 40)
+                piece = text[low:high if 0 <= high < b + 200 else b].replace("\n", " ")
+                if len(piece) > 600:
+                    continue
+                kept[k][piece] = _place(piece)
+                if len(kept[k]) > 4 * SAMPLE:
+                    kept[k] = dict(sorted(kept[k].items(), key=lambda x: x[1])[:SAMPLE])
+    rows = [(k, v, h) for k, own in enumerate(kept) for v, h in sorted(own.items(), key=lambda x: x[1])[:SAMPLE]]
+    yield pa.RecordBatch.from_pydict({
+        "kind": pa.array([r[0] for r in rows], pa.int32()), "piece": pa.array([r[1] for r in rows], pa.string()), "place": pa.array([r[2] for r in rows], pa.int64()),
+    })
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> Crf:
+    """The field from the example sentences and at most SAMPLE pieces of each kind from the whole corpus."""
+    found = stored(docs.select(text_col).mapInArrow(_pieces, "kind int, piece string, place long"), "pieces")
+    table = examples() * 2
+    for k in range(len(KINDS) + 1):
+        rows = found.where(F.col("kind") == k).select("piece", "place").distinct().orderBy("place", "piece").limit(SAMPLE).collect()
+        table += [(r["piece"], base_spans(r["piece"])) for r in rows]
+    return train_field(table)
+
+
+_EDGES = "\"'`,;:!?()[]{}<>*%&$#|."
+
+
+def _trim(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """Without punctuation around; an opening bracket that is closed inside stays."""
+    value = raw[a:b]
+    while value and chr(value[-1]) in _EDGES and not (value[-1:] == b")" and value.count(b"(") >= value.count(b")")):
+        value, b = value[:-1], b - 1
+    while value and chr(value[0]) in _EDGES and not (value[:1] == b"(" and b")" in value):
+        value, a = value[1:], a + 1
+    return a, b
+
+
+def added_spans(field: Crf, texts: Texts) -> dict[int, list[tuple[int, int, int]]]:
+    """(start, kind, end) in code points that the field finds, by text."""
+    words = texts.words(NOT_SPACE)
+    chains = lines_with_numbers(words)
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    if not len(chains.starts):
+        return out
+    rows = np.arange(chains.lengths.sum()) + np.repeat(chains.starts - (np.cumsum(chains.lengths) - chains.lengths), chains.lengths)
+    packed = Chains(np.cumsum(chains.lengths) - chains.lengths, chains.lengths)
+    state = field.decode(field.scores(shape_features(words)[rows]), packed)
+    chain = np.repeat(np.arange(len(chains.starts)), chains.lengths)
+    begins = (state > 0) & np.concatenate([[True], (state[1:] != state[:-1]) | (chain[1:] != chain[:-1])])
+    for i in np.flatnonzero(begins).tolist():
+        j = i
+        while j + 1 < len(state) and state[j + 1] == state[i] and chain[j + 1] == chain[i]:
+            j += 1
+        k = int(texts.text_of(words.starts[rows[i]:rows[i] + 1])[0])
+        base = int(texts.offsets[k])
+        raw = texts.raw[base:texts.offsets[k + 1]].tobytes()
+        a, b = _trim(raw, int(words.starts[rows[i]]) - base, int(words.ends[rows[j]]) - base)
+        value = raw[a:b].decode("utf-8", "replace")
+        if a < b and confirmed(int(state[i]) - 1, value):
+            x = len(raw[:a].decode("utf-8", "replace"))
+            out.setdefault(k, []).append((x, int(state[i]) - 1, x + len(value)))
+    return out
+
+
+def _find(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field: Crf = shared.value
+        for batch in batches:
+            counts, digests, spans = [[] for _ in KINDS], [], []
+            for low, high, texts in blocks(batch.column(1)):
+                added = added_spans(field, texts)
+                for k in range(high - low):
+                    base = base_spans(texts.raw[texts.offsets[k]:texts.offsets[k + 1]].tobytes().decode("utf-8", "replace"))
+                    for n, own in enumerate(counts):
+                        own.append(sum(s[1] == n for s in base))
+                    digests.append(hashlib.sha256(",".join(f"{KINDS[n]}:{a}:{b}" for a, n, b in base).encode()).hexdigest())
+                    new = [s for s in added.get(k, ()) if not any(a < s[2] and b > s[0] for a, _, b in base)]
+                    spans.append(",".join(f"{KINDS[n]}:{a}:{b}" for a, n, b in sorted(base + new)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
+                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+            )
+
+    return run
+
+
+def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Crf | None = None) -> DataFrame:
+    """Counts and digest of the fixed formats and all spans of every text.
+
+    A null or empty text has none; repeated rows and null ids are passed on. ``field`` may be given; otherwise it is
+    trained from the example sentences and a sample of ``docs``.
+    """
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(field or learn(slim))
+    kind = slim.schema[0].dataType.simpleString()
+    return slim.mapInArrow(
+        _find(shared), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    )
