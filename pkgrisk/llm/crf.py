@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from pkgrisk.llm.flat import mix
+
 FEATURE_BITS = 18
 
 
@@ -141,5 +143,5 @@ def train(
 
 def slots(hashes: np.ndarray, template: int) -> np.ndarray:
     """Feature numbers of one template's hashes."""
-    salted = hashes * np.uint64(2 * template + 0x9E3779B97F4A7C15) + np.uint64(template * 0x1000193)
+    salted = mix(hashes ^ np.uint64((template + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     return (salted >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)

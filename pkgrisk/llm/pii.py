@@ -126,23 +126,36 @@ _SHAPE[128:] = 117
 _TELLING = byte_table(b"0123456789@")
 
 
+_TRIM = byte_table(b"\"'`,;:!?<>*%&$#|.")
+
+
+def cores(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words without up to four marks on either side."""
+    raw, a, b = words.texts.raw, words.starts.copy(), words.ends.copy()
+    for _ in range(4 if len(a) else 0):
+        b -= (b - a > 1) & _TRIM[raw[b - 1]]
+        a += (b - a > 1) & _TRIM[raw[a]]
+    return a, b
+
+
 class Shapes:
     """Hashes of the shapes of a block's words; those of runs of one class too."""
 
     def __init__(self, words: Words):
         texts = words.texts
+        a, b = cores(words)
         shape = _SHAPE[texts.raw]
         whole = Texts(shape, texts.offsets)
         whole.data = shape  # keep the case
-        self.full = whole.hashes(words.starts, words.ends)
+        self.full = whole.hashes(a, b)
         change = np.ones(len(shape), bool)
         change[1:] = shape[1:] != shape[:-1]
-        change[words.starts] = True
+        change[a] = True
         place = np.concatenate([[0], np.cumsum(change)])
         short = Texts(shape[change], np.array([0, int(change.sum())]))
         short.data = shape[change]
-        self.short = short.hashes(place[words.starts], np.maximum(place[words.ends], place[words.starts]))
-        self.length = words.ends - words.starts
+        self.short = short.hashes(place[a], np.maximum(place[b], place[a]))
+        self.length = b - a
 
 
 def _neighbour(values: np.ndarray, step: int) -> np.ndarray:
@@ -155,11 +168,11 @@ def _neighbour(values: np.ndarray, step: int) -> np.ndarray:
 
 
 def shape_features(words: Words) -> np.ndarray:
-    """Shape, its runs, runs of up to two neighbours on either side, and the length: tokens × templates."""
+    """Shape, its runs, runs of up to two neighbours on either side, the length and a constant: tokens × templates."""
     s = Shapes(words)
     parts = [s.full, s.short, _neighbour(s.short, 1), _neighbour(s.short, -1), _neighbour(s.full, 1), _neighbour(s.full, -1), _neighbour(s.short, 2), _neighbour(s.short, -2)]
     parts.append(np.minimum(s.length, 20).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.stack([slots(p, k + 20) for k, p in enumerate(parts)], 1)
+    return np.stack([*(slots(p, k + 20) for k, p in enumerate(parts)), np.zeros(len(s.full), np.int64)], 1)
 
 
 def lines_with_numbers(words: Words) -> Chains:

@@ -28,9 +28,9 @@ SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 40_000
 CHAIN = 256
 REJECT = 0.3
-SPAN = 0.5
+SPAN, DOUBT = 0.5, 0.25
 _BREAKS = byte_table(b".!?\n")
-_TEMPLATES = 6  # of which the first CUES can mark a token
+_TEMPLATES = 7  # of which the first CUES can mark a token
 CUES = 4
 
 
@@ -47,14 +47,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def token_features(words: Words) -> np.ndarray:
-    """Whole word, beginnings of 4, 5 and 6 bytes, ending of 3 bytes, next word's beginning: tokens × templates."""
+    """Whole word, beginnings of 4, 5 and 6 bytes, ending of 3 bytes, the next word, a constant: tokens × templates."""
     texts, a, b = words.texts, words.starts, words.ends
-    out = np.empty((len(a), _TEMPLATES), np.int64)
+    out = np.empty((len(a), _TEMPLATES), np.int32)
     out[:, 0] = slots(words.hash, 0)
     for k, n in enumerate((4, 5, 6)):
         out[:, k + 1] = slots(texts.hashes(a, np.minimum(a + n, b)), k + 1)
     out[:, 4] = slots(texts.hashes(np.maximum(b - 3, a), b), 4)
     out[:, 5] = slots(np.roll(words.hash, -1), 5)
+    out[:, 6] = 0
     return out
 
 
@@ -79,7 +80,7 @@ def cue_slots(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
     n0 = max(1, n_docs - int(toxic.sum()))
     marked = []
     for k in range(CUES):
-        pair = np.unique(features[:, k] * n_docs + doc)
+        pair = np.unique(features[:, k].astype(np.int64) * n_docs + doc)
         slot, of = pair // n_docs, pair % n_docs
         values, where = np.unique(slot, return_inverse=True)
         a = np.bincount(where, toxic[of], len(values))
@@ -90,18 +91,30 @@ def cue_slots(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
     return np.concatenate(marked)
 
 
-def _statistics(p: np.ndarray, words: Words) -> np.ndarray:
-    """Constant, log of 1 + sum, maximum and share of the toxic marginals of each text."""
-    counts = words.counts
-    total = np.add.reduceat(np.append(p, 0.0), words.first[:-1]) if len(counts) else np.zeros(0)
-    top = np.maximum.reduceat(np.append(p, 0.0), words.first[:-1]) if len(counts) else np.zeros(0)
+def _statistics(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Constant, log of 1 + sum, maximum and share of the toxic marginals of each text; ``counts``: its words.
+
+    Marginals below DOUBT are left out of the sum, so that length alone does not add up.
+    """
+    first = np.cumsum(counts) - counts
+    total = np.add.reduceat(np.append(np.where(p >= DOUBT, p, 0.0), 0.0), first) if len(counts) else np.zeros(0)
+    top = np.maximum.reduceat(np.append(p, 0.0), first) if len(counts) else np.zeros(0)
     total, top = np.where(counts > 0, total, 0), np.where(counts > 0, top, 0)
     return np.stack([np.ones(len(counts)), np.log1p(total), top, np.sqrt(total / np.maximum(counts, 1))], 1)
 
 
-def _flat(texts: list[str]) -> Texts:
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    return Texts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+def _described(texts: list[str]) -> tuple[np.ndarray, Chains, np.ndarray]:
+    """Features of all tokens, chains, and words of each text, worked out block by block."""
+    features, firsts, lengths, counts, n = [], [], [], [], 0
+    for _, _, block in blocks(pa.array(texts, pa.string())):
+        words = block.words(ALNUM)
+        own = sentences(words)
+        features.append(token_features(words))
+        firsts.append(own.starts + n)
+        lengths.append(own.lengths)
+        counts.append(words.counts)
+        n += len(words.starts)
+    return np.concatenate(features), Chains(np.concatenate(firsts), np.concatenate(lengths)), np.concatenate(counts)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.05) -> np.ndarray:
@@ -120,25 +133,23 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     toxic = toxic.astype(np.int64)
     if toxic.sum() < 2 or toxic.sum() == len(toxic):
         return Model(None, np.array([-30.0, 0, 0, 0]), prior)
-    words = _flat(texts).words(ALNUM)
-    features, chains = token_features(words), sentences(words)
-    doc = np.repeat(np.arange(len(texts)), words.counts)
+    features, chains, counts = _described(texts)
+    doc = np.repeat(np.arange(len(texts)), counts)
     half = np.arange(len(texts)) % 2 == 0 if len(texts) >= 1000 else np.ones(len(texts), bool)
     cues = cue_slots(features[half[doc]], doc[half[doc]], np.where(half, toxic, 0))
     if not len(cues):
         return Model(None, np.array([np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), 0, 0, 0]), prior)
     tagged = np.zeros(len(features), bool)
     for k in range(CUES):
-        tagged |= np.isin(features[:, k] * CUES + k, cues)
+        tagged |= np.isin(features[:, k], cues[cues % CUES == k] // CUES)
     state = (tagged & (toxic[doc] == 1)).astype(np.int64)
     holds = np.add.reduceat(state, chains.starts) > 0
     learn = half[doc[chains.starts]]
     others = np.flatnonzero(learn & ~holds)
     others = np.random.default_rng(3).permutation(others)[: 6 * max(200, int((learn & holds).sum()))]
     part = np.sort(np.concatenate([np.flatnonzero(learn & holds), others]))
-    crf = train(features, state, Chains(chains.starts[part], chains.lengths[part]), 2)
-    p = crf.marginals(crf.scores(features), chains)[:, 1]
-    stats = _statistics(p, words)
+    crf = train(features, state, Chains(chains.starts[part], chains.lengths[part]), 2, epochs=10, batches=24)
+    stats = _statistics(crf.marginals(crf.scores(features), chains)[:, 1], counts)
     test = ~half if not half.all() else half
     y = toxic[test]
     weight = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum())) * len(y)
@@ -187,7 +198,7 @@ def tag(model: Model, texts: Texts) -> tuple[np.ndarray, list[str]]:
                 found.setdefault(k, []).append(f"{x}:{y}")
             for k, own in found.items():
                 spans[k] = ",".join(own)
-    z = _statistics(p, words) @ model.weights
+    z = _statistics(p, words.counts) @ model.weights
     return 1 / (1 + np.exp(-np.clip(z, -30, 30))), spans
 
 
