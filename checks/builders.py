@@ -60,7 +60,7 @@ def lines(spark, sf):
 @query(
     "detect_shape",
     "SELECT arg_min(shape, struct_pack(n := -n, r := r)) AS shape FROM (SELECT shape, r, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'B' WHEN 1 THEN 'B' WHEN 2 THEN 'A' WHEN 3 THEN 'C' ELSE 'unknown' END AS shape, "
-    "CASE event_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 4 END AS r FROM (SELECT * FROM events ORDER BY event_id LIMIT 100) WHERE event_id % 6 <> 5) GROUP BY ALL)",
+    "CASE event_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 4 END AS r FROM events WHERE event_id % 6 <> 5) GROUP BY ALL)",
 )
 def _(spark, sf):
     return builders.detect_shape(lines(spark, sf))
@@ -143,7 +143,7 @@ def _(spark, sf):
     "truth_rows",
     PAIRS
     + """SELECT pr.case_id, n AS n_files_changed, d // 100 % 2 = 0 AS has_install_script_delta, '1.0=1,1.1=0' AS truth, e.paths AS paths FROM pr JOIN t ON t.case_id = pr.case_id
-      JOIN (SELECT case_id, string_agg(path, ',' ORDER BY path) AS paths FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY path) AS r FROM d) WHERE r <= 10 GROUP BY case_id) e ON e.case_id = pr.case_id""",
+      JOIN (SELECT case_id, string_agg(path, ',' ORDER BY path) AS paths FROM d GROUP BY case_id) e ON e.case_id = pr.case_id""",
 )
 def _(spark, sf):
     out = builders.truth_rows(pairs(spark, sf), changes(spark, sf))
@@ -252,8 +252,8 @@ def _(spark, sf):
 @query(
     "decode_status",
     with_views("audit") + """SELECT event_id, CASE status WHEN 200 THEN 'allow' WHEN 202 THEN 'quarantine' WHEN 451 THEN 'block' ELSE 'not-found' END AS decision,
-      left(CASE status WHEN 451 THEN CASE WHEN event_id % 2 = 0 THEN concat('rule_', event_id, ',', repeat('x', 90)) ELSE 'err' END WHEN 202 THEN CASE WHEN event_id % 2 = 0 THEN concat('quarantine: rule_', event_id, ',', repeat('x', 90)) ELSE 'held' END
-        WHEN 404 THEN 'not-found' ELSE '' END, 80) AS reason FROM audit""",
+      CASE status WHEN 451 THEN CASE WHEN event_id % 2 = 0 THEN concat('rule_', event_id, ',', repeat('x', 90)) ELSE 'err' END WHEN 202 THEN CASE WHEN event_id % 2 = 0 THEN concat('quarantine: rule_', event_id, ',', repeat('x', 90)) ELSE 'held' END
+        WHEN 404 THEN 'not-found' ELSE '' END AS reason FROM audit""",
 )
 def _(spark, sf):
     df = view(spark, sf, "audit").selectExpr(

@@ -88,14 +88,14 @@ def packed_archives(docs):
 
 @query(
     "archive_members",
-    """SELECT concat('arch/', doc_id) AS archive, 'package/a.js' AS member, CASE WHEN strlen(text) <= 20000 THEN sha256(text) END AS digest, strlen(text) AS size, NULL AS reject_reason FROM documents WHERE doc_id % 50 <> 7
+    """SELECT concat('arch/', doc_id) AS archive, 'package/a.js' AS member, sha256(text) AS digest, strlen(text) AS size, NULL AS reject_reason FROM documents WHERE doc_id % 50 <> 7
       UNION ALL SELECT concat('arch/', doc_id), 'package/../../evil.js', NULL, 1, 'parent_segment' FROM documents WHERE doc_id % 2 = 1 AND doc_id % 50 <> 7
       UNION ALL SELECT concat('arch/', doc_id), '/abs.js', NULL, 1, 'absolute_path' FROM documents WHERE doc_id % 2 = 0
       UNION ALL SELECT concat('arch/', doc_id), 'package/l.js', NULL, 0, 'link' FROM documents WHERE doc_id % 2 = 0
       UNION ALL SELECT concat('arch/', doc_id), NULL, NULL, NULL, 'unreadable' FROM documents WHERE doc_id % 50 = 7""",
 )
 def _(spark, sf):
-    out = archives.explode_archives(packed_archives(table(spark, sf, "documents")), max_file_bytes=20000)
+    out = archives.explode_archives(packed_archives(table(spark, sf, "documents")))
     return out.selectExpr("archive", "member", "sha2(content, 256) AS digest", "size", "reject_reason")
 
 
@@ -114,17 +114,15 @@ def _(spark, sf):
 
 @query(
     "parse_policy_state",
-    """SELECT o_orderkey AS k, state, concat('p', o_custkey, '@1') AS key, CASE WHEN state = 'blocked' THEN 'bad' END AS reason, state <> 'extra' AS known
+    """SELECT state, concat('p', o_custkey, '@1') AS key, CASE WHEN state = 'blocked' THEN 'bad' END AS reason, state <> 'extra' AS known
       FROM orders, (VALUES ('blocked'), ('allowlist'), ('extra')) t(state)""",
 )
 def _(spark, sf):
     docs = table(spark, sf, "orders").selectExpr(
-        "o_orderkey AS k", """concat('{"blocked":{"p', o_custkey, '@1":{"reason":"bad"}},"quarantined":null,"allowlist":{"p', o_custkey, '@1":{}},"extra":{"p', o_custkey, '@1":{}}}') AS value"""
+        """concat('{"blocked":{"p', o_custkey, '@1":{"reason":"bad"}},"quarantined":null,"allowlist":{"p', o_custkey, '@1":{}},"extra":{"p', o_custkey, '@1":{}}}') AS value"""
     )
-    # Documents are parsed one by one; the key column tells them apart in the check.
-    out = corpora.parse_policy_state(docs.selectExpr("value"))
-    keyed = docs.selectExpr("k", "regexp_extract(value, '(p[0-9]+@1)', 1) AS key").join(out.distinct(), "key")
-    return keyed.select("k", "state", "key", "reason", "known")
+    out = corpora.parse_policy_state(docs)
+    return out.select("state", "key", "reason", "known")
 
 
 @query(
@@ -237,12 +235,12 @@ def _(spark, sf):
     "stream_counters",
     with_views("audit")
     + """SELECT CAST(date_trunc('hour', ts) AS STRING) AS window_start, CASE status WHEN 200 THEN 'allow' WHEN 202 THEN 'quarantine' WHEN 451 THEN 'block' ELSE 'not-found' END AS decision, count(*) AS n
-      FROM audit WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM audit) GROUP BY ALL""",
+      FROM audit GROUP BY ALL""",
 )
 def _(spark, sf):
     out, ck = shared_folder(spark, "counters"), shared_folder(spark, "counters-ck")
     finish(jobs.counters_stream(gate.decode_status(event_stream(spark, sf, VIEWS["audit"])), out, ck))
-    return spark.read.parquet(out).selectExpr("cast(window_start AS string) AS window_start", "decision", "n")
+    return jobs.latest_counters(spark, out).selectExpr("cast(window_start AS string) AS window_start", "decision", "n")
 
 
 @query("stream_first_seen", with_views("audit") + "SELECT package, version, min(event_id) AS event_id FROM audit GROUP BY ALL")

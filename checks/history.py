@@ -9,7 +9,7 @@ from checks.views import table, view, with_views
 from pkgrisk.operators import history
 
 
-@query("audit_tail", with_views("audit") + "SELECT event_id, package, status FROM audit ORDER BY ts DESC, event_id DESC LIMIT 1000")
+@query("audit_tail", with_views("audit") + "SELECT event_id, package, status FROM audit ORDER BY ts DESC, event_id DESC LIMIT 5000")
 def _(spark, sf):
     return history.audit_tail(view(spark, sf, "audit"), 5000).select("event_id", "package", "status")
 

@@ -32,12 +32,12 @@ def _(spark, sf):
     POLICY
     + """, last AS (SELECT r.package, max(version) AS version FROM releases r GROUP BY 1),
       a AS (SELECT out.*, (age_problem IS NULL AND age >= 14) AS ok14 FROM out JOIN last ON last.package = out.package AND last.version = out.version WHERE env = 'preprod')
-      SELECT package, version, CASE WHEN length(body) > 14 THEN 'skipped' WHEN NOT kq_ok OR NOT ok14 OR NOT scripts_ok THEN 'block' WHEN NOT sum_ok OR sm_ok IS NULL OR NOT sm_ok THEN 'quarantine' ELSE 'allow' END AS verdict FROM a""",
+      SELECT package, version, CASE WHEN NOT kq_ok OR NOT ok14 OR NOT scripts_ok THEN 'block' WHEN NOT sum_ok OR sm_ok IS NULL OR NOT sm_ok THEN 'quarantine' ELSE 'allow' END AS verdict FROM a""",
 )
 def _(spark, sf):
     rel = releases(spark, sf)
     tags = rel.filter("false").selectExpr("package", "version AS latest")
-    out = seeding.pre_audit(rel, tags, as_of(), view(spark, sf, "state"), max_bytes=14)
+    out = seeding.pre_audit(rel, tags, as_of(), view(spark, sf, "state"))
     return out.select("package", "version", "verdict")
 
 

@@ -9,9 +9,7 @@ from pkgrisk.operators import selection
 SEL = with_views("pkg_files") + r""",
 pf AS (SELECT *, lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) AS suf, length(content) - length(replace(content, chr(10), '')) AS nl,
   strlen(content) AS octets, path LIKE 'node_modules/%' AS nm FROM pkg_files),
-heads AS (SELECT *, CASE WHEN octets <= 65536 THEN nl ELSE
-   length(left(content, 65536 - (octets - length(content)))) - length(replace(left(content, 65536 - (octets - length(content))), chr(10), '')) END AS nl64 FROM pf),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY nl DESC, path) AS rank FROM heads WHERE suf = '.js' AND NOT nm) WHERE rank <= 3),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY nl DESC, path) AS rank FROM pf WHERE suf = '.js' AND NOT nm) WHERE rank <= 3),
 ref AS (SELECT package, concat('lib/', doc_id + 7, '.js') AS path FROM pkg_files WHERE path = 'package.json'),
 tier AS (SELECT pf.*, CASE WHEN pf.path = 'package.json' THEN 0 WHEN pf.path = 'postinstall.js' THEN 1 WHEN ref.path IS NOT NULL THEN 2
   WHEN suf = '.js' AND NOT nm THEN 3 END AS tier FROM pf LEFT JOIN ref ON ref.package = pf.package AND ref.path = pf.path),
@@ -42,13 +40,11 @@ def _(spark, sf):
     "assemble_text_signal",
     SEL
     + """SELECT package, count(*) AS n_parts, sha256(string_agg(concat('// === ', path, ' ===', chr(10), content), concat(chr(10), chr(10)) ORDER BY rank)) AS digest
-      FROM sig GROUP BY package HAVING max(octets) <= 32768""",
+      FROM sig GROUP BY package""",
 )
 def _(spark, sf):
-    files = view(spark, sf, "pkg_files")
-    out = selection.assemble_text(files, "signal")
-    whole = selection.select_signal_files(files).selectExpr("package", "octet_length(content) AS b").groupBy("package").max("b").filter("`max(b)` <= 32768")
-    return out.join(whole.select("package"), "package").selectExpr("package", "cast(n_parts AS bigint) AS n_parts", "sha2(text, 256) AS digest")
+    out = selection.assemble_text(view(spark, sf, "pkg_files"), "signal")
+    return out.selectExpr("package", "cast(n_parts AS bigint) AS n_parts", "sha2(text, 256) AS digest")
 
 
 @query(
@@ -56,14 +52,12 @@ def _(spark, sf):
     SEL
     + """, parts AS (SELECT package, 0 AS rank, content FROM pf WHERE path = 'package.json'
       UNION ALL SELECT pf.package, 1, content FROM pf JOIN ref ON ref.package = pf.package AND ref.path = pf.path
-      UNION ALL SELECT package, 10 + rank, content FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY nl64 DESC, path) AS rank FROM heads WHERE suf = '.js' AND NOT nm) WHERE rank <= 3)
-    SELECT package, count(*) AS n_parts, sha256(left(string_agg(content, '<sep>' ORDER BY rank), 262144)) AS digest
-    FROM parts GROUP BY package HAVING max(strlen(content)) <= 65536""",
+      UNION ALL SELECT package, 10 + rank, content FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY nl DESC, path) AS rank FROM pf WHERE suf = '.js' AND NOT nm) WHERE rank <= 3)
+    SELECT package, count(*) AS n_parts, sha256(string_agg(content, '<sep>' ORDER BY rank)) AS digest
+    FROM parts GROUP BY package""",
 )
 def _(spark, sf):
-    files = view(spark, sf, "pkg_files")
-    big = selection.select_record_files(files).filter("octet_length(content) > 65536").select("package").distinct()
-    out = selection.assemble_text(files, "record").join(big, "package", "left_anti")
+    out = selection.assemble_text(view(spark, sf, "pkg_files"), "record")
     return out.selectExpr("package", "cast(n_parts AS bigint) AS n_parts", "sha2(text, 256) AS digest")
 
 

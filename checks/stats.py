@@ -69,12 +69,11 @@ def docs_as_files(spark, sf):
 
 @query(
     "tree_digest",
-    """SELECT package, CASE WHEN bytes <= 150000 THEN digest END AS digest FROM (
-      SELECT source AS package, sum(strlen(text) + length(concat('lib/', doc_id, '.js')) + 1) AS bytes,
-      sha256(string_agg(concat('lib/', doc_id, '.js', chr(0), text), '' ORDER BY concat('lib/', doc_id, '.js'))) AS digest FROM documents GROUP BY source)""",
+    """SELECT source AS package, sha256(string_agg(concat('lib/', doc_id, '.js', chr(0), sha256(text)), chr(10) ORDER BY concat('lib/', doc_id, '.js'))) AS digest
+      FROM documents GROUP BY source""",
 )
 def _(spark, sf):
-    return stats.tree_digest(docs_as_files(spark, sf), 150_000).select("package", "digest")
+    return stats.tree_digest(docs_as_files(spark, sf)).select("package", "digest")
 
 
 INVENTORY = r"""WITH f AS (SELECT concat('d/', event_id, CASE event_id % 6 WHEN 0 THEN '.jsonl' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.JSON' WHEN 3 THEN '.bin'
@@ -88,7 +87,7 @@ INVENTORY = r"""WITH f AS (SELECT concat('d/', event_id, CASE event_id % 6 WHEN
     INVENTORY
     + """SELECT path, CASE event_id % 6 WHEN 0 THEN 'jsonl' WHEN 1 THEN 'archive' WHEN 2 THEN 'json' WHEN 3 THEN 'unknown' WHEN 4 THEN 'ndjson' ELSE 'md' END AS kind,
       strlen(content) AS size_bytes, sha256(content) AS sha256,
-      CASE WHEN event_id % 6 NOT IN (0, 4) THEN '' WHEN event_id % 5 = 0 THEN 'prompt' ELSE 'answer,prompt' END AS training_keys FROM f""",
+      CASE WHEN event_id % 6 NOT IN (0, 4) THEN '' WHEN event_id % 5 = 0 THEN 'messages,prompt' ELSE 'answer,prompt' END AS training_keys FROM f""",
 )
 def inventory(spark, sf):
     from checks.views import tables
@@ -115,6 +114,8 @@ def _(spark, sf):
     """SELECT event_type, count(*) AS n FROM events WHERE json_exists(props, '$.k') AND event_id % 2 = 0 GROUP BY ALL""",
 )
 def _(spark, sf):
-    ev = table(spark, sf, "events").withColumn("line", F.expr("IF(event_id % 2 = 0, props, 'broken')"))
-    hit = ev.filter("size(array_intersect(json_object_keys(line), array('k', 'messages'))) > 0")
-    return hit.groupBy("event_type").agg(F.expr("count(*) AS n"))
+    files = table(spark, sf, "events").selectExpr(
+        "concat(event_type, '/', event_id, '.jsonl') AS path", "IF(event_id % 2 = 0, replace(props, '\"k\"', '\"prompt\"'), 'broken') AS content"
+    )
+    hit = stats.build_inventory(files).filter("array_contains(training_keys, 'prompt')")
+    return hit.groupBy(F.expr("split(path, '/')[0] AS event_type")).agg(F.expr("count(*) AS n"))

@@ -47,13 +47,12 @@ def _(spark, sf):
     LINES
     + """, n AS (SELECT case_id, path, sum(greatest(x, 0)) AS a, sum(greatest(-x, 0)) AS r FROM net GROUP BY ALL)
       SELECT n.case_id, n.path, CAST(a AS BIGINT) + CASE WHEN change_kind = 'modified' THEN 1 ELSE 0 END AS added_lines, CAST(r AS BIGINT) + CASE WHEN change_kind = 'modified' THEN 1 ELSE 0 END AS removed_lines
-      FROM n JOIN d ON d.case_id = n.case_id AND d.path = n.path WHERE size_before + size_after < 45000""",
+      FROM n JOIN d ON d.case_id = n.case_id AND d.path = n.path""",
 )
 def _(spark, sf):
-    # Counters stop where the diff text is cut, so SQL can only restate rows short of that.
     # The line before an appended one gains its newline, so an aligned diff reports it on both sides.
     out = treediff.line_diff(diff(spark, sf, True))
-    return out.filter("size_before + size_after < 45000").select("case_id", "path", "added_lines", "removed_lines")
+    return out.select("case_id", "path", "added_lines", "removed_lines")
 
 
 def pairs(spark, sf):

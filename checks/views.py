@@ -235,12 +235,12 @@ _HELPERS = (
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that comes in fewer files than there are cores.
+    """Spread a table that is read in fewer parts than there are cores.
 
-    Only small test tables do; a large table is split by its files and stays as it is.
+    Only small test tables are; a large table is split by its files and stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < min(cores, 64) else df
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
 def tables(spark: SparkSession, sf_dir: str, sql: str) -> None:

@@ -21,8 +21,6 @@ MANIFEST_HOOKS = ("postinstall", "preinstall", "prepare")
 CONFIDENCE = "CASE {label} WHEN 'malicious' THEN 0.97D WHEN 'suspicious' THEN 0.65D ELSE 0.92D END"
 SEVERITY_VERDICT = "IF({s} IN ('critical', 'high'), 'block', 'quarantine')"
 SEVERITY_CONFIDENCE = "CASE {s} WHEN 'critical' THEN 0.95D WHEN 'high' THEN 0.88D WHEN 'medium' THEN 0.75D ELSE 0.6D END"
-CLASSIFY_CHARS = 32 * 1024
-TOOL_BODY_CHARS = 4096
 
 
 def _message(role: str, content: str) -> str:
@@ -123,10 +121,10 @@ def record_shape(v: str) -> str:
     )
 
 
-def detect_shape(lines: DataFrame, line: str = "line", order: str = "ord", sample: int = 100) -> DataFrame:
-    """Majority shape of the first ``sample`` records; ties go to the earlier letter."""
-    head = lines.orderBy(order).limit(sample).selectExpr(f"{parse(line)} AS v").filter("v IS NOT NULL")
-    votes = head.selectExpr(f"{record_shape('v')} AS shape").groupBy("shape").agg(F.expr("count(*) AS n"))
+def detect_shape(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Majority shape of all records; ties go to the earlier letter."""
+    parsed = lines.selectExpr(f"{parse(line)} AS v").filter("v IS NOT NULL")
+    votes = parsed.selectExpr(f"{record_shape('v')} AS shape").groupBy("shape").agg(F.expr("count(*) AS n"))
     at = "array_position(array('A', 'B', 'C', 'unknown'), shape)"
     return votes.agg(F.expr(f"coalesce(min_by(shape, struct(-n, {at})), 'unknown') AS shape"))
 
@@ -150,20 +148,20 @@ def normalize_chat(lines: DataFrame, shape: str, line: str = "line", system: str
     return lines.selectExpr(*others, f"{parse(line)} AS v").filter("v IS NOT NULL").selectExpr(*others, f"{out} AS messages")
 
 
-def pairs_to_classification(pairs: DataFrame, changes: DataFrame) -> DataFrame:
+def pairs_to_classification(pairs: DataFrame, changes: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Two rows per pair: the unpatched release (label 1) and the patched one (label 0).
 
     ``pairs(case_id, package, unpatched_version, patched_version, severity, advisory_ids,
-    slice_before, slice_after)``; ``changes`` carry line counts and diffs. Text is cut at 32 Ki
-    characters, its diff part at half of that, in whole blocks; the path list is cut the same way.
+    slice_before, slice_after)``; ``changes`` carry line counts and diffs. Texts are whole; with
+    ``max_chars`` they are cut there, their diff part at half of that, in whole blocks.
     """
-    packed = treediff.pack_blocks(changes, CLASSIFY_CHARS // 2)
+    packed = treediff.pack_blocks(changes, None if max_chars is None else max_chars // 2)
     n_changes = changes.groupBy("case_id").agg(F.expr("count(*) AS n_files_changed"))
     listed = treediff.salted_prefix_prune(
         changes.selectExpr(
             "case_id", "path", "concat('[', change_kind, '] ', path, ' (+', added_lines, '/-', removed_lines, ')') AS line"
         ).selectExpr("*", "cast(length(line) + 1 AS bigint) AS _n"),
-        ["case_id"], "path", "_n", f"sum_before < {CLASSIFY_CHARS}", "path",
+        ["case_id"], "path", "_n", None if max_chars is None else f"sum_before < {max_chars}", "path",
     ).groupBy("case_id").agg(
         F.expr("array_join(transform(array_sort(collect_list(struct(path, line))), x -> x.line), '\\n') AS paths")
     )
@@ -177,28 +175,29 @@ def pairs_to_classification(pairs: DataFrame, changes: DataFrame) -> DataFrame:
         "concat('ADVISORIES: ', coalesce(nullif(array_join(advisory_ids, ', '), ''), 'none')), '', '== MANIFEST ==', "
         "coalesce(IF(label = 1, slice_before, slice_after), '{}'), '', '== CHANGED FILES ==', coalesce(paths, ''), '', '== DIFF ==', coalesce(diff_text, ''))"
     )
-    cut = f"IF(length(t) > {CLASSIFY_CHARS}, concat(left(t, {CLASSIFY_CHARS - 64}), '\\n... [text truncated]\\n'), t)"
+    cut = "t" if max_chars is None else f"IF(length(t) > {max_chars}, concat(left(t, {max_chars - 64}), '\\n... [text truncated]\\n'), t)"
     return rows.selectExpr("*", f"{body} AS t").selectExpr(
         "case_id", f"{cut} AS text", "label", "package", "version", "coalesce(get(advisory_ids, 0), '') AS advisory_id",
         "role", "severity", "coalesce(n_files_changed, 0L) AS n_files_changed",
     )
 
 
-def pairs_to_trajectories(pairs: DataFrame, changes: DataFrame, system: str = AUDITOR) -> DataFrame:
+def pairs_to_trajectories(pairs: DataFrame, changes: DataFrame, system: str = AUDITOR, answer_chars: int | None = None) -> DataFrame:
     """Pair → fixed tool sequence: manifest, listing, new install script, four evidence files, scan, verdict.
 
-    ``pairs`` as above plus ``scripts_before, scripts_after`` (maps). Adds ``n_tool_calls``.
+    ``pairs`` as above plus ``scripts_before, scripts_after`` (maps). Adds ``n_tool_calls``. Tool answers are whole
+    unless ``answer_chars`` is given.
     """
     counts = changes.groupBy("case_id").agg(F.expr("count(*) AS n_changed"))
-    # Distinct top-level names, as many as fit one tool answer.
+    # Distinct top-level names, with a limit as many as fit one tool answer.
     names = changes.selectExpr("case_id", "split(path, '/')[0] AS top").distinct().selectExpr(
         "*", "cast(length(top) + 3 AS bigint) AS _n"
     )
     tops = treediff.salted_prefix_prune(
-        names, ["case_id"], "top", "_n", f"sum_before < {TOOL_BODY_CHARS}", "top"
+        names, ["case_id"], "top", "_n", None if answer_chars is None else f"sum_before < {answer_chars}", "top"
     ).groupBy("case_id").agg(F.expr("collect_set(top) AS tops"))
     top4 = treediff.evidence_files(changes).groupBy("case_id").agg(
-        F.expr(f"array_sort(collect_list(struct(rank, path, change_kind, added_lines, removed_lines, left(unified_diff, {TOOL_BODY_CHARS + 1}) AS d))) AS ev")
+        F.expr(f"array_sort(collect_list(struct(rank, path, change_kind, added_lines, removed_lines, {'unified_diff' if answer_chars is None else f'left(unified_diff, {answer_chars + 1})'} AS d))) AS ev")
     )
     joined = pairs.join(counts, "case_id", "left").join(tops, "case_id", "left").join(top4, "case_id", "left")
     staged = joined.withColumn("delta", F.expr(treediff.install_script_delta("scripts_before", "scripts_after")))
@@ -212,8 +211,9 @@ def pairs_to_trajectories(pairs: DataFrame, changes: DataFrame, system: str = AU
         return _message("assistant", f"concat({say}, '\\n<tool_call>', {tool}, '</tool_call>')")
 
     def answer(body: str) -> str:
-        cut = f"IF(length({body}) > {TOOL_BODY_CHARS}, concat(left({body}, {TOOL_BODY_CHARS - 32}), '\\n... [truncated]\\n'), {body})"
-        return _message("tool", cut)
+        if answer_chars is None:
+            return _message("tool", body)
+        return _message("tool", f"IF(length({body}) > {answer_chars}, concat(left({body}, {answer_chars - 32}), '\\n... [truncated]\\n'), {body})")
 
     listing = "to_json(array_sort(array_distinct(concat(array('package.json', 'README.md', 'LICENSE'), coalesce(tops, array('src', 'lib'))))))"
     hook_file = "concat(new_hook, '.js')"
@@ -299,11 +299,13 @@ def to_eval_records(chats: DataFrame) -> DataFrame:
     return rows.filter("n = 3").selectExpr("conv_id", "concat(m1, '\\n\\n', m2) AS prompt", "m3 AS expected")
 
 
-def truth_rows(pairs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Held-out truth per pair: version → 1/0, changed files, first ten paths, install-script change."""
+def truth_rows(pairs: DataFrame, changes: DataFrame, max_paths: int | None = None) -> DataFrame:
+    """Held-out truth per pair: version → 1/0, changed files, their paths (the first ``max_paths`` if given), install-script change."""
     counts = changes.groupBy("case_id").agg(F.expr("count(*) AS n"))
-    first = changes.selectExpr("case_id", "path", "row_number() OVER (PARTITION BY case_id ORDER BY path) AS r").filter("r <= 10")
-    paths = first.groupBy("case_id").agg(F.expr("array_sort(collect_list(path)) AS evidence_paths"))
+    listed = changes.select("case_id", "path")
+    if max_paths is not None:
+        listed = changes.selectExpr("case_id", "path", "row_number() OVER (PARTITION BY case_id ORDER BY path) AS r").filter(f"r <= {max_paths}")
+    paths = listed.groupBy("case_id").agg(F.expr("array_sort(collect_list(path)) AS evidence_paths"))
     joined = pairs.join(counts, "case_id", "left").join(paths, "case_id", "left")
     return joined.selectExpr(
         "case_id", "package", "coalesce(get(advisory_ids, 0), '') AS advisory_id", "severity", "unpatched_version", "patched_version",

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.sql import text, text_array
-from pkgrisk.session import broadcast_if_small
 
 CASE_SCHEMA_VERSION = "scraped_case.v1"
 # Weakness ids and words that set the severity of an advisory.
@@ -99,7 +98,7 @@ def intent_label(archives: DataFrame, manifest: DataFrame) -> DataFrame:
     ``manifest(package, versions)``: versions NULL means every version is malicious.
     """
     known = manifest.selectExpr("package", "versions AS _versions", "true AS _known")
-    joined = archives.join(broadcast_if_small(known), "package", "left")
+    joined = archives.join(known, "package", "left")
     return joined.withColumn("intent_label", F.expr(
         "CASE WHEN intent_class = 'compromised_lib' THEN 'compromised_lib' "
         "WHEN _known AND _versions IS NULL THEN 'malicious_intent_all_versions' "

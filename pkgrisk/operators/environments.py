@@ -6,6 +6,8 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
+from pyspark.sql import SparkSession
+
 from pkgrisk.functions.sql import number, text
 
 FALLBACK = "preprod"
@@ -80,24 +82,30 @@ def resolve(config: Mapping | None = None) -> dict[str, Environment]:
 
 
 def load(path: str | None) -> dict[str, Environment]:
-    """Environments from a small YAML or JSON file; defaults when absent or unreadable."""
+    """Environments from a small YAML or JSON file; the defaults only where no path is given."""
     return resolve(read_config(path))
 
 
 def read_config(path: str | None) -> dict | None:
+    """A small YAML or JSON document, read by Spark so that any path the cluster knows will do.
+
+    A file that is missing or broken raises an error: policy must not change without notice.
+    """
     if path is None:
         return None
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("configuration is read through the active Spark session, and there is none")
+    content = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     try:
-        with open(path, encoding="utf-8") as fh:
-            text = fh.read()
-        try:
-            return json.loads(text)
-        except ValueError:
-            import yaml
-
-            return yaml.safe_load(text)
-    except Exception:  # missing file, missing parser or broken text: keep defaults
-        return None
+        out = json.loads(content)
+    except ValueError:
+        import yaml
+
+        out = yaml.safe_load(content)
+    if out is not None and not isinstance(out, Mapping):
+        raise ValueError(f"{path} does not hold a mapping")
+    return out
 
 
 def pick(envs: Mapping[str, Environment], name: str) -> Environment:

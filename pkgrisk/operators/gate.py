@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pkgrisk.session import broadcast_if_small
-
 # Decision per response status.
 STATUS = {200: "allow", 202: "quarantine", 451: "block", 404: "not-found"}
-REASON_CHARS = 80
+# Strictest first.
+STRICTNESS = ("block", "quarantine", "allow")
 
 
 def inventory_rows(feed: DataFrame, ecosystem: str = "npm") -> DataFrame:
@@ -38,24 +37,30 @@ def decode_status(audit: DataFrame, status: str = "status") -> DataFrame:
     )
     return audit.withColumns({
         "decision": F.expr(f"CASE {status} {whens} ELSE 'error' END"),
-        "reason": F.expr(f"left({reason}, {REASON_CHARS})"),
+        "reason": F.expr(reason),
     })
 
 
-def gate_inventory(scan: DataFrame, decisions: DataFrame) -> DataFrame:
+def gate_inventory(scan: DataFrame, decisions: DataFrame, environment: str | None = None) -> DataFrame:
     """Verdict per scanned package; unknown packages are ``not-found``, unknown versions ``error``.
 
-    ``decisions(package, version, verdict, failed_rules)`` has one row per release.
+    ``decisions(package, version, verdict, failed_rules)``, with ``ecosystem`` if the scan has it too. Of several rows
+    for a release, in several environments for instance, the strictest counts; ``environment`` keeps those of one.
     """
-    known = decisions.select("package").distinct().withColumn("_known", F.lit(True))
-    verdicts = broadcast_if_small(decisions.select("package", "version", "verdict", "failed_rules"))
-    joined = scan.join(verdicts, ["package", "version"], "left")
-    joined = joined.join(broadcast_if_small(known), "package", "left")
+    if environment is not None:
+        decisions = decisions.filter(F.col("env") == environment)
+    key = ["ecosystem", "package"] if {"ecosystem"} <= set(scan.columns) & set(decisions.columns) else ["package"]
+    known = decisions.select(*key).distinct().withColumn("_known", F.lit(True))
+    place = "coalesce(nullif(array_position(array({}), verdict), 0), 9)".format(", ".join(f"'{v}'" for v in STRICTNESS))
+    verdicts = decisions.groupBy(*key, "version").agg(
+        F.expr(f"min_by(struct(verdict, failed_rules), struct({place}, verdict, failed_rules)) AS _d")
+    ).select(*key, "version", "_d.verdict", "_d.failed_rules")
+    joined = scan.join(verdicts, [*key, "version"], "left").join(known, key, "left")
     return joined.selectExpr(
         *scan.columns,
         "coalesce(verdict, IF(_known, 'error', 'not-found')) AS decision",
-        f"left(CASE WHEN verdict = 'block' THEN array_join(failed_rules, ',') WHEN verdict = 'quarantine' AND size(failed_rules) > 0 "
-        f"THEN concat('quarantine: ', array_join(failed_rules, ',')) WHEN verdict IS NULL AND _known IS NULL THEN 'not-found' ELSE '' END, {REASON_CHARS}) AS reason",
+        "CASE WHEN verdict = 'block' THEN array_join(failed_rules, ',') WHEN verdict = 'quarantine' AND size(failed_rules) > 0 "
+        "THEN concat('quarantine: ', array_join(failed_rules, ',')) WHEN verdict IS NULL AND _known IS NULL THEN 'not-found' ELSE '' END AS reason",
     )
 
 

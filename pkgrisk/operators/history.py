@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.operators.ordering import segmented_lag, value_prefix
-from pkgrisk.session import broadcast_if_small
 
-# Bounds of the audit tail, retention target, metadata lifetime, note length.
-TAIL_MAX, TARGET_RATIO, METADATA_TTL, MIN_RATIONALE = 1000, 0.8, 3600, 16
+# Retention target, metadata lifetime, note length.
+TARGET_RATIO, METADATA_TTL, MIN_RATIONALE = 0.8, 3600, 16
 
 
 def audit_tail(audit: DataFrame, n: int, tiebreak: str = "event_id") -> DataFrame:
-    """The newest ``n`` audit rows, ``n`` clamped to 1..1000."""
-    return audit.orderBy(F.col("ts").desc(), F.col(tiebreak).desc()).limit(max(1, min(n, TAIL_MAX)))
+    """The newest ``n`` audit rows; as many as are asked for."""
+    return audit.orderBy(F.col("ts").desc(), F.col(tiebreak).desc()).limit(max(0, n))
 
 
 def _cut(df: DataFrame, key: str, group: Sequence[str], budget: str) -> DataFrame:
@@ -43,17 +42,15 @@ def plan_eviction(
     )
     sized = keyed.selectExpr(*group, "_t", "_h", "cast(size AS bigint) AS size")
     need = f"IF({{total}} > {max_bytes}, {{total}} - {target}, 0)"
-    by_time = broadcast_if_small(
-        _cut(sized, "_t", group, need).selectExpr(
-            *group, "c._t AS cut_t", f"c.total_size - {target} - c.before_size AS left_over"
-        )
+    by_time = _cut(sized, "_t", group, need).selectExpr(
+        *group, "c._t AS cut_t", f"c.total_size - {target} - c.before_size AS left_over"
     )
     tied = sized.join(by_time, group).filter("_t = cut_t").select(*group, "_h", "size", "left_over")
     by_hash = value_prefix(tied.drop("left_over"), "_h", ["size"], group).join(
         by_time.select(*group, "left_over"), group
     )
     cut_h = by_hash.filter("before_size < left_over").groupBy(*group).agg(F.expr("max(_h) AS cut_h"))
-    cuts = broadcast_if_small(by_time.select(*group, "cut_t").join(cut_h, group))
+    cuts = by_time.select(*group, "cut_t").join(cut_h, group)
     joined = keyed.join(cuts, group, "left")
     evict = F.expr("coalesce(_t < cut_t OR (_t = cut_t AND _h <= cut_h), false)")
     return joined.withColumn("evict", evict).drop("_t", "_h", "cut_t", "cut_h")
@@ -98,7 +95,7 @@ def checked_events(events: DataFrame, segment: str = "date_trunc('HOUR', ts)") -
         "CASE WHEN action = 'add' AND coalesce(state, '') NOT IN ('blocked', 'quarantined', 'allowlist') THEN 'unknown_state' "
         f"WHEN action = 'add' AND {untrusted} AND length(trim(coalesce(rationale, ''))) < {MIN_RATIONALE} THEN 'short_rationale' "
         "WHEN coalesce(action, '') NOT IN ('add', 'promote') THEN 'unknown_action' END"
-    )).withColumn("reason", F.expr("left(split(trim(rationale), '\\n')[0], 200)"))
+    )).withColumn("reason", F.expr("split(trim(rationale), '\\n')[0]"))
     moves = "coalesce(action = 'promote' OR (state = 'quarantined' AND problem IS NULL), false)"
     chain = segmented_lag(
         df.filter(moves), ["key"], segment, "ts, seq", "struct(action, reason)", "_before"

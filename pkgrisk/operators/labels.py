@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions import names
-from pkgrisk.session import broadcast_if_small
 
 # Which report set a key comes from and how far it outranks the others.
 MALICIOUS_TOOL, BENIGN_LIST, BENIGN_TOOL, SUMMARY = 4, 3, 2, 1
@@ -70,7 +69,7 @@ def attach_labels(packages: DataFrame, truth: DataFrame, default: int = 0) -> Da
         .filter("_lo = _hi")
         .selectExpr("name", "_lo AS _agreed")
     )
-    joined = packages.join(exact, ["name", "version"], "left").join(broadcast_if_small(agreed), "name", "left")
+    joined = packages.join(exact, ["name", "version"], "left").join(agreed, "name", "left")
     return joined.selectExpr(
         *packages.columns,
         f"coalesce(_exact, _agreed, {default}) AS label",

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.text import group_key
-from pkgrisk.session import broadcast_if_small, keep
 
 # Leading hex digits of the order hash used as bucket: 16^4 buckets per stratum.
 HASH_DIGITS = 4
@@ -39,9 +38,9 @@ def hash_cuts(
     base = df.selectExpr(f"{group_key(*strata)} AS _stratum", f"{order} AS _h", "*").selectExpr(
         "*", f"substring(_h, 1, {HASH_DIGITS}) AS _b"
     )
-    counts = keep(base.groupBy("_stratum", "_b").agg(
+    counts = base.groupBy("_stratum", "_b").agg(
         F.expr("count(*) AS c"), *[F.expr(f"{e} AS {name}") for name, e in carry.items()]
-    ))
+    )
     base = base.select("_stratum", "_h", "_b")
     sizes = counts.groupBy("_stratum").agg(
         F.expr("sum(c) AS n"), *[F.expr(f"max({name}) AS {name}") for name in carry]
@@ -57,7 +56,7 @@ def hash_cuts(
         )
         .filter("size(wanted) > 0")
     )
-    ranked = base.join(broadcast_if_small(edges), ["_stratum", "_b"]).selectExpr(
+    ranked = base.join(edges, ["_stratum", "_b"]).selectExpr(
         "*", "before + row_number() OVER (PARTITION BY _stratum, _b ORDER BY _h) AS rank"
     )
     found = (
@@ -78,7 +77,7 @@ def hash_segments(
     Keys are expected to be unique within a stratum; exact copies share a hash and so a segment.
     The rows themselves are not shuffled: one comparison with the stratum's cut hashes.
     """
-    cuts = broadcast_if_small(hash_cuts(df, strata, order, targets, **options))
+    cuts = hash_cuts(df, strata, order, targets, **options)
     tagged = df.selectExpr("*", f"{group_key(*strata)} AS _stratum", f"{order} AS _h")
     passed = F.expr("size(filter(cuts, c -> c IS NULL OR _h > c))")
     return tagged.join(cuts, "_stratum").withColumn(out, passed).drop("_stratum", "_h", "n", "cuts")
@@ -97,8 +96,8 @@ def value_prefix(
     """
     group = list(group)
     part = f"PARTITION BY {', '.join(group)}" if group else ""
-    # Read three times below; kept so that the input itself is read once.
-    merged = keep(df.groupBy(*group, key).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums]))
+    # Read three times below; its exchange is one and the same, so the input is shuffled once.
+    merged = df.groupBy(*group, key).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums])
     fractions = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     bounds = merged.agg(F.expr(f"percentile_approx({key}, array({fractions}), 10000) AS _bounds"))
     tagged = merged.join(F.broadcast(bounds)).withColumn(  # exactly one row
@@ -144,7 +143,7 @@ def salted_prefix_prune(
     group: Sequence[str],
     order: str,
     size: str,
-    within: str,
+    within: str | None,
     tiebreak: str,
     salts: int = 1024,
 ) -> DataFrame:
@@ -154,7 +153,10 @@ def salted_prefix_prune(
     and stay false as the sum grows. Then a row that fails on the sum over its own salt's
     rows alone also fails on the whole group, so each of ``salts`` slices is cut first;
     what survives per group is at most ``salts`` budgets. Exact for groups of any size.
+    Without a condition all rows stay, unsummed.
     """
+    if within is None:
+        return df
     by = ", ".join(group)
     salted = df.selectExpr("*", f"pmod(xxhash64({tiebreak}), {salts}) AS _salt")
     local = salted.selectExpr(

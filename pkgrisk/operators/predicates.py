@@ -18,9 +18,6 @@ TEXT_NAMES = ("LICENSE", "README", "Makefile", "CHANGELOG")
 COMPARABLE_SUFFIXES = (".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx", ".json", ".md")
 NEVER_COMPARED = ("package.json", "LICENSE", "README.md", "CHANGELOG.md", ".npmignore")
 BUILD_PREFIXES = ("dist/", "build/", "lib/", "out/", "es/", "esm/", "umd/")
-# Size limits in bytes.
-MAX_ARCHIVE_BYTES = 50 * 1024 * 1024
-MAX_FILE_BYTES = 2 * 1024 * 1024
 
 
 def reject_reason(member: str, is_link: str = "false") -> str:
@@ -74,8 +71,10 @@ def newest(advisories: DataFrame, n: int, tiebreak: str = "id") -> DataFrame:
     return df.orderBy(F.col("when_at").desc_nulls_last(), tiebreak).limit(n)
 
 
-def cap_sizes(files: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Oversize files read as empty text and are flagged; their size is kept."""
+def cap_sizes(files: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
+    """With a limit, oversize files read as empty text and are flagged; their size is kept."""
+    if max_file_bytes is None:
+        return files.withColumn("oversize", F.lit(False))
     return files.withColumns({
         "oversize": F.expr(f"size > {max_file_bytes}"),
         "content": F.expr(f"IF(size > {max_file_bytes}, '', content)"),

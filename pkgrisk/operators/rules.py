@@ -9,7 +9,6 @@ from pkgrisk.functions import dates
 from pkgrisk.functions.names import REPOSITORY
 from pkgrisk.functions.sql import regex, text, texts
 from pkgrisk.functions.text import quoted
-from pkgrisk.session import broadcast_if_small
 
 # Hooks each ecosystem runs at install time, in report order.
 HOOKS = {
@@ -160,5 +159,5 @@ def quarantine_lookup(releases: DataFrame, state: DataFrame) -> DataFrame:
         F.expr("bool_or(state = 'allowlist') AS _allowlisted"),
     )
     keyed = releases.withColumn("key", F.concat_ws("@", "package", "version"))
-    joined = keyed.join(broadcast_if_small(per_key), "key", "left")
+    joined = keyed.join(per_key, "key", "left")
     return joined.withColumn("allowlisted", F.expr("coalesce(_allowlisted, false)")).drop("key", "_allowlisted")

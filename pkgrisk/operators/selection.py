@@ -17,9 +17,8 @@ from pkgrisk.operators.features import INSTALL_HOOKS, SEPARATOR
 from pkgrisk.operators.ordering import salted_prefix_prune
 from pkgrisk.operators.predicates import in_node_modules
 
-# Limits and file-name lists of the selection styles.
-FILE_BYTES, RECORD_CHARS = 64 * 1024, 256 * 1024
-SIGNAL_FILE_BYTES, MAX_FILES = 32 * 1024, 6
+# Files of a package at most and file-name lists of the selection styles.
+MAX_FILES = 6
 HOOK_FILES = ("preinstall.js", "install.js", "postinstall.js")
 PREFERRED_SUFFIXES = (".js", ".cjs", ".mjs", ".ts", ".json")
 SOURCE_SUFFIXES = (".js", ".ts", ".cjs", ".mjs", ".jsx", ".tsx")
@@ -36,10 +35,10 @@ def first_bytes(content: str, n: int) -> str:
     )
 
 
-def top_files(files: DataFrame, k: int = 3, head_bytes: int | None = FILE_BYTES) -> DataFrame:
+def top_files(files: DataFrame, k: int = 3, head_bytes: int | None = None) -> DataFrame:
     """The ``k`` JavaScript files with most lines per package, ``rank`` from 1; path breaks ties.
 
-    Lines are counted in the first ``head_bytes`` bytes, or the whole file for None.
+    Lines are counted in the whole file, or in its first ``head_bytes`` bytes if that is asked for.
     """
     body = "content" if head_bytes is None else first_bytes("content", head_bytes)
     js = files.filter(f"{suffix('path')} = '.js' AND NOT {in_node_modules('path')}")
@@ -110,27 +109,28 @@ def select_record_files(files: DataFrame) -> DataFrame:
     return manifest.unionByName(named).unionByName(longest)
 
 
-def assemble_text(files: DataFrame, style: str = "record") -> DataFrame:
-    """One text per package from the chosen files, in rank order.
+def assemble_text(files: DataFrame, style: str = "record", file_bytes: int | None = None, record_chars: int | None = None) -> DataFrame:
+    """One text per package from the chosen files, in rank order; whole files unless ``file_bytes`` is given.
 
-    ``record``: bodies joined by the separator, 64 KiB a file, 256 Ki characters a record.
-    ``signal``: headed blocks joined by a blank line, 32 KiB a file.
+    ``record``: bodies joined by the separator, cut at ``record_chars`` if given.
+    ``signal``: headed blocks joined by a blank line.
     """
     if style == "record":
-        chosen, cap, sep = select_record_files(files), FILE_BYTES, SEPARATOR
+        chosen, sep = select_record_files(files), SEPARATOR
         block = "body"
     else:
-        chosen, cap, sep = select_signal_files(files), SIGNAL_FILE_BYTES, "\\n\\n"
+        chosen, sep = select_signal_files(files), "\\n\\n"
         block = "concat('// === ', path, ' ===\\n', body)"
-    bodies = chosen.selectExpr("package", "rank", "path", f"{first_bytes('content', cap)} AS body")
+    body = "content" if file_bytes is None else first_bytes("content", file_bytes)
+    bodies = chosen.selectExpr("package", "rank", "path", f"{body} AS body")
     if style == "record":
         bodies = bodies.filter("body <> ''")
     packed = bodies.groupBy("package").agg(
         F.expr(f"array_sort(collect_list(struct(rank, path, {block} AS block))) AS _parts")
     )
     joined = f"array_join(transform(_parts, p -> p.block), '{sep}')"
-    if style == "record":
-        joined = f"left({joined}, {RECORD_CHARS})"
+    if record_chars is not None:
+        joined = f"left({joined}, {record_chars})"
     return packed.selectExpr("package", f"{joined} AS text", "size(_parts) AS n_parts")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pkgrisk.functions.sql import texts
 from pkgrisk.functions.variant import object_at, parse
 from pkgrisk.operators.ordering import value_prefix
-from pkgrisk.session import broadcast_if_small
 
 
 def corpus_stats(df: DataFrame, split: str = "split", label: str = "label", source: str = "source") -> DataFrame:
@@ -65,19 +64,14 @@ def tree_fingerprint(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def tree_digest(files: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """SHA-256 over the files in path order, each as path, NUL, bytes, next to the fingerprint.
+def tree_digest(files: DataFrame) -> DataFrame:
+    """SHA-256 over the package's lines ``path NUL SHA-256(content)`` in path order, next to the fingerprint.
 
-    That hash is sequential, so it is taken only for trees up to ``max_bytes``; larger
-    trees have a NULL ``digest`` and are identified by their ``fingerprint``.
+    Contents are hashed where they are read; a tree of any size is gathered as paths and hashes only.
     """
-    sizes = files.groupBy("package").agg(F.expr("sum(octet_length(content) + octet_length(path) + 1) AS bytes"))
-    small = broadcast_if_small(sizes.filter(f"bytes <= {max_bytes}").select("package"))
-    digests = (
-        files.join(small, "package", "left_semi")
-        .groupBy("package")
-        .agg(F.expr("array_sort(collect_list(struct(path, content))) AS f"))
-        .selectExpr("package", "sha2(array_join(transform(f, x -> concat(x.path, '\\u0000', x.content)), ''), 256) AS digest")
+    hashed = files.selectExpr("package", "path", "sha2(content, 256) AS sha")
+    digests = hashed.groupBy("package").agg(F.expr("array_sort(collect_list(struct(path, sha))) AS f")).selectExpr(
+        "package", "sha2(array_join(transform(f, x -> concat(x.path, '\\u0000', x.sha)), '\\n'), 256) AS digest"
     )
     return tree_fingerprint(files).join(digests, "package", "left")
 
@@ -88,16 +82,15 @@ ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2")
 TRAINING_KEYS = (
     "messages", "prompt", "completion", "input", "output", "question", "answer", "instruction", "response",
 )
-SAMPLE_LINES = 50
 
 
 def build_inventory(files: DataFrame) -> DataFrame:
-    """Per file: kind, size, SHA-256 and the training keys found in its first 50 lines."""
+    """Per file: kind, size, SHA-256 and the training keys found in its lines."""
     name = "lower(regexp_extract(path, '([^/]*)$', 1))"
     kind = "CASE " + " ".join(f"WHEN endswith({name}, '{a}') THEN 'archive'" for a in ARCHIVES)
     kind += " " + " ".join(f"WHEN endswith({name}, '{k}') THEN '{k[1:]}'" for k in KINDS) + " ELSE 'unknown' END"
     keys = (
-        f"array_sort(array_intersect(flatten(transform(slice(split(content, '\\n', {SAMPLE_LINES + 1}), 1, {SAMPLE_LINES}), "
+        "array_sort(array_intersect(flatten(transform(split(content, '\\n'), "
         f"l -> coalesce(map_keys({object_at(parse('l'), '$')}), cast(array() AS array<string>)))), array({texts(TRAINING_KEYS)})))"
     )
     return files.filter(f"{name} <> 'manifest.json'").selectExpr(

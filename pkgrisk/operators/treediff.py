@@ -13,10 +13,9 @@ from pkgrisk.functions.sql import text_array, texts
 from pkgrisk.functions.text import base_name, quoted, stem
 from pkgrisk.functions.variant import kind, node, object_at, parse, string_at
 from pkgrisk.operators.ordering import salted_prefix_prune
-from pkgrisk.operators.predicates import MAX_FILE_BYTES, is_build_output, is_comparable
+from pkgrisk.operators.predicates import is_build_output, is_comparable
 
-# Diff size limit, evidence file names, manifest hooks kept, evidence count.
-MAX_DIFF_CHARS = 50 * 1024
+# Evidence file names, manifest hooks kept, evidence count.
 HOOK_FILES = ("postinstall.js", "install.js", "preinstall.js")
 SLICE_HOOKS = ("preinstall", "install", "postinstall", "preuninstall", "postuninstall")
 DELTA_HOOKS = ("preinstall", "install", "postinstall")
@@ -44,16 +43,16 @@ def pick_versions(cases: DataFrame) -> DataFrame:
 def resolve_pairs(cases: DataFrame, releases: DataFrame) -> DataFrame:
     """Set ``status`` and archive URLs from the release table; unresolvable cases keep their row.
 
-    ``releases(package, version, tarball)``. A package without any release has no packument.
+    ``releases(package, version, tarball)``, and ``ecosystem`` where both tables have it. Releases are reduced to one
+    row for each key first, so a case is never multiplied. A package without any release has no packument.
     """
-    urls = releases.select("package", "version", "tarball")
-    known = releases.select("package").distinct().withColumn("_known", F.lit(True))
+    key = ["ecosystem", "package"] if {"ecosystem"} <= set(cases.columns) & set(releases.columns) else ["package"]
+    urls = releases.groupBy(*key, "version").agg(F.expr("max(nullif(tarball, '')) AS tarball"))
+    known = releases.select(*key).distinct().withColumn("_known", F.lit(True))
     joined = (
-        cases.join(known, "package", "left")
-        .join(urls.selectExpr("package", "version AS unpatched_version", "nullif(tarball, '') AS unpatched_url"),
-              ["package", "unpatched_version"], "left")
-        .join(urls.selectExpr("package", "version AS patched_version", "nullif(tarball, '') AS patched_url"),
-              ["package", "patched_version"], "left")
+        cases.join(known, key, "left")
+        .join(urls.selectExpr(*key, "version AS unpatched_version", "tarball AS unpatched_url"), [*key, "unpatched_version"], "left")
+        .join(urls.selectExpr(*key, "version AS patched_version", "tarball AS patched_url"), [*key, "patched_version"], "left")
     )
     return joined.withColumn("status", F.expr(
         "CASE WHEN status IS NOT NULL THEN status WHEN _known IS NULL THEN 'skipped_no_packument' "
@@ -61,13 +60,14 @@ def resolve_pairs(cases: DataFrame, releases: DataFrame) -> DataFrame:
     )).drop("_known")
 
 
-def diff_trees(before: DataFrame, after: DataFrame, with_text: bool = False) -> DataFrame:
+def diff_trees(before: DataFrame, after: DataFrame, with_text: bool = False, max_text_bytes: int | None = None) -> DataFrame:
     """Changed files per case: ``case_id, path, change_kind, size_before, size_after, oversize``.
 
     The join runs on digests; contents are joined back only for changed files, when
-    ``with_text`` asks for them. Files above the size limit still compare by digest but
-    their text reads as empty.
+    ``with_text`` asks for them. Every text is whole, unless ``max_text_bytes`` is given: then larger files
+    are ``oversize``, compare by digest and read as empty.
     """
+    limit = "false" if max_text_bytes is None else f"{{}} > {max_text_bytes}"
     def slim(df: DataFrame, side: str) -> DataFrame:
         return df.selectExpr(
             "case_id", "path", f"sha2(content, 256) AS sha_{side}", f"cast(octet_length(content) AS bigint) AS size_{side}"
@@ -78,14 +78,13 @@ def diff_trees(before: DataFrame, after: DataFrame, with_text: bool = False) ->
         "case_id", "path",
         "CASE WHEN sha_before IS NULL THEN 'added' WHEN sha_after IS NULL THEN 'removed' ELSE 'modified' END AS change_kind",
         "coalesce(size_before, 0L) AS size_before", "coalesce(size_after, 0L) AS size_after",
-        f"greatest(coalesce(size_before, 0L), coalesce(size_after, 0L)) > {MAX_FILE_BYTES} AS oversize",
+        limit.format("greatest(coalesce(size_before, 0L), coalesce(size_after, 0L))") + " AS oversize",
     )
     if not with_text:
         return changed
 
     def text(df: DataFrame, side: str) -> DataFrame:
-        body = f"IF(octet_length(content) > {MAX_FILE_BYTES}, '', content) AS text_{side}"
-        return df.selectExpr("case_id", "path", body)
+        return df.selectExpr("case_id", "path", f"IF({limit.format('octet_length(content)')}, '', content) AS text_{side}")
 
     keys = ["case_id", "path"]
     return changed.join(text(before, "before"), keys, "left").join(text(after, "after"), keys, "left").selectExpr(
@@ -93,57 +92,64 @@ def diff_trees(before: DataFrame, after: DataFrame, with_text: bool = False) ->
     )
 
 
-def _unified(path: str, before: str, after: str) -> tuple[str, int, int]:
-    """Unified diff with three context lines, cut at the limit; counters stop at the cut."""
-    out, size, added, removed = [], 0, 0, 0
-    lines = difflib.unified_diff(
-        before.splitlines(keepends=True), after.splitlines(keepends=True), f"a/{path}", f"b/{path}", n=3
-    )
-    for line in lines:
-        added += line.startswith("+") and not line.startswith("+++")
-        removed += line.startswith("-") and not line.startswith("---")
-        if size + len(line) > MAX_DIFF_CHARS:
-            out.append(f"\n... [diff truncated at {MAX_DIFF_CHARS} bytes] ...\n")
-            break
-        out.append(line)
-        size += len(line)
-    return "".join(out), int(added), int(removed)
+CONTEXT_LINES = 3
+
+
+def _hunk(ops: list[tuple], old: list[str], new: list[str]) -> list[str]:
+    """One group of edit operations as text, with the places it covers on both sides."""
+    def extent(begin: int, end: int) -> str:
+        return f"{begin + 1 if end > begin else begin},{end - begin}"
+
+    out = [f"@@ -{extent(ops[0][1], ops[-1][2])} +{extent(ops[0][3], ops[-1][4])} @@"]
+    for kind, a, b, c, d in ops:
+        if kind == "equal":
+            out += [" " + x.rstrip("\n") for x in old[a:b]]
+        else:
+            out += ["-" + x.rstrip("\n") for x in old[a:b]] + ["+" + x.rstrip("\n") for x in new[c:d]]
+    return out
+
+
+def aligned_changes(path: str, before: str, after: str) -> tuple[str, int, int]:
+    """Whole diff text of one file, and its added and removed lines taken from the edit operations."""
+    old, new = before.splitlines(keepends=True), after.splitlines(keepends=True)
+    groups = list(difflib.SequenceMatcher(None, old, new).get_grouped_opcodes(CONTEXT_LINES))
+    edits = [op for ops in groups for op in ops if op[0] != "equal"]
+    text = [f"--- a/{path}", f"+++ b/{path}"] if edits else []
+    for ops in groups:
+        text += _hunk(ops, old, new)
+    return "\n".join(text), sum(d - c for _, _, _, c, d in edits), sum(b - a for _, a, b, _, _ in edits)
 
 
 def line_diff(changes: DataFrame) -> DataFrame:
     """Add ``unified_diff, added_lines, removed_lines`` to changed files with their texts.
 
-    Line alignment has no SQL form, so changed files go through Arrow batches; each file is
-    bounded by the file size limit.
+    An extra for readers: ``line_counts`` gives the numbers in SQL. Aligning lines has no SQL form, so the text of each
+    changed file goes through an Arrow batch, whole and without a cut.
     """
-    keep = [f for f in changes.schema.fields if f.name not in ("text_before", "text_after")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    schema += ", unified_diff string, added_lines bigint, removed_lines bigint"
-    names = [f.name for f in keep]
+    kept = [f for f in changes.schema.fields if f.name not in ("text_before", "text_after")]
+    names = [f.name for f in kept]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            diffs = [_unified(p, b, a) for p, b, a in zip(pdf["path"], pdf["text_before"], pdf["text_after"])]
-            out = pdf[names].copy()
-            out["unified_diff"] = [d[0] for d in diffs]
-            out["added_lines"] = [d[1] for d in diffs]
-            out["removed_lines"] = [d[2] for d in diffs]
-            yield out
+            found = [aligned_changes(*row) for row in zip(pdf["path"], pdf["text_before"], pdf["text_after"])]
+            text, added, removed = zip(*found) if found else ((), (), ())
+            yield pdf[names].assign(unified_diff=list(text), added_lines=list(added), removed_lines=list(removed))
 
-    return changes.mapInPandas(run, schema)
+    return changes.mapInPandas(run, schema + ", unified_diff string, added_lines bigint, removed_lines bigint")
 
 
 def line_counts(changes: DataFrame) -> DataFrame:
     """Added and removed lines as a multiset difference, without Python.
 
-    Lines are counted by digest per file, so repeated lines and huge files only add partial
-    counts. Moved lines cancel out, unlike in an aligned diff.
+    Lines are counted by 128-bit digest per file, so repeated lines and huge files only add
+    partial counts. Moved lines cancel out, unlike in an aligned diff.
     """
     sides = changes.selectExpr(
         "case_id", "path", "inline(array(struct(1 AS w, text_after AS t), struct(-1 AS w, text_before AS t)))"
     ).filter("t <> ''")
     lines = sides.selectExpr("case_id", "path", "w", "explode(split(regexp_replace(t, '\\n$', ''), '\\n')) AS line")
-    net = lines.groupBy("case_id", "path", F.xxhash64("line").alias("h"), F.length("line").alias("n")).agg(
+    net = lines.groupBy("case_id", "path", F.md5(F.encode("line", "utf-8")).alias("h")).agg(
         F.expr("sum(w) AS d")
     )
     return net.groupBy("case_id", "path").agg(
@@ -173,20 +179,26 @@ def source_match_files(package_files: DataFrame, source_files: DataFrame) -> Dat
     """Verdict per comparable package file: matched, suspicious, or NULL when not counted.
 
     Exact path first, by digest. On a miss, any source file with the same stem and digest
-    counts; the stem table is keyed by (stem, digest), so no group of same-named files is
-    collected. Build output that has no equal is left out of the count.
+    counts; the key table holds one row per path, (stem, digest) and stem, so no group of
+    same-named files is collected. Build output that has no equal is left out of the count.
     """
     pkg = package_files.filter(is_comparable("path")).selectExpr(
         "package", "path", "sha2(content, 256) AS sha", f"lower({stem('path')}) AS stem", f"{is_build_output('path')} AS is_build"
     )
     src = source_files.selectExpr("package", "path", "sha2(content, 256) AS sha", f"lower({stem('path')}) AS stem")
-    exact = src.selectExpr("package", "path", "sha AS src_sha")
-    same = src.select("package", "stem", "sha").distinct().withColumn("_same", F.lit(True))
-    any_stem = src.select("package", "stem").distinct().withColumn("_stem", F.lit(True))
-    joined = (
-        pkg.join(exact, ["package", "path"], "left")
-        .join(same, ["package", "stem", "sha"], "left")
-        .join(any_stem, ["package", "stem"], "left")
+
+    def keyed(path: str) -> str:
+        entries = (("path", path), ("same", "concat(stem, '\\u0000', sha)"), ("stem", "stem"))
+        return "array(" + ", ".join(f"struct('{what}' AS what, {key} AS key)" for what, key in entries) + ")"
+
+    # The sources are read and hashed once: every source row answers for its path, its (stem, digest) and its stem.
+    keys = src.selectExpr(
+        "package", f"inline({keyed('path')}) AS (what, key)", "sha"
+    ).groupBy("package", "what", "key").agg(F.expr("max(sha) AS src_sha"))
+    asked = pkg.selectExpr("*", f"inline({keyed('path')}) AS (what, key)")
+    joined = asked.join(keys, ["package", "what", "key"], "left").groupBy("package", "path", "sha", "is_build").agg(
+        F.expr("max(IF(what = 'path', src_sha, NULL)) AS src_sha"), F.expr("bool_or(what = 'same' AND src_sha IS NOT NULL) AS _same"),
+        F.expr("max(IF(what = 'stem' AND src_sha IS NOT NULL, true, NULL)) AS _stem"),
     )
     return joined.selectExpr(
         "package", "path",
@@ -237,28 +249,25 @@ def install_script_delta(before: str, after: str) -> str:
     )
 
 
-def pack_blocks(changes: DataFrame, cap: int) -> DataFrame:
-    """Diff blocks per case in path order until the next one would exceed ``cap`` characters.
+def pack_blocks(changes: DataFrame, cap: int | None = None) -> DataFrame:
+    """Diff blocks per case in path order, all of them or until the next one would exceed ``cap`` characters.
 
     Returns ``case_id, diff_text, truncated``: whole blocks only, then a marker line.
     """
     block = (
         "concat('--- a/', path, '\\n+++ b/', path, '\\n# change_kind=', change_kind, '\\n', unified_diff, '\\n')"
     )
-    blocks = changes.selectExpr("case_id", "path", f"{block} AS block").selectExpr(
-        "*", "cast(length(block) AS bigint) AS _n"
-    )
+    blocks = changes.selectExpr("case_id", "path", f"{block} AS block").selectExpr("*", "cast(length(block) AS bigint) AS _n")
     total = blocks.groupBy("case_id").agg(F.expr("sum(_n) AS _total"))
+    over = "false" if cap is None else f"_total > {cap}"
     # A block above the cap only ends the text, so its body need not be shuffled.
-    slim = blocks.withColumn("block", F.expr(f"IF(_n > {cap}, NULL, block)"))
-    kept = salted_prefix_prune(slim, ["case_id"], "path", "_n", f"sum_before + _n <= {cap}", "path")
+    slim = blocks if cap is None else blocks.withColumn("block", F.expr(f"IF(_n > {cap}, NULL, block)"))
+    kept = salted_prefix_prune(slim, ["case_id"], "path", "_n", None if cap is None else f"sum_before + _n <= {cap}", "path")
     packed = kept.groupBy("case_id").agg(
         F.expr("array_join(transform(array_sort(collect_list(struct(path, block))), x -> x.block), '') AS body")
     )
     return total.join(packed, "case_id", "left").selectExpr(
-        "case_id",
-        f"concat(coalesce(body, ''), IF(_total > {cap}, '... [truncated at {cap} chars] ...\\n', '')) AS diff_text",
-        f"_total > {cap} AS truncated",
+        "case_id", f"concat(coalesce(body, ''), IF({over}, '... [truncated at {cap} chars] ...\\n', '')) AS diff_text", f"{over} AS truncated",
     )
 
 

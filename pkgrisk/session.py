@@ -1,21 +1,16 @@
-"""Session helpers: local session for tests, shared folders, size-checked broadcast."""
+"""Session helpers: local session for tests, folders that all machines share."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A broadcast side may hold at most this many rows; larger sides stay ordinary
-# join inputs, where adaptive execution splits skewed partitions.
-BROADCAST_ROW_LIMIT = 200_000
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "pkgrisk") -> SparkSession:
-    """A local session for tests and benchmarks."""
+    """A local session for tests and benchmarks; a temporary checkpoint folder only where none is set."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -28,33 +23,22 @@ def local_session(cpus: int = 8, app: str = "pkgrisk") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # Python workers import this package wherever the session was started
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH", ""), root]))
+    if not checkpoint_folder(spark):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pkgrisk-"))
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder, for intermediate tables and stream output."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pkgrisk-")
+    root = checkpoint_folder(spark)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/pkgrisk-{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Keep a reduced table that several parts of one plan read.
-
-    Its lineage stays, so blocks lost with an executor are computed again. Release with
-    ``spark.catalog.clearCache()`` between jobs of a long session.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only when ``df`` is counted to hold at most ``max_rows``.
-
-    The count stops at ``max_rows + 1`` rows and the side is persisted so that the
-    join does not compute it twice. Above the bound the side is returned without
-    a hint and the join shuffles.
-    """
-    side = keep(df)
-    if side.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(side)
-    side.unpersist()
-    return df

@@ -3,48 +3,65 @@
 from __future__ import annotations
 
 import io
+import lzma
 import stat
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgrisk.operators.predicates import MAX_ARCHIVE_BYTES, MAX_FILE_BYTES, reject_reason
-from pkgrisk.session import broadcast_if_small
+from pkgrisk.operators.predicates import reject_reason
 
 # Rows are handed back in chunks of about this many bytes, whatever the archive size.
 CHUNK_BYTES = 16 * 1024 * 1024
 MEMBER_SCHEMA = "archive string, member string, size bigint, is_link boolean, content binary, problem string"
 
 
-def _members(name: str, data: bytes, password: bytes | None, max_file: int) -> Iterator[tuple]:
-    """(member, size, is_link, content) of a tar (any compression) or zip archive."""
-    if zipfile.is_zipfile(io.BytesIO(data)):
+# What damaged archives and members raise.
+DAMAGED = (tarfile.TarError, zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, OSError, ValueError)
+ZIP_MAGIC = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08")
+
+
+def _members(data: bytes, password: bytes | None, max_file: int | None) -> Iterator[tuple]:
+    """(member, size, is_link, content, problem) of a tar (any compression) or zip archive, told apart by its first bytes."""
+    def fits(size: int) -> bool:
+        return max_file is None or size <= max_file
+
+    if data[:4] in ZIP_MAGIC:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for m in z.infolist():
                 if m.is_dir():
                     continue
                 link = stat.S_ISLNK(m.external_attr >> 16)
-                body = None if link or m.file_size > max_file else z.read(m, pwd=password)
-                yield m.filename, m.file_size, link, body
+                body = problem = None
+                if not link and not fits(m.file_size):
+                    problem = "too_large"
+                elif not link:
+                    try:
+                        body = z.read(m, pwd=password)
+                    except DAMAGED as exc:  # this member only
+                        problem = f"{type(exc).__name__}: {exc}"
+                yield m.filename, m.file_size, link, body, problem
         return
     with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
         for m in t:
             if m.isdir():
                 continue
             link = m.issym() or m.islnk()
-            handle = t.extractfile(m) if m.isfile() and m.size <= max_file else None
-            yield m.name, m.size, link, handle.read() if handle else None
+            large = m.isfile() and not fits(m.size)
+            handle = t.extractfile(m) if m.isfile() and not large else None
+            yield m.name, m.size, link, handle.read() if handle else None, "too_large" if large else None
 
 
-def explode_archives(archives: DataFrame, max_file_bytes: int = MAX_FILE_BYTES, zip_password: str | None = None) -> DataFrame:
+def explode_archives(archives: DataFrame, max_file_bytes: int | None = None, zip_password: str | None = None) -> DataFrame:
     """``(path, content)`` archives → one row per member with ``reject_reason`` (NULL when safe).
 
-    Rejected members carry no content; files above the limit carry their size only. An
-    unreadable archive gives one row with its ``problem``.
+    Rejected members carry no content. Members above ``max_file_bytes``, if given, are rejected as ``too_large``;
+    damaged members and archives give one row each with their ``problem``, and reading goes on.
     """
     password = zip_password.encode() if zip_password else None
 
@@ -54,29 +71,40 @@ def explode_archives(archives: DataFrame, max_file_bytes: int = MAX_FILE_BYTES,
             rows, held = [], 0
             for path, data in zip(pdf["path"], pdf["content"]):
                 try:
-                    for member, size, link, body in _members(path, data, password, max_file_bytes):
-                        rows.append((path, member, size, link, body, None))
+                    for member, size, link, body, problem in _members(data, password, max_file_bytes):
+                        rows.append((path, member, size, link, body, problem))
                         held += len(body or b"")
                         if held > CHUNK_BYTES:
                             yield pd.DataFrame(rows, columns=columns)
                             rows, held = [], 0
-                except (tarfile.TarError, zipfile.BadZipFile, RuntimeError, EOFError, OSError) as exc:
+                except DAMAGED as exc:
                     rows.append((path, None, None, None, None, f"{type(exc).__name__}: {exc}"))
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
     members = archives.select("path", "content").mapInPandas(run, MEMBER_SCHEMA)
-    reasoned = members.withColumn("reject_reason", F.expr(f"coalesce({reject_reason('member', 'is_link')}, IF(problem IS NULL, NULL, 'unreadable'))"))
-    return reasoned.withColumn("content", F.expr("IF(reject_reason IS NULL, content, NULL)"))
+    reason = f"coalesce({reject_reason('member', 'is_link')}, CASE WHEN problem = 'too_large' THEN problem WHEN problem IS NOT NULL THEN 'unreadable' END)"
+    return members.withColumn("reject_reason", F.expr(reason)).withColumn("content", F.expr("IF(reject_reason IS NULL, content, NULL)"))
 
 
 def read_archives(
-    spark: SparkSession, path: str, max_archive_bytes: int = MAX_ARCHIVE_BYTES, max_file_bytes: int = MAX_FILE_BYTES,
+    spark: SparkSession, path: str, max_archive_bytes: int | None = None, max_file_bytes: int | None = None,
     zip_password: str | None = None,
 ) -> DataFrame:
-    """Members of every archive below ``path``; the size filter is pushed to the file listing."""
+    """Members of every archive below ``path``.
+
+    With ``max_archive_bytes`` larger archives are not opened and give one ``too_large`` row each; the limit is pushed
+    to the file listing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return explode_archives(files.filter(F.col("length") <= max_archive_bytes), max_file_bytes, zip_password)
+    if max_archive_bytes is None:
+        return explode_archives(files, max_file_bytes, zip_password)
+    opened = explode_archives(files.filter(F.col("length") <= max_archive_bytes), max_file_bytes, zip_password)
+    closed = files.filter(F.col("length") > max_archive_bytes).selectExpr(
+        "path AS archive", "cast(NULL AS string) AS member", "length AS size", "cast(NULL AS boolean) AS is_link",
+        "cast(NULL AS binary) AS content", "'too_large' AS problem", "'too_large' AS reject_reason",
+    )
+    return opened.unionByName(closed)
 
 
 def strip_top_level(files: DataFrame, archive: str = "archive", path: str = "path") -> DataFrame:
@@ -85,7 +113,7 @@ def strip_top_level(files: DataFrame, archive: str = "archive", path: str = "pat
     roots = files.groupBy(archive).agg(
         F.expr(f"bool_or(startswith({path}, 'package/')) AS _pkg"), F.expr(f"min({top}) AS _lo"), F.expr(f"max({top}) AS _hi")
     ).selectExpr(archive, "CASE WHEN _pkg THEN 'package/' WHEN _lo = _hi THEN concat(_lo, '/') ELSE '' END AS _root")
-    joined = files.join(broadcast_if_small(roots), archive)
+    joined = files.join(roots, archive)
     inside = joined.filter(f"startswith({path}, _root)")
     return inside.withColumn(path, F.expr(f"substring({path}, length(_root) + 1)")).drop("_root")
 

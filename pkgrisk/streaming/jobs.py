@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +18,6 @@ SCAN_SCHEMA = (
     "record_type string, ecosystem string, normalized_name string, package_name string, version string, "
     "source_file string, confidence string"
 )
-STATE_SCHEMA = "key string, state string, reason string, added timestamp"
 
 
 def read_scan_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -47,12 +46,38 @@ def decision_counters(audit: DataFrame, width: str = "1 hour", lateness: str = "
 
 
 def counters_stream(audit: DataFrame, out: str, checkpoint: str, width: str = "1 hour", lateness: str = "10 minutes") -> StreamingQuery:
+    """Counts per window, open windows included: every micro-batch writes the windows that it changed.
+
+    Read with ``latest_counters``. The watermark bounds the state; rows later than that are not counted.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
     return (
-        decision_counters(audit, width, lateness).writeStream.outputMode("append").format("parquet")
-        .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        decision_counters(audit, width, lateness).writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def latest_counters(spark: SparkSession, out: str) -> DataFrame:
+    """The newest count of every window and decision."""
+    batches = spark.read.schema("window_start timestamp, decision string, n bigint, batch bigint").parquet(out)
+    return batches.groupBy("window_start", "decision").agg(F.expr("max_by(n, batch) AS n"))
+
+
+# Stored keys are divided into folders by hash, so a micro-batch reads those of its own keys only.
+BUCKETS = 256
+
+
+def _bucket(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+
+
+def _touched(keys: DataFrame) -> list[int]:
+    """Numbers of the folders that hold the keys: at most BUCKETS."""
+    return [r[0] for r in keys.select("bucket").distinct().collect()]
+
+
 def first_seen_stream(
     spark: SparkSession, audit: DataFrame, out: str, checkpoint: str, order: str = "ts, event_id"
 ) -> StreamingQuery:
@@ -62,38 +87,47 @@ def first_seen_stream(
     package asked for very often costs one row per task and not a crowded state store.
     """
     columns = [c for c in audit.columns if c not in ("package", "version")]
-    schema = audit.selectExpr("package", "version").schema.add("batch", "long")
+    schema = audit.selectExpr("package", "version").schema.add("batch", "long").add("bucket", "integer")
 
     def write(batch: DataFrame, epoch: int) -> None:
         first = batch.groupBy("package", "version").agg(
             F.expr(f"min_by(struct({', '.join(columns)}), struct({order})) AS _r")
-        ).select("package", "version", "_r.*")
+        ).select("package", "version", "_r.*").withColumn("bucket", _bucket("package", "version"))
         if epoch > 0:
-            seen = spark.read.schema(schema).parquet(out).filter(F.col("batch") < epoch)
+            stored = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*")
+            seen = stored.filter(F.col("bucket").isin(_touched(first)) & (F.col("batch") < epoch))
             first = first.join(seen.select("package", "version"), ["package", "version"], "left_anti")
-        first.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        first.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={epoch}")
 
     return audit.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+LOG_SCHEMA = "key string, ts timestamp, seq bigint, action string, state string, rationale string, batch bigint, bucket int"
+CHANGE_SCHEMA = "key string, state string, reason string, added timestamp, version bigint"
+
+
 def state_stream(spark: SparkSession, events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Fold state events as they arrive: every micro-batch writes the next version of the state table.
+    """Fold state events as they arrive, in any order.
 
-    The fold is the batch operator applied to the touched keys and their carried state,
-    so no key's history is ever held in one task's memory.
+    Events are kept in ``out/log``, in folders by key hash. A micro-batch folds the whole history of its own keys with
+    the batch operator, so a late event has the effect that it has there, and writes the state of these keys only, to
+    ``out/state``. A key that is left without a state gets a row without one.
     """
-
     def write(batch: DataFrame, epoch: int) -> None:
-        if epoch == 0:
-            before = spark.createDataFrame([], STATE_SCHEMA)
-        else:
-            before = spark.read.schema(STATE_SCHEMA).parquet(f"{out}/version={epoch - 1}")
-        history.advance_state(before, batch).write.mode("overwrite").parquet(f"{out}/version={epoch}")
+        fresh = batch.selectExpr("key", "cast(ts AS timestamp) AS ts", "cast(seq AS bigint) AS seq", "action", "state", "rationale")
+        fresh = fresh.withColumn("bucket", _bucket("key"))
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/log/batch={epoch}")
+        log = spark.read.schema(LOG_SCHEMA).option("basePath", f"{out}/log").parquet(f"{out}/log/batch=*")
+        keys = fresh.select("key", "bucket").distinct()
+        history_ = log.filter(F.col("bucket").isin(_touched(keys)) & (F.col("batch") <= epoch)).join(keys.select("key"), "key", "left_semi")
+        folded = history.fold_state(history.checked_events(history_.drop("batch", "bucket")))
+        keys.select("key").join(folded, "key", "left").write.mode("overwrite").parquet(f"{out}/state/version={epoch}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_state(spark: SparkSession, out: str) -> DataFrame:
-    versions = spark.read.schema(STATE_SCHEMA + ", version bigint").parquet(out)
-    newest = versions.agg({"version": "max"}).first()[0]  # a folder number
-    return versions.filter(f"version = {newest}").drop("version")
+    """Every key's rows of the newest version that touched it."""
+    changes = spark.read.schema(CHANGE_SCHEMA).parquet(f"{out}/state")
+    newest = changes.groupBy("key").agg(F.max("version").alias("version"))
+    return changes.join(newest, ["key", "version"], "left_semi").filter("state IS NOT NULL").drop("version")

@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.text import shannon_entropy
-from pkgrisk.operators import features, history, metrics, ordering, selection, splits, stats, treediff
+from pkgrisk.operators import features, gate, history, metrics, ordering, selection, splits, stats, treediff
 
 
 def test_dotfile_writes_brute_force(spark):
@@ -83,11 +83,14 @@ def test_diff_of_a_tree_with_itself_is_empty(spark):
     assert treediff.diff_trees(t, t).count() == 0
 
 
-def test_oversize_files_compare_by_digest(spark):
-    big = "x" * (2 * 1024 * 1024 + 1)
+def test_large_files_are_compared_whole(spark):
+    big = "x\n" * (1024 * 1024 + 1)
     a = spark.createDataFrame([("c", "a.js", big)], "case_id string, path string, content string")
-    b = spark.createDataFrame([("c", "a.js", big + "y")], "case_id string, path string, content string")
-    row = treediff.diff_trees(a, b, with_text=True).first()
+    b = spark.createDataFrame([("c", "a.js", big + "y\n")], "case_id string, path string, content string")
+    changes = treediff.diff_trees(a, b, with_text=True)
+    row = treediff.line_counts(changes).first()
+    assert (row.added_lines, row.removed_lines) == (1, 0) and not changes.first().oversize
+    row = treediff.diff_trees(a, b, True, max_text_bytes=100).first()
     assert row.change_kind == "modified" and row.oversize and row.text_before == row.text_after == ""
 
 
@@ -97,10 +100,41 @@ def test_line_diff_text(spark):
     assert (row.added_lines, row.removed_lines) == (1, 1) and row.unified_diff.startswith("--- a/a.js\n+++ b/a.js\n@@ -1,3 +1,3 @@")
 
 
-def test_line_diff_is_cut(spark):
+def test_line_diff_is_whole(spark):
     df = spark.createDataFrame([("c", "a.js", "added", "", "line of text\n" * 9000)], "case_id string, path string, change_kind string, text_before string, text_after string")
     row = treediff.line_diff(df).first()
-    assert len(row.unified_diff) < 51400 and "truncated at 51200" in row.unified_diff and row.added_lines < 9000
+    assert row.added_lines == 9000 and row.unified_diff.count("\n+line of text") == 9000 and "@@ -0,0 +1,9000 @@" in row.unified_diff
+
+
+def test_cases_are_not_multiplied(spark):
+    cases = spark.createDataFrame([("npm", "p", "1", "2", None)], "ecosystem string, package string, unpatched_version string, patched_version string, status string")
+    releases = spark.createDataFrame([(e, "p", v, f"{e}{v}") for e in ("npm", "pypi") for v in ("1", "2", "2")], "ecosystem string, package string, version string, tarball string")
+    row, = treediff.resolve_pairs(cases, releases).collect()
+    assert (row.unpatched_url, row.patched_url, row.status) == ("npm1", "npm2", "tarball_diff")
+    assert treediff.resolve_pairs(cases.drop("ecosystem"), releases).count() == 1
+
+
+def test_one_gate_verdict_for_several_environments(spark):
+    scan = spark.createDataFrame([("p", "1"), ("p", "9"), ("q", "1")], "package string, version string")
+    rows = [("p", "1", env, v, [v]) for env, v in (("dev", "allow"), ("prod", "block"), ("preprod", "quarantine"))]
+    decisions = spark.createDataFrame(rows, "package string, version string, env string, verdict string, failed_rules array<string>")
+    assert sorted(r.decision for r in gate.gate_inventory(scan, decisions).collect()) == ["block", "error", "not-found"]
+    assert sorted(r.decision for r in gate.gate_inventory(scan, decisions, "dev").collect()) == ["allow", "error", "not-found"]
+
+
+def test_operators_start_no_job_and_keep_nothing(spark):
+    files = spark.range(200).selectExpr("concat('p', id % 3) AS package", "concat(id, '.js') AS path", "repeat('x', cast(id % 50 AS int)) AS content", "cast(id AS bigint) AS size", "current_timestamp() AS mtime", "'t' AS tenant", "cast(id % 2 AS int) AS label")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "building plans only")
+    try:
+        history.plan_eviction(files, 500)
+        splits.stratified_split(files, ["label"], "path", 0.8, 0.1)
+        stats.tree_digest(files)
+    finally:
+        started = tracker.getJobIdsForGroup("plans")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(started) == []
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
 
 
 def test_file_bytes_are_cut_on_a_character(spark):
@@ -263,13 +297,16 @@ def test_state_fold_against_sequential(spark, seed):
     assert {(r.key, r.state, r.reason) for r in state.collect()} == want
 
 
-def test_tree_digest_small_and_large(spark):
+def test_tree_digest(spark):
     import hashlib
 
+    def sha(b):
+        return hashlib.sha256(b).hexdigest()
+
     df = spark.createDataFrame([("p", "b.js", "2"), ("p", "a.js", "1"), ("q", "a", "x" * 50)], "package string, path string, content string")
-    got = {r.package: r for r in stats.tree_digest(df, max_bytes=30).collect()}
-    assert got["p"].digest == hashlib.sha256(b"a.js\x001b.js\x002").hexdigest()
-    assert got["q"].digest is None and got["q"].fingerprint
+    got = {r.package: r for r in stats.tree_digest(df).collect()}
+    assert got["p"].digest == sha(f"a.js\0{sha(b'1')}\nb.js\0{sha(b'2')}".encode())
+    assert got["q"].digest == sha(f"a\0{sha(b'x' * 50)}".encode()) and got["q"].fingerprint
 
 
 def test_augmented_variants(spark):
@@ -329,6 +366,8 @@ def test_classification_rows_respect_the_cap(spark):
         "'c' AS case_id", "concat('lib/', lpad(id, 5, '0'), '.js') AS path", "'modified' AS change_kind", "1L AS added_lines", "1L AS removed_lines", "repeat('x', 200) AS unified_diff"
     )
     rows = builders.pairs_to_classification(pairs, changes).collect()
+    assert all(r.text.count("# change_kind=") == 3000 and r.text.count("] lib/") == 3000 for r in rows)  # whole, unless asked otherwise
+    rows = builders.pairs_to_classification(pairs, changes, max_chars=32 * 1024).collect()
     assert {r.label for r in rows} == {0, 1} and all(len(r.text) <= 32 * 1024 and r.n_files_changed == 3000 for r in rows)
     assert all("[text truncated]" in r.text for r in rows)
 

@@ -40,7 +40,7 @@ def test_unknown_environment_falls_back():
     assert environments.pick(environments.resolve(), "nowhere").name == "preprod"
 
 
-def test_overrides_and_new_environment(tmp_path):
+def test_overrides_and_new_environment(spark, tmp_path):
     path = tmp_path / "env.json"
     path.write_text(json.dumps({"environments": {
         "prod": {"min_release_age_days": 21, "log_only": "yes", "install_scripts": "maybe"},
@@ -52,11 +52,16 @@ def test_overrides_and_new_environment(tmp_path):
     assert "broken" not in d
 
 
-def test_yaml_overrides(tmp_path):
+def test_yaml_overrides(spark, tmp_path):
     path = tmp_path / "env.yaml"
     path.write_text("environments:\n  dev:\n    log_only: off\n")
     assert environments.load(str(path))["dev"].log_only is False
-    assert environments.load(str(tmp_path / "absent.yaml"))["dev"].log_only is True
+    assert environments.load(None)["dev"].log_only is True
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):  # policy never falls back without notice
+        environments.load(str(tmp_path / "absent.yaml"))
+    path.write_text("environments: [unclosed")
+    with pytest.raises(Exception):
+        environments.load(str(path))
 
 
 def test_future_release_fails_but_dev_is_advisory(spark):

@@ -59,7 +59,9 @@ def test_archives(spark, tmp_path):
     (tmp_path / "in" / "huge.tgz").write_bytes(b"0" * 5000)
     got = {r.member: (r.reject_reason, r.content) for r in archives.read_archives(spark, str(tmp_path / "in"), 4000, 50).collect()}
     assert got["package/x.js"] == (None, b"1") and got["../y"] == ("parent_segment", None)
-    assert got["package/big"] == (None, None) and got["/abs"][0] == "absolute_path" and len(got) == 5
+    assert got["package/big"] == ("too_large", None) and got["/abs"][0] == "absolute_path" and got[None] == ("too_large", None) and len(got) == 6
+    whole = {r.member: r.reject_reason for r in archives.read_archives(spark, str(tmp_path / "in")).collect()}
+    assert whole["package/big"] is None and whole[None] == "unreadable"
 
 
 def test_package_tree_strips_the_top_folder(spark, tmp_path):
@@ -156,6 +158,67 @@ def test_gate_stream_equals_batch_over_several_files(spark, tmp_path):
     assert gate.gate_summary(spark.read.parquet(str(tmp_path / "out"))).first().any_block
 
 
+def test_gate_stream_sees_policy_that_changes_between_batches(spark, tmp_path):
+    for i in range(2):
+        write(tmp_path / "in" / f"{i}.json", json.dumps(dict(zip(FIELDS, SCAN[1]))))
+    policy = str(tmp_path / "policy")
+    verdicts = iter(["allow", "block"])
+
+    def decisions():
+        rows = [("p1", "1.0", next(verdicts), [])]
+        spark.createDataFrame(rows, "package string, version string, verdict string, failed_rules array<string>").write.mode("overwrite").parquet(policy)
+        return spark.read.parquet(policy)
+
+    stream = jobs.read_scan_stream(spark, str(tmp_path / "in"), max_files=1)
+    jobs.gate_stream(stream, decisions, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {(r.batch, r.decision) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(0, "allow"), (1, "block")}
+
+
+def test_late_events_in_a_stream_have_their_effect(spark, tmp_path):
+    rows = [
+        ("k", "2024-01-01 00:10:00", 2, "promote", None, None), ("k", "2024-01-01 00:05:00", 1, "add", "quarantined", "a reason long enough"),
+        ("l", "2024-01-01 00:07:00", 4, "add", "blocked", "a reason long enough"), ("k", "2024-01-01 00:01:00", 0, "add", "quarantined", "the first reason given"),
+        ("m", "2024-01-01 00:00:00", 5, "promote", None, None),
+    ]
+    df = spark.createDataFrame(rows, "key string, ts string, seq bigint, action string, state string, rationale string").selectExpr("key", "cast(ts AS timestamp) AS ts", "seq", "action", "state", "rationale")
+    for i in range(len(rows)):  # five files, each a micro-batch, in the order above
+        df.filter(f"seq = {rows[i][2]}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.state_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {(r.key, r.state, r.reason) for r in jobs.latest_state(spark, str(tmp_path / "out")).collect()}
+    want = {(r.key, r.state, r.reason) for r in history.fold_state(history.checked_events(df)).collect()}
+    assert got == want and ("k", "allowlist", "a reason long enough") in got
+
+
+def test_damaged_archives_and_members(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("good.js", b"fine " * 500)
+        z.writestr("bad.js", bytes(range(256)) * 40)
+    raw = bytearray(buf.getvalue())
+    at = raw.index(b"bad.js") + 6
+    raw[at:at + 60] = b"\xff" * 60
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("x", b"y")
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as t:  # a tar that ends in an uncompressed zip is a tar
+        info = tarfile.TarInfo("last.zip")
+        info.size = len(inner.getvalue())
+        t.addfile(info, io.BytesIO(inner.getvalue()))
+    rows = [("zip", bytes(raw)), ("tar", tar.getvalue()), ("xz", b"\xfd7zXZ\x00" + b"\x01" * 50), ("gz", b"\x1f\x8b\x08" + b"\x02" * 50)]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = {(r.archive, r.member): (r.reject_reason, r.content is not None) for r in archives.explode_archives(df).collect()}
+    assert got[("zip", "good.js")] == (None, True) and got[("zip", "bad.js")] == ("unreadable", False)
+    assert got[("tar", "last.zip")] == (None, True)
+    assert got[("xz", None)] == got[("gz", None)] == ("unreadable", False)
+
+
 def test_state_stream_equals_batch_over_several_files(spark, tmp_path):
     from pyspark.sql import functions as F
 
@@ -187,7 +250,7 @@ def test_json_parsing_is_strict(spark, text):
     assert got is good
 
 
-def test_thresholds_and_catalog(tmp_path):
+def test_thresholds_and_catalog(spark, tmp_path):
     from pkgrisk.sources import config
 
     assert config.load_thresholds() == {"allow_below": 0.05, "block_from": 0.3}
