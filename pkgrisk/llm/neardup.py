@@ -242,11 +242,20 @@ def _rest_links(members: DataFrame, comps: DataFrame, sets: DataFrame, per_cent:
     placed = stored(
         members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label"), "placed",
     )
-    still = stored(placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"), "open")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    # a bucket's largest component is not compared within itself: its chunks meet those of all others only
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
+    still = stored(
+        parts.groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("main"), F.sum("n_comp").alias("n_all")).where("n_all > main.n_comp")
+        .select(
+            "key", F.col("main.comp").alias("main"), F.ceil((F.col("n_all") - F.col("main.n_comp")) / CHUNK).cast("int").alias("rests"),
+            F.ceil(F.col("main.n_comp") / CHUNK).cast("int").alias("mains"),
+        ), "open",
+    )
+    is_main = F.col("comp") == F.col("main")
     opened = (
-        placed.join(still, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        placed.join(still, "key")
+        .withColumn("chunk", F.when(is_main, F.col("rests") + F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.pmod(F.xxhash64("rep"), "rests")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rests") + F.when(is_main, 0).otherwise(F.col("mains")) - 1)))
         .withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     )
     return (
