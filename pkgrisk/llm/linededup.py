@@ -26,6 +26,8 @@ PROBES = 4
 #: bytes of one filter at most; beyond it the share of suspects grows, the result stays the same
 FILTER_BYTES = 16 << 20
 SEGMENT = 1 << 16
+#: input partitions that one task puts into one filter, at most, where there are more than twice the cores
+PARTS_A_TASK = 32
 NO_ID = (1 << 63) - 1
 
 
@@ -122,7 +124,8 @@ def repeat_filter(docs: DataFrame, text_col: str, filter_bytes: int = FILTER_BYT
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select((F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("n")).agg(F.sum("n")).first()[0] or 0
     bits = 1 << max(19, min(filter_bytes * 8, lines * BITS_A_LINE).bit_length() - 1)
-    tasks = 2 * spark.sparkContext.defaultParallelism
+    parts = docs.select(text_col).rdd.getNumPartitions()
+    tasks = max(1, min(parts, max(2 * spark.sparkContext.defaultParallelism, parts // PARTS_A_TASK)))
     built = docs.select(text_col).coalesce(tasks).mapInArrow(_build(bits), "segment int, once binary, twice binary")
     merged = built.repartition(max(1, min(tasks, bits // 8 // SEGMENT)), "segment").mapInArrow(_merge, "segment int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
