@@ -24,8 +24,8 @@ from pkgrisk.llm.flat import ALNUM, Texts, Words, blocks, byte_table, small_batc
 from pkgrisk.llm.shared import fresh
 
 #: labelled documents of each class that the model is fitted on, at most, and the longest of them
-SAMPLE_DOCS = 1500
-SAMPLE_CHARS = 40_000
+SAMPLE_DOCS = 1200
+SAMPLE_CHARS = 16_000
 CHAIN = 256
 REJECT = 0.3
 SPAN, DOUBT = 0.5, 0.25
