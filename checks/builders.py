@@ -273,8 +273,29 @@ def _(spark, sf):
     return augment.plan_variants(pk, augment.SAMPLE_CATALOG, 2, 5).select("variant_package", "pattern_id", "token")
 
 
-@query("augment")
+@query(
+    "augment",
+    with_views("pkg_files")
+    + """, d AS (SELECT DISTINCT package, v, CAST('0x' || substring(sha256(concat('5|', package, '|', v)), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE * 17 AS u FROM pkg_files, (SELECT unnest(range(2)) AS v)),
+      i AS (SELECT *, CASE WHEN u < 2 THEN 'marker-doc' WHEN u < 12 THEN 'marker-install' ELSE 'marker-lib' END AS item FROM d),
+      h AS (SELECT *, sha256(concat('5|', package, '|', v, '|', item)) AS h FROM i),
+      p AS (SELECT concat(item, '/', package, '__v', v) AS variant_package, item AS pattern_id, package AS source_benign, substring(h, 1, 8) AS token,
+        ['north', 'south', 'east'][CAST('0x' || substring(h, 9, 4) AS BIGINT) % 3 + 1] AS place FROM h),
+      f AS (SELECT variant_package, path, pattern_id, source_benign, CASE WHEN path = 'package.json' AND pattern_id = 'marker-lib' THEN
+          concat('echo ', token, ' fixed|', json_extract_string(content, '$.scripts.test'), '|true|', json_extract_string(content, '$.name'))
+          WHEN path = 'package.json' AND pattern_id = 'marker-doc' THEN sha256(replace(content, 'install', concat('marker ', token))) ELSE sha256(content) END AS digest
+        FROM p JOIN pkg_files ON package = source_benign WHERE NOT (pattern_id = 'marker-install' AND path = 'postinstall.js')
+        UNION ALL SELECT variant_package, CASE pattern_id WHEN 'marker-install' THEN 'postinstall.js' WHEN 'marker-lib' THEN 'lib/extra.js' ELSE 'NOTES.md' END, pattern_id, source_benign,
+          sha256(CASE pattern_id WHEN 'marker-install' THEN concat('// placeholder ', token, chr(10), 'var _v_', token, '_note = 1;', chr(10)) WHEN 'marker-lib' THEN concat('// placeholder ', token, ' ', place, chr(10)) ELSE concat('placeholder ', token, chr(10)) END) FROM p
+        UNION ALL SELECT variant_package, 'README.md', pattern_id, source_benign, sha256(concat('see ', place, chr(10))) FROM p WHERE pattern_id = 'marker-doc'
+        UNION ALL SELECT variant_package, 'package.json', pattern_id, source_benign, concat('echo ', token, ' fixed||true|') FROM p WHERE pattern_id = 'marker-lib' AND source_benign NOT IN (SELECT package FROM pkg_files WHERE path = 'package.json'))
+      SELECT variant_package, path, pattern_id, source_benign, 1 AS label, digest FROM f""",
+)
 def _(spark, sf):
     files = view(spark, sf, "pkg_files").select("package", "path", "content")
     out = augment.augment(files.select("package").distinct(), files, augment.SAMPLE_CATALOG, 2, 5)
-    return out.selectExpr("variant_package", "path", "pattern_id", "source_benign", "label", "sha2(content, 256) AS digest")
+    probe = ", '|', ".join(f"coalesce(get_json_object(content, '$.{k}'), '')" for k in ("scripts.note", "scripts.test", "marked", "name"))
+    return out.selectExpr(
+        "variant_package", "path", "pattern_id", "source_benign", "label",
+        f"IF(path = 'package.json' AND pattern_id = 'marker-lib', concat({probe}), sha2(content, 256)) AS digest",
+    )

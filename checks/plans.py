@@ -11,6 +11,7 @@ from checks.registry import query
 from checks.views import table, view
 from pkgrisk.operators import features, gate, responses
 from pkgrisk.plans import model, seeding
+from pkgrisk.session import shared_folder
 
 
 @query(
@@ -48,8 +49,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = table(spark, sf, "lineitem").selectExpr("l_quantity", "l_discount", "IF(l_linenumber <> 3, l_tax, NULL) AS gap")
-    mid = model.medians(df, ["l_quantity", "l_discount", "gap"])
-    return df.sparkSession.createDataFrame(sorted(mid.items()), "name string, value double")
+    return model.median_rows(df, ["l_quantity", "l_discount", "gap"])
 
 
 @query(
@@ -92,6 +92,29 @@ def _(spark, sf):
     return out.selectExpr("package_name", "round(score, 6) AS score", "decision")
 
 
+@query(
+    "cross_validate_folds",
+    """WITH r AS (SELECT label, (row_number() OVER (ORDER BY label) - 1) % 3 AS fold FROM (SELECT doc_id % 2 AS label FROM documents))
+      SELECT fold, count(*) AS n_val, count(*) FILTER (label = 1) AS n_pos, true AS in_range FROM r GROUP BY fold""",
+)
+def _(spark, sf):
+    rec = features.extract_features(view(spark, sf, "records").withColumn("label", F.expr("cast(doc_id % 2 AS int)")))
+    cols = ["total_size_bytes", "mean_identifier_length", "package_name_length"]
+    matrix = model.feature_matrix(rec, cols, model.medians(rec, cols)).select("package_name", "label", "features")
+    out = model.cross_validate(matrix, "package_name", k=3, rounds=2, depth=2)
+    return out.selectExpr("fold", "n_val", "n_pos", "f1 BETWEEN 0 AND 1 AND auroc BETWEEN 0 AND 1 AND pr_auc BETWEEN 0 AND 1 AS in_range")
+
+
+@query("saved_model_scores", "SELECT count(*) AS n, count(*) AS n_equal, count(*) AS n_in_range FROM documents")
+def _(spark, sf):
+    rec = view(spark, sf, "records").withColumn("label", F.expr("doc_id % 2"))
+    fitted = model.fit(features.extract_features(rec), features.NUMERIC, "package_name", k=0, rounds=2, depth=2)
+    path = shared_folder(spark, "model")
+    fitted.save(path)
+    old, new = (model.batch_score(rec, m).select("package_name", F.col("score").alias(c)) for m, c in ((fitted, "a"), (model.load(spark, path), "b")))
+    return old.join(new, "package_name").agg(F.expr("count(*) AS n"), F.expr("count_if(a = b) AS n_equal"), F.expr("count_if(a BETWEEN 0 AND 1) AS n_in_range"))
+
+
 @query("batch_score_model")
 def _(spark, sf):
     rec = view(spark, sf, "records").withColumn("label", F.expr("doc_id % 2"))

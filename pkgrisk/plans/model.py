@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgrisk.operators import features, metrics, splits
 from pkgrisk.operators.ordering import kth_values
+from pkgrisk.session import shared_folder
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
@@ -20,16 +23,22 @@ def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, numeric) and f.name not in exclude]
 
 
-def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact median per column (mean of the middle two), 0 where nothing is known; one small row per column.
+def median_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``name, value``: exact median per column (mean of the middle two), 0 where nothing is known.
 
     All columns go through one pass: (column, value) pairs reduced to counts per value.
     """
     pairs = ", ".join(f"struct('{c}' AS name, cast({c} AS double) AS v)" for c in columns)
     long = df.selectExpr(f"inline(array({pairs}))").filter("v IS NOT NULL AND NOT isnan(v)")
     mid = kth_values(long, "v", {"lo": "floor((n + 1) / 2)", "hi": "floor(n / 2) + 1"}, ["name"])
-    found = {r["name"]: (r["lo"] + r["hi"]) / 2 for r in mid.collect()}  # one row per feature column
-    return {c: found.get(c, 0.0) for c in columns}
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "name string")
+    return names.join(mid, "name", "left").selectExpr("name", "coalesce((lo + hi) / 2, 0D) AS value")
+
+
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """``median_rows`` as a mapping: one number for each feature column."""
+    found = {r["name"]: r["value"] for r in median_rows(df, columns).collect()}
+    return {c: found[c] for c in columns}
 
 
 def feature_matrix(df: DataFrame, columns: Sequence[str], fill: dict[str, float]) -> DataFrame:
@@ -57,7 +66,10 @@ def cross_validate(
     matrix: DataFrame, key: str, label: str = "label", k: int = 5, seed: int = 42, threshold: float = 0.5, **kwargs
 ) -> DataFrame:
     """One row of metrics per fold; folds are scored together, so metrics take one pass over all of them."""
-    folded = splits.kfold(matrix, label, key, k, seed).persist()
+    spark = matrix.sparkSession
+    path = shared_folder(spark, "folds")
+    splits.kfold(matrix, label, key, k, seed).write.parquet(path)
+    folded = spark.read.parquet(path)
     parts = []
     for i in range(k):
         model = train(folded.filter(F.col("fold") != i), label, seed, **kwargs)
@@ -65,7 +77,9 @@ def cross_validate(
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
-    scored = scored.persist()
+    path = shared_folder(spark, "fold-scores")  # the models run once, the metrics read their scores
+    scored.write.parquet(path)
+    scored = spark.read.parquet(path)
     f1 = scored.groupBy("fold").agg(
         F.expr("count(*) AS n_val"), F.expr(f"count_if({label} = 1) AS n_pos"),
         F.expr(f"count_if({label} = 1 AND score >= {threshold}D) AS tp"), F.expr(f"count_if({label} = 0 AND score >= {threshold}D) AS fp"),
@@ -76,16 +90,58 @@ def cross_validate(
     return f1.join(roc, "fold").join(ap, "fold")
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A trained model with all that scoring needs: columns, fill values and how it was trained."""
+
+    model: GBTClassificationModel
+    columns: list[str]
+    fill: dict[str, float]
+    about: dict
+
+    def save(self, path: str) -> None:
+        """Model and metadata below ``path``, a folder that all machines share."""
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{path}/model")
+        meta = json.dumps({"columns": self.columns, "fill": self.fill, "about": self.about})
+        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def fit(df: DataFrame, columns: Sequence[str], key: str, label: str = "label", k: int = 5, seed: int = 42, **kwargs) -> Fitted:
+    """Cross-validate, then train on all rows; the fold metrics and their means go into the metadata."""
+    columns = list(columns)
+    fill = medians(df, columns)
+    matrix = feature_matrix(df, columns, fill).select(key, label, "features")
+    folds = [r.asDict() for r in cross_validate(matrix, key, label, k, seed, **kwargs).orderBy("fold").collect()] if k else []  # one row each
+    total = matrix.agg(F.expr("count(*) AS n"), F.expr(f"count_if({label} = 1) AS p")).first()
+    if not 0 < total["p"] < total["n"]:
+        raise ValueError("training needs both classes")
+    means = {m: sum(f[m] for f in folds) / len(folds) for m in ("f1", "auroc", "pr_auc")} if folds else {}
+    about = {"n_train_rows": total["n"], "positive_rate": total["p"] / total["n"], "seed": seed, "fold_metrics": folds, "cv_summary": means}
+    return Fitted(train(matrix, label, seed, **kwargs), columns, fill, about)
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    meta = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/meta").collect()))
+    return Fitted(GBTClassificationModel.load(f"{path}/model"), meta["columns"], meta["fill"], meta["about"])
+
+
 def batch_score(
-    packages: DataFrame, model: GBTClassificationModel | None = None, columns: Sequence[str] = (), fill: dict[str, float] | None = None
+    packages: DataFrame, model: Fitted | GBTClassificationModel | None = None, columns: Sequence[str] = (), fill: dict[str, float] | None = None
 ) -> DataFrame:
-    """Score packages with the model when given, else heuristically; same feature code as training."""
+    """Score packages with the model when given, else heuristically; same feature code as training.
+
+    A bare model needs its columns and fill values: other values than those of the training would change scores.
+    """
+    if isinstance(model, Fitted):
+        model, columns, fill = model.model, model.columns, model.fill
     feats = features.extract_features(packages)
     if model is None:
         scored = features.heuristic_score(feats).withColumn("model", F.lit("heuristic"))
     else:
-        zero = fill or dict.fromkeys(columns, 0.0)
-        scored = features.model_evidence(predict(model, feature_matrix(feats, columns, zero))).withColumn("model", F.lit("gbt"))
+        if fill is None or set(columns) - set(fill):
+            raise ValueError("a model is scored with the fill values that it was trained with")
+        scored = features.model_evidence(predict(model, feature_matrix(feats, columns, fill))).withColumn("model", F.lit("gbt"))
     return features.threshold_decide(scored).select("package_name", "version", "score", "decision", "score_evidence", "model")
 
 

@@ -26,7 +26,10 @@ def load_catalog(path: str) -> dict[str, dict]:
     if not isinstance(entries, list):
         raise ValueError("catalog 'patterns' must be a list")
     out = {
-        str(e["id"]): {"severity": e.get("severity", "medium"), "files": dict(e.get("files") or {})}
+        str(e["id"]): {
+            "severity": e.get("severity", "medium"), "files": dict(e.get("files") or {}),
+            **{k: list(e[k]) for k in ("edits", "variables") if e.get(k)},
+        }
         for e in entries if isinstance(e, Mapping) and e.get("id")
     }
     if not out:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pkgrisk.functions.names import dated_archive
 from pkgrisk.functions.sql import regex
-from pkgrisk.functions.variant import is_object, object_at, parse, string_at
+from pkgrisk.functions.variant import array_at, is_object, object_at, parse, string_at
 from pkgrisk.sources.lines import WHOLE
 
 STATES = ("blocked", "quarantined", "allowlist")
@@ -128,9 +128,22 @@ def split_names(files: DataFrame, name: str = "file_name") -> DataFrame:
 
 
 def read_splits(spark: SparkSession, directory: str) -> DataFrame:
-    """Records of a directory of split files with their ``split``; needs at least two split names."""
-    lines = spark.read.text(directory).selectExpr("value", "_metadata.file_name AS file_name")
-    named = split_names(lines)
-    if named.select("split").distinct().limit(2).count() < 2:
+    """Records of a directory of split files with their ``split``, as VARIANT ``rec``; needs at least two split names.
+
+    ``.jsonl`` and ``.ndjson`` hold a record a line, ``.json`` an array of records or one record, ``.parquet`` rows.
+    """
+    file_name = "_metadata.file_name AS file_name"
+    lines = spark.read.option("pathGlobFilter", "*.{jsonl,ndjson}").text(directory).selectExpr("value", file_name)
+    whole = spark.read.option("pathGlobFilter", "*.json").text(directory, wholetext=True).selectExpr("value", file_name)
+    arrays = split_names(whole).selectExpr("split", f"{parse('value')} AS v").selectExpr(
+        "split", f"explode(coalesce({array_at('v', '$')}, array(v))) AS rec"
+    )
+    records = split_names(lines).selectExpr("split", f"{parse('value')} AS rec").unionAll(arrays)
+    tables = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(directory).select("path")
+    if not tables.isEmpty():
+        rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(directory)
+        rows = rows.selectExpr("to_variant_object(struct(*)) AS rec", file_name)
+        records = records.unionAll(split_names(rows).select("split", "rec"))
+    if records.select("split").distinct().limit(2).count() < 2:
         raise ValueError(f"{directory} does not hold two split files")
-    return named.selectExpr("split", f"{parse('value')} AS rec").filter("rec IS NOT NULL")
+    return records.filter("rec IS NOT NULL")

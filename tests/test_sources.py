@@ -121,6 +121,17 @@ def test_split_directory(spark, tmp_path):
         corpora.read_splits(spark, str(tmp_path / "one"))
 
 
+def test_split_directory_with_arrays_and_tables(spark, tmp_path):
+    write(tmp_path / "s" / "train.json", '[{"a":1},\n{"a":2}]')
+    write(tmp_path / "s" / "test.json", '{"a":3}')
+    write(tmp_path / "s" / "dev.jsonl", '{"a":4}\nbad\n')
+    spark.range(5, 7).selectExpr("id AS a").coalesce(1).write.parquet(str(tmp_path / "p"))
+    part, = [p for p in os.listdir(tmp_path / "p") if p.endswith(".parquet")]
+    (tmp_path / "s" / "validation.parquet").write_bytes((tmp_path / "p" / part).read_bytes())
+    got = corpora.read_splits(spark, str(tmp_path / "s")).selectExpr("split", "variant_get(rec, '$.a', 'int') AS a").collect()
+    assert {(r.split, r.a) for r in got} == {("train", 1), ("train", 2), ("test", 3), ("dev", 4), ("validation", 5), ("validation", 6)}
+
+
 def test_features_twin(spark, tmp_path):
     write(tmp_path / "f.jsonl", '{"x":1}\n')
     assert corpora.read_features(spark, str(tmp_path / "f.parquet")).count() == 1
