@@ -12,6 +12,7 @@ from checks.views import table, view
 from pkgrisk.operators import features, gate, responses
 from pkgrisk.plans import model, seeding
 from pkgrisk.session import shared_folder
+from pkgrisk.sources import config
 
 
 @query(
@@ -42,6 +43,31 @@ def _(spark, sf):
     return out.select("package", "version", "verdict")
 
 
+@query(
+    "pre_audit_counts",
+    POLICY
+    + """, last AS (SELECT r.package, max(version) AS version FROM releases r GROUP BY 1),
+      a AS (SELECT out.*, (age_problem IS NULL AND age >= 14) AS ok14 FROM out JOIN last ON last.package = out.package AND last.version = out.version WHERE env = 'preprod')
+      SELECT CASE WHEN NOT kq_ok OR NOT ok14 OR NOT scripts_ok THEN 'block' WHEN NOT sum_ok OR sm_ok IS NULL OR NOT sm_ok THEN 'quarantine' ELSE 'allow' END AS verdict, count(*) AS n FROM a GROUP BY 1""",
+)
+def _(spark, sf):
+    rel = releases(spark, sf)
+    tags = rel.filter("false").selectExpr("package", "version AS latest")
+    return seeding.verdict_totals(seeding.pre_audit(rel, tags, as_of(), view(spark, sf, "state")))
+
+
+@query(
+    "configured_decisions",
+    FEATURES + "SELECT package_name, CASE WHEN score < 0.1::DOUBLE THEN 'allow' WHEN score >= 0.2::DOUBLE THEN 'block' ELSE 'quarantine' END AS decision FROM sc",
+)
+def _(spark, sf):
+    path = shared_folder(spark, "thresholds")
+    spark.createDataFrame([('{"allow_below": 0.1, "block_at_or_above": 0.2}',)], "value string").coalesce(1).write.text(path)
+    limits = config.load_thresholds(path)
+    scored = features.heuristic_score(features.extract_features(view(spark, sf, "records")))
+    return features.threshold_decide(scored, allow_below=limits["allow_below"], block_from=limits["block_from"]).select("package_name", "decision")
+
+
 @query(
     "feature_medians",
     """SELECT 'l_quantity' AS name, median(l_quantity) AS value FROM lineitem UNION ALL SELECT 'l_discount', median(l_discount) FROM lineitem
@@ -131,3 +157,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return responses.heuristic_audit(view(spark, sf, "records")).select("package", "verdict")
+
+
+@query(
+    "split_evaluation",
+    SC + """SELECT pattern_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos, avg(CASE WHEN (score >= 0.3) = (label = 1) THEN 1.0 ELSE 0.0 END) AS accuracy, avg(score) AS mean_score
+      FROM scored WHERE id % 3 = 0 GROUP BY pattern_id""",
+)
+def _(spark, sf):
+    scored = view(spark, sf, "scored").withColumn("split", F.expr("IF(id % 3 = 0, 'test', 'train')"))
+    return model.split_evaluation(scored, "id")["by_pattern"]

@@ -149,3 +149,15 @@ def evaluation_report(scored: DataFrame, order: str, threshold: float = 0.3) ->
     """One row: threshold metrics, AUROC, average precision, conformal threshold."""
     conformal = metrics.conformal_threshold(scored, order).withColumnRenamed("threshold", "conformal_threshold")
     return metrics.score_report(scored, threshold).join(F.broadcast(conformal))  # one row each
+
+
+def split_evaluation(
+    scored: DataFrame, order: str, split: str = "test", pattern: str = "pattern_id", threshold: float = 0.3, bins: int = 10
+) -> dict[str, DataFrame]:
+    """The evaluation of one split: ``overall`` with the conformal threshold, ``by_pattern`` and ``calibration``."""
+    rows = scored.filter(F.col("split") == split)
+    return {
+        "overall": evaluation_report(rows, order, threshold),
+        "by_pattern": metrics.group_breakdown(rows, pattern, threshold),
+        "calibration": metrics.calibration(rows, bins),
+    }
