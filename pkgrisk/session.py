@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "pkgrisk") -> SparkSession:
-    """A local session for tests and benchmarks; a temporary checkpoint folder only where none is set."""
+    """A local session for tests and benchmarks."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -27,18 +27,22 @@ def local_session(cpus: int = 8, app: str = "pkgrisk") -> SparkSession:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     environment = spark.sparkContext.environment
     environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH", ""), root]))
-    if not checkpoint_folder(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pkgrisk-"))
     return spark
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where all tasks run in this very process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pkgrisk-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder, for intermediate tables and stream output."""
     root = checkpoint_folder(spark)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/pkgrisk-{name}-{uuid.uuid4().hex}"
