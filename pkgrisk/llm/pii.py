@@ -268,13 +268,22 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     })
 
 
+_PLUS_NUMBER = re.compile(r"\+[0-9]")
+
+
+def labelled(pieces: list[str]) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Pieces with the spans of the fixed formats; those with another international number are in doubt and left out."""
+    table = [(piece, base_spans(piece)) for piece in pieces]
+    return [(t, spans) for t, spans in table if all(any(a <= m.start() < b for a, _, b in spans) for m in _PLUS_NUMBER.finditer(t))]
+
+
 def learn(docs: DataFrame, text_col: str = "text") -> Crf:
     """The field from the example sentences and at most SAMPLE pieces of each kind from the whole corpus."""
     found = stored(docs.select(text_col).mapInArrow(_pieces, "kind int, piece string, place long"), "pieces")
     table = examples() * 2
     for k in range(len(KINDS) + 1):
         rows = found.where(F.col("kind") == k).select("piece", "place").distinct().orderBy("place", "piece").limit(SAMPLE).collect()
-        table += [(r["piece"], base_spans(r["piece"])) for r in rows]
+        table += labelled([r["piece"] for r in rows])
     return train_field(table)
 
 

@@ -214,7 +214,7 @@ def test_personal_data(spark):
     texts = {i: " ".join(prose(rng, 25)) for i in range(50)}
     for i in range(0, 50, 2):
         texts[i] += " é " + rng.choice(["mail me@example.org now", "+1 (212) 555-0147 ok", "from 10.1.2.3 to", "card 4111 1111 1111 1111 x", "number 1234567 of 2024"])
-    texts |= {60: "call 212-555-0147 today", 61: "ring 415.555.0132, please"} | {200 + i: t for i, t in enumerate(EDGES)}
+    texts |= {60: "call 212-555-0147 today", 61: "ring 415.555.0132, please", 62: "é Des +1 (826) 555-4081 190.137.223.204 du"} | {200 + i: t for i, t in enumerate(EDGES)}
     rows = {r.doc_id: r for r in pii.scan_pii(frame(spark, texts)).collect()}
     for i, t in texts.items():
         expected = plain_pii(t or "")
@@ -225,6 +225,7 @@ def test_personal_data(spark):
         if i < 50:
             assert rows[i].spans == ",".join(spans)  # nothing is added to clean text
     assert rows[60].spans == "phone:5:17" and rows[61].spans == "phone:5:17"
+    assert rows[62].spans == "phone:6:23,ip:24:39" and rows[62].n_phone == 0  # the fixed format runs on into the address
 
 
 def test_personal_data_edges(spark, edge_docs, no_docs):
