@@ -158,19 +158,22 @@ class Shapes:
         self.length = b - a
 
 
-def _neighbour(values: np.ndarray, step: int) -> np.ndarray:
+def _neighbour(values: np.ndarray, step: int, text: np.ndarray) -> np.ndarray:
+    """The value ``step`` words before (after, if negative) in the same text, else 0."""
     out = np.zeros_like(values)
     if step > 0:
-        out[step:] = values[:-step]
+        out[step:] = np.where(text[step:] == text[:-step], values[:-step], out[step:])
     else:
-        out[:step] = values[-step:]
+        out[:step] = np.where(text[:step] == text[-step:], values[-step:], out[:step])
     return out
 
 
 def shape_features(words: Words) -> np.ndarray:
     """Shape, its runs, runs of up to two neighbours on either side, the length and a constant: tokens × templates."""
     s = Shapes(words)
-    parts = [s.full, s.short, _neighbour(s.short, 1), _neighbour(s.short, -1), _neighbour(s.full, 1), _neighbour(s.full, -1), _neighbour(s.short, 2), _neighbour(s.short, -2)]
+    text = np.repeat(np.arange(len(words.counts)), words.counts)
+    parts = [s.full, s.short]
+    parts += [_neighbour(values, step, text) for values, step in ((s.short, 1), (s.short, -1), (s.full, 1), (s.full, -1), (s.short, 2), (s.short, -2))]
     parts.append(np.minimum(s.length, 20).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return np.stack([*(slots(p, k + 20) for k, p in enumerate(parts)), np.zeros(len(s.full), np.int64)], 1)
 

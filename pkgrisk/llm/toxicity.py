@@ -54,7 +54,10 @@ def token_features(words: Words) -> np.ndarray:
     for k, n in enumerate((4, 5, 6)):
         out[:, k + 1] = slots(texts.hashes(a, np.minimum(a + n, b)), k + 1)
     out[:, 4] = slots(texts.hashes(np.maximum(b - 3, a), b), 4)
-    out[:, 5] = slots(np.roll(words.hash, -1), 5)
+    following = np.zeros_like(words.hash)
+    following[:-1] = words.hash[1:]
+    following[words.first[1:][words.counts > 0] - 1] = 0  # the last word of a text has none
+    out[:, 5] = slots(following, 5)
     out[:, 6] = 0
     return out
 

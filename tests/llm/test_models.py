@@ -103,6 +103,17 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert all(r.score < 0.3 and r.spans == "" for r in rows)
 
 
+def test_features_do_not_reach_into_other_texts():
+    from pkgrisk.llm.flat import ALNUM, NOT_SPACE, blocks
+    import pyarrow as pa
+
+    texts = ["one two 3", "", "four", "5 six +7 eight"]
+    together = next(blocks(pa.array(texts)))[2]
+    for features, member in ((pii.shape_features, NOT_SPACE), (toxicity.token_features, ALNUM)):
+        alone = [features(next(blocks(pa.array([t])))[2].words(member)) for t in texts]
+        assert (features(together.words(member)) == np.concatenate(alone)).all()
+
+
 def test_automata_tell_formats_apart():
     rng = random.Random(7)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((32, 40)))) for _ in range(300)]
