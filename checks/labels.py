@@ -72,16 +72,16 @@ def _(spark, sf):
 def corpora(spark, sf):
     docs = table(spark, sf, "documents")
     path = "concat('pkgs/', doc_id) AS path"
-    benign = docs.filter("lang = 'en'").selectExpr(path, "0 AS label")
-    synth = docs.filter("doc_id % 2 = 0").selectExpr(path, "IF(doc_id % 3 = 0, 1, 0) AS label", "concat('pat', doc_id % 5) AS pattern_id")
+    benign = docs.filter("n_chars <= 5000").selectExpr(path, "0 AS label")
+    synth = docs.selectExpr(path, "IF(doc_id % 3 = 0, 1, 0) AS label", "concat('pat', doc_id % 5) AS pattern_id")
     real = docs.filter("n_chars > 5000").selectExpr(path, "1 AS label")
     return benign, synth, real
 
 
 @query(
     "merge_corpora",
-    """WITH b AS (SELECT concat('pkgs/', doc_id) AS path, 0 AS label FROM documents WHERE lang = 'en'),
-    s AS (SELECT concat('pkgs/', doc_id) AS path, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS label, concat('pat', doc_id % 5) AS pattern_id FROM documents WHERE doc_id % 2 = 0)
+    """WITH b AS (SELECT concat('pkgs/', doc_id) AS path, 0 AS label FROM documents WHERE n_chars <= 5000),
+    s AS (SELECT concat('pkgs/', doc_id) AS path, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS label, concat('pat', doc_id % 5) AS pattern_id FROM documents)
     SELECT path, label, 'benign' AS source, NULL AS pattern_id FROM b
     UNION ALL SELECT path, label, 'synthetic', pattern_id FROM s WHERE NOT (label = 0 AND path IN (SELECT path FROM b))
     UNION ALL SELECT concat('pkgs/', doc_id), 1, 'real_mal', NULL FROM documents WHERE n_chars > 5000""",
@@ -154,29 +154,29 @@ def _(spark, sf):
 
 @query(
     "seed_allowlist",
-    """WITH r AS (SELECT concat('p', c_custkey) AS package, '1' AS version, c_custkey AS pos FROM customer WHERE c_nationkey = 3),
+    """WITH r AS (SELECT concat('p', c_custkey) AS package, '1' AS version, c_custkey AS pos FROM customer),
     s AS (SELECT concat('p', o_custkey) AS package, CAST(o_orderkey % 2 AS STRING) AS version, o_orderkey AS pos FROM orders)"""
     + """ SELECT package, version, CASE WHEN min(tier) = 0 THEN 'required' ELSE 'seed' END AS origin, arg_min(pos, tier * 1000000000000 + pos) AS pos FROM (
       SELECT package, version, 0 AS tier, pos FROM r UNION ALL
-      SELECT package, version, 1, pos FROM s WHERE (package, version) NOT IN (SELECT concat('p', c_custkey), '0' FROM customer WHERE c_nationkey = 5)) GROUP BY ALL""",
+      SELECT package, version, 1, pos FROM s WHERE (package, version) NOT IN (SELECT concat('p', s_suppkey), '0' FROM supplier)) GROUP BY ALL""",
 )
 def _(spark, sf):
     cust, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
-    req = cust.filter("c_nationkey = 3").selectExpr("concat('p', c_custkey) AS package", "'1' AS version", "c_custkey AS pos")
+    req = cust.selectExpr("concat('p', c_custkey) AS package", "'1' AS version", "c_custkey AS pos")
     seeds = orders.selectExpr("concat('p', o_custkey) AS package", "cast(o_orderkey % 2 AS string) AS version", "o_orderkey AS pos")
-    bad = cust.filter("c_nationkey = 5").selectExpr("concat('p', c_custkey) AS package", "'0' AS version")
+    bad = table(spark, sf, "supplier").selectExpr("concat('p', s_suppkey) AS package", "'0' AS version")
     return labels.seed_allowlist(req, seeds, bad)
 
 
 @query(
     "incremental_run",
-    """SELECT doc_id, doc_id % 4 = 0 AS cached, CASE WHEN doc_id % 4 = 0 THEN 'stored' ELSE 'fresh' END AS how
-      FROM documents WHERE lang = 'en'""",
+    """SELECT d.doc_id, l.doc_id IS NOT NULL AS cached, CASE WHEN l.doc_id IS NOT NULL THEN 'stored' ELSE 'fresh' END AS how
+      FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    cases = docs.filter("lang = 'en'").select("doc_id")
-    done = docs.filter("doc_id % 4 = 0").selectExpr("doc_id", "'stored' AS how")
+    cases = docs.select("doc_id")
+    done = table(spark, sf, "labels").selectExpr("doc_id", "'stored' AS how")
     fresh = labels.incremental(cases, done, ["doc_id"]).withColumn("how", F.lit("fresh"))
     return labels.with_cached(fresh, done, cases, ["doc_id"])
 
