@@ -132,7 +132,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.05
 
 
 def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
-    """A model from labelled texts; ``prior``: share of toxic documents among all labelled ones."""
+    """A model from labelled texts; ``prior``: share of toxic documents among all labelled ones.
+
+    With fewer than two toxic texts or no other, nothing is learnt and every score is next to 0; without a word that
+    tells toxic texts, every score is the prior.
+    """
     toxic = toxic.astype(np.int64)
     if toxic.sum() < 2 or toxic.sum() == len(toxic):
         return Model(None, np.array([-30.0, 0, 0, 0]), prior)
