@@ -5,8 +5,8 @@ spans of the fixed formats and around other numbers, a bounded sample of each by
 word and of its neighbours, never the words. Texts are decoded by Viterbi in numpy batches; a decoded span is added
 if it satisfies its kind's check and does not overlap a span of the fixed formats.
 
-Only chains (stretches of a line of up to CHAIN words) with a digit or an at sign are decoded: no other can hold a
-span that satisfies a check.
+A chain is a whole line, however long. Only lines with a digit or an at sign are decoded: no other can hold a span
+that satisfies a check.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from pkgrisk.llm.flat import NOT_SPACE, Texts, Words, blocks, byte_table, small_
 from pkgrisk.llm.shared import stored
 
 KINDS = ("email", "ip", "card", "phone")
-CHAIN = 64
 #: corpus pieces of each kind, and of other numbers, in the labelled table
 SAMPLE = 150
 
@@ -179,7 +178,7 @@ def shape_features(words: Words) -> np.ndarray:
 
 
 def lines_with_numbers(words: Words) -> Chains:
-    """Chains of up to CHAIN words of a line that hold a digit or an at sign."""
+    """Chains: whole lines that hold a digit or an at sign."""
     n = len(words.starts)
     texts = words.texts
     if not n:
@@ -188,9 +187,7 @@ def lines_with_numbers(words: Words) -> Chains:
     new = np.zeros(n, bool)
     new[1:] = breaks[words.starts[1:]] > breaks[words.ends[:-1]]
     new[words.first[:-1][words.counts > 0]] = True
-    first = np.flatnonzero(new)
-    inside = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    chains = chains_of(np.flatnonzero(inside % CHAIN == 0), n)
+    chains = chains_of(np.flatnonzero(new), n)
     telling = np.concatenate([[0], np.cumsum(_TELLING[texts.data])])
     last = chains.starts + chains.lengths - 1
     keep = telling[words.ends[last]] > telling[words.starts[chains.starts]]

@@ -239,6 +239,20 @@ def test_personal_data(spark):
     assert rows[62].spans == "phone:6:23,ip:24:39" and rows[62].n_phone == 0  # the fixed format runs on into the address
 
 
+def added_values(texts):
+    from pkgrisk.llm.flat import blocks
+    import pyarrow as pa
+
+    found = pii.added_spans(pii.train_field(pii.examples() * 2), next(blocks(pa.array(texts)))[2])
+    return [[(pii.KINDS[k], texts[i][a:b]) for a, k, b in found.get(i, ())] for i in range(len(texts))]
+
+
+def test_personal_data_anywhere_in_a_long_line():
+    places = [*range(58, 70), *range(122, 132), 5000]
+    texts = ["the " * n + "then call (212) 555-0147 soon" + " the" * 70 for n in places]
+    assert added_values(texts) == [[("phone", "(212) 555-0147")]] * len(places)
+
+
 def test_personal_data_edges(spark, edge_docs, no_docs):
     assert pii.scan_pii(edge_docs.withColumn("piece", F.lit(1)).withColumn("kind", F.lit(1))).count() == edge_docs.count()
     assert pii.scan_pii(no_docs).count() == 0
