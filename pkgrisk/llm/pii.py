@@ -3,7 +3,8 @@
 The field is trained from a small labelled table: example sentences of this module and pieces of the corpus around
 spans of the fixed formats and around other numbers, a bounded sample of each by hash. Its features are shapes of a
 word and of its neighbours, never the words. Texts are decoded by Viterbi in numpy batches; a decoded span is added
-if it satisfies its kind's check and does not overlap a span of the fixed formats.
+if it satisfies its kind's check and does not overlap a span of the fixed formats. Neighbouring words of one kind that
+fail the check together may be several spans and are divided.
 
 A chain is a whole line, however long. Only lines with a digit or an at sign are decoded: no other can hold a span
 that satisfies a check.
@@ -300,6 +301,46 @@ def _trim(raw: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+_MOST_DIGITS = 19  # of a value that satisfies a check
+
+
+def divided(kind: int, raw: bytes, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Trimmed stretches of neighbouring ``words`` that satisfy the kind's check.
+
+    All words if they do together; else disjoint stretches that hold most words, of these those of most even digits,
+    then the leftmost. A stretch begins and ends at a word with a digit, or is one word.
+    """
+    def checked(x: int, y: int) -> tuple[int, int] | None:
+        a, b = _trim(raw, x, y)
+        return (a, b) if a < b and confirmed(kind, raw[a:b].decode("utf-8", "replace")) else None
+
+    whole = checked(words[0][0], words[-1][1])
+    if whole or len(words) == 1:
+        return [whole] if whole else []
+    if KINDS[kind] in ("email", "ip"):  # these hold no space
+        return [s for x, y in words if (s := checked(x, y))]
+    digits = [sum(48 <= c < 58 for c in raw[x:y]) for x, y in words]
+    words, digits = [w for w, d in zip(words, digits) if d], [d for d in digits if d]
+    best: list[tuple[int, int]] = [(0, 0)]  # words held, less the squares of digits
+    last: list[tuple[int, tuple[int, int] | None]] = [(0, None)]  # where the last stretch begins, and its bytes
+    for j in range(1, len(words) + 1):
+        top, own = best[j - 1], (j - 1, None)
+        i, n = j - 1, 0
+        while i >= 0 and (n := n + digits[i]) <= _MOST_DIGITS:
+            value = (best[i][0] + j - i, best[i][1] - n * n)
+            if value > top and (s := checked(words[i][0], words[j - 1][1])):
+                top, own = value, (i, s)
+            i -= 1
+        best.append(top)
+        last.append(own)
+    out, j = [], len(words)
+    while j:
+        j, s = last[j]
+        if s:
+            out.append(s)
+    return out[::-1]
+
+
 def added_spans(field: Crf, texts: Texts) -> dict[int, list[tuple[int, int, int]]]:
     """(start, kind, end) in code points that the field finds, by text."""
     words = texts.words(NOT_SPACE)
@@ -319,11 +360,10 @@ def added_spans(field: Crf, texts: Texts) -> dict[int, list[tuple[int, int, int]
         k = int(texts.text_of(words.starts[rows[i]:rows[i] + 1])[0])
         base = int(texts.offsets[k])
         raw = texts.raw[base:texts.offsets[k + 1]].tobytes()
-        a, b = _trim(raw, int(words.starts[rows[i]]) - base, int(words.ends[rows[j]]) - base)
-        value = raw[a:b].decode("utf-8", "replace")
-        if a < b and confirmed(int(state[i]) - 1, value):
+        run = rows[i:j + 1]
+        for a, b in divided(int(state[i]) - 1, raw, list(zip((words.starts[run] - base).tolist(), (words.ends[run] - base).tolist()))):
             x = len(raw[:a].decode("utf-8", "replace"))
-            out.setdefault(k, []).append((x, int(state[i]) - 1, x + len(value)))
+            out.setdefault(k, []).append((x, int(state[i]) - 1, x + len(raw[a:b].decode("utf-8", "replace"))))
     return out
 
 

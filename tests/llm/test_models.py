@@ -253,6 +253,23 @@ def test_personal_data_anywhere_in_a_long_line():
     assert added_values(texts) == [[("phone", "(212) 555-0147")]] * len(places)
 
 
+def test_neighbouring_personal_data():
+    cases = {
+        "phones: 212.555.0189, 212.555.0190": ["212.555.0189", "212.555.0190"],
+        "call 212-555-0189 212-555-0190 212-555-0191 now": ["212-555-0189", "212-555-0190", "212-555-0191"],
+        "numbers 212 555 0189 212 555 0190": ["212 555 0189", "212 555 0190"],
+        "(212) 555-0147, (212) 555-0148 and (212) 555-0149": ["(212) 555-0147", "(212) 555-0148", "(212) 555-0149"],
+        "07700 900 123, 07700 900 456": ["07700 900 123", "07700 900 456"],
+        "cards 4222222222222 4222222222222 x": ["4222222222222", "4222222222222"],
+    }
+    assert [[v for _, v in own] for own in added_values(list(cases))] == list(cases.values())
+    raw = b"4222222222222 - 12, 4222222222223 4222 2222 22222 " + b"12 " * 40_000
+    words = [(m.start(), m.end()) for m in re.finditer(rb"\S+", raw)]
+    found = [raw[a:b] for a, b in pii.divided(2, raw, words[:7])]
+    assert found == [b"4222222222222", b"4222 2222 22222"]
+    pii.divided(2, raw, words), pii.divided(3, raw, words)
+
+
 def test_personal_data_edges(spark, edge_docs, no_docs):
     assert pii.scan_pii(edge_docs.withColumn("piece", F.lit(1)).withColumn("kind", F.lit(1))).count() == edge_docs.count()
     assert pii.scan_pii(no_docs).count() == 0
