@@ -164,6 +164,38 @@ def test_secrets(spark):
     assert added >= 40
 
 
+def test_secrets_of_few_characters_and_behind_names(spark):
+    rng = random.Random(15)
+
+    def hex_(n):
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 16))) for _ in range(n))
+
+    forms = ("{}", "auth={}", "see https://h.example/x?id=7&sig={} now", "key ab/{}", "of {}&x=1")
+    texts = {i: words(40) + f" token: {hex_(rng.randint(9, 20))} end" for i in range(600)}
+    hidden = {1000 + i: hex_(n) for i, n in enumerate([*range(10, 16), *range(10, 16), *range(16, 22), *range(16, 22)])}
+    texts |= {i: "Look " + forms[i % 5].format(v) + " here" for i, v in hidden.items()}
+    found = wrong = 0
+    for r in secrets.scan_secrets(frame(spark, texts)).collect():
+        keys = [texts[r.doc_id][a:b] for a, b in (map(int, s.split(":")[1:]) for s in r.spans.split(",") if s.startswith("key:"))]
+        hit = r.doc_id in hidden and any(k.endswith(hidden[r.doc_id]) for k in keys)
+        found += hit
+        wrong += len(keys) - hit
+    assert found >= 0.75 * len(hidden) and wrong <= 5
+
+
+def test_likelihoods_of_many():
+    rng = random.Random(16)
+    values = [hex(rng.getrandbits(8 * rng.randint(1, 9))) for _ in range(100)]
+    model = automata.infer(values[:50])
+    raw = np.frombuffer("".join(values).encode(), np.uint8)
+    lengths = np.array([len(v) for v in values])
+    got = automata.likelihoods(model, automata.classes(raw), np.cumsum(lengths) - lengths, lengths)
+    assert np.allclose(got, [automata.likelihood(model, automata.symbols(v)) for v in values])
+
+
 def test_secret_edges(spark, edge_docs, no_docs):
     assert secrets.scan_secrets(edge_docs.withColumn("kind", F.lit(1)).withColumn("value", F.lit(2))).count() == edge_docs.count()
     assert secrets.scan_secrets(no_docs).count() == 0
