@@ -143,7 +143,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     features, chains, counts = _described(texts)
     doc = np.repeat(np.arange(len(texts)), counts)
     half = np.arange(len(texts)) % 2 == 0 if len(texts) >= 1000 else np.ones(len(texts), bool)
-    cues = cue_slots(features[half[doc]], doc[half[doc]], np.where(half, toxic, 0))
+    cues = cue_slots(features[half[doc]], (np.cumsum(half) - 1)[doc[half[doc]]], toxic[half])  # documents renumbered within the half
     if not len(cues):
         return Model(None, np.array([np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), 0, 0, 0]), prior)
     tagged = np.zeros(len(features), bool)

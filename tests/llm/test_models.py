@@ -92,6 +92,19 @@ def test_toxicity_on_held_out_documents(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in rows if not r.predicted} and clean.columns[-2:] == ["score", "label"]
 
 
+def test_cues_are_counted_in_the_half_that_is_read(monkeypatch):
+    seen = []
+    cue_slots = toxicity.cue_slots
+    monkeypatch.setattr(toxicity, "cue_slots", lambda *args: seen.append(args) or cue_slots(*args))
+    texts = ["plain words here"] * 2400
+    for i in range(0, 40, 4):
+        texts[i] = "grobnik words here"  # in 10 toxic and no clean documents of the half that is read
+    model = toxicity.fit(texts, np.array([1, 1, 0, 0] * 600), 0.5)
+    _, doc, toxic = seen[0]
+    assert (len(toxic), toxic.sum(), doc.max()) == (1200, 600, 1199)
+    assert model.crf is None  # ten documents are too few for a cue
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1), (5, 0), (5, 1)], "doc_id long, toxic int")
     for docs in (edge_docs, no_docs):
