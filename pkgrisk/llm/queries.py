@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pkgrisk.llm import decontaminate, licenses, linededup, mixing, neardup, pii, quality, secrets, sharding, toxicity
+from pkgrisk.llm import (
+    decontaminate, importance, licenses, linededup, mixing, neardup, pii, quality, secrets, sharding, toxicity, vectorcodes,
+)
 from pkgrisk.llm.shared import read, sha256
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +74,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
@@ -160,3 +172,73 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id
 JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = d.doc_id
 """
+
+
+def _rounds(rounds: int) -> str:
+    """Assignment and mean steps of Lloyd's rounds as chained tables."""
+    out = ""
+    for k in range(rounds + 1):
+        out += f""", near{k} AS (
+  SELECT vec_id, row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT p.vec_id, p.row, p.part, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts p JOIN book{k} b ON b.part = p.part) GROUP BY vec_id, row, part
+)"""
+        if k < rounds:
+            out += f""", mean{k} AS (
+  SELECT part, entry, list(m ORDER BY j) AS v FROM (
+    SELECT n.part, n.entry, j, floor(sum(p.v[j])::DOUBLE / count(*))::BIGINT AS m
+    FROM near{k} n JOIN parts p ON p.row = n.row AND p.part = n.part, unnest(range(1, len(p.v) + 1)) AS u(j) GROUP BY n.part, n.entry, j
+  ) GROUP BY part, entry
+), book{k + 1} AS (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m ON m.part = b.part AND m.entry = b.entry
+)"""
+    return out
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, row, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS v FROM kept, unnest(range(16)) AS u(part)
+), book0 AS (SELECT part, row - 1 AS entry, v FROM parts WHERE row <= 64){_rounds(2)}, coded AS (
+  SELECT row, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY row
+), sums AS (SELECT label, sum(error)::BIGINT AS label_error FROM kept JOIN coded USING (row) GROUP BY label)
+SELECT k.vec_id, lower(code) AS code, error, label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM kept k JOIN coded c ON c.row = k.row JOIN sums s ON s.label IS NOT DISTINCT FROM k.label
+"""
+
+ORACLES["op13_importance"] = f"""
+WITH steps AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) AS v FROM range(256) AS t(i)
+), bytes AS (SELECT list(v ORDER BY i) AS crc FROM steps
+), words AS (
+  SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}')) AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}')) FROM benchmark
+), counted AS (SELECT kind, id, w, count(*) AS n FROM words GROUP BY kind, id, w),
+hashed AS (
+  SELECT w, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM counted), bytes
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::BIGINT AS s, coalesce(sum(n) FILTER (kind = 'b'), 0)::BIGINT AS t
+  FROM counted JOIN hashed USING (w) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * ((sum(s) OVER ())::DOUBLE + 10000)) / ((s + 1) * ((sum(t) OVER ())::DOUBLE + 10000))))::BIGINT AS gain FROM sums
+), weighed AS (
+  SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM counted JOIN hashed USING (w) JOIN gains USING (bucket)
+  WHERE kind = 'd' GROUP BY id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weighed ON id = doc_id
+), ranked AS (
+  SELECT *, n_features >= 20 AS open, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k,
+    floor(10 * count(*) FILTER (n_features >= 20) OVER () / 100) AS drawn
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN open AND k <= drawn THEN k END AS rank FROM ranked
+"""
