@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pkgrisk.llm import (
-    decontaminate, importance, licenses, linededup, mixing, neardup, pii, quality, secrets, sharding, toxicity, vectorcodes,
+    decontaminate, importance, licenses, linededup, mixing, neardup, pagetext, pii, quality, secrets, sharding, toxicity,
+    vectorcodes,
 )
 from pkgrisk.llm.shared import read, sha256
 
@@ -79,6 +80,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -209,6 +215,19 @@ SELECT k.vec_id, lower(code) AS code, error, label_error,
 FROM kept k JOIN coded c ON c.row = k.row JOIN sums s ON s.label IS NOT DISTINCT FROM k.label
 """
 
+# the pages of these tables mark their main text by an article element
+ORACLES["op12_main_text"] = r"""
+WITH blocks AS (
+  SELECT page_id, url, list_transform(
+    regexp_split_to_array(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<b>|</b>', '', 'g'), '</?(p|h1)>'),
+    lambda b: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(b, '<br>', ' '), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+      '&amp;?', '&', 'g'), '[\x09-\x0D\x20\xA0]+', ' ', 'g'))) AS b
+  FROM pages
+)
+SELECT page_id, url, text, length(text) AS n_chars
+FROM (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text FROM blocks)
+"""
+
 ORACLES["op13_importance"] = f"""
 WITH steps AS (
   SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) AS v FROM range(256) AS t(i)

@@ -23,6 +23,7 @@ COLUMNS = {
     "op7_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op8_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
     "op9_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op13_importance": ["doc_id", "n_features", "weight", "score", "rank"],
     "op10_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
 }
 
