@@ -99,6 +99,60 @@ def _(spark, sf):
     return out.selectExpr("archive", "member", "sha2(content, 256) AS digest", "size", "reject_reason")
 
 
+def written_archives(spark, docs):
+    """Archives of 200 documents each as files in the shared folder: zip, plain and compressed tar in turn."""
+    folder = shared_folder(spark, "archives")
+
+    def write(pdf):
+        from pyarrow import fs
+
+        k = int(pdf["doc_id"].iloc[0]) // 200
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        buf = io.BytesIO()
+        pdf = pdf.sort_values("doc_id")
+        if k % 3 == 0:
+            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+                for i, text in zip(pdf["doc_id"], pdf["text"]):
+                    z.writestr(f"package/{i}.js", text.encode())
+        else:
+            with tarfile.open(fileobj=buf, mode="w" if k % 3 == 1 else "w:gz") as t:
+                for i, text in zip(pdf["doc_id"], pdf["text"]):
+                    info = tarfile.TarInfo(f"package/{i}.js" if i % 9 else f"../{i}.js")
+                    info.size = len(text.encode())
+                    t.addfile(info, io.BytesIO(text.encode()))
+        with system.open_output_stream(f"{root}/{k}.arc") as out:  # a repeated task writes the same file again
+            out.write(buf.getvalue())
+        return pd.DataFrame({"k": [k], "n": [len(pdf)]})
+
+    packed = docs.select("doc_id", "text").groupBy(F.expr("doc_id DIV 200").alias("k")).applyInPandas(write, "k long, n long")
+    packed.agg(F.sum("n")).collect()  # the files are there from here on
+    return folder
+
+
+@query(
+    "archive_ranges",
+    """SELECT concat(doc_id // 200, '.arc') AS archive, CASE WHEN doc_id // 200 % 3 > 0 AND doc_id % 9 = 0 THEN concat('../', doc_id, '.js') ELSE concat('package/', doc_id, '.js') END AS member,
+      strlen(text) AS size, CASE WHEN doc_id // 200 % 3 > 0 AND doc_id % 9 = 0 THEN NULL ELSE sha256(text) END AS digest,
+      CASE WHEN doc_id // 200 % 3 > 0 AND doc_id % 9 = 0 THEN 'parent_segment' END AS reject_reason FROM documents""",
+)
+def _(spark, sf):
+    folder = written_archives(spark, table(spark, sf, "documents"))
+    out = archives.read_archives(spark, folder, slice_bytes=256 * 1024)
+    return out.selectExpr("substring_index(archive, '/', -1) AS archive", "member", "size", "sha2(content, 256) AS digest", "reject_reason")
+
+
+@query(
+    "archive_parts",
+    """SELECT doc_id, CAST(k AS INTEGER) AS part, least(4096, strlen(text) - k * 4096) AS n, NULL AS problem FROM documents, unnest(range(greatest(1, (strlen(text) + 4095) // 4096))) AS u(k)
+      WHERE NOT (doc_id // 200 % 3 > 0 AND doc_id % 9 = 0)""",
+)
+def _(spark, sf):
+    folder = written_archives(spark, table(spark, sf, "documents"))
+    out = archives.read_archives(spark, folder, part_bytes=4096, slice_bytes=256 * 1024).filter("reject_reason IS NULL")
+    return out.selectExpr("cast(regexp_extract(member, '([0-9]+)') AS bigint) AS doc_id", "part", "length(content) AS n", "problem")
+
+
 @query(
     "strip_top_level",
     """SELECT archive, path FROM (SELECT doc_id // 10 AS archive, CASE WHEN doc_id // 10 % 3 = 0 AND doc_id % 10 < 5 THEN concat('f', doc_id) WHEN doc_id // 10 % 3 = 0 THEN NULL

@@ -57,11 +57,18 @@ def _members(data: bytes, password: bytes | None, max_file: int | None) -> Itera
             yield m.name, m.size, link, handle.read() if handle else None, "too_large" if large else None
 
 
+def checked(members: DataFrame) -> DataFrame:
+    """Adds ``reject_reason`` (NULL when safe); rejected members carry no content."""
+    reason = f"coalesce({reject_reason('member', 'is_link')}, CASE WHEN problem = 'too_large' THEN problem WHEN problem IS NOT NULL THEN 'unreadable' END)"
+    return members.withColumn("reject_reason", F.expr(reason)).withColumn("content", F.expr("IF(reject_reason IS NULL, content, NULL)"))
+
+
 def explode_archives(archives: DataFrame, max_file_bytes: int | None = None, zip_password: str | None = None) -> DataFrame:
     """``(path, content)`` archives → one row per member with ``reject_reason`` (NULL when safe).
 
-    Rejected members carry no content. Members above ``max_file_bytes``, if given, are rejected as ``too_large``;
-    damaged members and archives give one row each with their ``problem``, and reading goes on.
+    For archives that lie in a table; files are read by ``read_archives``. Rejected members carry no content. Members
+    above ``max_file_bytes``, if given, are rejected as ``too_large``; damaged members and archives give one row each
+    with their ``problem``, and reading goes on.
     """
     password = zip_password.encode() if zip_password else None
 
@@ -82,29 +89,35 @@ def explode_archives(archives: DataFrame, max_file_bytes: int | None = None, zip
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
-    members = archives.select("path", "content").mapInPandas(run, MEMBER_SCHEMA)
-    reason = f"coalesce({reject_reason('member', 'is_link')}, CASE WHEN problem = 'too_large' THEN problem WHEN problem IS NOT NULL THEN 'unreadable' END)"
-    return members.withColumn("reject_reason", F.expr(reason)).withColumn("content", F.expr("IF(reject_reason IS NULL, content, NULL)"))
+    return checked(archives.select("path", "content").mapInPandas(run, MEMBER_SCHEMA))
 
 
 def read_archives(
     spark: SparkSession, path: str, max_archive_bytes: int | None = None, max_file_bytes: int | None = None,
-    zip_password: str | None = None,
+    zip_password: str | None = None, part_bytes: int | None = None, slice_bytes: int | None = None,
 ) -> DataFrame:
-    """Members of every archive below ``path``.
+    """Members of every archive below ``path``, of any size: a zip or plain tar is read by byte ranges in many tasks.
 
     With ``max_archive_bytes`` larger archives are not opened and give one ``too_large`` row each; the limit is pushed
-    to the file listing.
+    to the file listing. With ``part_bytes`` members come in numbered parts (column ``part``), so that one larger than
+    a cell can be read; see ``slices.read_index``. Only the listing is read when this is called.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    from pkgrisk.sources import slices
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    opened = files if max_archive_bytes is None else files.filter(F.col("length") <= max_archive_bytes)
+    size = slice_bytes or slices.SLICE_BYTES
+    found = slices.read_index(
+        slices.member_index(opened), slices.tasks_for(opened, size), max_file_bytes, zip_password, part_bytes, size
+    )
+    out = checked(found if part_bytes else found.drop("part"))
     if max_archive_bytes is None:
-        return explode_archives(files, max_file_bytes, zip_password)
-    opened = explode_archives(files.filter(F.col("length") <= max_archive_bytes), max_file_bytes, zip_password)
+        return out
     closed = files.filter(F.col("length") > max_archive_bytes).selectExpr(
         "path AS archive", "cast(NULL AS string) AS member", "length AS size", "cast(NULL AS boolean) AS is_link",
-        "cast(NULL AS binary) AS content", "'too_large' AS problem", "'too_large' AS reject_reason",
+        *(["-1 AS part"] if part_bytes else []), "cast(NULL AS binary) AS content", "'too_large' AS problem", "'too_large' AS reject_reason",
     )
-    return opened.unionByName(closed)
+    return out.unionByName(closed)
 
 
 def strip_top_level(files: DataFrame, archive: str = "archive", path: str = "path") -> DataFrame:
