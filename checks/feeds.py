@@ -301,7 +301,7 @@ def _(spark, sf):
 def _(spark, sf):
     out, ck = shared_folder(spark, "seen"), shared_folder(spark, "seen-ck")
     finish(jobs.first_seen_stream(spark, event_stream(spark, sf, VIEWS["audit"]), out, ck, "event_id"))
-    return spark.read.parquet(out).select("package", "version", "event_id")
+    return jobs.first_seen(spark, out).select("package", "version", "event_id")
 
 
 @query(
@@ -313,5 +313,5 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out, ck = shared_folder(spark, "state"), shared_folder(spark, "state-ck")
-    finish(jobs.state_stream(spark, event_stream(spark, sf, EVENTS), out, ck))
+    finish(jobs.state_stream(spark, event_stream(spark, sf, EVENTS), out, ck, "3650 days"))
     return jobs.latest_state(spark, out).select("key", "state", "reason")

@@ -6,13 +6,15 @@ executor or a restart never doubles rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pkgrisk.operators import gate, history
+from pkgrisk.operators import gate
+from pkgrisk.streaming import keyed as keyed_state
 
 SCAN_SCHEMA = (
     "record_type string, ecosystem string, normalized_name string, package_name string, version string, "
@@ -65,69 +67,97 @@ def latest_counters(spark: SparkSession, out: str) -> DataFrame:
     return batches.groupBy("window_start", "decision").agg(F.expr("max_by(n, batch) AS n"))
 
 
-# Stored keys are divided into folders by hash, so a micro-batch reads those of its own keys only.
-BUCKETS = 256
-
-
-def _bucket(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
-
-
-def _touched(keys: DataFrame) -> list[int]:
-    """Numbers of the folders that hold the keys: at most BUCKETS."""
-    return [r[0] for r in keys.select("bucket").distinct().collect()]
+# Times as whole numbers, which the state store keeps as they are.
+PLAIN = {"timestamp": "unix_micros({})", "timestamp_ntz": "unix_micros(cast({} AS timestamp))", "date": "unix_date({})"}
 
 
 def first_seen_stream(
     spark: SparkSession, audit: DataFrame, out: str, checkpoint: str, order: str = "ts, event_id"
 ) -> StreamingQuery:
-    """Each package version once, its earliest row: later ones are served from the stored verdict.
+    """Each package version's earliest row, whatever the order of arrival: later ones are served from the stored verdict.
 
-    A micro-batch is reduced per key map-side before it is compared with what is stored, so a
-    package asked for very often costs one row per task and not a crowded state store.
+    The order of a key's earliest row so far is kept as state. A micro-batch writes the rows that are the first of their
+    key, or earlier than it; read them with ``first_seen``. Nothing that earlier batches wrote is listed or read. Rows
+    are reduced to one for each key and task before they meet the state, so a package asked for very often is not
+    crowded into one task.
     """
-    columns = [c for c in audit.columns if c not in ("package", "version")]
-    schema = audit.selectExpr("package", "version").schema.add("batch", "long").add("bucket", "integer")
+    fields = audit.selectExpr(f"struct({order}) AS o").schema["o"].dataType.fields
+    keyed = audit.withColumn("_o", F.expr(f"struct({order})")).select("*", *[
+        F.expr(PLAIN.get(f.dataType.typeName(), "{}").format(f"_o.`{f.name}`")).alias(f"_order_{i}") for i, f in enumerate(fields)
+    ]).drop("_o")
+    order_schema = keyed.select(*[f"_order_{i}" for i in range(len(fields))]).schema
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[tuple, tuple] = {}
+            keys = zip(batch.column("package").to_pylist(), batch.column("version").to_pylist())
+            places = zip(*(batch.column(c).to_pylist() for c in order_schema.names))
+            for i, (key, own) in enumerate(zip(keys, places)):
+                at = keyed_state.place(own)
+                if key not in best or at < best[key][0]:
+                    best[key] = at, i
+            yield batch.take(pa.array(sorted(i for _, i in best.values()), pa.int64()))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        first = batch.groupBy("package", "version").agg(
-            F.expr(f"min_by(struct({', '.join(columns)}), struct({order})) AS _r")
-        ).select("package", "version", "_r.*").withColumn("bucket", _bucket("package", "version"))
-        if epoch > 0:
-            stored = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*")
-            seen = stored.filter(F.col("bucket").isin(_touched(first)) & (F.col("batch") < epoch))
-            first = first.join(seen.select("package", "version"), ["package", "version"], "left_anti")
-        first.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={epoch}")
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
-    return audit.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    firsts = keyed.mapInArrow(reduce, keyed.schema).groupBy("package", "version").transformWithState(
+        keyed_state.Earliest(order_schema, audit.columns), audit.schema, "Update", "None"
+    )
+    with keyed_state.state_store(spark):
+        return (
+            firsts.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
 
 
-LOG_SCHEMA = "key string, ts timestamp, seq bigint, action string, state string, rationale string, batch bigint, bucket int"
-CHANGE_SCHEMA = "key string, state string, reason string, added timestamp, version bigint"
+def first_seen(spark: SparkSession, out: str) -> DataFrame:
+    """The newest row of each key that ``first_seen_stream`` has written, which is the earliest one seen."""
+    rows = spark.read.parquet(f"{out}/batch=*")
+    columns = [c for c in rows.columns if c not in ("package", "version", "epoch")]
+    newest = rows.groupBy("package", "version").agg(F.expr(f"max_by(struct({', '.join(columns)}), epoch) AS _r"))
+    return newest.select("package", "version", "_r.*")
 
 
-def state_stream(spark: SparkSession, events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Fold state events as they arrive, in any order.
+def state_stream(spark: SparkSession, events: DataFrame, out: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
+    """Fold state events as they arrive, in any order within ``lateness``.
 
-    Events are kept in ``out/log``, in folders by key hash. A micro-batch folds the whole history of its own keys with
-    the batch operator, so a late event has the effect that it has there, and writes the state of these keys only, to
-    ``out/state``. A key that is left without a state gets a row without one.
+    A key's state is the fold of its settled events and those events that are at most ``lateness`` older than its newest
+    one; nothing else of its history is kept or read, and other keys are not touched. An event within the bound has the
+    effect that it has in the batch operator. An older one is kept, without effect, as ``late_events``. A micro-batch
+    writes the state of its own keys; one that is left without a state gets a row without one.
     """
+    width = spark.sql(f"SELECT cast(interval {lateness} AS interval day to second) AS i").selectExpr(
+        "cast(extract(DAY FROM i) * 86400000000L + extract(HOUR FROM i) * 3600000000L + extract(MINUTE FROM i) * 60000000L + extract(SECOND FROM i) * 1000000 AS bigint) AS w"
+    ).first()["w"]
+    typed = events.selectExpr(
+        "key", "unix_micros(cast(ts AS timestamp)) AS ts", "cast(seq AS bigint) AS seq", "action", "state", "rationale"
+    )
+
     def write(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.selectExpr("key", "cast(ts AS timestamp) AS ts", "cast(seq AS bigint) AS seq", "action", "state", "rationale")
-        fresh = fresh.withColumn("bucket", _bucket("key"))
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/log/batch={epoch}")
-        log = spark.read.schema(LOG_SCHEMA).option("basePath", f"{out}/log").parquet(f"{out}/log/batch=*")
-        keys = fresh.select("key", "bucket").distinct()
-        history_ = log.filter(F.col("bucket").isin(_touched(keys)) & (F.col("batch") <= epoch)).join(keys.select("key"), "key", "left_semi")
-        folded = history.fold_state(history.checked_events(history_.drop("batch", "bucket")))
-        keys.select("key").join(folded, "key", "left").write.mode("overwrite").parquet(f"{out}/state/version={epoch}")
+        kinds = batch.withColumn("kind", F.expr("IF(problem IS NULL, 'state', 'late')"))
+        kinds.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/version={epoch}")
+
+    folded = typed.groupBy("key").transformWithState(keyed_state.StateFold(width), keyed_state.CHANGE_SCHEMA, "Update", "None")
+    with keyed_state.state_store(spark):
+        return (
+            folded.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _changes(spark: SparkSession, out: str, kind: str) -> DataFrame:
+    schema = f"{keyed_state.CHANGE_SCHEMA}, version bigint, kind string"
+    return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/version=*").filter(F.col("kind") == kind)
 
 
 def latest_state(spark: SparkSession, out: str) -> DataFrame:
     """Every key's rows of the newest version that touched it."""
-    changes = spark.read.schema(CHANGE_SCHEMA).parquet(f"{out}/state")
+    changes = _changes(spark, out, "state").selectExpr("key", "state", "reason", "timestamp_micros(added) AS added", "version")
     newest = changes.groupBy("key").agg(F.max("version").alias("version"))
     return changes.join(newest, ["key", "version"], "left_semi").filter("state IS NOT NULL").drop("version")
+
+
+def late_events(spark: SparkSession, out: str) -> DataFrame:
+    """Events that came too late to have an effect."""
+    return _changes(spark, out, "late").selectExpr("key", "timestamp_micros(ts) AS ts", "seq", "action", "rationale")

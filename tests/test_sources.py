@@ -279,5 +279,63 @@ def test_first_seen_stream_over_several_files(spark, tmp_path):
         df.filter(f"event_id DIV 20 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     jobs.first_seen_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = {(r.package, r.event_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert len(got) == 7 and {p for p, _ in got} == {f"p{i}" for i in range(7)}
+    got = {(r.package, r.event_id) for r in jobs.first_seen(spark, str(tmp_path / "out")).collect()}
+    assert got == {(f"p{i}", i) for i in range(7)}
+
+
+def shuffled_files(spark, df, path, n, by):
+    """``df`` as ``n`` files, one a batch, rows dealt by a hash."""
+    for i in range(n):
+        df.filter(f"pmod(xxhash64({by}), {n}) = {i}").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_an_earlier_row_in_a_later_batch_is_the_first(spark, tmp_path):
+    df = spark.range(300).selectExpr(
+        "concat('p', id % 11) AS package", "IF(id % 5 = 0, NULL, '1') AS version", "id AS event_id", "IF(id % 13 = 0, NULL, timestamp_seconds(1000 - id)) AS ts",
+        "IF(id % 2 = 0, id, NULL) AS some",
+    )
+    stream = shuffled_files(spark, df, str(tmp_path / "in"), 5, "event_id")
+    jobs.first_seen_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {(r.package, r.version): (r.event_id, r.some) for r in jobs.first_seen(spark, str(tmp_path / "out")).collect()}
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r.ts is not None, r.ts and r.ts.timestamp(), r.event_id)):
+        want.setdefault((r.package, r.version), (r.event_id, r.some))
+    assert got == want
+    batches = [spark.read.parquet(f"{tmp_path}/out/batch={i}").count() for i in range(5)]
+    assert len(want) <= sum(batches) < 150  # only rows that are earlier than the first so far
+
+
+def test_shuffled_state_events_equal_the_batch_fold(spark, tmp_path):
+    df = spark.range(400).selectExpr(
+        "concat('k', id % 7) AS key", "timestamp_seconds(id * 60) AS ts", "id AS seq", "IF(id % 3 = 2, 'promote', 'add') AS action",
+        "element_at(array('quarantined', 'blocked', 'allowlist', 'odd'), cast(xxhash64(id) % 4 + 4 as int) % 4 + 1) AS state",
+        "IF(id % 10 = 0, 'short', concat('long enough reason ', id, '\\nmore')) AS rationale",
+    )
+    stream = shuffled_files(spark, df, str(tmp_path / "in"), 5, "seq")
+    jobs.state_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {tuple(r) for r in jobs.latest_state(spark, str(tmp_path / "out")).select("key", "state", "reason", "added").collect()}
+    want = {tuple(r) for r in history.fold_state(history.checked_events(df)).select("key", "state", "reason", "added").collect()}
+    assert got == want and len(want) > 7
+    assert jobs.late_events(spark, str(tmp_path / "out")).count() == 0
+    # only the keys of a batch are written
+    assert spark.read.parquet(f"{tmp_path}/out/version=4").select("key").distinct().count() == df.filter("pmod(xxhash64(seq), 5) = 4").select("key").distinct().count()
+
+
+def test_events_beyond_the_bound_are_kept_apart(spark, tmp_path):
+    schema = "key string, ts timestamp, seq long, action string, state string, rationale string"
+    why = "a long enough reason"
+    batches = [
+        [("a", 1000, 1, "add", "quarantined", why), ("b", 5000, 2, "add", "allowlist", why)],
+        [("a", 3000, 3, "add", "blocked", why), ("c", 10, 4, "add", "blocked", why)],
+        [("a", 2950, 5, "promote", None, None), ("a", 100, 6, "add", "allowlist", why)],  # 50 seconds late, and far too late
+    ]
+    for i, rows in enumerate(batches):
+        typed = spark.createDataFrame(rows, schema.replace("ts timestamp", "ts long")).selectExpr("key", "timestamp_seconds(ts) AS ts", "seq", "action", "state", "rationale")
+        typed.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        jobs.state_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "ck"), "1 minute").awaitTermination()  # restarted each time
+    got = {(r.key, r.state, r.added.timestamp()) for r in jobs.latest_state(spark, str(tmp_path / "out")).collect()}
+    assert got == {("a", "blocked", 3000), ("a", "allowlist", 2950), ("b", "allowlist", 5000), ("c", "blocked", 10)}
+    assert [(r.key, r.seq) for r in jobs.late_events(spark, str(tmp_path / "out")).collect()] == [("a", 6)]
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
