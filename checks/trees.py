@@ -55,6 +55,45 @@ def _(spark, sf):
     return out.select("case_id", "path", "added_lines", "removed_lines")
 
 
+# Texts of very different authors and of shared passages: the next document's text as the one after.
+NEXT = "SELECT a.doc_id, a.text AS before, b.text AS after FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
+
+
+def next_texts(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    after = docs.selectExpr("doc_id - 1 AS doc_id", "text AS text_after")
+    return docs.withColumnRenamed("text", "text_before").join(after, "doc_id").withColumn("path", F.lit("x"))
+
+
+@query("line_edits", f"SELECT doc_id, sha256(after) AS digest, true AS fewer FROM ({NEXT})")
+def _(spark, sf):
+    """The edits rebuild the text after, and keep no more lines than the two texts have in common."""
+    files = next_texts(spark, sf)
+    kept = "aggregate(edits, 0, (n, e) -> n + IF(e.lines IS NULL, e.upto - e.from, 0))"
+    common = "size(array_intersect(split(text_before, '\\n'), split(text_after, '\\n')))"
+    return (
+        treediff.line_edits(files).join(files.select("doc_id", "text_before", "text_after"), "doc_id")
+        .selectExpr("doc_id", f"sha2({treediff.apply_edits('text_before')}, 256) AS digest", f"{kept} <= size(split(text_before, '\\n')) AND ({kept} = 0 OR {common} > 0) AS fewer")
+    )
+
+
+@query(
+    "line_diff_bounds",
+    f"""WITH n AS ({NEXT}), l AS (
+      SELECT doc_id, w, unnest(string_split(regexp_replace(t, '\\n$', ''), chr(10))) AS line FROM (SELECT doc_id, 1 AS w, after AS t FROM n WHERE after <> '' UNION ALL SELECT doc_id, -1, before FROM n WHERE before <> '')),
+      net AS (SELECT doc_id, line, sum(w) AS x FROM l GROUP BY ALL), c AS (SELECT doc_id, sum(greatest(x, 0)) AS a, sum(greatest(-x, 0)) AS r, sum(x) AS s FROM net GROUP BY doc_id)
+      SELECT doc_id, CAST(s AS BIGINT) AS balance, true AS bounded FROM c""",
+)
+def _(spark, sf):
+    """An aligned diff changes at least the lines that the multisets differ in, and as many more on one side."""
+    files = next_texts(spark, sf).withColumn("case_id", F.col("doc_id"))
+    plain = files.selectExpr("case_id", "doc_id", "path", "regexp_replace(text_before, '\\n$', '') AS text_before", "regexp_replace(text_after, '\\n$', '') AS text_after")
+    counts = treediff.line_counts(plain).selectExpr("case_id", "added_lines AS a", "removed_lines AS r")
+    ended = plain.selectExpr("case_id", "doc_id", "path", *[f"IF({t} = '', '', concat({t}, '\\n')) AS {t}" for t in ("text_before", "text_after")])
+    out = treediff.line_diff(ended).join(counts, "case_id")
+    return out.selectExpr("doc_id", "added_lines - removed_lines AS balance", "added_lines >= a AND removed_lines >= r AS bounded")
+
+
 def pairs(spark, sf):
     return view(spark, sf, "tree_before").select("case_id").distinct().withColumn("status", F.lit("tarball_diff"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
+from pkgrisk.functions import patience
 from pkgrisk.functions.sql import text_array, texts
 from pkgrisk.functions.text import base_name, quoted, stem
 from pkgrisk.functions.variant import kind, node, object_at, parse, string_at
@@ -95,48 +97,84 @@ def diff_trees(before: DataFrame, after: DataFrame, with_text: bool = False, max
 CONTEXT_LINES = 3
 
 
-def _hunk(ops: list[tuple], old: list[str], new: list[str]) -> list[str]:
-    """One group of edit operations as text, with the places it covers on both sides."""
+# Where str.splitlines ends a line, as a pattern that splits behind it.
+LINE_END = r"(?<=[\\n\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]|\\r(?!\\n))"
+
+
+def _hunk(runs: list[tuple], old: list[str], new: list[str]) -> list[str]:
+    """One group of edit runs as text, with the places it covers on both sides."""
     def extent(begin: int, end: int) -> str:
         return f"{begin + 1 if end > begin else begin},{end - begin}"
 
-    out = [f"@@ -{extent(ops[0][1], ops[-1][2])} +{extent(ops[0][3], ops[-1][4])} @@"]
-    for kind, a, b, c, d in ops:
-        if kind == "equal":
+    out = [f"@@ -{extent(runs[0][1], runs[-1][2])} +{extent(runs[0][3], runs[-1][4])} @@"]
+    for equal, a, b, c, d in runs:
+        if equal:
             out += [" " + x.rstrip("\n") for x in old[a:b]]
         else:
             out += ["-" + x.rstrip("\n") for x in old[a:b]] + ["+" + x.rstrip("\n") for x in new[c:d]]
     return out
 
 
-def aligned_changes(path: str, before: str, after: str) -> tuple[str, int, int]:
-    """Whole diff text of one file, and its added and removed lines taken from the edit operations."""
+def aligned_runs(before: str, after: str) -> tuple[list[tuple], list[str], list[str]]:
+    """Edit runs of one file and the lines of both sides."""
     old, new = before.splitlines(keepends=True), after.splitlines(keepends=True)
-    groups = list(difflib.SequenceMatcher(None, old, new).get_grouped_opcodes(CONTEXT_LINES))
-    edits = [op for ops in groups for op in ops if op[0] != "equal"]
-    text = [f"--- a/{path}", f"+++ b/{path}"] if edits else []
-    for ops in groups:
-        text += _hunk(ops, old, new)
-    return "\n".join(text), sum(d - c for _, _, _, c, d in edits), sum(b - a for _, a, b, _, _ in edits)
+    return patience.edits(patience.align(*patience.number_lines(old, new)), len(new)), old, new
+
+
+def aligned_changes(path: str, before: str, after: str) -> tuple[str, int, int]:
+    """Whole diff text of one file, and its added and removed lines."""
+    runs, old, new = aligned_runs(before, after)
+    changed = [r for r in runs if not r[0]]
+    text = [f"--- a/{path}", f"+++ b/{path}"] if changed else []
+    for group in patience.hunks(runs, CONTEXT_LINES):
+        text += _hunk(group, old, new)
+    return "\n".join(text), sum(d - c for _, _, _, c, d in changed), sum(b - a for _, a, b, _, _ in changed)
+
+
+def _per_file(changes: DataFrame, work: Callable[[str, str, str], tuple], added: pa.Schema) -> DataFrame:
+    """``changes`` without its texts, with the columns that ``work`` gives for path, text before and after."""
+    kept = [c for c in changes.columns if c not in ("text_before", "text_after")]
+    schema = StructType([*(changes.schema[c] for c in kept), *from_arrow_schema(added).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch.column(c).to_pylist() for c in ("path", "text_before", "text_after"))
+            found = list(zip(*(work(p, a or "", b or "") for p, a, b in zip(*sides)))) or [()] * len(added)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), *(pa.array(v, f.type) for v, f in zip(found, added))], names=schema.names
+            )
+
+    return changes.mapInArrow(run, schema)
 
 
 def line_diff(changes: DataFrame) -> DataFrame:
     """Add ``unified_diff, added_lines, removed_lines`` to changed files with their texts.
 
-    An extra for readers: ``line_counts`` gives the numbers in SQL. Aligning lines has no SQL form, so the text of each
-    changed file goes through an Arrow batch, whole and without a cut.
+    Lines are aligned by patience (``functions.patience``), whole and without a cut, in near linear time. Where only
+    the numbers are asked for, ``line_counts`` gives them in SQL, moved lines apart. A null text is an empty one.
     """
-    kept = [f for f in changes.schema.fields if f.name not in ("text_before", "text_after")]
-    names = [f.name for f in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    added = pa.schema([("unified_diff", pa.string()), ("added_lines", pa.int64()), ("removed_lines", pa.int64())])
+    return _per_file(changes, aligned_changes, added)
+
+
+def line_edits(changes: DataFrame) -> DataFrame:
+    """Add ``edits``: the runs of lines that turn the text before into the one after.
+
+    A run keeps the lines ``[from, upto)`` of the text before (``lines`` null) or puts ``lines`` in their place.
+    """
+    def work(path: str, before: str, after: str) -> tuple:
+        runs, _, new = aligned_runs(before, after)
+        return ([{"from": a, "upto": b, "lines": None if equal else new[c:d]} for equal, a, b, c, d in runs],)
+
+    run = pa.struct([("from", pa.int32()), ("upto", pa.int32()), ("lines", pa.list_(pa.string()))])
+    return _per_file(changes, work, pa.schema([("edits", pa.list_(run))]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [aligned_changes(*row) for row in zip(pdf["path"], pdf["text_before"], pdf["text_after"])]
-            text, added, removed = zip(*found) if found else ((), (), ())
-            yield pdf[names].assign(unified_diff=list(text), added_lines=list(added), removed_lines=list(removed))
 
-    return changes.mapInPandas(run, schema + ", unified_diff string, added_lines bigint, removed_lines bigint")
+def apply_edits(text: str, edits: str = "edits") -> str:
+    """SQL: the text that ``edits`` make of ``text``."""
+    lines = f"filter(split(coalesce({text}, ''), '{LINE_END}'), x -> x <> '')"
+    runs = f"transform({edits}, e -> IF(e.lines IS NULL, slice(l, e.from + 1, e.upto - e.from), e.lines))"
+    return f"array_join(flatten(get(transform(array({lines}), l -> {runs}), 0)), '')"
 
 
 def line_counts(changes: DataFrame) -> DataFrame:
