@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.splits import split_sql
 from checks.views import table, view, with_views
-from pkgrisk.operators import splits, stats
+from pkgrisk.operators import ordering, splits, stats
 
 
 @query(
@@ -119,3 +119,14 @@ def _(spark, sf):
     )
     hit = stats.build_inventory(files).filter("array_contains(training_keys, 'prompt')")
     return hit.groupBy(F.expr("split(path, '/')[0] AS event_type")).agg(F.expr("count(*) AS n"))
+
+
+@query(
+    "running_sums_refined",
+    """WITH g AS (SELECT l_returnflag AS flag, CAST(l_extendedprice AS DOUBLE) AS price, sum(CAST(l_quantity AS BIGINT))::BIGINT AS w FROM lineitem GROUP BY ALL)
+      SELECT flag, price, w, (sum(w) OVER (PARTITION BY flag ORDER BY price) - w)::BIGINT AS before_w, (sum(w) OVER (PARTITION BY flag))::BIGINT AS total_w FROM g""",
+)
+def _(spark, sf):
+    """Running sums with every stretch of more than 50 values divided further."""
+    lines = table(spark, sf, "lineitem").selectExpr("l_returnflag AS flag", "cast(l_extendedprice AS double) AS price", "cast(l_quantity AS bigint) AS w")
+    return ordering.value_prefix(lines, "price", ["w"], ["flag"], stretch=50)

@@ -19,8 +19,15 @@ def audit_tail(audit: DataFrame, n: int, tiebreak: str = "event_id") -> DataFram
 
 
 def _cut(df: DataFrame, key: str, group: Sequence[str], budget: str) -> DataFrame:
-    """Per group, the last key whose running size before it is still below ``budget``."""
-    prefix = value_prefix(df, key, ["size"], group)
+    """Per group, the last key whose running size before it is still below ``budget``, an expression over the total.
+
+    Only the stretch of keys in which the budget runs out is sorted.
+    """
+    def wanted(before: str, size: str, total: str) -> str:
+        need = budget.format(total=total)
+        return f"{before} < {need} AND {need} <= {before} + {size}"
+
+    prefix = value_prefix(df, key, ["size"], group, wanted=wanted)
     return prefix.filter(f"before_size < {budget.format(total='total_size')}").groupBy(*group).agg(
         F.expr(f"max_by(struct({key}, before_size, size, total_size), {key}) AS c")
     )
@@ -37,23 +44,21 @@ def plan_eviction(
     """
     group = list(group)
     target = int(max_bytes * ratio)
-    keyed = objects.selectExpr(
-        "*", "unix_micros(cast(mtime AS timestamp)) AS _t", "cast(conv(left(sha2(path, 256), 15), 16, 10) AS bigint) AS _h"
-    )
-    sized = keyed.selectExpr(*group, "_t", "_h", "cast(size AS bigint) AS size")
+    keyed = objects.selectExpr("*", "unix_micros(cast(mtime AS timestamp)) AS _t")
+    own_hash = "cast(conv(left(sha2(path, 256), 15), 16, 10) AS bigint)"
     need = f"IF({{total}} > {max_bytes}, {{total}} - {target}, 0)"
-    by_time = _cut(sized, "_t", group, need).selectExpr(
+    by_time = _cut(keyed.selectExpr(*group, "_t", "cast(size AS bigint) AS size"), "_t", group, need).selectExpr(
         *group, "c._t AS cut_t", f"c.total_size - {target} - c.before_size AS left_over"
     )
-    tied = sized.join(by_time, group).filter("_t = cut_t").select(*group, "_h", "size", "left_over")
-    by_hash = value_prefix(tied.drop("left_over"), "_h", ["size"], group).join(
-        by_time.select(*group, "left_over"), group
+    # Paths are hashed at the cut time only, here and below: the comparison of times comes first.
+    tied = keyed.select(*group, "_t", "path", "size").join(by_time, group).filter("_t = cut_t").selectExpr(
+        *group, "cut_t", "left_over", f"{own_hash} AS _h", "cast(size AS bigint) AS size"
     )
-    cut_h = by_hash.filter("before_size < left_over").groupBy(*group).agg(F.expr("max(_h) AS cut_h"))
-    cuts = by_time.select(*group, "cut_t").join(cut_h, group)
+    by_hash = value_prefix(tied, "_h", ["size"], [*group, "cut_t", "left_over"])  # one cut time for each group
+    cuts = by_hash.filter("before_size < left_over").groupBy(*group, "cut_t").agg(F.expr("max(_h) AS cut_h"))
     joined = keyed.join(cuts, group, "left")
-    evict = F.expr("coalesce(_t < cut_t OR (_t = cut_t AND _h <= cut_h), false)")
-    return joined.withColumn("evict", evict).drop("_t", "_h", "cut_t", "cut_h")
+    evict = F.expr(f"coalesce(_t < cut_t OR (_t = cut_t AND {own_hash} <= cut_h), false)")
+    return joined.withColumn("evict", evict).drop("_t", "cut_t", "cut_h")
 
 
 def eviction_stats(plan: DataFrame, group: Sequence[str] = ("tenant",)) -> DataFrame:

@@ -3,12 +3,13 @@
 Hot groups are the rule here (two labels, a handful of sources, one global group), so
 nothing below runs a window over a whole group. Each operator first adds up counts per
 bucket of the order key (map-side combined), turns the small bucket table into offsets,
-and only then looks at rows, bucket by bucket.
+and only then looks at rows, bucket by bucket. Numeric keys are divided like a radix sort
+divides them, from the leading bits on and only where a stretch holds too many values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ from pkgrisk.functions.text import group_key
 
 # Leading hex digits of the order hash used as bucket: 16^4 buckets per stratum.
 HASH_DIGITS = 4
-# Buckets for numeric keys; bounds follow the data (approximate percentiles).
-VALUE_BUCKETS = 128
+# Distinct values that one task may sort; stretches with more are divided by the next bits of the key.
+STRETCH = 1 << 17
+# Bits of a key that are left below its first and second digit: 20 and 22 bits, and at most 2^22 values under one.
+LEFT = (44, 22)
 
 
 def hash_cuts(
@@ -83,51 +86,77 @@ def hash_segments(
     return tagged.join(cuts, "_stratum").withColumn(out, passed).drop("_stratum", "_h", "n", "cuts")
 
 
+def ordered_bits(key: str, dtype: str) -> str:
+    """SQL: a bigint that sorts like the number ``key``; NULL sorts first."""
+    if dtype in ("double", "float"):
+        bits = f"cast(java_method('java.lang.Double', 'doubleToLongBits', cast({key} AS double)) AS bigint)"
+        ordered = f"get(transform(array({bits}), b -> b ^ (shiftright(b, 63) & 9223372036854775807L)), 0)"
+        return f"IF({key} IS NULL, -9223372036854775807L - 1, {ordered})"
+    return f"coalesce(cast({key} AS bigint), -9223372036854775807L - 1)"
+
+
 def value_prefix(
-    df: DataFrame, key: str, sums: Sequence[str], group: Sequence[str] = (), buckets: int = VALUE_BUCKETS
+    df: DataFrame, key: str, sums: Sequence[str], group: Sequence[str] = (), stretch: int = STRETCH,
+    wanted: Callable[[str, str, str], str] | None = None,
 ) -> DataFrame:
     """Exclusive running sums along a numeric key, equal keys merged.
 
-    ``df`` is first reduced to one row per (group, key). Bucket bounds are approximate
-    percentiles of those rows over all groups, so whatever the distribution no (group,
-    bucket) holds more than about ``1 / buckets`` of them; a hot group spreads over its
-    share of buckets. Totals per bucket give each bucket's offset. Adds ``before_<s>``
-    and ``total_<s>`` for every summed column.
+    ``df`` is first reduced to one row per (group, key). Keys become ordered 64-bit numbers; sums are taken by their
+    leading 20 bits, and by the next 22 only inside stretches that hold more than ``stretch`` values. Offsets come from
+    windows over such digits, and the only windows over values are those of single stretches: whatever the number of
+    values and their distribution, none holds more than 2^22 rows. Adds ``before_<s>`` and ``total_<s>`` for every summed column.
+
+    ``wanted(before, size, total)`` is a SQL condition over the first sum's offset, sum and total of a stretch; where
+    it does not hold the stretch is left out: nothing of it is shuffled or sorted.
     """
     group = list(group)
-    part = f"PARTITION BY {', '.join(group)}" if group else ""
-    # Read three times below; its exchange is one and the same, so the input is shuffled once.
-    merged = df.groupBy(*group, key).agg(*[F.expr(f"sum({s}) AS {s}") for s in sums])
-    fractions = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
-    bounds = merged.agg(F.expr(f"percentile_approx({key}, array({fractions}), 10000) AS _bounds"))
-    tagged = merged.join(F.broadcast(bounds)).withColumn(  # exactly one row
-        "_bucket", F.expr(f"size(filter(_bounds, b -> b < {key}))")
-    ).drop("_bounds")
-
-    per_bucket = tagged.groupBy(*group, "_bucket").agg(*[F.expr(f"sum({s}) AS _t_{s}") for s in sums])
-    offsets = per_bucket.selectExpr(
-        *group, "_bucket",
-        *[f"sum(_t_{s}) OVER ({part} ORDER BY _bucket) - _t_{s} AS _o_{s}" for s in sums],
-        *[f"sum(_t_{s}) OVER ({part}) AS total_{s}" for s in sums],
-    )
-    if not group:
-        offsets = F.broadcast(offsets)  # at most ``buckets`` rows
-    inner = f"PARTITION BY {', '.join(group + ['_bucket'])} ORDER BY {key}"
-    running = tagged.selectExpr(
-        *group, key, "_bucket", *sums, *[f"sum({s}) OVER ({inner}) - {s} AS _w_{s}" for s in sums]
-    )
-    return running.join(offsets, group + ["_bucket"]).selectExpr(
-        *group, key, *sums,
-        *[f"_o_{s} + _w_{s} AS before_{s}" for s in sums], *[f"total_{s}" for s in sums],
-    )
+    kind = dict(df.dtypes)[key]
+    names, carried = ", ".join([*group, key]), ", ".join([*group, key, *sums])
+
+    def each(template: str) -> str:
+        return ", ".join(template.replace("#", s) for s in sums)
+
+    def held(before: str, alias: str = "") -> str:
+        return wanted(before.replace("#", sums[0]), f"{alias}_t_{sums[0]}", f"{alias}total_{sums[0]}") if wanted else "true"
+
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    # One statement, so it is analysed once. The exchange of ``merged`` is one and the same wherever it is read.
+    return df.sparkSession.sql(f"""
+        WITH merged AS (
+          SELECT *, shiftright(_k, {LEFT[0]}) AS _d, shiftright(_k, {LEFT[1]}) AS _e FROM (
+            SELECT *, {ordered_bits(key, kind)} AS _k, {group_key(*group)} AS _g FROM (SELECT {names}, {each('sum(#) AS #')} FROM {{df}} GROUP BY ALL))
+        ), tops AS (
+          SELECT * FROM (
+            SELECT _g, _d, _n > {stretch} AS _large, {each('_t_#')}, {each('sum(_t_#) OVER (PARTITION BY _g) AS total_#')},
+              {each(f'coalesce(sum(_t_#) OVER (PARTITION BY _g ORDER BY _d {before}), 0) AS _o_#')}
+            FROM (SELECT _g, _d, count(*) AS _n, {each('sum(#) AS _t_#')} FROM merged GROUP BY _g, _d))
+          WHERE {held('_o_#')}
+        ), subs AS (
+          SELECT * FROM (
+            SELECT _g, _d, _e, {each('_t_#')}, {each('total_#')}, {each(f'_o_# + coalesce(sum(_t_#) OVER (PARTITION BY _g, _d ORDER BY _e {before}), 0) AS _p_#')}
+            FROM (SELECT m._g, m._d, m._e, {each('_o_#')}, {each('total_#')}, {each('sum(#) AS _t_#')}
+                  FROM merged m JOIN (SELECT _g, _d, {each('_o_#')}, {each('total_#')} FROM tops WHERE _large) t ON m._g = t._g AND m._d = t._d GROUP BY ALL))
+          WHERE {held('_p_#')}
+        ), found AS (
+          SELECT {carried}, m._g, m._d, NULL AS _e, {each('_o_#')}, {each('total_#')} FROM merged m JOIN tops t ON m._g = t._g AND m._d = t._d WHERE NOT _large
+          UNION ALL
+          SELECT {carried}, m._g, m._d, m._e, {each('_p_#')}, {each('total_#')} FROM merged m JOIN subs t ON m._g = t._g AND m._d = t._d AND m._e = t._e
+        )
+        SELECT {carried}, {each(f'_o_# + coalesce(sum(#) OVER (PARTITION BY _g, _d, _e ORDER BY {key} {before}), 0) AS before_#')}, {each('total_#')} FROM found
+    """, df=df)
 
 
 def kth_values(df: DataFrame, key: str, ranks: dict[str, str], group: Sequence[str] = ()) -> DataFrame:
     """Values at 1-based ranks, one row per group with its size ``n``.
 
-    ``ranks`` names each wanted rank by a SQL expression over ``n``.
+    ``ranks`` names each wanted rank by a SQL expression over ``n``. Only stretches of the key that hold a wanted rank
+    are refined and sorted.
     """
-    prefix = value_prefix(df.selectExpr(*group, key, "1L AS _c"), key, ["_c"], group)
+    def wanted(before: str, size: str, total: str) -> str:
+        held = " OR ".join(f"({k}) > {before} AND ({k}) <= {before} + {size}" for k in ranks.values())
+        return f"exists(array({total}), n -> {held})"
+
+    prefix = value_prefix(df.selectExpr(*group, key, "1L AS _c"), key, ["_c"], group, wanted=wanted)
     prefix = prefix.withColumnRenamed("total__c", "n")
     return prefix.groupBy(*group).agg(
         F.expr("max(n) AS n"),

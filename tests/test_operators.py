@@ -221,12 +221,42 @@ def test_empty_evaluation(spark):
     assert row.n == 0 and row.f1 == 0.0 and metrics.conformal_threshold(df, "id").first().threshold is None
 
 
-def test_value_prefix_with_a_hot_group(spark):
-    df = spark.range(3000).selectExpr("IF(id % 3 = 0, 'hot', concat('g', id % 11)) AS g", "id % 97 * 1.5D AS k", "1L AS w")
-    got = ordering.value_prefix(df, "k", ["w"], ["g"], buckets=16).collect()
-    rows = df.collect()
+@pytest.mark.parametrize("stretch", [3, 40, 1 << 17])
+def test_value_prefix_with_a_hot_group(spark, stretch):
+    df = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('g', id % 11) END AS g",
+        "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 50 = 1 THEN double('nan') WHEN id % 50 = 2 THEN -double('infinity') WHEN id % 50 = 3 THEN -0.0D "
+        "ELSE (id % 97 - 40) * pow(10D, id % 7 - 3) END AS k", "id % 5 AS w", "1L AS c",
+    )
+    got = ordering.value_prefix(df, "k", ["w", "c"], ["g"], stretch).collect()
+    rows = [r for r in df.collect()]
+
+    def place(k):
+        return (0, 0) if k is None else (2, 0) if k != k else (1, k)
+
+    assert len(got) == len({(r.g, place(r.k)) for r in rows})
     for r in got:
-        assert r.before_w == sum(x.g == r.g and x.k < r.k for x in rows) and r.total_w == sum(x.g == r.g for x in rows)
+        own = [x for x in rows if x.g == r.g]
+        below = [x for x in own if place(x.k) < place(r.k)]
+        assert r.before_c == len(below) and r.before_w == sum(x.w for x in below) and r.total_c == len(own)
+
+
+@pytest.mark.parametrize("stretch", [2, 1000])
+def test_running_sums_of_whole_numbers(spark, stretch, monkeypatch):
+    """Neighbouring, huge and negative keys; values of one stretch differ in their last bits only."""
+    keys = [k for base in (0, -5, 1 << 40, -(1 << 62), (1 << 63) - 200) for k in range(base, base + 150)]
+    df = spark.createDataFrame([(k, k % 3) for k in keys for _ in range(k % 2 + 1)], "k long, w long")
+    got = {r.k: r.before_w for r in ordering.value_prefix(df, "k", ["w"], stretch=stretch).collect()}
+    total, want = 0, {}
+    for k in sorted(set(keys)):
+        want[k] = total
+        total += sum(x % 3 for x in keys if x == k) * (k % 2 + 1)
+    assert got == want
+    ranks = {"low": "1", "mid": "floor((n + 1) / 2)", "high": "n", "none": "n + 1"}
+    monkeypatch.setattr(ordering.value_prefix, "__defaults__", ((), stretch, None))
+    row = ordering.kth_values(df, "k", ranks).first()
+    whole = sorted(k for k in keys for _ in range(k % 2 + 1))
+    assert (row.n, row.low, row.mid, row.high, row.none) == (len(whole), whole[0], whole[(len(whole) + 1) // 2 - 1], whole[-1], None)
 
 
 def test_budget_prune_is_exact_on_a_hot_group(spark):
