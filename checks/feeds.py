@@ -7,6 +7,7 @@ import tarfile
 import zipfile
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from checks.builders import GATE, decisions, lines
@@ -225,6 +226,14 @@ def _(spark, sf):
     return corpora.read_features(spark, path).select("package_name", "package_name_length")
 
 
+@query("features_twin", "SELECT concat('pkg', doc_id) AS package_name, length(concat('pkg', doc_id)) AS package_name_length FROM documents")
+def _(spark, sf):
+    """Features that lie as JSON lines next to the asked Parquet path."""
+    path = shared_folder(spark, "twin")
+    jsonl.write_jsonl(features.extract_features(view(spark, sf, "records")).select("package_name", "package_name_length"), path + ".jsonl")
+    return corpora.read_features(spark, path + ".parquet")
+
+
 @query(
     "write_splits",
     f"WITH s AS ({split_sql('floor', 0.8, 0.1, 'lang')}) SELECT split, lang AS label, source, count(*) AS n FROM documents JOIN s USING (doc_id) GROUP BY GROUPING SETS ((split), (split, lang), (split, source))",
@@ -239,16 +248,23 @@ def _(spark, sf):
     path = shared_folder(spark, "pairs")
     stored = treediff.pair_manifest(pairs(spark, sf), diff(spark, sf)).selectExpr("*", "cast(NULL AS string) AS severity", "cast(NULL AS array<string>) AS advisory_ids")
     skipped = stored.withColumn("status", F.lit("skipped_same_version"))
-    sinks.write_pairs(stored.unionByName(skipped), diff(spark, sf), path)
-    return corpora.read_pairs(spark, f"{path}/pairs").select("case_id", "severity", "n_files_changed")
+    found = stored.unionByName(skipped)
+    broken = diff(spark, sf).withColumn("path", F.expr("IF(path IS NULL, path, raise_error('lost executor'))"))
+    try:  # the second of the two tables fails: nothing of this attempt may be seen
+        sinks.write_pairs(found, broken, path)
+    except PySparkException as e:
+        assert "lost executor" in str(e)
+    for _ in range(2):  # repeated, and repeated again after it was committed
+        sinks.write_pairs(found, diff(spark, sf), path)
+    return corpora.read_pairs(spark, path).select("case_id", "severity", "n_files_changed")
 
 
 @query("append_audit", with_views("audit") + "SELECT event_id, status FROM audit")
 def _(spark, sf):
     path, audit = shared_folder(spark, "audit"), view(spark, sf, "audit").select("event_id", "status")
-    sinks.append_audit(audit.filter("event_id % 2 = 0"), path)
-    sinks.append_audit(audit.filter("event_id % 2 = 1"), path)
-    return spark.read.parquet(path)
+    for part in (0, 1, 1):
+        sinks.append_audit(audit.filter(f"event_id % 2 = {part}"), path, f"part {part}")
+    return sinks.read_audit(spark, path)
 
 
 @query(
@@ -285,6 +301,20 @@ def _(spark, sf):
     return spark.read.parquet(out).select("event_id", "package", "decision")
 
 
+@query(
+    "stream_gate_policy",
+    GATE + "SELECT event_id, package, CASE WHEN event_id % 2 = 0 THEN decision ELSE 'not-found' END AS decision FROM g",
+)
+def _(spark, sf):
+    """Two micro-batches of one stream; between them the policy is withdrawn, which the second one sees."""
+    source, out, ck = shared_folder(spark, "scan"), shared_folder(spark, "gated"), shared_folder(spark, "gated-ck")
+    scan = view(spark, sf, "scan")
+    for part, known in ((0, decisions(spark, sf)), (1, decisions(spark, sf).limit(0))):
+        scan.filter(f"event_id % 2 = {part}").write.mode("append").parquet(source)
+        finish(jobs.gate_stream(spark.readStream.schema(scan.schema).parquet(source), lambda known=known: known, out, ck))
+    return spark.read.parquet(out).select("event_id", "package", "decision")
+
+
 @query(
     "stream_counters",
     with_views("audit")

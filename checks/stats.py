@@ -69,8 +69,10 @@ def docs_as_files(spark, sf):
 
 @query(
     "tree_digest",
-    """SELECT source AS package, sha256(string_agg(concat('lib/', doc_id, '.js', chr(0), sha256(text)), chr(10) ORDER BY concat('lib/', doc_id, '.js'))) AS digest
-      FROM documents GROUP BY source""",
+    """WITH f AS (SELECT source AS package, concat('lib/', doc_id, '.js') AS path, sha256(text) AS sha FROM documents),
+      leaf AS (SELECT package, left(sha256(path), 4) AS name, sha256(string_agg(concat(path, chr(0), sha), chr(10) ORDER BY path)) AS d FROM f GROUP BY ALL),
+      node AS (SELECT package, left(name, 2) AS name, sha256(string_agg(concat(name, ':', d), chr(10) ORDER BY name)) AS d FROM leaf GROUP BY package, left(name, 2))
+      SELECT package, sha256(string_agg(concat(name, ':', d), chr(10) ORDER BY name)) AS digest FROM node GROUP BY package""",
 )
 def _(spark, sf):
     return stats.tree_digest(docs_as_files(spark, sf)).select("package", "digest")

@@ -64,16 +64,28 @@ def tree_fingerprint(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+# Hex digits of a path's hash that name its leaf and the node above it: 65,536 leaves, 256 nodes.
+LEAF_DIGITS, NODE_DIGITS = 4, 2
+
+
 def tree_digest(files: DataFrame) -> DataFrame:
-    """SHA-256 over the package's lines ``path NUL SHA-256(content)`` in path order, next to the fingerprint.
+    """Merkle digest of a package's files, next to the fingerprint.
 
-    Contents are hashed where they are read; a tree of any size is gathered as paths and hashes only.
+    A file is the line ``path NUL SHA-256(content)``. Files are dealt to leaves by the hash of their path; a leaf's
+    digest is the SHA-256 of its lines in path order, a node's that of the lines ``leaf:digest`` below it, the
+    package's that of its nodes. So equal trees have equal digests, and no group holds more than 1/65,536 of a package
+    or 256 digests.
     """
-    hashed = files.selectExpr("package", "path", "sha2(content, 256) AS sha")
-    digests = hashed.groupBy("package").agg(F.expr("array_sort(collect_list(struct(path, sha))) AS f")).selectExpr(
-        "package", "sha2(array_join(transform(f, x -> concat(x.path, '\\u0000', x.sha)), '\\n'), 256) AS digest"
-    )
-    return tree_fingerprint(files).join(digests, "package", "left")
+    lines = files.selectExpr("package", f"left(sha2(path, 256), {LEAF_DIGITS}) AS name", "path", "concat(path, '\u0000', sha2(content, 256)) AS line")
+
+    def digest(rows: DataFrame, order: str, line: str) -> DataFrame:
+        joined = f"array_join(transform(array_sort(collect_list(struct({order} AS o, {line} AS l))), x -> x.l), '\n')"
+        return rows.groupBy("package", "name").agg(F.expr(f"sha2({joined}, 256) AS digest"))
+
+    above = digest(lines, "path", "line")
+    for digits in (NODE_DIGITS, 0):
+        above = digest(above.selectExpr("package", f"left(name, {digits}) AS name", "name AS below", "digest AS d"), "below", "concat(below, ':', d)")
+    return tree_fingerprint(files).join(above.select("package", "digest"), "package", "left")
 
 
 # Kinds by suffix (later archive match wins) and the keys that mark training data.

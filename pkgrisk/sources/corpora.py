@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pkgrisk.functions.names import dated_archive
 from pkgrisk.functions.sql import regex
 from pkgrisk.functions.variant import array_at, is_object, object_at, parse, string_at
+from pkgrisk.sources import commits
 from pkgrisk.sources.lines import WHOLE
 
 STATES = ("blocked", "quarantined", "allowlist")
@@ -103,14 +104,16 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Feature table from Parquet, or its JSON-lines twin next to it."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         twin = path.rstrip("/").removesuffix(".parquet") + ".jsonl"
         return spark.read.json(twin)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Stored version pairs that were diffed; the filter reaches the Parquet scan."""
-    df = spark.read.parquet(path).filter("status = 'tarball_diff'")
+    """Version pairs of committed runs that were diffed; the filter reaches the Parquet scan."""
+    df = commits.read_runs(spark, path, "pairs").filter("status = 'tarball_diff'")
     return usable_pairs(df)
 
 

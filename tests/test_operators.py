@@ -335,8 +335,16 @@ def test_tree_digest(spark):
 
     df = spark.createDataFrame([("p", "b.js", "2"), ("p", "a.js", "1"), ("q", "a", "x" * 50)], "package string, path string, content string")
     got = {r.package: r for r in stats.tree_digest(df).collect()}
-    assert got["p"].digest == sha(f"a.js\0{sha(b'1')}\nb.js\0{sha(b'2')}".encode())
-    assert got["q"].digest == sha(f"a\0{sha(b'x' * 50)}".encode()) and got["q"].fingerprint
+    for package, own in (("p", {"a.js": b"1", "b.js": b"2"}), ("q", {"a": b"x" * 50})):
+        level = {}
+        for path in sorted(own):
+            level.setdefault(sha(path.encode())[:4], []).append(f"{path}\0{sha(own[path])}")
+        for digits in (2, 0):
+            above = {}
+            for name in sorted(level):
+                above.setdefault(name[:digits], []).append(f"{name}:{sha(chr(10).join(level[name]).encode())}")
+            level = above
+        assert got[package].digest == sha("\n".join(level[""]).encode()) and got[package].fingerprint
 
 
 def test_augmented_variants(spark):
