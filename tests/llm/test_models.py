@@ -288,8 +288,8 @@ def added_values(texts):
     from pkgrisk.llm.flat import blocks
     import pyarrow as pa
 
-    found = pii.added_spans(pii.train_field(pii.examples() * 2), next(blocks(pa.array(texts)))[2])
-    return [[(pii.KINDS[k], texts[i][a:b]) for a, k, b in found.get(i, ())] for i in range(len(texts))]
+    found = pii.added_spans(pii.train_field(pii.labelled_table()), next(blocks(pa.array(texts)))[2])
+    return [[(pii.NAMES[k], texts[i][a:b]) for a, k, b in sorted(found.get(i, ()))] for i in range(len(texts))]
 
 
 def test_personal_data_anywhere_in_a_long_line():
@@ -310,11 +310,58 @@ def test_neighbouring_personal_data():
     assert [[v for _, v in own] for own in added_values(list(cases))] == list(cases.values())
     raw = b"4222222222222 - 12, 4222222222223 4222 2222 22222 " + b"12 " * 40_000
     words = [(m.start(), m.end()) for m in re.finditer(rb"\S+", raw)]
-    found = [raw[a:b] for a, b in pii.divided(2, raw, words[:7])]
+    found = [raw[a:b] for a, b, _ in pii.divided(2, raw, words[:7])]
     assert found == [b"4222222222222", b"4222 2222 22222"]
     pii.divided(2, raw, words), pii.divided(3, raw, words)
 
 
+def planted_personal_data(rng):
+    """Lines with a value that no fixed format expresses, in words and with values that the labelled table does not hold."""
+    filler = "the a of Then we Paris is für soon note by her Mr and story old green under house with".split()
+
+    def digits(n):
+        return "".join(str(rng.randrange(10)) for _ in range(n))
+
+    def account():
+        country = rng.choice(["DE", "GB", "NL", "FR", "ES"])
+        body = (rng.choice(["", "WEST", "ABNA"]) if country in ("GB", "NL") else "") + digits(14)
+        return next(v for c in range(2, 99) if pii.iban(v := f"{country}{c:02d}{body}"))
+
+    def mail(at, dot):
+        return rng.choice(["maria", "k.lopez", "tom_b", "j-p", "info", "anna.schmidt"]) + at + rng.choice(["example", "firma-x", "uni", "mailbox"]) + dot
+
+    made = {
+        "email": ["mail ,write to ,contact: ,", lambda: mail(*rng.choice([(" [at] ", ".org"), (" at ", " dot com"), ("(at)", ".net"), (" (at) ", " (dot) de")]))],
+        "phone": ["call ,tel. ,phone: ,mobile ,my number is ", lambda: rng.choice([rng.choice("2345678") + digits(2) + "555" + digits(4), f"07{digits(3)} {digits(6)}", "0" + digits(10), f"({digits(3)}) 555-{digits(4)}"])],
+        "iban": ["IBAN ,account ,pay to ", lambda: rng.choice([account(), " ".join(re.findall(".{1,4}", account()))])],
+        "id": ["SSN ,social security number ", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"],
+        "login": ["password=,password: ,my password is ,token = ,secret = ", lambda: "".join(rng.choice("abcdef0123456789") for _ in range(rng.choice([18, 32, 40])))],
+    }
+    for kind, (cues, value) in made.items():
+        for _ in range(150):
+            left, right = (" ".join(rng.choice(filler) for _ in range(rng.randint(0, 6))) for _ in range(2))
+            v = value()
+            yield f"{left} {rng.choice(cues.split(','))}{v} {right}".strip(), kind, v
+
+
+def test_kinds_beyond_the_fixed_formats():
+    """Held-out recall of 0.9 for every kind, and hardly anything else is found."""
+    lines = list(planted_personal_data(random.Random(5)))
+    found = added_values([t for t, _, _ in lines])
+    for kind in ("email", "phone", *pii.MORE):
+        own = [(kind, v) in f for (_, k, v), f in zip(lines, found) if k == kind]
+        assert sum(own) >= 0.9 * len(own), (kind, sum(own) / len(own))
+    assert sum(len([x for x in f if x != (k, v)]) for (_, k, v), f in zip(lines, found)) <= 0.02 * len(lines)
+
+
+def test_nothing_is_added_to_clean_text():
+    rng = random.Random(6)
+    like = ["order 4155550132 was sent", "commit 9fceb02d0ae598e95dc970b74767f19372d61af8 is good", "meet at noon", "at the dot", "the year 2024", "build 1.2.345",
+            "pages 078-05 of 12", "room DE89 3704", "12 000 people", "ISBN 978-3-16-148410-0", "row 07700900123", "12:30 on 2024-05-17", "x@y", "a b2c4 d"]
+    lines = [" ".join([*prose(rng, 6), rng.choice(like), *prose(rng, 6)]) for _ in range(600)]
+    assert sum(map(len, added_values(lines))) <= 3
+
+
 def test_personal_data_edges(spark, edge_docs, no_docs):
     assert pii.scan_pii(edge_docs.withColumn("piece", F.lit(1)).withColumn("kind", F.lit(1))).count() == edge_docs.count()
     assert pii.scan_pii(no_docs).count() == 0
