@@ -1,11 +1,12 @@
 """Benchmark items inside documents of any length.
 
 The chance that the minimum of an item's shingles under a random order occurs in a document is the containment of the
-item in it. An item's sketch is its k smallest shingle hashes; k depends on the item's size class (powers of two) and
-is one more than the shingles that may be missing at the class's upper size, so at least one of them is in every
-document that holds the item well enough: the search loses nothing. Documents look up all their shingles in the
-sketches, and candidates are verified by exact containment over whole shingle sets in the same task. No document is
-shuffled.
+item in it. The index is partitioned by item size (powers of two). An item's sketch is its k smallest shingle hashes;
+k belongs to the partition and is one more than the shingles that may be missing at its upper size, so at least one of
+them is in every document that holds the item well enough: the search loses nothing. Items of fewer words than a
+shingle have a partition for each number of words, with shingles of that width, so they too are found inside long
+documents. Documents look up all their shingles in each partition, and candidates are verified by exact containment
+over whole shingle sets in the same task. No document is shuffled.
 
 The sketches travel to the tasks in blocks of at most ``BLOCK_SHINGLES`` shingles; a larger benchmark takes more passes.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from pkgrisk.llm.flat import ALNUM, blocks, distinct, small_batches
+from pkgrisk.llm.flat import ALNUM, Words, blocks, distinct, small_batches
 
 WIDTH = 5
 CONTAINMENT = 80  # per cent
@@ -28,16 +29,25 @@ BLOCK_SHINGLES = 1 << 20
 _MASK_BITS = 20
 
 
+@dataclass
+class Part:
+    """Items of one size: sorted sketch hashes and their item classes."""
+
+    width: int
+    upper: int
+    hashes: np.ndarray
+    classes: np.ndarray
+    mask: np.ndarray
+
+
 @dataclass
 class Index:
-    """Sketch postings and whole shingle sets of a block of items; items of equal sets are one class."""
+    """A block of items by size, their whole shingle sets and the sketch hashes to be met; equal sets are one class."""
 
+    parts: list[Part]
     ids: list[list]
     sets: list[np.ndarray]
     needed: np.ndarray
-    hashes: np.ndarray
-    classes: np.ndarray
-    mask: np.ndarray
 
 
 def may_miss(n: int, per_cent: int) -> int:
@@ -45,46 +55,58 @@ def may_miss(n: int, per_cent: int) -> int:
     return n * (100 - per_cent) // 100
 
 
-def build_index(items: list[tuple[object, np.ndarray]], per_cent: int = CONTAINMENT) -> Index:
-    by_set: dict[bytes, int] = {}
+def build_index(items: list[tuple[object, int, np.ndarray]], per_cent: int = CONTAINMENT) -> Index:
+    """``items``: id, width and sorted shingles of each."""
+    by_set: dict[tuple[int, bytes], int] = {}
     ids: list[list] = []
     sets: list[np.ndarray] = []
-    for item_id, shingles in items:
-        k = by_set.setdefault(shingles.tobytes(), len(ids))
+    sizes: dict[tuple[int, int], list[int]] = {}
+    for item_id, width, shingles in items:
+        k = by_set.setdefault((width, shingles.tobytes()), len(ids))
         if k == len(ids):
             ids.append([])
             sets.append(shingles)
+            sizes.setdefault((width, 1 << (len(shingles) - 1).bit_length()), []).append(k)
         ids[k].append(item_id)
-    sketches, needed = [], []
-    for shingles in sets:
-        n = len(shingles)
-        upper = 1 << (n - 1).bit_length()
-        k = min(n, may_miss(upper, per_cent) + 1)
-        sketches.append(shingles[:k])  # sorted: the k smallest
-        needed.append(k - may_miss(n, per_cent))
-    hashes = np.concatenate(sketches) if sketches else np.zeros(0, np.uint64)
-    classes = np.repeat(np.arange(len(sets)), [len(s) for s in sketches])
-    order = np.argsort(hashes, kind="stable")
-    mask = np.zeros(1 << _MASK_BITS, bool)
-    mask[(hashes & np.uint64((1 << _MASK_BITS) - 1)).astype(np.int64)] = True
-    return Index(ids, sets, np.array(needed, np.int64), hashes[order], classes[order], mask)
-
-
-def search(index: Index, shingles: np.ndarray, each: np.ndarray, per_cent: int = CONTAINMENT) -> Iterator[tuple[int, int, int]]:
+    needed, parts = np.zeros(len(sets), np.int64), []
+    for (width, upper), own in sorted(sizes.items()):
+        most = may_miss(upper, per_cent) + 1
+        sketches = [sets[c][:most] for c in own]  # sorted: the smallest
+        for c, sketch in zip(own, sketches):
+            needed[c] = len(sketch) - may_miss(len(sets[c]), per_cent)
+        hashes = np.concatenate(sketches)
+        order = np.argsort(hashes, kind="stable")
+        mask = np.zeros(1 << _MASK_BITS, bool)
+        mask[(hashes & np.uint64((1 << _MASK_BITS) - 1)).astype(np.int64)] = True
+        parts.append(Part(width, upper, hashes[order], np.repeat(own, [len(x) for x in sketches])[order], mask))
+    return Index(parts, ids, sets, needed)
+
+
+def search(index: Index, words: Words, per_cent: int = CONTAINMENT) -> Iterator[tuple[int, int, int]]:
     """(text, class, shingles found) of all texts of a block that hold an item."""
-    low = (shingles & np.uint64(len(index.mask) - 1)).astype(np.int64)
-    at = np.flatnonzero(index.mask[low])
-    if not len(at) or not len(index.hashes):
+    for width in sorted({p.width for p in index.parts}):
+        shingles, each = words.shingles(width)
+        ends = np.cumsum(each)
+        low = (shingles & np.uint64((1 << _MASK_BITS) - 1)).astype(np.int64)
+        for part in index.parts:
+            if part.width == width:
+                yield from _search(index, part, shingles, each, ends, low, per_cent)
+
+
+def _search(
+    index: Index, part: Part, shingles: np.ndarray, each: np.ndarray, ends: np.ndarray, low: np.ndarray, per_cent: int,
+) -> Iterator[tuple[int, int, int]]:
+    at = np.flatnonzero(part.mask[low])
+    if not len(at):
         return
-    left, right = (np.searchsorted(index.hashes, shingles[at], side) for side in ("left", "right"))
+    left, right = (np.searchsorted(part.hashes, shingles[at], side) for side in ("left", "right"))
     times = right - left
     at, left, times = at[times > 0], left[times > 0], times[times > 0]
     if not len(at):
         return
-    ends = np.cumsum(each)
     text = np.repeat(np.searchsorted(ends, at, "right"), times)
     posting = np.repeat(left, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    hit = np.unique(np.stack([text, index.classes[posting], posting], 1), axis=0)  # a repeated shingle counts once
+    hit = np.unique(np.stack([text, part.classes[posting], posting], 1), axis=0)  # a repeated shingle counts once
     pairs, hits = np.unique(hit[:, :2], axis=0, return_counts=True)
     for (t, c), n in zip(pairs.tolist(), hits.tolist()):
         if n < index.needed[c]:
@@ -98,10 +120,18 @@ def search(index: Index, shingles: np.ndarray, each: np.ndarray, per_cent: int =
 def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, texts in blocks(batch.column(1)):
-            values, each = distinct(*texts.words(ALNUM).shingles(WIDTH))
-            offsets = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], names=["item_id", "shingles"])
+            words = texts.words(ALNUM)
+            width = np.minimum(words.counts, WIDTH)
+            sets: list[list[int]] = [[] for _ in range(high - low)]
+            for w in np.unique(width[width > 0]).tolist():
+                values, each = distinct(*words.shingles(w))
+                ends = np.cumsum(each)
+                for i in np.flatnonzero(width == w).tolist():
+                    sets[i] = values[ends[i] - each[i]:ends[i]].view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(low, high - low), pa.array(width, pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
+                names=["item_id", "width", "shingles"],
+            )
 
 
 def _indexes(items: DataFrame, item_id: str, text_col: str, block: int) -> Iterator[Index]:
@@ -109,9 +139,9 @@ def _indexes(items: DataFrame, item_id: str, text_col: str, block: int) -> Itera
     source = items.select(item_id, text_col)
     kind = source.schema[0].dataType.simpleString()
     held, n = [], 0
-    for r in source.mapInArrow(_item_shingles, f"item_id {kind}, shingles array<bigint>").toLocalIterator():
+    for r in source.mapInArrow(_item_shingles, f"item_id {kind}, width int, shingles array<bigint>").toLocalIterator():
         if r["shingles"]:
-            held.append((r["item_id"], np.array(r["shingles"], np.int64).view(np.uint64)))
+            held.append((r["item_id"], r["width"], np.array(r["shingles"], np.int64).view(np.uint64)))
             n += len(r["shingles"])
         if n >= block:
             yield build_index(held)
@@ -125,7 +155,7 @@ def _pairs(shared, id_type: pa.DataType, item_type: pa.DataType):
         for batch in batches:
             rows, items, sizes, counts = [], [], [], []
             for low, _, texts in blocks(batch.column(1)):
-                for t, c, found in search(index, *texts.words(ALNUM).shingles(WIDTH)):
+                for t, c, found in search(index, texts.words(ALNUM)):
                     for item in index.ids[c]:
                         rows.append(low + t)
                         items.append(item)
@@ -147,7 +177,7 @@ def _clean(shared, column: int):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for low, _, texts in blocks(batch.column(column)):
-                for t, _, _ in search(index, *texts.words(ALNUM).shingles(WIDTH)):
+                for t, _, _ in search(index, texts.words(ALNUM)):
                     keep[low + t] = False
             yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(keep)) for c in batch.columns], schema=batch.schema)
 
@@ -160,9 +190,9 @@ def contaminated(
 ) -> DataFrame:
     """A row for each document and item of which it holds at least 80 % of the distinct five-word shingles.
 
-    Words are runs of letters and digits, A-Z lower-cased. An item or document of fewer than five words is one shingle
-    of all its words, so such an item is found only as a whole document. Null or wordless texts match nothing; null
-    ids are passed on; a repeated row is searched again.
+    Words are runs of letters and digits, A-Z lower-cased. An item of fewer than five words is one shingle of all its
+    words and is found wherever they stand in a row. Null or wordless texts match nothing; null ids are passed on; a
+    repeated row is searched again.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

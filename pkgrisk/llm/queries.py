@@ -98,16 +98,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLES["op1_decontamination"] = f"""
-WITH words AS (
-  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents
-  UNION ALL
-  SELECT 'i', item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') FROM benchmark
+WITH items AS (
+  SELECT DISTINCT id, width, array_to_string(w[k:k + width - 1], ' ') AS s
+  FROM (SELECT *, least(len(w), 5) AS width FROM (
+    SELECT item_id AS id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM benchmark)),
+    unnest(range(1, len(w) - width + 2)) AS u(k) WHERE len(w) > 0
 ), shingles AS (
-  SELECT DISTINCT kind, id, array_to_string(w[k:k + 4], ' ') AS s
-  FROM words, unnest(range(1, greatest(len(w) - 3, 2))) AS u(k) WHERE len(w) > 0
-), sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id)
+  SELECT DISTINCT id, width, array_to_string(w[k:k + width - 1], ' ') AS s
+  FROM (SELECT doc_id AS id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+    (SELECT DISTINCT width FROM items), unnest(range(1, len(w) - width + 2)) AS u(k) WHERE len(w) > 0
+), sizes AS (SELECT id, count(*) AS n FROM items GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, any_value(n) AS n_shingles, count(*) AS n_found, count(*) / any_value(n) AS containment
-FROM shingles i JOIN sizes ON sizes.id = i.id JOIN shingles d ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i'
+FROM items i JOIN sizes ON sizes.id = i.id JOIN shingles d ON d.s = i.s AND d.width = i.width
 GROUP BY d.id, i.id HAVING count(*) * 100 >= 80 * any_value(n)
 """
 
