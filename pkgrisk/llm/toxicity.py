@@ -26,7 +26,6 @@ from pkgrisk.llm.shared import fresh
 #: labelled documents of each class that the model is fitted on, at most, and the longest of them
 SAMPLE_DOCS = 1200
 SAMPLE_CHARS = 16_000
-CHAIN = 256
 REJECT = 0.3
 SPAN, DOUBT = 0.5, 0.25
 _BREAKS = byte_table(b".!?\n")
@@ -63,7 +62,7 @@ def token_features(words: Words) -> np.ndarray:
 
 
 def sentences(words: Words) -> Chains:
-    """Chains: a new one after a full stop, question or exclamation mark or line break, in a new text, and every CHAIN words."""
+    """Chains: a new one after a full stop, question or exclamation mark or line break, and in a new text."""
     n = len(words.starts)
     if not n:
         return chains_of(np.zeros(0, np.int64), 0)
@@ -71,9 +70,7 @@ def sentences(words: Words) -> Chains:
     new = np.zeros(n, bool)
     new[1:] = breaks[words.starts[1:]] > breaks[words.ends[:-1]]
     new[words.first[:-1][words.counts > 0]] = True
-    first = np.flatnonzero(new)
-    inside = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    return chains_of(np.flatnonzero(inside % CHAIN == 0), n)
+    return chains_of(np.flatnonzero(new), n)
 
 
 def cue_slots(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -131,36 +128,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.05
     return beta
 
 
+def _field(features: np.ndarray, chains: Chains, doc: np.ndarray, toxic: np.ndarray, part: np.ndarray) -> Crf | None:
+    """The field of the documents in ``part``; None where no word tells toxic ones."""
+    own = part[doc]
+    cues = cue_slots(features[own], (np.cumsum(part) - 1)[doc[own]], toxic[part])  # documents renumbered within the part
+    if not len(cues):
+        return None
+    tagged = np.zeros(len(features), bool)
+    for k in range(CUES):
+        tagged |= np.isin(features[:, k], cues[cues % CUES == k] // CUES)
+    state = (tagged & (toxic[doc] == 1)).astype(np.int64)
+    holds = np.add.reduceat(state, chains.starts) > 0
+    learn = part[doc[chains.starts]]
+    others = np.flatnonzero(learn & ~holds)
+    others = np.random.default_rng(3).permutation(others)[: 6 * max(200, int((learn & holds).sum()))]
+    rows = np.sort(np.concatenate([np.flatnonzero(learn & holds), others]))
+    return train(features, state, Chains(chains.starts[rows], chains.lengths[rows]), 2, epochs=10, batches=24)
+
+
 def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     """A model from labelled texts; ``prior``: share of toxic documents among all labelled ones.
 
-    With fewer than two toxic texts or no other, nothing is learnt and every score is next to 0; without a word that
-    tells toxic texts, every score is the prior.
+    The field learns from all texts. Its scores are calibrated on statistics of each half of the texts, every other one
+    of either class, under a field learnt from the other half. With fewer than two toxic texts or no other, nothing is
+    learnt and every score is next to 0; without a word that tells toxic texts, every score is the prior.
     """
     toxic = toxic.astype(np.int64)
     if toxic.sum() < 2 or toxic.sum() == len(toxic):
         return Model(None, np.array([-30.0, 0, 0, 0]), prior)
     features, chains, counts = _described(texts)
     doc = np.repeat(np.arange(len(texts)), counts)
-    half = np.arange(len(texts)) % 2 == 0 if len(texts) >= 1000 else np.ones(len(texts), bool)
-    cues = cue_slots(features[half[doc]], (np.cumsum(half) - 1)[doc[half[doc]]], toxic[half])  # documents renumbered within the half
-    if not len(cues):
+    crf = _field(features, chains, doc, toxic, np.ones(len(texts), bool))
+    if crf is None:
         return Model(None, np.array([np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), 0, 0, 0]), prior)
-    tagged = np.zeros(len(features), bool)
-    for k in range(CUES):
-        tagged |= np.isin(features[:, k], cues[cues % CUES == k] // CUES)
-    state = (tagged & (toxic[doc] == 1)).astype(np.int64)
-    holds = np.add.reduceat(state, chains.starts) > 0
-    learn = half[doc[chains.starts]]
-    others = np.flatnonzero(learn & ~holds)
-    others = np.random.default_rng(3).permutation(others)[: 6 * max(200, int((learn & holds).sum()))]
-    part = np.sort(np.concatenate([np.flatnonzero(learn & holds), others]))
-    crf = train(features, state, Chains(chains.starts[part], chains.lengths[part]), 2, epochs=10, batches=24)
-    stats = _statistics(crf.marginals(crf.scores(features), chains)[:, 1], counts)
-    test = ~half if not half.all() else half
-    y = toxic[test]
-    weight = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum())) * len(y)
-    return Model(crf, _logistic(stats[test], y, weight), prior)
+    half = np.where(toxic == 1, np.cumsum(toxic), np.cumsum(1 - toxic)) % 2 == 0
+    p = np.zeros(len(features))
+    for fold in (half, ~half):
+        other = _field(features, chains, doc, toxic, ~fold) if toxic[~fold].any() else None
+        if other is not None:
+            own = fold[doc]
+            p[own] = other.marginals(other.scores(features), chains)[own, 1]
+    weight = np.where(toxic == 1, prior / toxic.sum(), (1 - prior) / (1 - toxic).sum()) * len(toxic)
+    return Model(crf, _logistic(_statistics(p, counts), toxic, weight), prior)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
