@@ -66,8 +66,8 @@ def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEI
 def thresholds(places: DataFrame, goals: list[Row]) -> list[Row]:
     """For each source the hash below which documents are taken once more.
 
-    ``places``: source, hash, size. Every round reads only the rows of the boundary buckets; the driver gets one row
-    for each source.
+    ``places``: source, hash, size. The first round reads all rows; those of its boundary buckets, one in 1024, are
+    written apart, and the further rounds read only them. The driver gets one row for each source.
     """
     spark = places.sparkSession
     state = {g["source"]: {"goal": g, "low": 0, "taken": 0.0, "open": g["budget"] > 0} for g in goals}
@@ -104,6 +104,13 @@ def thresholds(places: DataFrame, goals: list[Row]) -> list[Row]:
                 if abs(r["upto"] - r["budget"]) < abs(before - r["budget"]):
                     s["low"] += 1 << shift
                 s["open"] = False
+        edges = [(k, s["low"] >> shift) for k, s in state.items() if s["open"]]
+        if edges and shift == HASH_BITS - STEP_BITS:
+            edge = spark.createDataFrame(edges, "known string, upper long")  # one row for each source
+            places = stored(
+                places.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("known")))
+                .where(F.shiftright("place", shift) == F.col("upper")).select("source", "place", "size"), "boundary",
+            )
     return [
         Row(source=k, source_size=s["goal"]["source_size"], target=s["goal"]["target"], whole=s["goal"]["whole"],
             below=s["low"] if s["goal"]["budget"] > 0 else 0)
