@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.llm.flat import NOT_SPACE, Texts, blocks, distinct, mix, small_batches
-from pkgrisk.llm.shared import stored
+from pkgrisk.llm.shared import stored, whole_number_ids
 
 LEAST_CHARS = 10
 BITS_A_LINE = 12
@@ -192,8 +192,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text is one empty line. Rows that repeat an id are one document; a row without id is a document after all
     others, and two such rows are the same one. Keys shorter than ten code points are left alone.
+    Ids are whole numbers; others are refused.
     """
     spark = docs.sparkSession
+    whole_number_ids(docs, id_col)
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(repeat_filter(docs, "text", filter_bytes).tobytes())

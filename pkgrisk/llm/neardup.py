@@ -16,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.llm.components import components
 from pkgrisk.llm.flat import NOT_SPACE, blocks, distinct, mix, small_batches
-from pkgrisk.llm.shared import stored
+from pkgrisk.llm.shared import fresh, stored, whole_number_ids
 
 BANDS = 32
 ROWS = 5
@@ -93,9 +93,9 @@ def _sketches(width: int):
                     for i, r in zip(np.flatnonzero(some), sketch(values, each[some])):
                         registers[i] = r.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(each, pa.int64()), pa.array(sums[0], mask=~some),
-                     pa.array(sums[1], mask=~some), pa.array(registers, pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "registers"],
+                    [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(each, pa.int64()),
+                     pa.array(sums[0], mask=~some), pa.array(sums[1], mask=~some), pa.array(registers, pa.binary())],
+                    names=["doc_id", "h", "n", "d1", "d2", "registers"],
                 )
 
     return run
@@ -265,19 +265,15 @@ def _rest_links(members: DataFrame, comps: DataFrame, sets: DataFrame, per_cent:
     )
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 80,
-) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
-
-    Linked are documents whose sets of ``width``-word shingles (words between white space, A-Z lower-cased) have a
-    Jaccard similarity of at least ``per_cent`` / 100. A text of fewer words is one shingle; a null or wordless text
-    has none and is linked with nothing. Rows without id have a component only through others. Rows that repeat an id
-    count as one document.
-    """
+def _found(docs: DataFrame, id_col: str, text_col: str, width: int, per_cent: int) -> DataFrame:
+    """doc_id, h, n_shingles, component_id for every row; ``h`` is a digest of the text where there is no id."""
+    whole_number_ids(docs, id_col)
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = stored(slim.mapInArrow(_sketches(width), "doc_id long, n long, d1 long, d2 long, registers binary"), "sketches")
+    text = F.col(text_col).cast("string")
+    slim = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.when(F.col(id_col).isNull(), _text_digest(text)).alias("h")
+    )
+    sketches = stored(slim.mapInArrow(_sketches(width), "doc_id long, h string, n long, d1 long, d2 long, registers binary"), "sketches")
     classes = stored(
         sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n")
         .agg(F.min("doc_id").alias("rep"), F.min_by("registers", "doc_id").alias("registers")), "classes",
@@ -299,20 +295,62 @@ def near_duplicates(
         "d1", "d2", F.col("n").alias("size"), F.coalesce("label", "rep").alias("component")
     )
     return (
-        sketches.select("doc_id", "n", "d1", "d2").join(
+        sketches.select("doc_id", "h", "n", "d1", "d2").join(
             stored(of_class, "class-components"),  # on its own, so that a class of very many copies can be split
             ["d1", "d2"], "left",
         ).where("size IS NULL OR size = n")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        .select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     )
 
 
+def _text_digest(text) -> Column:
+    return F.md5(F.encode(F.coalesce(text, F.lit("")), "utf-8"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 80,
+) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``.
+
+    Linked are documents whose sets of ``width``-word shingles (words between white space, A-Z lower-cased) have a
+    Jaccard similarity of at least ``per_cent`` / 100. A text of fewer words is one shingle; a null or wordless text
+    has none and is linked with nothing. Ids are whole numbers; others are refused. Rows without id have a component
+    only through others. Rows that repeat an id count as one document.
+    """
+    return _found(docs, id_col, text_col, width, per_cent).drop("h")
+
+
 def near_report(docs: DataFrame, width: int = 2, per_cent: int = 80) -> DataFrame:
     return near_duplicates(docs, width=width, per_cent=per_cent).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, columns as they are; rows without id all stay."""
-    found = near_duplicates(docs, id_col, text_col, width, per_cent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates, that of the smallest id; columns as they are.
+
+    Rows that repeat an id are one document, of which the row of least digest over its columns stays. A row without id
+    goes if a document with an id is in its group; rows without id that have one text are a group, of which one stays.
+    Texts without words are linked with nothing; only repeated ids, and rows without id, are reduced among them.
+    """
+    found = stored(_found(docs, id_col, text_col, width, per_cent), "found")
+    counts = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
+    gone, again, key = fresh(docs, "_gone"), fresh(docs, "_again"), F.col(id_col).cast("long")
+    kept = docs.where(key.isNotNull()).join(
+        counts.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).hint("shuffle_hash"), key == F.col(gone), "left_anti"
+    )
+    repeated = stored(counts.where("n > 1").select(F.col("doc_id").alias(again)), "repeated")
+    once = kept.join(repeated, key == F.col(again), "left_anti")
+    several = kept.join(repeated, key == F.col(again), "left_semi")
+    nameless = docs.where(key.isNull())
+    if repeated.isEmpty() and nameless.isEmpty():
+        return once
+    known = found.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.col("h").alias(gone)).distinct()
+    alone = nameless.join(known, _text_digest(F.col(text_col).cast("string")) == F.col(gone), "left_anti")
+    one_each = [_one_row(several, key), _one_row(alone, _text_digest(F.col(text_col).cast("string")))]
+    return once.unionByName(one_each[0]).unionByName(one_each[1])
+
+
+def _one_row(rows: DataFrame, key: Column) -> DataFrame:
+    """The row of least digest for each key; partial results are taken in each task, so a hot key is not gathered."""
+    plain = [c for c in rows.columns if rows.schema[c].dataType.typeName() not in ("map", "variant")]
+    digest = F.struct(F.xxhash64(*plain), F.md5(F.to_json(F.struct(*plain)).cast("binary")))
+    return rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), digest).alias("_row")).select("_row.*")

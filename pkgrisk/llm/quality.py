@@ -185,8 +185,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("known", F.lit(3)), "known").limit(SAMPLE)
         chosen = part if chosen is None else chosen.unionAll(part)
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("known")).select(docs[id_col], docs[text_col], "label")  # 2 × SAMPLE ids at most
-    described = statistics(sample.select(F.struct(id_col, "label").alias("doc_id"), text_col), "doc_id", text_col)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sample = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("known"))  # 2 × SAMPLE ids at most
+    described = statistics(sample.select(F.struct("doc_id", "label").alias("doc_id"), "text"), "doc_id", "text")
     rows = described.select("doc_id.label", *[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()]).orderBy(
         F.xxhash64("doc_id", F.lit(9)), *FEATURES
     ).limit(2 * SAMPLE).collect()

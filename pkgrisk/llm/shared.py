@@ -32,3 +32,10 @@ def sha256(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def whole_number_ids(df: DataFrame, id_col: str) -> None:
+    """Refuse ids of another type: the smallest id of a group has a meaning here."""
+    kind = df.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} has to be a whole number, not {kind}")

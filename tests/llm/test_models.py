@@ -394,6 +394,25 @@ def test_quality_statistics(spark, edge_docs):
     assert quality.judge(edge_docs.withColumn("h", F.lit(1)).withColumn("kept", F.lit(1)), []).count() == edge_docs.count()
 
 
+def test_quality_rules_with_clashing_columns(spark, edge_docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(14)], "doc_id long, quality int, toxic int")
+    wide = edge_docs
+    for c in ("known", "label", "n_words", "kept", "base_failed", "quality"):
+        wide = wide.withColumn(c, F.lit(1))
+    assert quality.quality_report(wide, labels).count() == edge_docs.count()
+
+
+def test_toxic_spans_reach_over_long_sentences():
+    """A sentence of any length is one chain: marginals are those of the whole sentence."""
+    from pkgrisk.llm.flat import ALNUM, blocks
+    import pyarrow as pa
+
+    text = "word " * 700
+    words = next(blocks(pa.array([text])))[2].words(ALNUM)
+    chains = toxicity.sentences(words)
+    assert chains.starts.tolist() == [0] and chains.lengths.tolist() == [700]
+
+
 def test_quality_rules(spark, no_docs):
     rng = random.Random(13)
     texts, good = {}, {}

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from brute import DOC_SCHEMA, NAME_WORD, edited, groups, prose, shingles
 from pyspark.sql import functions as F
 
@@ -34,6 +35,43 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
             assert {r.doc_id: r.n_shingles for r in rows} == {k: len(shingles(t, width)) for k, t in texts.items()}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows and ids, rows without id, clashing column names, ids of another type."""
+    text, other = "one two three four five six seven eight", "quite another text of some words here"
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, text), (3, other), (3, other + " x"), (None, "third text that stands alone here"),
+            (None, "third text that stands alone here"), (None, None), (None, ""), (4, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC_SCHEMA)
+    for c in ("_gone", "_again", "_key", "_row", "h", "rep", "component_id", "members"):
+        docs = docs.withColumn(c, F.lit(1))
+    out = neardup.without_near_duplicates(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert [g[0] for g in got].count(3) == 1 and got.count((1, text)) == 1 and got.count((None, "third text that stands alone here")) == 1
+    assert {g[0] for g in got} == {1, 3, 4, 5, None} and sum(g[0] is None for g in got) == 2 and len(got) == 6
+    with pytest.raises(ValueError, match="whole number"):
+        neardup.near_duplicates(docs.withColumn("doc_id", F.lit("a")))
+
+
+def test_recall_of_exact_links_at_both_widths(spark):
+    """Copies with edits on either side of the threshold: every pair at or above it is linked, at two words and five."""
+    rng = random.Random(77)
+    texts = {}
+    for i in range(250):
+        base = prose(rng, rng.randint(40, 160))
+        texts[2 * i] = " ".join(base)
+        texts[2 * i + 1] = " ".join(edited(rng, base, rng.random() * 0.08))
+    for width in (2, 5):
+        rows = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts), width=width).collect()}
+        linked = total = 0
+        for i in range(250):
+            a, b = shingles(texts[2 * i], width), shingles(texts[2 * i + 1], width)
+            near = 100 * len(a & b) >= 80 * len(a | b)
+            total += near
+            linked += near and rows[2 * i] == rows[2 * i + 1]
+            assert near or rows[2 * i] != rows[2 * i + 1]
+        assert linked == total and 50 < total < 250, (width, linked, total)
+
+
 def test_a_chain_of_copies_is_one_component(spark):
     words = prose(random.Random(3), 100)
     texts = {}
@@ -82,7 +120,7 @@ def test_components(spark):
 
 def test_decontamination_equals_brute_force(spark, monkeypatch):
     rng = random.Random(5)
-    items = {i: " ".join(prose(rng, n)) for i, n in enumerate((3, 5, 6, 9, 17, 40, 70, 130, 40, 12))} | {20: None, 21: "", 22: "..."}
+    items = {i: " ".join(prose(rng, n)) for i, n in enumerate((3, 5, 6, 9, 17, 40, 70, 130, 40, 12, 4, 2, 1))} | {20: None, 21: "", 22: "..."}
     items[23] = items[4].upper() + "!"  # an equal set
     docs = {}
     for i in range(150):
@@ -92,9 +130,9 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     docs |= {200: items[0], 201: items[0] + "!", 202: None, 203: "", 204: items[6] + " " + items[6]}
     expected = set()
     for d, t in docs.items():
-        own = shingles(t, 5, NAME_WORD)
         for i, item in items.items():
             s = shingles(item, 5, NAME_WORD)
+            own = shingles(t, min(5, len(next(iter(s), ()))) or 5, NAME_WORD)
             if s and 100 * len(s & own) >= 80 * len(s):
                 expected.add((d, i, len(s), len(s & own)))
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
