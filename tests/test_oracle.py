@@ -6,7 +6,6 @@ from checks import all_checks
 from checks.run import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"cross_validate", "batch_score_model"}
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +13,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in all_checks.QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(all_checks.QUERIES))
 def test_query(spark, con, name):
     result = compare(spark, con, SF, name, all_checks.QUERIES[name], all_checks.ORACLES.get(name))
     assert result.startswith(("ok", "rows-only")), result
