@@ -92,17 +92,24 @@ def test_toxicity_on_held_out_documents(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in rows if not r.predicted} and clean.columns[-2:] == ["score", "label"]
 
 
-def test_cues_are_counted_in_the_half_that_is_read(monkeypatch):
+def test_cues_are_counted_in_the_texts_that_are_read(monkeypatch):
+    """All texts for the field itself, and each half, of both classes alike, for calibrating on the other one."""
     seen = []
     cue_slots = toxicity.cue_slots
     monkeypatch.setattr(toxicity, "cue_slots", lambda *args: seen.append(args) or cue_slots(*args))
+    toxic = np.array([1, 1, 0, 0] * 600)
     texts = ["plain words here"] * 2400
     for i in range(0, 40, 4):
-        texts[i] = "grobnik words here"  # in 10 toxic and no clean documents of the half that is read
-    model = toxicity.fit(texts, np.array([1, 1, 0, 0] * 600), 0.5)
-    _, doc, toxic = seen[0]
-    assert (len(toxic), toxic.sum(), doc.max()) == (1200, 600, 1199)
-    assert model.crf is None  # ten documents are too few for a cue
+        texts[i] = "grobnik words here"  # in 10 toxic and no clean documents: too few for a cue
+    assert toxicity.fit(texts, toxic, 0.5).crf is None
+    assert [(len(t), t.sum(), doc.max()) for _, doc, t in seen] == [(2400, 1200, 2399)]
+    seen.clear()
+    for i in range(0, 400, 2):
+        texts[i] = "grobnik words here" if toxic[i] else texts[i]
+    assert toxicity.fit(texts, toxic, 0.5).crf is not None
+    assert [(len(t), t.sum(), doc.max()) for _, doc, t in seen] == [(2400, 1200, 2399), (1200, 600, 1199), (1200, 600, 1199)]
+    halves = [features[:, 0].tolist() for features, _, _ in seen[1:]]
+    assert sorted(halves[0] + halves[1]) == sorted(seen[0][0][:, 0].tolist())
 
 
 def test_toxicity_edges(spark, edge_docs, no_docs):
