@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 import zipfile
 
@@ -18,7 +19,7 @@ from checks.trees import DIFF, diff, pairs
 from checks.views import VIEWS, table, view, with_views
 from pkgrisk.operators import features, gate, splits, treediff
 from pkgrisk.session import shared_folder
-from pkgrisk.sources import archives, corpora, sinks
+from pkgrisk.sources import archives, corpora, jsonarrays, sinks
 from pkgrisk.sources import lines as jsonl
 from pkgrisk.streaming import jobs
 
@@ -131,6 +132,57 @@ def written_archives(spark, docs):
     return folder
 
 
+ARRAY_FILES = """SELECT doc_id, text, doc_id // 300 AS k, doc_id // 300 % 4 = 3 AND doc_id = max(doc_id) OVER (PARTITION BY doc_id // 300) AS lost FROM documents"""
+
+
+def written_arrays(spark, docs):
+    """Arrays of up to 300 records as files in the shared folder; of every fourth the end is missing."""
+    folder = shared_folder(spark, "arrays")
+
+    def write(pdf):
+        from pyarrow import fs
+
+        k = int(pdf["doc_id"].iloc[0]) // 300
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        pdf = pdf.sort_values("doc_id")
+        records = [{"id": int(i), "note": ['"', {"k\\": "]"}], "text": text} for i, text in zip(pdf["doc_id"], pdf["text"])]
+        body = json.dumps(records, indent=k % 3 or None, ensure_ascii=k % 2 == 0)
+        with system.open_output_stream(f"{root}/{k}.json") as out:  # a repeated task writes the same file again
+            out.write((body.rstrip("]\n") if k % 4 == 3 else body).encode())
+        return pd.DataFrame({"k": [k], "n": [len(pdf)]})
+
+    written = docs.select("doc_id", "text").groupBy(F.expr("doc_id DIV 300").alias("k")).applyInPandas(write, "k long, n long")
+    written.agg(F.sum("n")).collect()  # the files are there from here on
+    return folder
+
+
+@query(
+    "json_array_records",
+    f"""SELECT k, CASE WHEN NOT lost THEN doc_id END AS doc_id, CASE WHEN NOT lost THEN sha256(text) END AS digest,
+        CASE WHEN lost THEN 'file ends inside the array' END AS problem FROM ({ARRAY_FILES})""",
+)
+def _(spark, sf):
+    """Files that are cut at 256 KiB give every record once; one that breaks off gives all but its last."""
+    out = jsonarrays.read_json_records(spark, written_arrays(spark, table(spark, sf, "documents")), 1 << 18)
+    return out.selectExpr(
+        "cast(regexp_extract(path, '([0-9]+)[.]json$', 1) AS bigint) AS k", "try_variant_get(rec, '$.id', 'bigint') AS doc_id",
+        "sha2(try_variant_get(rec, '$.text', 'string'), 256) AS digest", "problem",
+    )
+
+
+@query(
+    "json_array_whole_files",
+    f"SELECT doc_id, sha256(text) AS digest FROM ({ARRAY_FILES}) WHERE k % 4 <> 3",
+)
+def _(spark, sf):
+    """With whole files, one that breaks off gives nothing."""
+    out = jsonarrays.read_json_records(spark, written_arrays(spark, table(spark, sf, "documents")), 1 << 18, whole_files=True)
+    return out.filter("problem IS NULL").selectExpr(
+        "try_variant_get(rec, '$.id', 'bigint') AS doc_id", "sha2(try_variant_get(rec, '$.text', 'string'), 256) AS digest"
+    )
+
+
 @query(
     "archive_ranges",
     """SELECT concat(doc_id // 200, '.arc') AS archive, CASE WHEN doc_id // 200 % 3 > 0 AND doc_id % 9 = 0 THEN concat('../', doc_id, '.js') ELSE concat('package/', doc_id, '.js') END AS member,
