@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions import names
+from pkgrisk.operators.keyfilter import prefilter
 
 # Which report set a key comes from and how far it outranks the others.
 MALICIOUS_TOOL, BENIGN_LIST, BENIGN_TOOL, SUMMARY = 4, 3, 2, 1
@@ -161,13 +162,16 @@ def seed_allowlist(required: DataFrame, seeds: DataFrame, malicious: DataFrame)
 
 
 def incremental(cases: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Cases still to run: those whose key has no stored row."""
-    return cases.join(done.select(*keys).distinct(), keys, "left_anti")
+    """Cases still to run: those whose key has no stored row.
+
+    Of the store only keys that may be asked for are shuffled, by a filter of the cases' keys.
+    """
+    return cases.join(prefilter(done.select(*keys), cases, keys).distinct(), keys, "left_anti")
 
 
 def with_cached(fresh: DataFrame, done: DataFrame, cases: DataFrame, keys: list[str]) -> DataFrame:
-    """Fresh rows plus the stored rows of the cases asked for, flagged ``cached``."""
-    reused = done.join(cases.select(*keys).distinct(), keys, "left_semi")
+    """Fresh rows plus the stored rows of the cases asked for, flagged ``cached``; other stored rows are not shuffled."""
+    reused = prefilter(done, cases, keys).join(cases.select(*keys).distinct(), keys, "left_semi")
     return fresh.withColumn("cached", F.lit(False)).unionByName(
         reused.withColumn("cached", F.lit(True)), allowMissingColumns=True
     )

@@ -14,6 +14,7 @@ from pkgrisk.functions import patience
 from pkgrisk.functions.sql import text_array, texts
 from pkgrisk.functions.text import base_name, quoted, stem
 from pkgrisk.functions.variant import kind, node, object_at, parse, string_at
+from pkgrisk.operators.keyfilter import prefilter
 from pkgrisk.operators.ordering import salted_prefix_prune
 from pkgrisk.operators.predicates import is_build_output, is_comparable
 
@@ -66,29 +67,33 @@ def diff_trees(before: DataFrame, after: DataFrame, with_text: bool = False, max
     """Changed files per case: ``case_id, path, change_kind, size_before, size_after, oversize``.
 
     The join runs on digests; contents are joined back only for changed files, when
-    ``with_text`` asks for them. Every text is whole, unless ``max_text_bytes`` is given: then larger files
+    ``with_text`` asks for them: a Bloom filter of the changed keys is applied where the trees are read, so other files'
+    contents are not shuffled. Every text is whole, unless ``max_text_bytes`` is given: then larger files
     are ``oversize``, compare by digest and read as empty.
     """
     limit = "false" if max_text_bytes is None else f"{{}} > {max_text_bytes}"
     def slim(df: DataFrame, side: str) -> DataFrame:
-        return df.selectExpr(
-            "case_id", "path", f"sha2(content, 256) AS sha_{side}", f"cast(octet_length(content) AS bigint) AS size_{side}"
-        )
+        # One column, so that the filter and the changes read the same exchange.
+        return df.selectExpr("case_id", "path", f"concat(sha2(content, 256), octet_length(content)) AS mark_{side}")
 
     joined = slim(before, "before").join(slim(after, "after"), ["case_id", "path"], "full_outer")
-    changed = joined.filter("NOT (sha_before <=> sha_after)").selectExpr(
+    differing = joined.filter("NOT (mark_before <=> mark_after)")
+    changed = differing.selectExpr(
+        "*", *[f"coalesce(cast(substring(mark_{side}, 65) AS bigint), 0L) AS size_{side}" for side in ("before", "after")]
+    ).selectExpr(
         "case_id", "path",
-        "CASE WHEN sha_before IS NULL THEN 'added' WHEN sha_after IS NULL THEN 'removed' ELSE 'modified' END AS change_kind",
-        "coalesce(size_before, 0L) AS size_before", "coalesce(size_after, 0L) AS size_after",
-        limit.format("greatest(coalesce(size_before, 0L), coalesce(size_after, 0L))") + " AS oversize",
+        "CASE WHEN mark_before IS NULL THEN 'added' WHEN mark_after IS NULL THEN 'removed' ELSE 'modified' END AS change_kind",
+        "size_before", "size_after",
+        limit.format("greatest(size_before, size_after)") + " AS oversize",
     )
     if not with_text:
         return changed
+    keys = ["case_id", "path"]
 
     def text(df: DataFrame, side: str) -> DataFrame:
-        return df.selectExpr("case_id", "path", f"IF({limit.format('octet_length(content)')}, '', content) AS text_{side}")
+        whole = df.selectExpr("case_id", "path", f"IF({limit.format('octet_length(content)')}, '', content) AS text_{side}")
+        return prefilter(whole, differing, keys)
 
-    keys = ["case_id", "path"]
     return changed.join(text(before, "before"), keys, "left").join(text(after, "after"), keys, "left").selectExpr(
         *changed.columns, "coalesce(text_before, '') AS text_before", "coalesce(text_after, '') AS text_after"
     )
