@@ -85,13 +85,14 @@ def odd_before(file: IO[bytes], at: int) -> bool:
 
 
 def _effects(opener: Opener):
-    """path, slice → quotes, depth change from outside a string, depth change from inside one."""
+    """path, slice → quotes, depth change from outside a string and from inside one; for slice 0 where the array opens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 quotes, change = 0, [0, 0]
                 with opener(r["path"]) as file:
+                    first = first_bracket(file, r["length"]) if r["slice"] == 0 else None
                     odd = odd_before(file, r["start"])
                     for data in _steps(file, r["start"], r["end"]):
                         data = np.frombuffer(data, np.uint8)
@@ -101,10 +102,10 @@ def _effects(opener: Opener):
                         for side in (0, 1):
                             change[side] += int(step[inside == side].sum())
                         quotes += n
-                rows.append((r["path"], r["slice"], quotes, *change))
+                rows.append((r["path"], r["slice"], quotes, *change, first))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.string(), *[pa.int64()] * 4))],
-                names=["path", "slice", "quotes", "outside", "inside"],
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.string(), *[pa.int64()] * 5))],
+                names=["path", "slice", "quotes", "outside", "inside", "first"],
             )
 
     return run
@@ -224,33 +225,18 @@ def cut_arrays(files: DataFrame, slice_bytes: int = SLICE_BYTES, opener: Opener
         "path", "length", f"explode(sequence(0L, (length - 1) DIV {slice_bytes}L)) AS slice"
     ).selectExpr("*", f"slice * {slice_bytes}L AS start", f"least(length, (slice + 1) * {slice_bytes}L) AS end")
     long = cut.filter(f"length > {slice_bytes}L").repartition(tasks, "path", "slice")
-    effects = long.select("path", "slice", "start", "end").mapInArrow(
-        _effects(opener), "path string, slice long, quotes long, outside long, inside long"
-    )
+    effects = long.mapInArrow(_effects(opener), "path string, slice long, quotes long, outside long, inside long, first long")
     earlier = "OVER (PARTITION BY path ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     states = effects.selectExpr("*", f"coalesce(sum(quotes) {earlier}, 0L) % 2 AS in_string").selectExpr(
-        "path", "slice", "in_string", f"coalesce(sum(IF(in_string = 1, inside, outside)) {earlier}, 0L) AS depth"
+        "path", "slice", "in_string", f"coalesce(sum(IF(in_string = 1, inside, outside)) {earlier}, 0L) AS depth",
+        "max(first) OVER (PARTITION BY path) AS first",
     )
     known = cut.join(states, ["path", "slice"], "left").selectExpr(
-        "path", "length", "slice", "start", "end", "coalesce(in_string, 0L) AS in_string", "coalesce(depth, 0L) AS depth"
+        "path", "length", "slice", "start", "end", "coalesce(in_string, 0L) AS in_string", "coalesce(depth, 0L) AS depth", "first",
     )
-    begins = listed.filter(f"length > {slice_bytes}L").repartition(tasks, "path").mapInArrow(_begins(opener), "path string, first long")
-    known = known.join(begins, "path", "left")
     return known.repartition(tasks, "path", "slice").mapInArrow(_cut(opener, limit), RECORDS)
 
 
-def _begins(opener: Opener):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for r in batch.to_pylist():
-                with opener(r["path"]) as file:
-                    found.append(first_bracket(file, r["length"]))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.int64())], names=["path", "first"])
-
-    return run
-
-
 def parse_elements(cut: DataFrame) -> DataFrame:
     """``path, at, rec, problem``: elements as VARIANT; one that is not JSON has problem ``bad JSON``."""
     return cut.selectExpr("path", "at", f"{parse('cast(value AS string)')} AS rec", "problem").selectExpr(
