@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registries import CASES, osv_cases
 from checks.registry import query
 from checks.views import table, view, with_views
-from pkgrisk.operators import treediff
+from pkgrisk.operators import parts, treediff
 
 DIFF = with_views("tree_before", "tree_after") + """, d AS (
   SELECT coalesce(b.case_id, a.case_id) AS case_id, coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'modified' END AS change_kind,
@@ -161,6 +161,38 @@ def _(spark, sf):
     return treediff.pack_blocks(changes, 2000)
 
 
+@query(
+    "diff_parts",
+    DIFF
+    + """, b AS (SELECT case_id, path, concat('--- a/', path, chr(10), '+++ b/', path, chr(10), '# change_kind=', change_kind, chr(10), 'sizes ', size_before, ' ', size_after, chr(10)) AS block FROM d)
+      SELECT case_id, count(*) AS n_blocks, CAST(sum(length(block)) AS BIGINT) AS n_chars, true AS fits FROM b GROUP BY case_id""",
+)
+def _(spark, sf):
+    changes = diff(spark, sf).withColumn("unified_diff", F.expr("concat('sizes ', size_before, ' ', size_after)"))
+    return parts.diff_parts(changes, 400).groupBy("case_id").agg(
+        F.expr("sum(n_blocks) AS n_blocks"), F.expr("sum(length(text)) AS n_chars"), F.expr("bool_and(n_blocks = 1 OR length(text) <= 400) AS fits")
+    )
+
+
+# Sources as groups: one holds a third of all texts. Place and digest show the order and the content of all parts.
+@query(
+    "text_parts",
+    "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, sha256(concat(doc_id, ' ', text)) AS digest, true AS fits FROM documents",
+)
+def _(spark, sf):
+    limit = 1 << 17
+    joined = parts.text_parts(table(spark, sf, "documents"), ["source"], ["doc_id"], "concat(doc_id, ' ', text)", limit, "\x1e").select(
+        "source", "part", "n_blocks", F.expr(f"n_blocks = 1 OR length(text) <= {limit}").alias("fits"), F.explode(F.transform(
+            F.split("text", "\x1e"), lambda x, k: F.struct(k.alias("k"), F.sha2(x, 256).alias("digest"))
+        )).alias("b"),
+    )
+    # part and place in it → place in the source, by running sums over the parts alone
+    upto = joined.groupBy("source", "part").agg(F.max("n_blocks").alias("n")).selectExpr(
+        "source", "part", "sum(n) OVER (PARTITION BY source ORDER BY part) - n AS earlier"
+    )
+    return joined.join(upto, ["source", "part"]).selectExpr("source", "earlier + b.k + 1 AS place", "b.digest AS digest", "fits")
+
+
 PICK = CASES + """, v AS (SELECT c.*, concat('1.0.', k) AS unpatched_version, CASE WHEN k % 7 = 0 THEN concat('1.0.', k) WHEN k % 11 = 0 THEN NULL ELSE concat('2.0.', k) END AS patched_version FROM c),
 s AS (SELECT *, CASE WHEN patched_version IS NULL THEN 'skipped_missing_versions' WHEN patched_version = unpatched_version THEN 'skipped_same_version' END AS status FROM v)
 """

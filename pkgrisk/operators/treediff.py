@@ -292,15 +292,17 @@ def install_script_delta(before: str, after: str) -> str:
     )
 
 
+def block_text() -> str:
+    """SQL: a change as a headed diff block."""
+    return "concat('--- a/', path, '\\n+++ b/', path, '\\n# change_kind=', change_kind, '\\n', unified_diff, '\\n')"
+
+
 def pack_blocks(changes: DataFrame, cap: int | None = None) -> DataFrame:
     """Diff blocks per case in path order, all of them or until the next one would exceed ``cap`` characters.
 
     Returns ``case_id, diff_text, truncated``: whole blocks only, then a marker line.
     """
-    block = (
-        "concat('--- a/', path, '\\n+++ b/', path, '\\n# change_kind=', change_kind, '\\n', unified_diff, '\\n')"
-    )
-    blocks = changes.selectExpr("case_id", "path", f"{block} AS block").selectExpr("*", "cast(length(block) AS bigint) AS _n")
+    blocks = changes.selectExpr("case_id", "path", f"{block_text()} AS block").selectExpr("*", "cast(length(block) AS bigint) AS _n")
     total = blocks.groupBy("case_id").agg(F.expr("sum(_n) AS _total"))
     over = "false" if cap is None else f"_total > {cap}"
     # A block above the cap only ends the text, so its body need not be shuffled.
