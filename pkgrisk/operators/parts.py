@@ -69,6 +69,7 @@ def text_parts(
     A group's texts joined by ``separator`` in the order of ``part`` are its blocks joined by it. Part numbers rise, with
     gaps. A part has at most ``part_chars`` characters unless one block alone has more. NULL blocks are left out, as in
     ``array_join``; rows equal in ``order`` follow by their text; NULL is a group like others. Blocks are shuffled once.
+    Numbers and cuts hold within one evaluation: write the parts before they are used twice.
     """
     keys, by = [f"_g{k}" for k in range(len(group))], [f"_o{k}" for k in range(len(order))]
     named = blocks.selectExpr(
