@@ -1,4 +1,8 @@
-"""Probabilistic automata from examples: prefix-tree states that are statistically compatible are merged."""
+"""Probabilistic automata from counts: states of a graded automaton that are statistically compatible are merged.
+
+Before the merging, a state is the number of characters read (up to PLACES - 1) and the classes of the last two of
+them. So the counts of all moves are a table of fixed size, whatever the number of values, and tables add up.
+"""
 
 from __future__ import annotations
 
@@ -24,33 +28,51 @@ def symbols(value: str) -> list[int]:
     return _CLASS[np.frombuffer(value.encode("latin-1", "replace"), np.uint8)].tolist()
 
 
+PLACES = 64
+_NONE = SYMBOLS  # in place of a character before the beginning
+_PAIRS = (SYMBOLS + 1) ** 2
+STATES = PLACES * _PAIRS
+START = _NONE * (SYMBOLS + 1) + _NONE
+#: size of a table of counts: moves by symbol and endings of each state
+MOVES = STATES * (SYMBOLS + 1)
+
+
+def count_moves(word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Counts of the moves of values whose symbols stand one behind the other in ``word``."""
+    starts = np.cumsum(lengths) - lengths
+    # each value with its end as one more place
+    at = np.arange(len(word) + len(lengths)) - np.repeat(starts + np.arange(len(lengths)), lengths + 1)
+    symbol = np.insert(word.astype(np.int64), starts + lengths, END)
+    last = np.where(at > 0, np.roll(symbol, 1), _NONE)
+    second = np.where(at > 1, np.roll(symbol, 2), _NONE)
+    state = np.minimum(at, PLACES - 1) * _PAIRS + second * (SYMBOLS + 1) + last
+    return np.bincount(state * (SYMBOLS + 1) + symbol, minlength=MOVES)
+
+
 class Automaton:
-    """States with counts of passing strings, of endings and of moves by symbol."""
-
-    def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.moves: list[dict[int, int]] = [{}]
-        self.total: list[int] = [0]
-        self.ends: list[int] = [0]
-
-    def add(self, word: list[int]) -> None:
-        state = 0
-        for s in word:
-            self.total[state] += 1
-            self.moves[state][s] = self.moves[state].get(s, 0) + 1
-            if s not in self.next[state]:
-                self.next[state][s] = len(self.total)
-                self.next.append({})
-                self.moves.append({})
-                self.total.append(0)
-                self.ends.append(0)
-            state = self.next[state][s]
-        self.total[state] += 1
-        self.ends[state] += 1
+    """States with counts of passing strings, of endings and of moves by symbol, from a table of counts."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.next: list[dict[int, int]] = []
+        self.moves: list[dict[int, float]] = []
+        table = np.asarray(counts, float).reshape(STATES, SYMBOLS + 1)
+        self.total: list[float] = table.sum(axis=1).tolist()
+        self.ends: list[float] = table[:, END].tolist()
+        for state, row in enumerate(table.tolist()):
+            place, last = min(state // _PAIRS + 1, PLACES - 1), state % (SYMBOLS + 1)
+            moves = {s: n for s, n in enumerate(row[:SYMBOLS]) if n} if self.total[state] else {}
+            self.moves.append(moves)
+            self.next.append({s: place * _PAIRS + last * (SYMBOLS + 1) + s for s in moves})
+        self.root = list(range(STATES))  # a merged state points to the one that holds its counts
+
+    def find(self, state: int) -> int:
+        while self.root[state] != state:
+            self.root[state] = state = self.root[self.root[state]]
+        return state
 
     def _agree(self, a: int, b: int, alpha: float) -> bool:
         """Hoeffding's test on endings and all moves, of the states and of what follows them."""
-        todo = [(a, b)]
+        todo, seen = [(a, b)], {(a, b)}
         bound = sqrt(0.5 * log(2 / alpha))
         while todo:
             a, b = todo.pop()
@@ -63,15 +85,21 @@ class Automaton:
             for s in self.moves[a].keys() | self.moves[b].keys():
                 if abs(self.moves[a].get(s, 0) / n - self.moves[b].get(s, 0) / m) > width:
                     return False
-                if s in self.next[a] and s in self.next[b] and self.next[a][s] != self.next[b][s]:
-                    todo.append((self.next[a][s], self.next[b][s]))
+                if s in self.next[a] and s in self.next[b]:
+                    pair = self.find(self.next[a][s]), self.find(self.next[b][s])
+                    if pair[0] != pair[1] and pair not in seen:
+                        seen.add(pair)
+                        todo.append(pair)
         return True
 
     def _fold(self, red: int, blue: int) -> None:
-        """Add the tree below ``blue`` to ``red``."""
+        """Add ``blue`` to ``red``, and what follows it by a symbol to what follows the other by it."""
         todo = [(red, blue)]
         while todo:
-            a, b = todo.pop()
+            a, b = (self.find(x) for x in todo.pop())
+            if a == b:
+                continue
+            self.root[b] = a
             self.total[a] += self.total[b]
             self.ends[a] += self.ends[b]
             for s, n in self.moves[b].items():
@@ -84,52 +112,61 @@ class Automaton:
 
     def merge_states(self, alpha: float = 0.01) -> Automaton:
         """Red states stay; each blue state, a red one's child, is merged into the first that agrees or turns red."""
-        red = [0]
+        red = [START]
         at = 0
         while at < len(red):
             state = red[at]
             at += 1
-            for s in sorted(self.next[state]):
-                child = self.next[state][s]
-                if child in red:
+            for s in sorted(self.next[self.find(state)]):
+                child = self.find(self.next[self.find(state)][s])
+                known = dict.fromkeys(map(self.find, red))
+                if child in known:
                     continue
-                partner = next((r for r in red if self._agree(r, child, alpha)), None)
+                partner = next((r for r in known if self._agree(r, child, alpha)), None)
                 if partner is None:
                     red.append(child)
                 else:
-                    self.next[state][s] = partner
                     self._fold(partner, child)
         return self
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities and next states (state × symbol); the last column is the end, the last state unknown."""
-        reach, order = [0], {0: 0}
+        reach = [self.find(START)]
+        order = {reach[0]: 0}
         for state in reach:
             for s in sorted(self.next[state]):
-                if self.next[state][s] not in order:
-                    order[self.next[state][s]] = len(reach)
-                    reach.append(self.next[state][s])
+                if (child := self.find(self.next[state][s])) not in order:
+                    order[child] = len(reach)
+                    reach.append(child)
         n = len(reach)
         prob = np.zeros((n + 1, SYMBOLS + 1))
         to = np.full((n + 1, SYMBOLS), n, np.int64)
         for state in reach:
             i = order[state]
             for s, count in self.moves[state].items():
-                prob[i, s] = count / max(1, self.total[state])
-                to[i, s] = order[self.next[state][s]]
-            prob[i, END] = self.ends[state] / max(1, self.total[state])
+                prob[i, s] = count / self.total[state]
+                to[i, s] = order[self.find(self.next[state][s])]
+            prob[i, END] = self.ends[state] / self.total[state] if self.total[state] else 0.0
         return np.log((1 - FLOOR) * prob + FLOOR / (SYMBOLS + 1)), to
 
 
-def infer(values: list[str], alpha: float = 0.01) -> tuple[list[list[float]], list[list[int]]]:
-    """Log probabilities and moves of the automaton that the values suggest."""
-    tree = Automaton()
-    for v in values:
-        tree.add(symbols(v))
-    logs, to = tree.merge_states(alpha).table()
+def infer_counts(counts: np.ndarray, alpha: float = 0.01) -> tuple[list[list[float]], list[list[int]]]:
+    """Log probabilities and moves of the automaton that a table of counts suggests."""
+    logs, to = Automaton(counts).merge_states(alpha).table()
     return logs.tolist(), to.tolist()
 
 
+def counts_of(values: list[str]) -> np.ndarray:
+    """``count_moves`` of a list of values."""
+    raw = [v.encode("latin-1", "replace") for v in values]
+    return count_moves(classes(np.frombuffer(b"".join(raw), np.uint8)), np.array([len(v) for v in raw], np.int64))
+
+
+def infer(values: list[str], alpha: float = 0.01) -> tuple[list[list[float]], list[list[int]]]:
+    """The automaton that the values suggest."""
+    return infer_counts(counts_of(values), alpha)
+
+
 def likelihood(model: tuple[list[list[float]], list[list[int]]], word: list[int]) -> float:
     """Log likelihood of a whole word."""
     logs, to = model

@@ -1,12 +1,13 @@
 """Credentials in texts: fixed formats, and further strings whose format likelihood is that of a credential.
 
 Strings of the fixed formats are the labelled credentials. Counter-examples are ordinary words and long tokens that are
-not an unbroken mix of letters and digits; such mixes without a label may be either. From a bounded sample of each, by
-hash, a probabilistic automaton over classes of characters is inferred. Every token of LEAST_WORD and more characters of
-every text, and its parts between = and /, is then scored by the difference of its mean log likelihoods, and added where
-the score is above that of nearly all counter-examples. For a token of fewer than LEAST_TOKEN characters, these are the
-unlabelled tokens of its length, mixes too: a short format that is common without a label is no credential. No sampled
-short token without a mix of letters and digits scores above the threshold.
+not an unbroken mix of letters and digits; such mixes without a label may be either. From all distinct values of each, a
+probabilistic automaton over classes of characters is inferred: tasks count moves, and the tables of counts add up.
+Every token of LEAST_WORD and more characters of every text, and its parts between = and /, is then scored by the
+difference of its mean log likelihoods, and added where the score is above that of nearly all counter-examples; tasks
+count these by steps of the score. For a token of fewer than LEAST_TOKEN characters, these are the unlabelled tokens of
+its length, mixes too: a short format that is common without a label is no credential. No short token without a mix of
+letters and digits scores above the threshold.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pkgrisk.llm.automata import classes, infer, likelihood, likelihoods, symbols
-from pkgrisk.llm.flat import Texts, blocks, byte_table, small_batches
+from pkgrisk.llm.automata import MOVES, classes, count_moves, infer_counts, likelihood, likelihoods, symbols
+from pkgrisk.llm.flat import Texts, blocks, buffers, byte_table, small_batches
 from pkgrisk.llm.shared import stored
 
 # Formats of credentials.
@@ -35,10 +37,12 @@ TOKEN = byte_table(b"0123456789+/_=.-" + bytes(range(65, 91)) + bytes(range(97,
 _MARKS = byte_table(b"=/")
 PARTS = (TOKEN & ~byte_table(b"="), TOKEN & ~_MARKS)
 LEAST_TOKEN, LEAST_WORD = 16, 6
-#: values of each kind that the automata are inferred from
-SAMPLE = 300
-#: counter-examples of each length below LEAST_TOKEN that its threshold is taken from
-SHORT_SAMPLE = 1000
+#: what the values of one kind weigh together at most; all of them are counted
+WEIGHT = 300
+#: steps of the score by which counter-examples are counted
+STEPS = 1024
+#: values already given that a task remembers
+REMEMBERED = 1 << 18
 #: share of the counter-examples that may score as high as a credential
 FALSE_RATE = 0.002
 
@@ -106,8 +110,6 @@ def stretches(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 Token = tuple[int, int, str]
-#: fixed formats, long decided tokens, and the shorter ones by their length
-_EXAMPLE_KINDS = (0, 1, 2, 3, *range(LEAST_WORD, LEAST_TOKEN))
 
 
 def candidates(column: pa.Array, model: Model | None = None) -> Iterator[tuple[int, str, list[tuple[int, int, int, str]], list[Token]]]:
@@ -158,10 +160,6 @@ def added(model: Model, tokens: list[Token]) -> list[tuple[int, int]]:
     return out
 
 
-def _order(value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big", signed=True)
-
-
 def undecided(value: str) -> bool:
     """A token with an unbroken mix of letters and digits between = and /, which may be a credential."""
     parts = [value, *(p for p in re.split("[=/]", value) if len(p) >= LEAST_WORD)]
@@ -182,79 +180,165 @@ def _unlabelled(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return upto[ends] == upto[starts]
 
 
-def _some_words(column: pa.Array, cuts: dict[int, int]) -> Iterator[tuple[int, str, int]]:
-    """Length, value and place of unlabelled tokens below LEAST_TOKEN, at most SHORT_SAMPLE of least hash in each block."""
+def _words(column: pa.Array) -> Iterator[set[bytes]]:
+    """The unlabelled tokens below LEAST_TOKEN of each block."""
     for _, _, texts in blocks(column):
         starts, ends = stretches(texts)
         fits = (ends - starts < LEAST_TOKEN) & _unlabelled(texts, starts, ends)
-        starts, ends = starts[fits], ends[fits]
-        hashes = texts.hashes(starts, ends)
-        for length in range(LEAST_WORD, LEAST_TOKEN):
-            own = np.flatnonzero(ends - starts == length)
-            place, first = np.unique(hashes[own], return_index=True)
-            for h, k in zip(place[:SHORT_SAMPLE].tolist(), own[first[:SHORT_SAMPLE]].tolist()):
-                if h - (1 << 63) > cuts.get(length, 1 << 63):
-                    break
-                yield length, texts.raw[starts[k]:ends[k]].tobytes().decode("ascii"), h - (1 << 63)
+        raw = texts.raw.tobytes()
+        yield {raw[a:b] for a, b in zip(starts[fits].tolist(), ends[fits].tolist())}
 
 
-def _limit(kind: int) -> int:
-    return SAMPLE if kind < 4 else SHORT_SAMPLE
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kind and value of all labelled credentials and counter-examples; some values several times."""
+    seen: set[tuple[int, str] | bytes] = set()  # saves rows only
+    for batch in batches:
+        kinds: list[int] = []
+        values: list[str] = []
+        for _, _, base, tokens in candidates(batch.column(0)):
+            own = {(k, value) for _, k, _, value in base} | {(3, value) for _, _, value in tokens if not undecided(value)}
+            own = {x for x in own if len(x[1]) > 256 or x not in seen}
+            kinds += [k for k, _ in own]
+            values += [v for _, v in own]
+            seen |= {x for x in own if len(x[1]) <= 256}
+        for words in _words(batch.column(0)):
+            words -= seen
+            kinds += [len(w) for w in words]
+            values += [w.decode("ascii") for w in words]
+            seen |= words
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        yield _valued(kinds, values)
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The values of least hash of each kind in the rows of a task: SAMPLE of kinds 0 to 3, SHORT_SAMPLE of each short length."""
-    kept: dict[int, dict[str, int]] = {k: {} for k in _EXAMPLE_KINDS}
-    cuts: dict[int, int] = {}
+def _valued(kinds: list[int], values: list[str]) -> pa.RecordBatch:
+    """Kind, whether it is a token below LEAST_TOKEN that may be a credential, and value."""
+    mixed = [k > 3 and undecided(v) for k, v in zip(kinds, values)]
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(mixed, pa.bool_()), pa.array(values, pa.string())], names=["kind", "mixed", "value"])
+
+
+def _group(kind: int) -> int:
+    """The table of counts that a kind belongs to: one for each long kind, one for the shorter tokens."""
+    return min(kind, 4)
+
 
-    def keep(k: int, value: str, place: int) -> None:
-        kept[k][value] = place
-        if len(kept[k]) > 4 * _limit(k):
-            kept[k] = dict(sorted(kept[k].items(), key=lambda x: (x[1], x[0]))[:_limit(k)])
-            cuts[k] = max(kept[k].values())
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Group, move and count, and move -1 with the number of values, of the values of a task.
 
+    Short tokens that may be credentials are left to their threshold.
+    """
+    tables: dict[int, np.ndarray] = {}
+    sizes: dict[int, int] = {}
     for batch in batches:
-        for _, _, base, tokens in candidates(batch.column(0)):
-            for _, k, _, value in base:
-                keep(k, value, _order(value))
-            for _, _, value in tokens:
-                if not undecided(value):
-                    keep(3, value, _order(value))
-        for length, value, place in _some_words(batch.column(0), cuts):
-            keep(length, value, place)
-    rows = [(k, v, h) for k, own in kept.items() for v, h in sorted(own.items(), key=lambda x: (x[1], x[0]))[:_limit(k)]]
-    yield pa.RecordBatch.from_pydict({
-        "kind": pa.array([r[0] for r in rows], pa.int32()), "value": pa.array([r[1] for r in rows], pa.string()), "place": pa.array([r[2] for r in rows], pa.int64()),
-    })
+        batch = batch.filter(pc.invert(batch.column(1)))
+        groups = np.minimum(batch.column(0).to_numpy(), 4)
+        for g in np.unique(groups).tolist():
+            raw, offsets = buffers(batch.column(2).filter(pa.array(groups == g)))
+            lengths = np.diff(offsets)
+            tables[g] = tables.get(g, 0) + count_moves(classes(raw), lengths)
+            sizes[g] = sizes.get(g, 0) + len(lengths)
+    for g, table in tables.items():
+        move = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(move) + 1, g, np.int32)), pa.array(np.append(move, -1)), pa.array(np.append(table[move], sizes[g]))], names=["grp", "move", "n"]
+        )
+
+
+def _scores(shared):
+    """Kind, whether a short token may be a credential, step of its score, number and highest score."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            found: dict[tuple[int, bool, int], tuple[int, float]] = {}
+            for kind, mixed, value in zip(*(c.to_pylist() for c in batch.columns)):
+                score = model.score(value)
+                key = (kind, mixed, int(score * STEPS // 1))
+                n, top = found.get(key, (0, score))
+                found[key] = (n + 1, max(top, score))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.int64()))]
+                + [pa.array([v[i] for v in found.values()], t) for i, t in enumerate((pa.int64(), pa.float64()))],
+                names=["kind", "mixed", "step", "n", "top"],
+            )
+
+    return run
+
+
+def _inferred(tables: dict[int, np.ndarray], sizes: dict[int, int], groups: tuple[int, ...]) -> tuple:
+    """The automaton of some groups, each weighing as many values as it has, at most WEIGHT."""
+    return infer_counts(sum(tables[g] * min(1.0, WEIGHT / sizes[g]) for g in groups if g in tables))
+
+
+def _thresholds(model: Model, steps: list[tuple[int, bool, int, int, float]], sizes: dict[int, int]) -> None:
+    """Set the thresholds from (kind, may be a credential, step, number, highest score) of all counter-examples."""
+    weighed = [(step, n * min(1.0, WEIGHT / sizes[_group(kind)]), top) for kind, mixed, step, n, top in steps if not mixed]
+    above = FALSE_RATE * sum(w for _, w, _ in weighed)
+    model.threshold = max(0.25, _passed(weighed, above))
+    for length in range(LEAST_WORD, LEAST_TOKEN):
+        own = [x for x in steps if x[0] == length]
+        common = _passed([(step, n, top) for _, _, step, n, top in own], int(FALSE_RATE * sum(x[3] for x in own))) if own else model.threshold
+        model.short[length] = max([0.25, common, *(top for _, mixed, _, _, top in own if not mixed)])
+
+
+def _passed(steps: list[tuple[int, float, float]], above: float) -> float:
+    """The highest score of the first step, from above, that with those over it holds more than ``above``."""
+    held: dict[int, tuple[float, float]] = {}
+    for step, n, top in steps:
+        before = held.get(step, (0.0, top))
+        held[step] = (before[0] + n, max(before[1], top))
+    for step in sorted(held, reverse=True):
+        above -= held[step][0]
+        if above < 0:
+            break
+    return held[step][1]
 
 
 def fit(credentials: list[str], others: list[str], short: list[str] | None = None) -> Model | None:
-    """None without examples of both sorts: then only the fixed formats are found.
+    """A model of listed values; None without examples of both sorts: then only the fixed formats are found.
 
     ``short``: counter-examples of fewer than LEAST_TOKEN characters, for the threshold of each length.
     """
-    if not credentials or not others:
+    table = _valued([0] * len(credentials) + [3] * len(others) + [len(v) for v in short or ()], [*credentials, *others, *(short or ())])
+    tables = pa.Table.from_batches(_tables(iter([table])), schema=_TABLES).to_pylist()
+    return _model([(r["grp"], r["move"], r["n"]) for r in tables], lambda model: [
+        tuple(r.values()) for b in _scores(_Held(model))(iter([table.slice(len(credentials))])) for r in b.to_pylist()
+    ])
+
+
+_TABLES = pa.schema([("grp", pa.int32()), ("move", pa.int64()), ("n", pa.int64())])
+
+
+@dataclass
+class _Held:
+    value: Model
+
+
+def _model(counts: list[tuple[int, int, int]], scored) -> Model | None:
+    """From the counts of all moves; ``scored`` gives the scores of the counter-examples by a model, by steps."""
+    tables: dict[int, np.ndarray] = {}
+    sizes: dict[int, int] = {}
+    for g, move, n in counts:
+        if move < 0:
+            sizes[g] = n
+        else:
+            tables.setdefault(g, np.zeros(MOVES))[move] = n
+    if not sizes.keys() & {0, 1, 2} or not sizes.keys() & {3, 4}:
         return None
-    model = Model(infer(credentials), infer(others), 0.0)
-    scores = sorted(model.score(v) for v in others)
-    model.threshold = max(0.25, scores[int((1 - FALSE_RATE) * (len(scores) - 1))])
-    for n in range(LEAST_WORD, LEAST_TOKEN):
-        own = sorted((model.score(v), undecided(v)) for v in short or () if len(v) == n)
-        common = own[len(own) - 1 - int(FALSE_RATE * len(own))][0] if own else model.threshold
-        model.short[n] = max([0.25, common, *(x for x, mixed in own if not mixed)])
+    model = Model(_inferred(tables, sizes, (0, 1, 2)), _inferred(tables, sizes, (3, 4)), 0.0)
+    _thresholds(model, scored(model), sizes)
     return model
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> Model | None:
-    """From values of the whole corpus, a bounded sample of each kind by hash."""
-    found = stored(docs.select(text_col).mapInArrow(_examples, "kind int, value string, place long"), "credentials")
-    values = {
-        k: [(r["place"], r["value"]) for r in found.where(F.col("kind") == k).select("value", "place").distinct().orderBy("place", "value").limit(_limit(k)).collect()]
-        for k in _EXAMPLE_KINDS
-    }
-    short = sorted(x for k in _EXAMPLE_KINDS[4:] for x in values[k])
-    labelled, others = ([v for k in kinds for _, v in values[k]] for kinds in ((0, 1, 2), (3,)))
-    return fit(labelled, others + [v for _, v in short[:SAMPLE]], [v for _, v in short])
+    """From all distinct values of the corpus; the driver gets counts by state, and counts by steps of the score."""
+    found = stored(docs.select(text_col).mapInArrow(_examples, "kind int, mixed boolean, value string").distinct(), "credentials")
+    counts = found.mapInArrow(_tables, "grp int, move long, n long").groupBy("grp", "move").agg(F.sum("n").alias("n")).collect()
+
+    def scored(model: Model) -> list:
+        steps = found.where("kind >= 3").mapInArrow(_scores(found.sparkSession.sparkContext.broadcast(model)), "kind int, mixed boolean, step long, n long, top double")
+        return steps.groupBy("kind", "mixed", "step").agg(F.sum("n").alias("n"), F.max("top").alias("top")).collect()
+
+    return _model(counts, scored)
 
 
 def _find(shared):

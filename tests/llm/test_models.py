@@ -439,3 +439,11 @@ def test_quality_rules(spark, no_docs):
     x = {"words": np.array([1.0, 2, 3, 4] * 30)}
     assert quality.learn_list(x, x["words"] > 2) == [(quality.Condition("words", True, 2.5),)]
     assert quality.learn_rules(docs, labels.limit(0)) == [] and quality.quality_report(no_docs, labels).count() == 0
+
+
+def test_secrets_are_learnt_from_every_value(spark):
+    rng = random.Random(17)
+    values = ["".join(rng.choice("0123456789abcdef"[: 16 if i % 7 else 10]) for _ in range(rng.randint(9, 14))) for i in range(900)]
+    texts = {i: f"{''.join(prose(rng, 5))} token: {v} end" for i, v in enumerate(values)}
+    learnt, listed = secrets.learn(frame(spark, texts)), secrets.fit(values, ["ordinaryword" * 2])
+    assert np.allclose(learnt.credentials[0], listed.credentials[0]) and learnt.credentials[1] == listed.credentials[1]
