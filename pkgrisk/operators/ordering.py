@@ -18,6 +18,8 @@ from pkgrisk.functions.text import group_key
 
 # Leading hex digits of the order hash used as bucket: 16^4 buckets per stratum.
 HASH_DIGITS = 4
+# Leading hex digits by which the rows of a stratum are dealt when they meet its cuts.
+SALT = "coalesce(substring(_h, 1, 2), '')"
 # Distinct values that one task may sort; stretches with more are divided by the next bits of the key.
 STRETCH = 1 << 17
 # Bits of a key that are left below its first and second digit: 20 and 22 bits, and at most 2^22 values under one.
@@ -26,7 +28,7 @@ LEFT = (44, 22)
 
 def hash_cuts(
     df: DataFrame, strata: Sequence[str], order: str, targets: str,
-    with_start: bool = False, carry: dict[str, str] | None = None,
+    with_start: bool = False, carry: dict[str, str] | None = None, salted: bool = False,
 ) -> DataFrame:
     """Per stratum, the order hash at given ranks.
 
@@ -36,6 +38,7 @@ def hash_cuts(
     NULL for rank 0. Only rows of buckets that hold a wanted rank are sorted, about
     ``size(targets) / 65536`` of a stratum. ``with_start`` lets ``targets`` use ``start``,
     the rows of all earlier strata; ``carry`` adds aggregates of ``df`` per stratum.
+    ``salted`` repeats a stratum's row for every ``_salt`` that its rows have, by which they can be joined evenly.
     """
     carry = carry or {}
     base = df.selectExpr(f"{group_key(*strata)} AS _stratum", f"{order} AS _h", "*").selectExpr(
@@ -67,9 +70,14 @@ def hash_cuts(
         .groupBy("_stratum")
         .agg(F.expr("map_from_entries(collect_set(struct(rank, _h))) AS at"))
     )
-    return sizes.join(found, "_stratum", "left").selectExpr(
+    out = sizes.join(found, "_stratum", "left").selectExpr(
         "_stratum", "n", "transform(ks, k -> try_element_at(at, k)) AS cuts"
     )
+    if not salted:
+        return out
+    # The sum is asked for only so that the exchange of ``counts`` is the same here.
+    salts = counts.selectExpr("_stratum", f"{SALT.replace('_h', '_b')} AS _salt", "c").groupBy("_stratum", "_salt").agg(F.expr("sum(c) AS c"))
+    return salts.filter("c > 0").select("_stratum", "_salt").join(out, "_stratum")
 
 
 def hash_segments(
@@ -80,10 +88,10 @@ def hash_segments(
     Keys are expected to be unique within a stratum; exact copies share a hash and so a segment.
     The rows themselves are not shuffled: one comparison with the stratum's cut hashes.
     """
-    cuts = hash_cuts(df, strata, order, targets, **options)
-    tagged = df.selectExpr("*", f"{group_key(*strata)} AS _stratum", f"{order} AS _h")
+    cuts = hash_cuts(df, strata, order, targets, **options, salted=True)
+    tagged = df.selectExpr("*", f"{group_key(*strata)} AS _stratum", f"{order} AS _h").selectExpr("*", f"{SALT} AS _salt")
     passed = F.expr("size(filter(cuts, c -> c IS NULL OR _h > c))")
-    return tagged.join(cuts, "_stratum").withColumn(out, passed).drop("_stratum", "_h", "n", "cuts")
+    return tagged.join(cuts, ["_stratum", "_salt"]).withColumn(out, passed).drop("_stratum", "_salt", "_h", "n", "cuts")
 
 
 def ordered_bits(key: str, dtype: str) -> str:
