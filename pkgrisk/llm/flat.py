@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+
+from pkgrisk.session import small_batches as small_batches  # the operators take it from here
 
 BLOCK = 1 << 20
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -174,10 +175,3 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, Text
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
         yield low, high, Texts(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
         low = high
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows in this session, unless the user has set a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))

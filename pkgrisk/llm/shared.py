@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgrisk.session import shared_folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder named by ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage; a lost executor loses nothing of it.
-    """
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from pkgrisk.session import stored as stored  # the operators take it from here
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 
 from pkgrisk.operators import features, metrics, splits
 from pkgrisk.operators.ordering import kth_values
-from pkgrisk.session import shared_folder
+from pkgrisk.session import shared_folder, stored
+
+#: rows of a part of the training data, about
+PART_ROWS = 100_000
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
@@ -54,7 +57,10 @@ def train(matrix: DataFrame, label: str = "label", seed: int = 42, rounds: int =
     gbt = GBTClassifier(
         labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, minInstancesPerNode=20,
     )
-    return gbt.fit(matrix.withColumn(label, F.col(label).cast("double")))
+    # The input is read several times, and its parts are cached one by one.
+    rows = stored(matrix.select(F.col(label).cast("double").alias(label), "features"), "matrix")
+    parts = -(-rows.count() // PART_ROWS)
+    return gbt.fit(rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows)
 
 
 def predict(model: GBTClassificationModel, matrix: DataFrame, out: str = "score") -> DataFrame:
@@ -110,6 +116,7 @@ class Fitted:
 def fit(df: DataFrame, columns: Sequence[str], key: str, label: str = "label", k: int = 5, seed: int = 42, **kwargs) -> Fitted:
     """Cross-validate, then train on all rows; the fold metrics and their means go into the metadata."""
     columns = list(columns)
+    df = stored(df.select(key, label, *(c for c in columns if c not in (key, label))), "features")
     fill = medians(df, columns)
     matrix = feature_matrix(df, columns, fill).select(key, label, "features")
     folds = [r.asDict() for r in cross_validate(matrix, key, label, k, seed, **kwargs).orderBy("fold").collect()] if k else []  # one row each
