@@ -11,7 +11,7 @@ from checks.registry import query
 from checks.views import table, view
 from pkgrisk.operators import features, gate, responses
 from pkgrisk.plans import model, seeding
-from pkgrisk.session import shared_folder
+from pkgrisk.session import shared_folder, stored
 from pkgrisk.sources import config
 
 
@@ -144,7 +144,7 @@ def _(spark, sf):
 @query("batch_score_model")
 def _(spark, sf):
     rec = view(spark, sf, "records").withColumn("label", F.expr("doc_id % 2"))
-    feats = features.extract_features(rec)
+    feats = stored(features.extract_features(rec), "features")
     cols = [c for c in features.NUMERIC]
     fill = model.medians(feats, cols)
     fitted = model.train(model.feature_matrix(feats, cols, fill), rounds=3, depth=3)
