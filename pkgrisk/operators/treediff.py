@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -17,12 +19,15 @@ from pkgrisk.functions.variant import kind, node, object_at, parse, string_at
 from pkgrisk.operators.keyfilter import prefilter
 from pkgrisk.operators.ordering import salted_prefix_prune
 from pkgrisk.operators.predicates import is_build_output, is_comparable
+from pkgrisk.session import small_batches
 
 # Evidence file names, manifest hooks kept, evidence count.
 HOOK_FILES = ("postinstall.js", "install.js", "preinstall.js")
 SLICE_HOOKS = ("preinstall", "install", "postinstall", "preuninstall", "postuninstall")
 DELTA_HOOKS = ("preinstall", "install", "postinstall")
 EVIDENCE_FILES = 4
+#: bytes of texts that Python holds as lines at a time
+PIECE_BYTES = 1 << 20
 
 
 def pick_versions(cases: DataFrame) -> DataFrame:
@@ -136,19 +141,31 @@ def aligned_changes(path: str, before: str, after: str) -> tuple[str, int, int]:
     return "\n".join(text), sum(d - c for _, _, _, c, d in changed), sum(b - a for _, a, b, _, _ in changed)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with texts of about PIECE_BYTES, one row at least, so that memory follows single texts."""
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64) for c in ("text_before", "text_after"))
+    upto, low = np.cumsum(sizes), 0
+    while low < len(upto):
+        before = int(upto[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(upto, before + PIECE_BYTES, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _per_file(changes: DataFrame, work: Callable[[str, str, str], tuple], added: pa.Schema) -> DataFrame:
     """``changes`` without its texts, with the columns that ``work`` gives for path, text before and after."""
     kept = [c for c in changes.columns if c not in ("text_before", "text_after")]
     schema = StructType([*(changes.schema[c] for c in kept), *from_arrow_schema(added).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _pieces(whole)):
             sides = (batch.column(c).to_pylist() for c in ("path", "text_before", "text_after"))
             found = list(zip(*(work(p, a or "", b or "") for p, a, b in zip(*sides)))) or [()] * len(added)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), *(pa.array(v, f.type) for v, f in zip(found, added))], names=schema.names
             )
 
+    small_batches(changes.sparkSession)
     return changes.mapInArrow(run, schema)
 
 
