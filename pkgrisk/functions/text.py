@@ -40,24 +40,13 @@ def group_key(*cols: str) -> str:
 def shannon_entropy(value: str) -> str:
     """Bits per character; 0 for NULL or empty text.
 
-    Characters are sorted once and equal runs summed in a single pass, so long texts do
-    not cost one scan per distinct character.
+    Characters are sorted once and equal runs taken by one regular expression, so long texts do not cost one scan per
+    distinct character, and lambdas run once per distinct character only.
     """
-    n = f"cast(length({value}) AS double)"
-
-    def closed(run: str) -> str:
-        return f"IF({run} > 0, ({run} / {n}) * log2({run} / {n}), 0D)"
-
-    step = (
-        "(s, c) -> named_struct('prev', c, 'run', IF(s.prev = c, s.run + 1D, 1D), "
-        f"'acc', IF(s.prev = c, s.acc, s.acc + {closed('s.run')}))"
-    )
-    return (
-        f"CASE WHEN coalesce(length({value}), 0) = 0 THEN 0D ELSE aggregate("
-        f"array_sort(filter(split({value}, ''), x -> x <> '')), "
-        f"named_struct('prev', '', 'run', 0D, 'acc', 0D), {step}, "
-        f"s -> -(s.acc + {closed('s.run')})) END"
-    )
+    runs = f"regexp_extract_all(array_join(sort_array(split({value}, '')), ''), {regex(r'(?s)(.)\1*')}, 0)"
+    bits = f"-aggregate({runs}, 0D, (s, r) -> s + (length(r) / n) * log2(length(r) / n))"
+    n = f"array(cast(length({value}) AS double))"
+    return f"IF(coalesce(length({value}), 0) = 0, 0D, get(transform({n}, n -> {bits}), 0))"
 
 
 def base_name(path: str) -> str:
