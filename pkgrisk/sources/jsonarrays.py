@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.variant import parse
+from pkgrisk.session import stored
 from pkgrisk.sources.archives import CHUNK_BYTES
 from pkgrisk.sources.slices import CELL_BYTES, Opener, open_path, tasks_for
 
@@ -250,7 +251,7 @@ def read_json_records(
     """``path, at, rec, problem`` of the JSON files below ``path``: array elements of any kind, other values as one record.
 
     With ``whole_files`` a file with any problem gives none of its records and keeps its problem rows, as if it had been
-    parsed in one piece; that reads the files a second time.
+    parsed in one piece; the records are written to the shared folder for that and read again, not cut a second time.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
@@ -259,5 +260,6 @@ def read_json_records(
     out = parse_elements(cut_arrays(files, slice_bytes))
     if not whole_files:
         return out
+    out = stored(out, "records")
     bad = out.filter("problem IS NOT NULL").select(F.col("path").alias("_bad")).distinct()
     return out.join(bad, out["path"] == bad["_bad"], "left").filter("_bad IS NULL OR problem IS NOT NULL").drop("_bad")

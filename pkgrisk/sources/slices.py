@@ -25,6 +25,8 @@ from pkgrisk.sources.archives import CHUNK_BYTES, DAMAGED, ZIP_MAGIC
 
 #: bytes of an archive that one task reads, about
 SLICE_BYTES = 128 * 1024 * 1024
+#: slices of fewer bytes share tasks of so many
+TASK_BYTES = 16 << 20
 #: a binary cell holds at most 2^31 - 1 bytes, a batch of one somewhat less
 CELL_BYTES = (1 << 31) - (1 << 16)
 MOST_TASKS = 50_000
@@ -281,6 +283,10 @@ def read_index(
 
 
 def tasks_for(files: DataFrame, slice_bytes: int = SLICE_BYTES) -> int:
-    """Tasks by the bytes of the listed files; a job over the listing alone."""
+    """Tasks by the bytes of the listed files; a job over the listing alone.
+
+    Short slices share tasks, as starting one costs more than reading such a slice; no fewer tasks than twice the cores.
+    """
     total = files.agg(F.sum("length").alias("n")).first()["n"] or 0
-    return max(1, min(MOST_TASKS, -(-total // slice_bytes), int(total)))
+    enough = max(2 * files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return max(1, min(MOST_TASKS, enough, -(-total // slice_bytes), int(total)))

@@ -121,3 +121,12 @@ def test_one_file_comes_from_several_tasks(spark, tmp_path):
     assert [r.n for r in sorted(rows, key=lambda r: r.at)] == list(range(2000))
     assert len({r.task for r in rows}) > 2
     assert jsonarrays.cut_arrays(files.limit(0), slice_bytes=1000).count() == 0
+
+
+def test_short_slices_share_tasks(spark):
+    from pkgrisk.sources.slices import TASK_BYTES, tasks_for
+
+    few = 2 * spark.sparkContext.defaultParallelism
+    files = spark.createDataFrame([("a", 5 * TASK_BYTES), ("b", 100)], "path string, length long")
+    assert tasks_for(files, 1 << 18) == max(few, 6) and tasks_for(files, 4 * TASK_BYTES) == 2
+    assert tasks_for(files.filter("path = 'b'"), 10) == min(few, 10) and tasks_for(files.filter("false"), 10) == 1
