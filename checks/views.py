@@ -235,12 +235,14 @@ _HELPERS = (
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that is read in fewer parts than there are cores.
+    """Spread a table that is read in fewer parts than there are cores, or lies in fewer files.
 
-    Only small test tables are; a large table is split by its files and stays as it is.
+    A file is cut by bytes, but all rows of a row group go to one part, so parts of few files may be empty. A large
+    table of many files stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < min(cores, 64) else df
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    few = min(cores, 64)
+    return df.repartition(max(cores, parts), df.columns[0]) if parts < few or len(df.inputFiles()) < few else df
 
 
 def tables(spark: SparkSession, sf_dir: str, sql: str) -> None:

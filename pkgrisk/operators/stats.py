@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pkgrisk.functions.sql import texts
+from pkgrisk.functions.sql import regex, texts
 from pkgrisk.functions.variant import object_at, parse
 from pkgrisk.operators.ordering import value_prefix
 
@@ -98,14 +98,16 @@ TRAINING_KEYS = (
 
 def build_inventory(files: DataFrame) -> DataFrame:
     """Per file: kind, size, SHA-256 and the training keys found in its lines."""
-    name = "lower(regexp_extract(path, '([^/]*)$', 1))"
-    kind = "CASE " + " ".join(f"WHEN endswith({name}, '{a}') THEN 'archive'" for a in ARCHIVES)
-    kind += " " + " ".join(f"WHEN endswith({name}, '{k}') THEN '{k[1:]}'" for k in KINDS) + " ELSE 'unknown' END"
+    kind = "CASE " + " ".join(f"WHEN endswith(_name, '{a}') THEN 'archive'" for a in ARCHIVES)
+    kind += " " + " ".join(f"WHEN endswith(_name, '{k}') THEN '{k[1:]}'" for k in KINDS) + " ELSE 'unknown' END"
+    # Only a line that holds a key in quotes, or an escape that may hide one, is parsed.
+    may_hold = f"l RLIKE {regex('\"(?:' + '|'.join(TRAINING_KEYS) + ')\"|' + chr(92) * 2)}"
     keys = (
-        "array_sort(array_intersect(flatten(transform(split(content, '\\n'), "
+        f"array_sort(array_intersect(flatten(transform(filter(split(content, '\\n'), l -> {may_hold}), "
         f"l -> coalesce(map_keys({object_at(parse('l'), '$')}), cast(array() AS array<string>)))), array({texts(TRAINING_KEYS)})))"
     )
-    return files.filter(f"{name} <> 'manifest.json'").selectExpr(
+    named = files.selectExpr("path", "content", "lower(substring_index(path, '/', -1)) AS _name")
+    return named.filter("_name <> 'manifest.json'").selectExpr(
         "path", f"{kind} AS kind", "octet_length(content) AS size_bytes", "sha2(content, 256) AS sha256", "content"
     ).selectExpr(
         "path", "kind", "size_bytes", "sha256",

@@ -423,3 +423,70 @@ def test_regex_features_brute_force(spark):
         assert got[i].mean_identifier_length == pytest.approx(sum(map(len, ids)) / len(ids) if ids else 0.0)
         calls = len(re.findall(r"require\s*\(", t)) - len(re.findall(features.STRING_REQUIRE.replace("(?U)", ""), t))
         assert got[i].n_dynamic_require == max(0, calls)
+
+
+def test_entropy_of_runs_in_any_text(spark):
+    rows = ["", "a", "\r\n\r\n  x", "é" * 3 + "\U0001F600" * 2, "\n" * 70000 + "ab" * 70000]
+    assert "array_sort" not in shannon_entropy("t")  # its default order is a lambda run for every comparison
+    got = [r.e for r in spark.createDataFrame([(t,) for t in rows], "t string").select(F.expr(shannon_entropy("t")).alias("e")).collect()]
+    for t, e in zip(rows, got):
+        assert abs(e + sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t))) < 1e-12
+
+
+def test_inventory_parses_only_lines_that_may_hold_a_key(spark):
+    rows = [
+        ("d/a.JSONL", '{"prompt":1,"x":2}\nbad "prompt"\n\n{"x":{"answer":1}}\n[{"input":1}]\n{"messa\\u0067es":[]}'), ("b.ndjson", None), ("b.json", '{"prompt":1}'),
+        ("x/manifest.json", "{}"), (None, "x"), ("c.tar.gz", ""), ("d/e/", "x"), ("\n.jsonl", '{"output": 1} {"input": 1}\n{"output":1}'),
+    ]
+    files = spark.createDataFrame(rows, "path string, content string")
+    got = {r.path: (r.kind, r.size_bytes, r.training_keys) for r in stats.build_inventory(files).collect()}
+    assert got == {
+        "d/a.JSONL": ("jsonl", len(rows[0][1]), ["messages", "prompt"]), "b.ndjson": ("ndjson", None, None), "b.json": ("json", 12, []),
+        "c.tar.gz": ("archive", 0, []), "d/e/": ("unknown", 1, []), "\n.jsonl": ("jsonl", len(rows[7][1]), ["output"]),
+    }
+    plan = stats.build_inventory(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.upper() and plan.count("substring_index") <= 2  # a name is taken once, not for every suffix
+
+
+def test_rows_of_one_large_stratum_meet_its_cuts_in_many_tasks(spark):
+    df = spark.range(2000).selectExpr("cast(id AS string) AS id", "0 AS label")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        parts = splits.kfold(df, "label", "id", 4).selectExpr("spark_partition_id() AS p", "fold").groupBy("p").count().collect()
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+    assert sum(r["count"] for r in parts) == 2000 and max(r["count"] for r in parts) < 1000
+
+
+def test_segments_keep_rows_without_an_order(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", None), ("b", None)], "s string, h string")
+    got = ordering.hash_segments(df, ["s"], "h", "array(1L)", "seg").groupBy("s").count().collect()
+    assert {r.s: r["count"] for r in got} == {"a": 2, "b": 1}
+
+
+def test_texts_are_compared_a_few_at_a_time():
+    import pyarrow as pa
+
+    texts = ["a\n" * 300_000, None, "", "b\n" * 900_000, "c"] * 3
+    batch = pa.RecordBatch.from_pydict({"text_before": pa.array(texts), "text_after": pa.array(texts[::-1])})
+    pieces = list(treediff._pieces(batch))
+    assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch])) and len(pieces) > 5
+    assert list(treediff._pieces(batch.slice(0, 0))) == []
+
+
+def test_features_are_computed_once_for_a_fit(spark):
+    from pkgrisk.plans import model
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def costly(i):
+        seen.add(1)
+        return float(i % 17)
+
+    df = spark.range(200).selectExpr("cast(id AS string) AS id", "cast(id % 2 AS int) AS label", "id AS i")
+    df = df.withColumn("x", F.udf(costly, "double")("i")).select("id", "label", "x")
+    fitted = model.fit(df, ["x"], "id", k=0, rounds=2, depth=2)
+    assert seen.value == 200 and fitted.fill == {"x": 8.0}
