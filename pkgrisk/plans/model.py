@@ -18,7 +18,7 @@ from pkgrisk.operators.ordering import kth_values
 from pkgrisk.session import shared_folder, stored
 
 #: rows of a part of the training data, about
-PART_ROWS = 100_000
+PART_ROWS = 500_000
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
