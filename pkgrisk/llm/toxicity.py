@@ -10,6 +10,7 @@ A chain is a sentence (or line); ``CHAIN`` words of a longer one.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -172,10 +173,22 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     return Model(crf, _logistic(_statistics(p, counts), toxic, weight), prior)
 
 
+def _fit(prior: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(labels, np.int64), prior))], pa.binary())], names=["model"])
+
+    return run
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most SAMPLE_DOCS documents of each class, by hash of the id; labels of held-out ids are never read.
 
-    A document with several labels is toxic if one of them says so; null labels and null ids are left out.
+    A document with several labels is toxic if one of them says so; null labels and null ids are left out. The texts of
+    the sample meet in one task, which fits the model; the driver gets the fitted model only.
     """
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -191,10 +204,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("known"))
         .where(F.length("text") <= SAMPLE_CHARS)
-        .select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "text").limit(2 * SAMPLE_DOCS).collect()
+        .select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "text").limit(2 * SAMPLE_DOCS)
     )
     total = counts.get(0, 0) + counts.get(1, 0)
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64), counts.get(1, 0) / total if total else 0.0)
+    prior = counts.get(1, 0) / total if total else 0.0
+    fitted = rows.select("text", "label").mapInArrow(_fit(prior), "model binary").collect()  # a limit has one partition, in order
+    return pickle.loads(fitted[0]["model"]) if fitted else fit([], np.zeros(0, np.int64), prior)
 
 
 def tag(model: Model, texts: Texts) -> tuple[np.ndarray, list[str]]:

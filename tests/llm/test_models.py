@@ -1,6 +1,7 @@
 """Operators with a learnt part."""
 
 import itertools
+import os
 import random
 import re
 import zlib
@@ -447,3 +448,19 @@ def test_secrets_are_learnt_from_every_value(spark):
     texts = {i: f"{''.join(prose(rng, 5))} token: {v} end" for i, v in enumerate(values)}
     learnt, listed = secrets.learn(frame(spark, texts)), secrets.fit(values, ["ordinaryword" * 2])
     assert np.allclose(learnt.credentials[0], listed.credentials[0]) and learnt.credentials[1] == listed.credentials[1]
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    texts = {i: f"{'vile ' * (i % 4 == 0)}words number {i}" for i in range(60)}
+    docs, labels = frame(spark, texts), spark.createDataFrame([(i, int(i % 4 == 0)) for i in texts], "doc_id long, toxic int")
+    known = {i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2}
+
+    def where(texts, toxic, prior):
+        return toxicity.Model(None, np.array([os.getpid(), len(texts), toxic.sum(), sum("vile" in t for t in texts)], float), prior)
+
+    monkeypatch.setattr(toxicity, "fit", where)
+    toxic = sum(i % 4 == 0 for i in known)
+    model = toxicity.learn(docs, labels)
+    assert model.weights[0] != os.getpid()  # the driver holds neither the sample nor its features
+    assert model.weights[1:].tolist() == [len(known), toxic, toxic] and model.prior == toxic / len(known)
+    assert toxicity.learn(docs.limit(0), labels).weights[1:].tolist() == [0, 0, 0]
