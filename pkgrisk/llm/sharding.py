@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pkgrisk.llm.shared import fresh
 
@@ -149,16 +150,19 @@ def number_slots(
     """``docs`` with a number from 0 without gaps in each shard, in the order of a hash of id and text.
 
     Rows of a shard are divided by that hash into buckets of about ``SLOT_ROWS``; buckets are counted, then each row
-    is ranked in its bucket only. Rows that agree in id and text take neighbouring numbers in either order.
+    is ranked in its bucket only. Rows that agree in id and text take neighbouring numbers in either order. The numbers
+    of buckets are joined: as a CASE they would repeat the expression of the shard for each large shard.
     """
-    order, bucket, n, before = (fresh(docs, c) for c in ("_order", "_bucket", "_n", "_before"))
+    order, bucket, n, before, known, buckets = (fresh(docs, c) for c in ("_order", "_bucket", "_n", "_before", "_known", "_buckets"))
     rows = docs.groupBy(shard_col).count().collect()  # one row for each shard
-    buckets = F.lit(1)
-    for r in rows:
-        if r["count"] > SLOT_ROWS:
-            buckets = F.when(F.col(shard_col) == r[shard_col], -(-r["count"] // SLOT_ROWS)).otherwise(buckets)
+    large = docs.sparkSession.createDataFrame(
+        [(r[shard_col], -(-r["count"] // SLOT_ROWS)) for r in rows if r["count"] > SLOT_ROWS],
+        T.StructType([T.StructField(known, docs.schema[shard_col].dataType), T.StructField(buckets, T.LongType())]),
+    )
     ordered = docs.withColumn(order, F.xxhash64(F.col(id_col), F.col(text_col)) if text_col in docs.columns else F.xxhash64(F.col(id_col)))
-    ordered = ordered.withColumn(bucket, F.pmod(F.col(order), buckets))
+    ordered = ordered.join(F.broadcast(large), F.col(shard_col) == F.col(known), "left").withColumn(  # one row for each shard
+        bucket, F.pmod(F.col(order), F.coalesce(F.col(buckets), F.lit(1)))
+    ).drop(known, buckets)
     counts = ordered.groupBy(shard_col, bucket).agg(F.count(F.lit(1)).alias(n)).withColumn(
         before, F.sum(n).over(Window.partitionBy(shard_col).orderBy(bucket)) - F.col(n)
     ).drop(n)

@@ -66,6 +66,25 @@ def test_shard_report(spark, monkeypatch):
     assert max(rest) <= sum(rest) / 39 + 420 and min(rest) >= sum(rest) / 39 - 420
 
 
+def plan_mentions(df, word: str) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count(word)
+
+
+def test_large_shards_do_not_repeat_the_shard_expression(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts().items()], DOC_SCHEMA)
+    sharded = sharding.assign_shards(docs, 12)
+    small = plan_mentions(sharding.number_slots(sharded), "xxhash64")
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 20)
+    large = sharding.number_slots(sharded)
+    assert plan_mentions(large, "xxhash64") <= 2 * small
+    rows = large.withColumn("h", F.xxhash64("doc_id", "text")).collect()
+    total = {s: sum(r.shard == s for r in rows) for s in {r.shard for r in rows}}
+    assert sum(n > 20 for n in total.values()) > 5
+    # buckets of the hash one after another, each in the order of the hash
+    wanted = sorted(rows, key=lambda r: (r.shard, r.h % -(-total[r.shard] // 20), r.h))
+    assert [r.slot for r in wanted] == [k for _, n in sorted(total.items()) for k in range(n)]
+
+
 def test_shard_edges(spark, edge_docs, no_docs):
     out = sharding.number_slots(sharding.assign_shards(edge_docs.withColumn("_n", F.lit(1)).withColumn("slot", F.lit(-1)), 3))
     assert out.count() == edge_docs.count() and {c for c in out.columns} == {*edge_docs.columns, "_n", "shard", "slot"}
