@@ -85,6 +85,13 @@ def test_large_shards_do_not_repeat_the_shard_expression(spark, monkeypatch):
     assert [r.slot for r in wanted] == [k for _, n in sorted(total.items()) for k in range(n)]
 
 
+def test_shard_report_of_large_shards_has_a_bounded_plan(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts().items()], DOC_SCHEMA)
+    small = plan_mentions(sharding.shard_report(docs, 12), "xxhash64")
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 20)
+    assert plan_mentions(sharding.shard_report(docs, 12), "xxhash64") <= 2 * small
+
+
 def test_shard_edges(spark, edge_docs, no_docs):
     out = sharding.number_slots(sharding.assign_shards(edge_docs.withColumn("_n", F.lit(1)).withColumn("slot", F.lit(-1)), 3))
     assert out.count() == edge_docs.count() and {c for c in out.columns} == {*edge_docs.columns, "_n", "shard", "slot"}
