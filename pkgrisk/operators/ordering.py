@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.text import group_key
+from pkgrisk.session import stored
 
 # Leading hex digits of the order hash used as bucket: 16^4 buckets per stratum.
 HASH_DIGITS = 4
@@ -28,7 +29,7 @@ LEFT = (44, 22)
 
 def hash_cuts(
     df: DataFrame, strata: Sequence[str], order: str, targets: str,
-    with_start: bool = False, carry: dict[str, str] | None = None, salted: bool = False,
+    with_start: bool = False, carry: dict[str, str] | None = None, salted: bool = False, settled: bool = False,
 ) -> DataFrame:
     """Per stratum, the order hash at given ranks.
 
@@ -39,6 +40,9 @@ def hash_cuts(
     ``size(targets) / 65536`` of a stratum. ``with_start`` lets ``targets`` use ``start``,
     the rows of all earlier strata; ``carry`` adds aggregates of ``df`` per stratum.
     ``salted`` repeats a stratum's row for every ``_salt`` that its rows have, by which they can be joined evenly.
+    ``settled`` starts jobs: bucket counts, edges and cuts are written to the shared folder first, so that their sizes
+    are known when joins with rows are planned. Where they are small, no row is shuffled, which adaptive execution
+    learns too late: it shuffles both sides of a join before it knows the size of either.
     """
     carry = carry or {}
     base = df.selectExpr(f"{group_key(*strata)} AS _stratum", f"{order} AS _h", "*").selectExpr(
@@ -48,6 +52,8 @@ def hash_cuts(
         F.expr("count(*) AS c"), *[F.expr(f"{e} AS {name}") for name, e in carry.items()]
     )
     base = base.select("_stratum", "_h", "_b")
+    if settled:
+        counts = stored(counts, "counts")
     sizes = counts.groupBy("_stratum").agg(
         F.expr("sum(c) AS n"), *[F.expr(f"max({name}) AS {name}") for name in carry]
     )
@@ -62,6 +68,8 @@ def hash_cuts(
         )
         .filter("size(wanted) > 0")
     )
+    if settled:
+        edges = stored(edges, "edges")
     ranked = base.join(edges, ["_stratum", "_b"]).selectExpr(
         "*", "before + row_number() OVER (PARTITION BY _stratum, _b ORDER BY _h) AS rank"
     )
@@ -73,11 +81,11 @@ def hash_cuts(
     out = sizes.join(found, "_stratum", "left").selectExpr(
         "_stratum", "n", "transform(ks, k -> try_element_at(at, k)) AS cuts"
     )
-    if not salted:
-        return out
-    # The sum is asked for only so that the exchange of ``counts`` is the same here.
-    salts = counts.selectExpr("_stratum", f"{SALT.replace('_h', '_b')} AS _salt", "c").groupBy("_stratum", "_salt").agg(F.expr("sum(c) AS c"))
-    return salts.filter("c > 0").select("_stratum", "_salt").join(out, "_stratum")
+    if salted:
+        # The sum is asked for only so that the exchange of ``counts`` is the same here.
+        salts = counts.selectExpr("_stratum", f"{SALT.replace('_h', '_b')} AS _salt", "c").groupBy("_stratum", "_salt").agg(F.expr("sum(c) AS c"))
+        out = salts.filter("c > 0").select("_stratum", "_salt").join(out, "_stratum")
+    return stored(out, "cuts") if settled else out
 
 
 def hash_segments(

@@ -36,11 +36,11 @@ def holdout_split(df: DataFrame, key: str, frac: float = 0.05, seed: int = 42, p
     return out.withColumn("is_test", F.expr("_seg = 0")).drop("_seg")
 
 
-def kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+def kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, settled: bool = False) -> DataFrame:
     """Add ``fold`` 0..k−1, balanced within every label and over all rows.
 
     Labels are laid end to end (ordered); fold ``i`` takes as many rows of a label as there
-    are positions congruent to ``i`` in its stretch.
+    are positions congruent to ``i`` in its stretch. ``settled`` is that of ``ordering.hash_cuts``.
     """
     # Ranks at which folds end: running counts of positions = i (mod k) in [start, start + n).
     count = f"(floor((start + n + {k - 1} - i) / {k}) - floor((start + {k - 1} - i) / {k}))"
@@ -48,7 +48,7 @@ def kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> Da
         f"transform(sequence(0, {k - 2}), j -> cast(aggregate(sequence(0, j), 0L, "
         f"(a, i) -> a + cast({count} AS bigint)) AS bigint))"
     )
-    return hash_segments(df, [label], order_hash(seed, key), targets, "fold", with_start=True)
+    return hash_segments(df, [label], order_hash(seed, key), targets, "fold", with_start=True, settled=settled)
 
 
 def weighted_draws(packages: DataFrame, items: dict[str, int], k: int, seed: int, name: str = "package") -> DataFrame:

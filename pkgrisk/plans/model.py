@@ -19,6 +19,8 @@ from pkgrisk.session import shared_folder, stored
 
 #: rows of a part of the training data, about
 PART_ROWS = 500_000
+#: rows up to which a table is dealt out to parts with its folds; a shuffle of more would take much of the disk
+DEALT_ROWS = 1_000_000
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
@@ -68,17 +70,32 @@ def predict(model: GBTClassificationModel, matrix: DataFrame, out: str = "score"
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
 
 
+def write_parts(df: DataFrame, path: str) -> DataFrame:
+    """Write files of at most ``PART_ROWS`` rows and read them as one part each, without a shuffle.
+
+    The read has a session of its own: files are not packed together where opening one counts as a whole part.
+    """
+    df.write.option("maxRecordsPerFile", PART_ROWS).parquet(path)
+    own = df.sparkSession.newSession()
+    own.conf.set("spark.sql.files.openCostInBytes", own.conf.get("spark.sql.files.maxPartitionBytes"))
+    return own.read.parquet(path)
+
+
 def cross_validate(
     matrix: DataFrame, key: str, label: str = "label", k: int = 5, seed: int = 42, threshold: float = 0.5, **kwargs
 ) -> DataFrame:
     """One row of metrics per fold; folds are scored together, so metrics take one pass over all of them."""
     spark = matrix.sparkSession
     path = shared_folder(spark, "folds")
-    splits.kfold(matrix, label, key, k, seed).write.parquet(path)
+    if matrix.count() > DEALT_ROWS:
+        training = write_parts(splits.kfold(matrix, label, key, k, seed, settled=True).select(label, "features", "fold"), path)
+    else:
+        splits.kfold(matrix, label, key, k, seed).write.parquet(path)
+        training = spark.read.parquet(path)
     folded = spark.read.parquet(path)
     parts = []
     for i in range(k):
-        model = train(folded.filter(F.col("fold") != i), label, seed, **kwargs)
+        model = train(training.filter(F.col("fold") != i), label, seed, **kwargs)
         parts.append(predict(model, folded.filter(F.col("fold") == i)).select("fold", label, "score"))
     scored = parts[0]
     for p in parts[1:]:

@@ -461,6 +461,34 @@ def test_rows_of_one_large_stratum_meet_its_cuts_in_many_tasks(spark):
     assert sum(r["count"] for r in parts) == 2000 and max(r["count"] for r in parts) < 1000
 
 
+def test_settled_folds_shuffle_no_rows(spark):
+    df = spark.range(3000).selectExpr("cast(id % 2900 AS string) AS id", "IF(id % 7 = 0, NULL, cast(id % 3 AS int)) AS label").repartition(3)
+    settled = splits.kfold(df, "label", "id", 5, settled=True)
+    plan = settled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    lazy = splits.kfold(df, "label", "id", 5)
+    assert Counter(map(tuple, settled.collect())) == Counter(map(tuple, lazy.collect())) and settled.columns == lazy.columns
+
+
+def test_large_tables_are_cross_validated_without_a_shuffle_of_rows(spark, monkeypatch):
+    from pkgrisk.plans import model
+
+    df = spark.range(4000).selectExpr("cast(id AS string) AS id", "id % 50 AS x", "IF(id % 50 > 25, 1, 0) AS label")
+    matrix = model.feature_matrix(df, ["x"], {"x": 0.0}).select("id", "label", "features")
+    monkeypatch.setattr(model, "PART_ROWS", 300)
+    want = {r.fold: r for r in model.cross_validate(matrix, "id", k=2, rounds=2, depth=2).collect()}
+    monkeypatch.setattr(model, "DEALT_ROWS", 1000)
+    seen, train, held = [], model.train, spark.conf.get("spark.sql.files.openCostInBytes")
+    monkeypatch.setattr(model, "train", lambda rows, *a, **b: seen.append(rows) or train(rows, *a, **b))
+    got = {r.fold: r for r in model.cross_validate(matrix, "id", k=2, rounds=2, depth=2).collect()}
+    assert {k: (r.n_val, r.n_pos) for k, r in got.items()} == {k: (r.n_val, r.n_pos) for k, r in want.items()} and len(got) == 2
+    assert all(r.auroc > 0.9 for r in got.values())
+    for rows in seen:  # one file a part, none above PART_ROWS, without the key
+        parts = rows.groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) >= 14 and max(r["count"] for r in parts) <= 300 and rows.columns == ["label", "features", "fold"]
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == held
+
+
 def test_segments_keep_rows_without_an_order(spark):
     df = spark.createDataFrame([("a", "x"), ("a", None), ("b", None)], "s string, h string")
     got = ordering.hash_segments(df, ["s"], "h", "array(1L)", "seg").groupBy("s").count().collect()
